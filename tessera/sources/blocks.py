@@ -39,10 +39,17 @@ def scan_blocks(spark: SparkSession, paths, newline: str = "lf") -> DataFrame:
         .where(F.regexp_replace(F.col("block"), "\n", "") != "")
 
 
-def scan_lines(spark: SparkSession, paths) -> DataFrame:
-    """Text files -> ``(file, line_no, text)``, line_no 0-based per file."""
+def scan_lines(spark: SparkSession, paths, per_file: bool = False) -> DataFrame:
+    """Text files -> ``(file, line_no, text)``.
+
+    ``line_no`` is 0-based over the whole dataset (files in path order, so a
+    directory of ordered part files reads as one sequence), or per file.
+    """
     raw = _with_file_order(spark.read.text(paths))
-    o = global_ordinal(raw, ["_start", "_mid"], ["file"], "line_no")
+    if per_file:
+        o = global_ordinal(raw, ["_start", "_mid"], ["file"], "line_no")
+    else:
+        o = global_ordinal(raw, ["file", "_start", "_mid"], (), "line_no")
     return o.select("file", "line_no", F.col("value").alias("text"))
 
 
@@ -53,7 +60,7 @@ def scan_text_dir(spark: SparkSession, directory: str, suffix: str = ".txt",
     Files are ordered by path (the source used unspecified directory order),
     then optionally cut to the first ``first_n``.
     """
-    raw = (spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(directory)
+    raw = (spark.read.option("pathGlobFilter", f"*{suffix}").text(directory, wholetext=True)
            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
     o = global_ordinal(raw, ["path"], (), "ordinal")
     return o.where(F.col("ordinal") < first_n) if first_n is not None else o
