@@ -13,7 +13,7 @@ from tessera.operators.order import split_counted
 from tessera.operators.ordinal import global_ordinal
 from tessera.plans import standins as T
 from tessera.plans.registry import register
-from tessera.plans.sql_standins import tag_sql, with_ctes
+from tessera.plans.sql_standins import lid_sql, tag_sql, with_ctes
 from tessera.session import scratch_path
 from tessera.sources import blocks as B
 from tessera.sources import parse as P
@@ -148,3 +148,22 @@ def q_write_predictions(spark, d):
     return back.groupBy("model", F.col("test_set").cast("int").alias("test_set")).agg(
         F.count(F.lit(1)).cast("long").alias("n"),
         F.sum((F.col("gold") == F.col("pred")).cast("long")).alias("n_correct"))
+
+
+@register("resume_stream", with_ctes("conv_tokens") + f"""
+SELECT label, CAST(count(*) AS BIGINT) AS n FROM (SELECT {lid_sql('word')} AS label FROM conv_tokens) x GROUP BY label""")
+def q_resume_stream(spark, d):
+    from tessera.streaming.resume import resume_stream
+    blocks = T.conv_blocks(spark, d, "lid")
+    in_dir, out_dir, ckpt = _tmp(spark, "stream-in"), _tmp(spark, "stream-out"), _tmp(spark, "stream-ckpt")
+
+    def parse(b):
+        return P.parse_lid(b).select("file", "sent_no", "pos", "token", "label")
+
+    # files arrive in two drops; the restarted stream only reads the new ones
+    for drop, cond in enumerate([F.col("block_no") % 100 <= 1, F.col("block_no") % 100 > 1]):
+        K._ordered(blocks.where(cond), ["block_no"]).select("block").write.mode("append" if drop else "overwrite") \
+            .option("lineSep", "\n\n").text(in_dir)
+        resume_stream(spark, in_dir, out_dir, ckpt, parse)
+    out = spark.read.parquet(out_dir)
+    return out.groupBy("label").agg(F.count(F.lit(1)).cast("long").alias("n"))
