@@ -106,12 +106,15 @@ def parse_lid(blocks: DataFrame, compat: bool = False) -> DataFrame:
     """
     lines = block_lines(F.col("block"))
     b = blocks.select("file", "block_no", lines.alias("lines"))
-    b = b.withColumn("_nh", F.size(F.filter("lines", lambda l: _lid_header(l, compat))))
+    # positions of the header lines of each block (usually 0 or 1 of them)
+    hpos = F.filter(F.transform("lines", lambda l, i: F.when(_lid_header(l, compat), i).otherwise(F.lit(-1))),
+                    lambda p: p >= 0)
+    b = b.withColumn("_hpos", hpos).withColumn("_nh", F.size("_hpos"))
     b = prefix_sum(b, ["file"], ["block_no"], {"_hbefore": F.col("_nh")}, bucket=_block_bucket())
-    t = b.select("file", "block_no", "_hbefore", "lines",
+    t = b.select("file", "block_no", "_hbefore", "_hpos",
                  F.posexplode("lines").alias("line_no", "line"))
-    # header count up to and including this line inside the block
-    upto = F.size(F.filter(F.slice("lines", 1, F.col("line_no") + 1), lambda l: _lid_header(l, compat)))
+    # header count up to and including this line inside the block: O(headers) per line
+    upto = F.size(F.filter("_hpos", lambda p: p <= F.col("line_no")))
     t = t.withColumn("sent_no", F.col("_hbefore") + upto)
     m = F.regexp_extract("line", r"(?U)^\s*(\S+)\s+(\S+)", 0)
     t = t.where(~_lid_header(F.col("line"), compat) & (m != ""))
