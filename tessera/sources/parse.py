@@ -115,12 +115,13 @@ def parse_lid(blocks: DataFrame, compat: bool = False) -> DataFrame:
                  F.posexplode("lines").alias("line_no", "line"))
     # header count up to and including this line inside the block: O(headers) per line
     upto = F.size(F.filter("_hpos", lambda p: p <= F.col("line_no")))
-    t = t.withColumn("sent_no", F.col("_hbefore") + upto)
-    m = F.regexp_extract("line", r"(?U)^\s*(\S+)\s+(\S+)", 0)
-    t = t.where(~_lid_header(F.col("line"), compat) & (m != ""))
-    t = t.select("file", "block_no", "line_no", "sent_no",
-                 F.regexp_extract("line", r"(?U)^\s*(\S+)\s+(\S+)", 1).alias("token"),
-                 F.regexp_extract("line", r"(?U)^\s*(\S+)\s+(\S+)", 2).alias("label"))
+    # body line: its first two whitespace-separated fields (Unicode whitespace)
+    fields = F.split(F.regexp_replace("line", r"(?U)^\s+", ""), r"(?U)\s+", 3)
+    t = t.select("file", "block_no", "line_no", (F.col("_hbefore") + upto).alias("sent_no"),
+                 F.array_contains("_hpos", F.col("line_no")).alias("_is_hdr"), fields.alias("_f"))
+    t = t.where(~F.col("_is_hdr") & (F.size("_f") >= 2) & (F.col("_f")[0] != "") & (F.col("_f")[1] != ""))
+    t = t.select("file", "block_no", "line_no", "sent_no", F.col("_f")[0].alias("token"),
+                 F.col("_f")[1].alias("label"))
     t = prefix_sum(t, ["file", "sent_no"], ["block_no", "line_no"],
                    {"pos": F.lit(1), "span_start": F.char_length("token") + 1})
     lab = F.coalesce(F.try_element_at(map_literal(LANG_LABEL_INDEX), F.col("label")),
