@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tessera.session import ensure_checkpoint_dir
+
 
 def graph_normalise(edges: DataFrame, gid: str = "graph_id", u: str = "u", v: str = "v") -> DataFrame:
     """Undirected simple graph: (u, v) = (v, u), duplicates merged -> ``(graph_id, a, b)`` with a <= b."""
@@ -48,54 +50,69 @@ def _side(df: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     return pairs.join(df.withColumnRenamed("graph_id", side), side)
 
 
+def _graph_features(norm: DataFrame) -> DataFrame:
+    """Long per-graph feature table ``(graph_id, kind, key, val)`` used by the bounds.
+
+    kind 'v': node (val 1); 'e': edge (val 1); 'r': edge relabelled by node
+    rank (degree desc, node asc); 'd': degree (val) at rank (key).
+    """
+    # node table (graph, node, degree, rank) is read four times below: pin it
+    # once in the shared checkpoint folder instead of re-deriving it per branch
+    ensure_checkpoint_dir(norm.sparkSession)
+    ranked = _ranked_nodes(norm).checkpoint(eager=True)
+    rk = ranked.select("graph_id", "node", "rank")
+    relab = (norm.join(rk.withColumnRenamed("node", "a").withColumnRenamed("rank", "ra"), ["graph_id", "a"])
+             .join(rk.withColumnRenamed("node", "b").withColumnRenamed("rank", "rb"), ["graph_id", "b"]))
+    pack = lambda x, y: F.least(x, y).cast("long") * F.lit(1 << 32) + F.greatest(x, y).cast("long")
+    one = F.lit(1).cast("long")
+    return (ranked.select("graph_id", F.lit("v").alias("kind"), F.col("node").cast("long").alias("key"), one.alias("val"))
+            .unionByName(ranked.select("graph_id", F.lit("d").alias("kind"), F.col("rank").cast("long").alias("key"),
+                                       F.col("degree").cast("long").alias("val")))
+            .unionByName(relab.select("graph_id", F.lit("e").alias("kind"), pack(F.col("a"), F.col("b")).alias("key"),
+                                      one.alias("val")))
+            .unionByName(relab.select("graph_id", F.lit("r").alias("kind"), pack(F.col("ra"), F.col("rb")).alias("key"),
+                                      one.alias("val"))))
+
+
 def ged_bounds(norm: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edit-distance bounds per pair ``(g1, g2)``.
 
-    Output: g1, g2, n_nodes1, n_nodes2, n_edges1, n_edges2, ged_lower, ged_upper, exact.
+    Both graphs of a pair are expanded into their feature rows and matched
+    with one full outer join on (pair, kind, key); a single aggregation then
+    yields node/edge counts, common nodes, common edges under the identity
+    and the degree-rank alignment, and the L1 distance of the degree
+    sequences. Output: g1, g2, n_nodes1, n_nodes2, n_edges1, n_edges2,
+    ged_lower, ged_upper, exact.
     """
     keys = ["g1", "g2"]
     pairs = pairs.select(*keys).distinct()
-    ranked = _ranked_nodes(norm)
-    # per-graph sizes
-    sizes = ranked.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")) \
-        .join(norm.groupBy("graph_id").agg(F.count(F.lit(1)).alias("m")), "graph_id")
-    s1 = sizes.select(F.col("graph_id").alias("g1"), F.col("n").alias("n1"), F.col("m").alias("m1"))
-    s2 = sizes.select(F.col("graph_id").alias("g2"), F.col("n").alias("n2"), F.col("m").alias("m2"))
-    base = pairs.join(s1, "g1").join(s2, "g2")
-
-    # identity alignment: common nodes and common edges
-    n1 = _side(ranked.select("graph_id", "node"), pairs, "g1")
-    n2 = _side(ranked.select("graph_id", "node"), pairs, "g2")
-    cv = n1.join(n2, keys + ["node"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("cv"))
-    e1 = _side(norm, pairs, "g1")
-    e2 = _side(norm, pairs, "g2")
-    ce = e1.join(e2, keys + ["a", "b"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("ce"))
-
-    # degree-rank alignment: edges relabelled by node rank
-    rk = ranked.select("graph_id", "node", "rank")
-    relab = (norm.join(rk.withColumnRenamed("node", "a").withColumnRenamed("rank", "ra"), ["graph_id", "a"])
-             .join(rk.withColumnRenamed("node", "b").withColumnRenamed("rank", "rb"), ["graph_id", "b"])
-             .select("graph_id", F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")))
-    r1 = _side(relab, pairs, "g1")
-    r2 = _side(relab, pairs, "g2")
-    cr = r1.join(r2, keys + ["a", "b"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("cr"))
-
-    # degree sequences aligned by rank, zero padded (full outer join)
-    d1 = _side(ranked.select("graph_id", "rank", F.col("degree").alias("d1")), pairs, "g1")
-    d2 = _side(ranked.select("graph_id", "rank", F.col("degree").alias("d2")), pairs, "g2")
-    l1 = d1.join(d2, keys + ["rank"], "full_outer").groupBy(*keys).agg(
-        F.sum(F.abs(F.coalesce("d1", F.lit(0)) - F.coalesce("d2", F.lit(0)))).alias("l1"))
-
-    j = base.join(cv, keys, "left").join(ce, keys, "left").join(cr, keys, "left").join(l1, keys, "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    ident = (F.col("n1") + F.col("n2") - 2 * z("cv")) + (F.col("m1") + F.col("m2") - 2 * z("ce"))
-    by_rank = F.abs(F.col("n1") - F.col("n2")) + (F.col("m1") + F.col("m2") - 2 * z("cr"))
+    feats = _graph_features(norm).checkpoint(eager=True)  # read by both sides of every pair
+    s1 = pairs.join(feats.withColumnRenamed("graph_id", "g1").withColumnRenamed("val", "v1"), "g1")
+    s2 = pairs.join(feats.withColumnRenamed("graph_id", "g2").withColumnRenamed("val", "v2"), "g2")
+    j = s1.join(s2, keys + ["kind", "key"], "full_outer")
+    both = F.col("v1").isNotNull() & F.col("v2").isNotNull()
+    cnt = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    kind = F.col("kind")
+    agg = j.groupBy(*keys).agg(
+        cnt((kind == "v") & F.col("v1").isNotNull()).alias("n1"),
+        cnt((kind == "v") & F.col("v2").isNotNull()).alias("n2"),
+        cnt((kind == "e") & F.col("v1").isNotNull()).alias("m1"),
+        cnt((kind == "e") & F.col("v2").isNotNull()).alias("m2"),
+        cnt((kind == "v") & both).alias("cv"),
+        cnt((kind == "e") & both).alias("ce"),
+        cnt((kind == "r") & both).alias("cr"),
+        F.sum(F.when(kind == "d", F.abs(F.coalesce("v1", F.lit(0)) - F.coalesce("v2", F.lit(0))))
+              .otherwise(0)).alias("l1"))
+    ident = (F.col("n1") + F.col("n2") - 2 * F.col("cv")) + (F.col("m1") + F.col("m2") - 2 * F.col("ce"))
+    by_rank = F.abs(F.col("n1") - F.col("n2")) + (F.col("m1") + F.col("m2") - 2 * F.col("cr"))
     upper = F.least(ident, by_rank)
-    lower = F.abs(F.col("n1") - F.col("n2")) + F.ceil(z("l1") / 2)
-    return j.select(*keys, F.col("n1").cast("long").alias("n_nodes1"), F.col("n2").cast("long").alias("n_nodes2"),
-                    F.col("m1").cast("long").alias("n_edges1"), F.col("m2").cast("long").alias("n_edges2"),
-                    lower.cast("long").alias("ged_lower"), upper.cast("long").alias("ged_upper"),
-                    (lower == upper).alias("exact"))
+    lower = F.abs(F.col("n1") - F.col("n2")) + F.ceil(F.col("l1") / 2)
+    out = agg.select(*keys, F.col("n1").cast("long").alias("n_nodes1"), F.col("n2").cast("long").alias("n_nodes2"),
+                     F.col("m1").cast("long").alias("n_edges1"), F.col("m2").cast("long").alias("n_edges2"),
+                     lower.cast("long").alias("ged_lower"), upper.cast("long").alias("ged_upper"),
+                     (lower == upper).alias("exact"))
+    # pairs whose graphs are both unknown have no feature rows: they stay out, as with an inner join
+    return out.where((F.col("n_nodes1") > 0) & (F.col("n_nodes2") > 0))
 
 
 def resume_pairs(work: DataFrame, done_path: str, compute, keys=("g1", "g2")) -> DataFrame:
