@@ -39,8 +39,8 @@ def encode_text(df: DataFrame, text_col: str, out: str = "features", encoder=Non
 
     ``encoder=None`` uses hashed character trigrams (a Spark ML vector).
     Otherwise ``encoder`` is a ``make_predict_fn`` for ``predict_batch_udf``
-    returning ``array<float>`` of length ``dim``; rows whose batch fails get
-    null (the job does not stop).
+    returning ``array<float>`` of length ``dim``; rows of a batch that fails
+    get NaN vectors (the job does not stop, and no garbage values are kept).
     """
     if encoder is None:
         model = char_ngram_pipeline(text_col, out).fit(df.limit(0))
@@ -53,7 +53,7 @@ def encode_text(df: DataFrame, text_col: str, out: str = "features", encoder=Non
         def run(texts: np.ndarray):
             try:
                 return predict(texts)
-            except Exception:  # a failed batch yields nulls, not garbage rows
+            except Exception:  # a failed batch yields NaN rows, not garbage values
                 return np.full((len(texts), dim or 1), np.nan, dtype=np.float32)
         return run
 
