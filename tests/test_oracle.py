@@ -36,3 +36,13 @@ def test_matches_oracle(spark, duck, key):
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
+
+
+def test_round_table_matches_sql_types(duck):
+    from tessera.plans import load_all
+    from tessera.plans.oracle_types import ROUND_COLS
+    _, raw = load_all()
+    for key, sql in raw.items():
+        desc = duck.sql(f"DESCRIBE {sql}").fetchall()
+        floats = [r[0] for r in desc if r[1] in ("DOUBLE", "FLOAT", "REAL") or r[1].startswith("DECIMAL")]
+        assert floats == ROUND_COLS.get(key, []), key
