@@ -75,12 +75,13 @@ def q_encode_lang_labels(spark, d):
 
 @register("encode_sentiment", with_ctes("label_texts") + """
 SELECT doc_id, sentiment,
-       CAST(CASE sentiment WHEN 'positive' THEN 2 WHEN 'neutral' THEN 1 WHEN 'negative' THEN 0 END AS INTEGER)
+       CAST(CASE sentiment WHEN 'positive' THEN 2 WHEN 'neutral' THEN 1 WHEN 'negative' THEN 0 END AS VARCHAR)
          AS sentiment_idx
 FROM label_texts""")
 def q_encode_sentiment(spark, d):
+    # the index is shown as text so a null stays a null in both result frames
     lt = T.label_texts(spark, d)
-    return lt.select("doc_id", "sentiment", R.encode_sentiment(F.col("sentiment")).alias("sentiment_idx"))
+    return lt.select("doc_id", "sentiment", R.encode_sentiment(F.col("sentiment")).cast("string").alias("sentiment_idx"))
 
 
 @register("cast_text", """
