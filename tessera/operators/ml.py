@@ -209,3 +209,66 @@ def training_history(model) -> list[float]:
 
 __all__ = [name for name in dir() if not name.startswith("_") and name not in ("np", "Column", "Ty", "F")]
 _unused = (Column, VectorAssembler)
+
+
+# ---------------------------------------------------------------- subword pieces
+def longest_match_splitter(vocab, unk: str = "[UNK]", prefix: str = "##", max_chars: int = 100):
+    """Greedy longest-match-first splitter over a piece vocabulary (WordPiece style).
+
+    Returns a pandas UDF ``array<string>`` for a word column. The vocabulary is
+    a user-supplied, bounded set shipped with the function; a word with an
+    unmatchable rest (or longer than ``max_chars``) becomes ``[unk]``.
+    """
+    pieces = frozenset(vocab)
+    longest = max((len(p) for p in pieces), default=1)
+
+    def split_word(w: str):
+        if w is None:
+            return None
+        if len(w) > max_chars:
+            return [unk]
+        out, start = [], 0
+        while start < len(w):
+            end = min(len(w), start + longest + (len(prefix) if start else 0))
+            found = None
+            while end > start:
+                cand = w[start:end] if start == 0 else prefix + w[start:end]
+                if cand in pieces:
+                    found = cand
+                    break
+                end -= 1
+            if found is None:
+                return [unk]
+            out.append(found)
+            start = end
+        return out
+
+    @F.pandas_udf(Ty.ArrayType(Ty.StringType()))
+    def split(words):
+        import pandas as pd
+        return pd.Series([split_word(w) for w in words])
+
+    return split
+
+
+def subword_pieces(tokens: DataFrame, splitter, word: str = "word") -> DataFrame:
+    """Pieces per token with a Python splitter applied once per *distinct* word.
+
+    Distinct words are split in Arrow batches and joined back on the word, so
+    the Python work scales with the vocabulary of the corpus, not its length.
+    """
+    distinct = tokens.select(word).distinct()
+    table = distinct.select(word, splitter(F.col(word)).alias("_pieces"))
+    return tokens.join(table, word, "left")
+
+
+ENCODERS: dict = {}
+
+
+def register_encoder(name: str, make_predict_fn) -> None:
+    """Register a ``make_predict_fn`` (for ``predict_batch_udf``) under a name."""
+    ENCODERS[name] = make_predict_fn
+
+
+def encoder(name: str):
+    return ENCODERS[name]

@@ -25,12 +25,21 @@ from tessera.sources.sinks import load_model, save_model
 PIECE = 3  # fixed-width piece splitter used by the default subword_align
 
 
-def subword_align(tokens, word: str = "word", tag: str = "tag", width: int = PIECE):
-    """Word -> pieces of ``width`` characters; the first piece carries the tag and head=1,
-    the others '<pad>' and 0. One row per piece: (..., piece_no, piece, piece_tag, is_head)."""
-    n = F.greatest(F.ceil(F.char_length(word) / width), F.lit(1)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(word), i * width + 1, width))
-    t = tokens.select("*", F.posexplode(pieces).alias("piece_no", "piece"))
+def subword_align(tokens, word: str = "word", tag: str = "tag", width: int = PIECE, splitter=None):
+    """Word -> pieces; the first piece carries the tag and head=1, the others '<pad>' and 0.
+
+    One row per piece: (..., piece_no, piece, piece_tag, is_head). The default
+    splitter cuts ``width`` characters (pure SQL expressions); ``splitter`` is a
+    vocabulary splitter from :func:`tessera.operators.ml.longest_match_splitter`,
+    applied once per distinct word.
+    """
+    if splitter is None:
+        n = F.greatest(F.ceil(F.char_length(word) / width), F.lit(1)).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(word), i * width + 1, width))
+        t = tokens.select("*", F.posexplode(pieces).alias("piece_no", "piece"))
+    else:
+        t = ML.subword_pieces(tokens, splitter, word)
+        t = t.select(*tokens.columns, F.posexplode("_pieces").alias("piece_no", "piece"))
     return t.withColumns({"piece_tag": F.when(F.col("piece_no") == 0, F.col(tag)).otherwise(F.lit("<pad>")),
                           "is_head": (F.col("piece_no") == 0).cast("int")})
 
@@ -49,6 +58,27 @@ def q_subword_align(spark, d):
     return s.select("sent_id", "pos", F.col("piece_no").cast("int").alias("piece_no"), "piece", "piece_tag", "is_head")
 
 
+def piece_vocab(tokens, word: str = "word", size: int = 2000):
+    """A bounded piece vocabulary derived from the corpus: every character, plus the
+    ``size`` most frequent word-initial trigrams and continuation bigrams."""
+    w = F.col(word)
+    chars = tokens.select(F.explode(F.split(w, "")).alias("p")).where(F.col("p") != "")
+    heads = tokens.select(F.substring(w, 1, 3).alias("p")).where(F.char_length("p") == 3)
+    tails = tokens.select(F.concat(F.lit("##"), F.substring(w, 4, 2)).alias("p")).where(F.char_length("p") == 4)
+    cont = chars.select(F.concat(F.lit("##"), "p").alias("p"))
+    top = heads.unionByName(tails).groupBy("p").count().orderBy(F.desc("count"), "p").limit(size)
+    vocab = chars.unionByName(cont).distinct().unionByName(top.select("p")).distinct()
+    return [r.p for r in vocab.collect()]  # bounded: distinct characters + `size`
+
+
+@register("subword_align_vocab")
+def q_subword_align_vocab(spark, d):
+    toks = T.conv_tokens(spark, d)
+    split = ML.longest_match_splitter(piece_vocab(toks))
+    s = subword_align(toks, "word", "label", splitter=split)
+    return s.select("sent_id", "pos", F.col("piece_no").cast("int").alias("piece_no"), "piece", "piece_tag", "is_head")
+
+
 @register("head_piece_filter", with_ctes("conv_tokens") + "SELECT sent_id, pos, word, label AS tag FROM conv_tokens")
 def q_head_piece_filter(spark, d):
     s = subword_align(T.conv_tokens(spark, d), "word", "label")

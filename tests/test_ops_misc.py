@@ -110,3 +110,16 @@ def test_predict_similarity_identity_and_disjoint(spark):
 
 
 _ = PySparkException
+
+
+def test_longest_match_splitter_rebuilds_words(spark):
+    from tessera.plans.catalog_ml import subword_align
+    vocab = ["un", "##aff", "##able", "##a", "##b", "##l", "##e", "hola", "h", "##o", "##la", "x"]
+    split = ML.longest_match_splitter(vocab)
+    toks = spark.createDataFrame([(1, 0, "unaffable", "ADJ"), (1, 1, "hola", "INTJ"), (1, 2, "qq", "X"),
+                                  (2, 0, "hola", "INTJ")], "sent_id long, pos long, word string, tag string")
+    s = subword_align(toks, splitter=split).orderBy("sent_id", "pos", "piece_no").collect()
+    first = [(r.piece, r.piece_tag, r.is_head) for r in s if r.sent_id == 1 and r.pos == 0]
+    assert first == [("un", "ADJ", 1), ("##aff", "<pad>", 0), ("##able", "<pad>", 0)]
+    assert [r.piece for r in s if r.pos == 2] == ["[UNK]"]
+    assert [r.piece for r in s if r.sent_id == 2] == ["hola"]
