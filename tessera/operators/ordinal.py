@@ -114,17 +114,18 @@ def prefix_sum(df: DataFrame, partition_cols, order_cols, values: Mapping[str, C
 
 
 def carry_forward(df: DataFrame, partition_cols, order_cols: Sequence[str], value: Column,
-                  name: str, bucket: Column | None = None) -> DataFrame:
-    """``name`` = last non-null ``value`` at or before each row, per key.
+                  name: str, bucket: Column | None = None, inclusive: bool = True) -> DataFrame:
+    """``name`` = last non-null ``value`` at (``inclusive``) or before each row, per key.
 
     Same bucket scheme as :func:`prefix_sum`: last value inside the bucket,
     else the last non-null value of the earlier buckets.
     """
     keys = _names(partition_cols)
     order = _names(order_cols)
+    end = Window.currentRow if inclusive else -1
     frame = df.withColumn("_cv", value)
     if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
         return frame.withColumn(name, F.last("_cv", ignorenulls=True).over(w)).drop("_cv")
     frame = frame.withColumn("_bkt", bucket)
     per_bucket = (frame.where(F.col("_cv").isNotNull()).groupBy(*keys, "_bkt")
@@ -135,7 +136,7 @@ def carry_forward(df: DataFrame, partition_cols, order_cols: Sequence[str], valu
     seq = (frame.select(*keys, "_bkt").distinct()
            .join(per_bucket, keys + ["_bkt"], "left")
            .select(*keys, "_bkt", F.last("_blast", ignorenulls=True).over(wb).alias("_prev")))
-    w = Window.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     local = frame.withColumn("_in", F.last("_cv", ignorenulls=True).over(w))
     out = (local.join(seq, keys + ["_bkt"], "inner")
            .withColumn(name, F.coalesce(F.col("_in"), F.col("_prev"))))
