@@ -86,18 +86,29 @@ def char_ngrams(df: DataFrame, key: str, text_col: str, n: int = 3) -> DataFrame
 def predict_similarity(pairs: DataFrame, key: str, left: str, right: str, n: int = 3) -> DataFrame:
     """Cosine of character n-gram count vectors for each aligned text pair.
 
-    Dot products by an equi-join on (pair, gram), norms by aggregation: the
-    work stays in joins and aggregates, proportional to the text lengths.
+    Both sides are exploded in one pass (each gram tagged with its side, plus
+    one empty marker row so every pair survives); ``groupBy(pair, gram)``
+    gives both counts, and a second aggregation per pair gives the dot
+    product and the two norms. No join, and the work is proportional to the
+    text lengths.
     """
-    a = char_ngrams(pairs, key, left, n).withColumnRenamed("cnt", "ca")
-    b = char_ngrams(pairs, key, right, n).withColumnRenamed("cnt", "cb")
-    dot = a.join(b, [key, "gram"]).groupBy(key).agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"))
-    na = a.groupBy(key).agg(F.sqrt(F.sum(F.col("ca") * F.col("ca"))).alias("na"))
-    nb = b.groupBy(key).agg(F.sqrt(F.sum(F.col("cb") * F.col("cb"))).alias("nb"))
-    base = pairs.select(key)
-    j = base.join(na, key, "left").join(nb, key, "left").join(dot, key, "left")
-    return j.select(key, F.try_divide(F.coalesce(F.col("dot"), F.lit(0)).cast("double"),
-                                      F.col("na") * F.col("nb")).alias("similarity"))
+    def grams(t):
+        t = F.col(t)
+        return F.when(F.char_length(t) >= n, F.transform(F.sequence(F.lit(1), F.char_length(t) - (n - 1)),
+                                                         lambda i: F.substring(t, i, n))) \
+            .otherwise(F.array().cast("array<string>"))
+
+    tag = lambda side: lambda g: F.struct(g.alias("gram"), F.lit(int(side == 0)).alias("a"),
+                                          F.lit(int(side == 1)).alias("b"))
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("gram"), F.lit(0).alias("a"), F.lit(0).alias("b")))
+    rows = pairs.select(key, F.explode(F.concat(marker, F.transform(grams(left), tag(0)),
+                                                F.transform(grams(right), tag(1)))).alias("x"))
+    per = rows.groupBy(key, F.col("x.gram").alias("gram")).agg(F.sum("x.a").cast("long").alias("ca"),
+                                                                F.sum("x.b").cast("long").alias("cb"))
+    out = per.groupBy(key).agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"),
+                               F.sqrt(F.sum(F.col("ca") * F.col("ca"))).alias("na"),
+                               F.sqrt(F.sum(F.col("cb") * F.col("cb"))).alias("nb"))
+    return out.select(key, F.try_divide(F.col("dot").cast("double"), F.col("na") * F.col("nb")).alias("similarity"))
 
 
 # ---------------------------------------------------------------- trainers

@@ -94,7 +94,7 @@ FROM (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS r, array_to_st
 JOIN (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS r, array_to_string(words, ' ') AS t
       FROM conv_turns WHERE turn = 1) b ON a.r = b.r""")
 def q_scan_parallel(spark, d):
-    t = T.conv_turns(spark, d).select("conv_id", "turn", F.array_join("words", " ").alias("text"))
+    t = T.conv_turn_words(spark, d).select("conv_id", "turn", F.array_join("words", " ").alias("text"))
     paths = {}
     for turn, lang in ((0, "cs"), (1, "en")):
         p = _tmp(spark, f"parallel-{lang}")

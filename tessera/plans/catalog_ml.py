@@ -104,7 +104,7 @@ LEFT JOIN (SELECT a.conv_id, sum(a.c * b.c) AS dot FROM {_grams_sql('p', 't0')}
            JOIN {_grams_sql('p', 't1')} b ON a.conv_id = b.conv_id AND a.gram = b.gram GROUP BY a.conv_id) dd
   ON dd.conv_id = p.conv_id""")
 def q_predict_similarity(spark, d):
-    t = T.conv_turns(spark, d).select("conv_id", "turn", F.array_join("words", " ").alias("text"))
+    t = T.conv_turn_words(spark, d).select("conv_id", "turn", F.array_join("words", " ").alias("text"))
     pairs = (t.where(F.col("turn") == 0).select("conv_id", F.col("text").alias("t0"))
              .join(t.where(F.col("turn") == 1).select("conv_id", F.col("text").alias("t1")), "conv_id"))
     return ML.predict_similarity(pairs, "conv_id", "t0", "t1")

@@ -163,7 +163,7 @@ SELECT a.conv_id AS line_no, a.t AS cs, b.t AS en, c.t AS es
 FROM {_turn_text_sql(0)} a JOIN {_turn_text_sql(1)} b ON a.conv_id = b.conv_id
 JOIN {_turn_text_sql(2)} c ON a.conv_id = c.conv_id""")
 def q_parallel_align(spark, d):
-    t = T.conv_turns(spark, d).select("conv_id", "turn", F.array_join("words", " ").alias("text"))
+    t = T.conv_turn_words(spark, d).select("conv_id", "turn", F.array_join("words", " ").alias("text"))
     frames = {lang: t.where(F.col("turn") == i).select(F.col("conv_id").alias("line_no"), "text")
               for i, lang in enumerate(["cs", "en", "es"])}
     return A.parallel_align(frames)
@@ -226,7 +226,7 @@ SELECT conv_id, turn, array_to_string(list_concat(list_concat(['[CLS]'], words),
        array_to_string(list_concat(list_concat(['<pad>'], tags), ['<pad>']), '|') AS tags
 FROM w""")
 def q_wrap_sentinels(spark, d):
-    t = T.conv_turns(spark, d).select("conv_id", "turn", "words",
+    t = T.conv_turn_words(spark, d).select("conv_id", "turn", "words",
                                       F.transform("words", T.tag_rule).alias("tags"))
     w = S.wrap_sentinels(t)
     return w.select("conv_id", "turn", F.array_join("words", "|").alias("words"), F.array_join("tags", "|").alias("tags"))
@@ -235,7 +235,7 @@ def q_wrap_sentinels(spark, d):
 @register("trim_sentinels", with_ctes("conv_turns") + """
 SELECT conv_id, turn, array_to_string(words, '|') AS words FROM conv_turns""")
 def q_trim_sentinels(spark, d):
-    t = T.conv_turns(spark, d).select("conv_id", "turn", "words",
+    t = T.conv_turn_words(spark, d).select("conv_id", "turn", "words",
                                       F.transform("words", T.tag_rule).alias("tags"))
     w = S.trim_sentinels(S.wrap_sentinels(t), "words", "tags")
     return w.select("conv_id", "turn", F.array_join("words", "|").alias("words"))
@@ -254,7 +254,7 @@ SELECT conv_id, turn, CAST(batch_id AS BIGINT) AS batch_id, CAST(len(ids) AS INT
          AS mask
 FROM m""")
 def q_pad_batch(spark, d):
-    t = T.conv_turns(spark, d).select("conv_id", "turn",
+    t = T.conv_turn_words(spark, d).select("conv_id", "turn",
                                       F.transform("words", lambda x: F.char_length(x)).alias("ids"))
     t = t.withColumn("tag_ids", F.col("ids"))
     b = S.assign_batches(t, ["conv_id", "turn"], 4)
@@ -271,7 +271,7 @@ SELECT conv_id, turn,
          AS attention_mask
 FROM c""")
 def q_pad_truncate(spark, d):
-    t = T.conv_turns(spark, d).select("conv_id", "turn",
+    t = T.conv_turn_words(spark, d).select("conv_id", "turn",
                                       F.transform("words", lambda x: F.char_length(x)).alias("ids"))
     p = S.pad_truncate(t, "ids", 16, 0)
     return p.select("conv_id", "turn", F.array_join("ids", " ").alias("ids"),
