@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import license_scan, quality, toxicity
+from tessera.llm import decontaminate, fingerprint, license_scan, line_dedup, packing, quality, toxicity
 from tessera.llm.common import crc_bucket, table
 
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -23,6 +30,11 @@ def _query(name: str, sql: str | None = None):
     return deco
 
 
+@_query("op1_decontamination", decontaminate.ORACLE_SQL)
+def op1(spark, sf):
+    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @_query("op3_license_scan")
 def op3(spark, sf):
     return license_scan.scan_licenses(table(spark, sf, "documents")).drop("spans")
@@ -36,6 +48,16 @@ def op4(spark, sf):
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@_query("op5_line_dedup", line_dedup.ORACLE_SQL)
+def op5(spark, sf):
+    return line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@_query("op6_packing")
+def op6(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), tokenizer_path()).drop("source")
+
+
 @_query("op7_quality")
 def op7(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
@@ -43,3 +65,8 @@ def op7(spark, sf):
     weights = quality.train_quality(docs, labels.filter(~held))
     out = quality.score_quality(docs, weights)
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@_query("op8_fingerprints")
+def op8(spark, sf):
+    return fingerprint.fingerprint_with_next(table(spark, sf, "documents"))
