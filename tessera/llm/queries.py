@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprint, license_scan, line_dedup, packing, quality, toxicity
+from tessera.llm import decontaminate, fingerprint, jaccard_join, license_scan, line_dedup, packing, quality, toxicity
 from tessera.llm.common import crc_bucket, table
 
 
@@ -70,3 +70,8 @@ def op7(spark, sf):
 @_query("op8_fingerprints")
 def op8(spark, sf):
     return fingerprint.fingerprint_with_next(table(spark, sf, "documents"))
+
+
+@_query("op10_jaccard_join", jaccard_join.ORACLE_SQL)
+def op10(spark, sf):
+    return jaccard_join.similarity_classes(table(spark, sf, "documents"))
