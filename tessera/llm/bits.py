@@ -72,72 +72,76 @@ class WaveletTree:
 
 
 class EliasFano:
-    """A non-decreasing sequence: low bits packed, high parts as unary gaps."""
+    """A non-decreasing sequence: low bits packed, high parts as unary gaps, with a bucket directory for searches."""
 
     def __init__(self, values: np.ndarray):
         v = np.asarray(values, np.int64)
         self.n = len(v)
-        top = int(v[-1]) if self.n else 0
-        self.low = max(0, (top // max(self.n, 1)).bit_length() - 1) if self.n else 0
+        self.low = max(0, (int(v[-1]) // self.n).bit_length() - 1) if self.n else 0
         high = v >> self.low
-        unary = np.zeros(int(high[-1]) + self.n + 1 if self.n else 1, bool)
+        self.buckets = int(high[-1]) + 1 if self.n else 0
+        unary = np.zeros(self.buckets + self.n, bool)
         unary[high + np.arange(self.n)] = True
         self.unary = BitVector(unary)
-        bits = ((v[:, None] >> np.arange(self.low)) & 1).astype(bool).ravel() if self.low and self.n else np.zeros(1, bool)
-        self.lows = np.concatenate([BitVector(bits).words, np.zeros(1, np.uint64)])
+        self.lows = self._packed((v & ((1 << self.low) - 1)).astype(np.uint64))
+        self._starts = None
+
+    def _packed(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n * self.low // 64 + 2, np.uint64)
+        if self.low and self.n:
+            at = np.arange(self.n, dtype=np.int64) * self.low
+            w, s = at >> 6, (at & 63).astype(np.uint64)
+            for word, part in ((w, x << s), (w + 1, (x >> (_63 - s)) >> _ONE)):     # bits do not overlap, so sums are unions
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                out[word[first]] += np.add.reduceat(part, first)
+        return out
 
     @property
     def nbytes(self) -> int:
-        return self.lows.nbytes + self.unary.words.nbytes + self.unary.before.nbytes
+        """Bytes of the sequence itself (without the search directory)."""
+        return self.lows.nbytes + self.unary.words.nbytes
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        if not self.low:
-            return np.zeros(len(i), np.int64)
-        at = np.asarray(i, np.int64) * self.low
+        at = i * self.low
         w, s = at >> 6, (at & 63).astype(np.uint64)
         # a value may run over into the next word; shifting by 64 is undefined, so shift twice
         v = (self.lows[w] >> s) | ((self.lows[w + 1] << (_63 - s)) << _ONE)
         return (v & np.uint64((1 << self.low) - 1)).astype(np.int64)
 
-    def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
-        """Position of the k-th (from 0) one or zero of the unary part."""
-        bv = self.unary
-        before = bv.before if ones else np.arange(len(bv.before), dtype=np.int64) * 64 - bv.before
-        w = np.searchsorted(before, k, side="right") - 1
-        word = bv.words[w] if ones else ~bv.words[w]
-        left = (k - before[w]).astype(np.int64)
-        at = np.zeros(len(k), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            mask = np.uint64((1 << width) - 1)
-            n = np.bitwise_count((word >> at.astype(np.uint64)) & mask).astype(np.int64)
-            go = left >= n
-            left = np.where(go, left - n, left)
-            at = np.where(go, at + width, at)
-        return w * 64 + at
+    @property
+    def starts(self) -> np.ndarray:
+        """Directory: index of the first value of each high part (read off the zeros of the unary part)."""
+        if self._starts is None:
+            bits = np.unpackbits(self.unary.words.view(np.uint8), bitorder="little", count=self.unary.n)
+            zeros = np.flatnonzero(bits == 0)
+            self._starts = np.concatenate([[0], zeros - np.arange(len(zeros))]).astype(np.int32 if self.n < 1 << 31 else np.int64)
+        return self._starts
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
         if not len(i):
             return i
-        return ((self._select(i, True) - i) << self.low) | self._low(i)
+        high = np.searchsorted(self.starts, i, side="right") - 1
+        return (high << self.low) | self._low(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first value >= x (n where there is none)."""
+    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first value >= x (n where there is none), and whether it equals x."""
         x = np.asarray(x, np.int64)
         if not self.n or not len(x):
-            return np.zeros(len(x), np.int64) if not len(x) else np.full(len(x), self.n, np.int64)
-        last_high = self.unary.n - 1 - self.n
-        h = np.minimum(x >> self.low, last_high + 1)
-        # values of high part h stand between the (h-1)-th and the h-th zero
-        lo = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - np.maximum(h - 1, 0), 0)
-        hi = np.where(h <= last_high, self._select(np.minimum(h, last_high), False) - np.minimum(h, last_high), self.n)
-        lo = np.where(h > last_high, self.n, lo)
-        low = x & ((1 << self.low) - 1)
-        while True:                                   # binary search within the bucket
-            open_ = lo < hi
-            if not open_.any():
-                return lo
-            mid = (lo + hi) >> 1
-            less = np.zeros(len(x), bool)
-            less[open_] = self._low(mid[open_]) < low[open_]
-            lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+            return np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
+        h = x >> self.low
+        inside = h < self.buckets
+        h = np.minimum(h, self.buckets - 1)
+        lo = np.where(inside, self.starts[h], self.n).astype(np.int64)
+        hi = np.where(inside, self.starts[h + 1], self.n).astype(np.int64)
+        end, low = hi.copy(), x & ((1 << self.low) - 1)
+        todo = np.flatnonzero(lo < hi)
+        while len(todo):                              # binary search within the bucket
+            mid = (lo[todo] + hi[todo]) >> 1
+            less = self._low(mid) < low[todo]
+            lo[todo] = np.where(less, mid + 1, lo[todo])
+            hi[todo] = np.where(less, hi[todo], mid)
+            todo = todo[lo[todo] < hi[todo]]
+        equal = lo < end
+        equal[equal] = self._low(lo[equal]) == low[equal]
+        return lo, equal

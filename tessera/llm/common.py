@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -58,6 +59,12 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM drop unreachable shuffles now, so that their files go before more are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_bucket(doc_id, n: int):
     """crc32 of doc_id as text, modulo n (null doc_id: the empty string)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprint, jaccard_join, license_scan, line_dedup, packing, quality, toxicity
+from tessera.llm import decontaminate, fingerprint, jaccard_join, license_scan, line_dedup, lm_trie, packing, quality, toxicity
 from tessera.llm.common import crc_bucket, table
 
 
@@ -72,6 +72,13 @@ def op8(spark, sf):
     return fingerprint.fingerprint_with_next(table(spark, sf, "documents"))
 
 
+@_query("op9_lm_scoring")
+def op9(spark, sf):
+    held = crc_bucket(F.col("doc_id"), 5) == 1
+    out = lm_trie.score_texts(table(spark, sf, "documents").withColumn("train", ~held))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_query("op10_jaccard_join", jaccard_join.ORACLE_SQL)
 def op10(spark, sf):
     return jaccard_join.similarity_classes(table(spark, sf, "documents"))
