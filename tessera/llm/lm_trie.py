@@ -37,7 +37,7 @@ from tessera.llm.common import mix64, pinned, raw_texts, release, space_words
 from tessera.llm.jaccard_join import Hasher, planes, unplanes
 
 ORDER = 3
-MU = (0.0, 20.0, 2.0)        # prior weight by order (the first is not used)
+MU = (0.0, 3000.0, 20.0)      # prior weight by order (the first is not used)
 CHUNK_TOKENS = 1_000_000
 STEP = 1 / 256               # log10 units of a code
 END_HASH = np.uint64(0x1D8E4E27C47D124F)
