@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprint, jaccard_join, license_scan, line_dedup, lm_trie, packing, quality, toxicity
+from tessera.llm import decontaminate, fingerprint, jaccard_join, license_scan, line_dedup, lm_trie, packing, pii, quality, toxicity
 from tessera.llm.common import crc_bucket, table
 
 
@@ -35,6 +35,14 @@ def op1(spark, sf):
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+PII_KEY = b"key of the registered query"     # a user passes a secret of their own
+
+
+@_query("op2_pii")
+def op2(spark, sf):
+    return pii.pseudonymise(table(spark, sf, "documents").select("doc_id", "text"), PII_KEY)
+
+
 @_query("op3_license_scan")
 def op3(spark, sf):
     return license_scan.scan_licenses(table(spark, sf, "documents")).drop("spans")
