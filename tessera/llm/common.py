@@ -59,6 +59,18 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def labelled_sample(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """``doc_id, y, h`` of the ``max_rows`` labelled documents with the smallest hash of doc_id (all where there are fewer).
+
+    At most ``max_rows`` ids and labels pass the driver, so the result may be broadcast: texts are then
+    joined without being shuffled. Null ids and labels are left out; repeated ids count once.
+    """
+    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
+    lab = lab.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
+    rows = lab.orderBy("h").limit(max_rows).collect()
+    return labels.sparkSession.createDataFrame([(r.doc_id, r.y, r.h) for r in rows], "doc_id long, y int, h long").hint("broadcast")
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver's JVM drop unreachable shuffles now, so that their files go before more are written."""
     gc.collect()

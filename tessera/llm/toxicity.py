@@ -15,8 +15,8 @@ first use. A clause's score is the weight of its accepted path; clause scores of
 summed, and a one-dimensional logistic curve maps the sum to a chance.
 
 Insult terms are learnt: whole words and word beginnings whose document frequency differs between
-label 1 and 0 among training rows, weighted by the log odds. Corpus counts are taken by Spark over
-all training rows; only the selected terms (at most ``MAX_TERMS``) reach the driver.
+label 1 and 0 among training rows, weighted by the log odds. Document counts are taken by Spark over
+a bounded sample of labelled rows; only the selected terms (at most ``MAX_TERMS``) reach the driver.
 """
 
 from __future__ import annotations
@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import narrow, pinned, raw_texts
+from tessera.llm.common import labelled_sample, narrow, pinned, raw_texts
 
 REACH, NEGATED, REPORTED, TARGETED = 3, 0.6, 0.8, 1.3
 MAX_TERMS = 20_000
+TRAIN_ROWS = 40_000        # bound of the training sample: labelled rows of smallest hash
 STEM_MIN, STEM_MAX = 4, 6
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
@@ -140,18 +141,15 @@ def _document_counts(docs: DataFrame, only: frozenset | None) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def learn_terms(docs: DataFrame, labels: DataFrame, label: str = "toxic", min_docs: int = 5, min_share: float = 0.002,
-                min_odds: float = 2.5) -> dict[bytes, float]:
-    """Insult terms from all labelled rows given: term -> log odds.
+def learn_terms(train: DataFrame, min_docs: int = 5, min_share: float = 0.002, min_odds: float = 2.5) -> dict[bytes, float]:
+    """Insult terms from labelled rows (text, y): term -> log odds.
 
     A term needs ``min_docs`` documents and ``min_share`` of the documents of label 1, and log odds
     of at least ``min_odds`` (with 0.5 added to each count). The share bounds the candidates by
     (mean terms of a document / min_share) whatever the corpus size, so they may be broadcast to
     the count over label 0. Of more than ``MAX_TERMS`` terms the strongest are kept (the model's
-    size, ties by term). Null labels are left out; without rows of either label there are no terms.
+    size, ties by term). Without rows of either label there are no terms.
     """
-    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().dropDuplicates(["doc_id"])
-    train = narrow(docs).join(lab, "doc_id").select("y", "text")
     c = pinned(_document_counts(train.filter("y = 1"), None).filter(F.col("n") >= (1 if min_docs <= 1 else 2)), "toxic-terms")
     pos_docs = (c.filter("term = ''").agg(F.max("n")).first()[0] or 0)
     if not pos_docs:
@@ -180,9 +178,8 @@ def clause_scores(docs: DataFrame, terms: dict[bytes, float]) -> DataFrame:
     return narrow(docs).mapInArrow(run, "doc_id long, raw double")
 
 
-def fit_curve(scored: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[float, float]:
-    """Slope and offset of the logistic curve from a histogram of all labelled raw scores (at most 81 bins)."""
-    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().dropDuplicates(["doc_id"])
+def fit_curve(scored: DataFrame, lab: DataFrame) -> tuple[float, float]:
+    """Slope and offset of the logistic curve from a histogram of raw scores by label (at most 81 bins)."""
     h = scored.join(lab, "doc_id").groupBy(F.least(F.floor(F.col("raw") * 4), F.lit(80)).alias("bin"), "y").count().collect()
     if len({r.y for r in h}) < 2:
         return 1.0, -2.0
@@ -198,14 +195,16 @@ def fit_curve(scored: DataFrame, labels: DataFrame, label: str = "toxic") -> tup
     return a, b
 
 
-def score_toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id, raw, score`` of every row of ``docs``; labels are learnt from ``train_docs`` only.
 
+    The grammar's terms and curve are fitted on the ``max_rows`` labelled documents of smallest hash.
     Null and empty texts have the curve's value at 0; repeated rows score alike; empty tables give
     an empty result. Only doc_id and text are read, so further columns cannot clash.
     """
-    terms = learn_terms(train_docs, labels)
-    lab_ids = labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    a, b = fit_curve(clause_scores(narrow(train_docs).join(lab_ids, "doc_id", "left_semi"), terms), labels)
+    lab = labelled_sample(labels, label, max_rows)
+    train = narrow(train_docs).join(lab, "doc_id")
+    terms = learn_terms(train.select("y", "text"))
+    a, b = fit_curve(clause_scores(train, terms), lab)
     z = F.col("raw") * a + b
     return clause_scores(docs, terms).withColumn("score", 1 / (1 + F.exp(-z)))
