@@ -13,7 +13,7 @@ from tessera.llm import bits, license_scan, lm_trie, packing, pii, quality, toxi
 from tessera.llm.queries import tokenizer_path
 from tests.llm.helpers import SCHEMA, corpus, frame, text, vocabulary
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def rows_of(df, *cols):
@@ -51,7 +51,7 @@ def auc(y, s):
     return (r[y == 1].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (len(y) - y.sum()))
 
 
-@pytest.mark.parametrize("name,label,least", [("op4_toxicity", "toxic", 0.85), ("op7_quality", "quality", 0.9)])
+@pytest.mark.parametrize("name,label,least", [("op4_toxicity", "toxic", 0.9), ("op7_quality", "quality", 0.95)])
 def test_held_out(spark, name, label, least):
     from tessera.llm.queries import QUERIES
     df = QUERIES[name](spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
