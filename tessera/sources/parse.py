@@ -123,7 +123,7 @@ def parse_lid(blocks: DataFrame, compat: bool = False) -> DataFrame:
     t = t.select("file", "block_no", "line_no", "sent_no", F.col("_f")[0].alias("token"),
                  F.col("_f")[1].alias("label"))
     t = prefix_sum(t, ["file", "sent_no"], ["block_no", "line_no"],
-                   {"pos": F.lit(1), "span_start": F.char_length("token") + 1})
+                   {"pos": F.lit(1), "span_start": F.char_length("token") + 1}, bucket=F.floor(F.col("block_no") / 64))
     lab = F.coalesce(F.try_element_at(map_literal(LANG_LABEL_INDEX), F.col("label")),
                      F.lit(LANG_LABEL_UNKNOWN))
     return t.select("file", "sent_no", F.col("pos").cast("long").alias("pos"), "token", "label",
@@ -156,21 +156,24 @@ def parse_labelled_conll(blocks: DataFrame, dangling: str = "drop") -> DataFrame
     return b.select("file", "block_no", "text", "label")
 
 
-def parse_meta_conll(blocks: DataFrame, compat: bool = False) -> DataFrame:
+def parse_meta_conll(blocks: DataFrame, compat: bool = False, dangling: str = "drop") -> DataFrame:
     """``meta`` header resets the sentence; first whitespace field of other lines is the word.
 
-    One row per block: ``(file, block_no, text)``. With ``compat=False`` only a
-    line whose first field is exactly ``meta`` is a header (the source format).
+    One row per closed block: ``(file, block_no, text)``; an unfinished last block
+    (``closed = false``) is dropped unless ``dangling='keep'``. With ``compat=False``
+    only a line whose first field is exactly ``meta`` is a header (the source
+    format), else any line that begins with it.
     """
     lines = F.filter(block_lines(F.col("block")), lambda l: F.trim(l) != "")
     first = lambda l: F.split(F.trim(l), r"(?U)\s+")[0]
-    # words after the last meta line of the block
-    idx = F.array_position(F.reverse(F.transform(lines, lambda l: first(l) == "meta")), True)
+    is_header = (lambda l: l.startswith("meta")) if compat else (lambda l: first(l) == "meta")
+    # words after the last header line of the block
+    idx = F.array_position(F.reverse(F.transform(lines, is_header)), True)
     body = F.when(idx > 0, F.slice(lines, F.size(lines) - idx + 2, F.greatest(idx - 1, F.lit(0)))) \
         .otherwise(lines)
-    if compat:
-        body = lines
-    words = F.transform(F.filter(body, lambda l: first(l) != "meta"), first)
+    words = F.transform(body, first)
+    if dangling == "drop" and "closed" in blocks.columns:
+        blocks = blocks.where("closed")
     return blocks.select("file", "block_no", F.array_join(words, " ").alias("text"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.sources.parse import CONLLU_FIELDS  # noqa: F401  (re-exported for writers)
+from tessera.sources.blocks import escape_lines
 
 
 def _ordered(df: DataFrame, keys) -> DataFrame:
@@ -28,9 +28,16 @@ def write_conll2(tokens: DataFrame, path: str, keys=("sent_id",), pos: str = "po
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", order=(), mode: str = "overwrite") -> None:
-    """CSV/TSV with header; quoting keeps tabs and newlines inside fields safe."""
-    out = _ordered(df, order) if order else df
-    out.write.mode(mode).option("header", True).option("sep", sep).csv(path)
+    """CSV/TSV with header, one record per line: separators and quotes inside fields are quoted, line
+    ends written as two signs (read back with ``scan_delimited(..., escaped=True)``)."""
+    out = escape_lines(_ordered(df, order) if order else df)
+    out.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def write_csv(df: DataFrame, path: str, order=(), mode: str = "overwrite") -> None:
+    """:func:`write_delimited` with commas."""
+    write_delimited(df, path, ",", order, mode)
 
 
 def write_sentence_json(df: DataFrame, path: str, order=(), mode: str = "overwrite") -> None:
@@ -53,11 +60,11 @@ def write_partitioned_split(df: DataFrame, root: str, cols=("lang", "split"), mo
     df.write.mode(mode).partitionBy(*cols).parquet(root)
 
 
-def write_pair_records(ged: DataFrame, norm: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON record per graph pair: both edge lists, both node lists and the distance."""
-    per_graph = norm.groupBy("graph_id").agg(
-        F.array_sort(F.collect_list(F.struct("a", "b"))).alias("edges"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))).alias("nodes"))
+def write_pair_records(ged: DataFrame, edges: DataFrame, path: str, order: str = "pos", mode: str = "overwrite") -> None:
+    """One JSON record per graph pair: both edge lists in ``order``, both node lists as first seen there, the distance."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, "u", "v"))), lambda e: F.struct(e["u"].alias("u"), e["v"].alias("v")))
+    per_graph = edges.groupBy("graph_id").agg(listed.alias("edges")).withColumn(
+        "nodes", F.array_distinct(F.flatten(F.transform("edges", lambda e: F.array(e["u"], e["v"])))))
     g1 = per_graph.select(F.col("graph_id").alias("g1"), F.col("edges").alias("edges1"), F.col("nodes").alias("nodes1"))
     g2 = per_graph.select(F.col("graph_id").alias("g2"), F.col("edges").alias("edges2"), F.col("nodes").alias("nodes2"))
     ged.join(g1, "g1").join(g2, "g2").write.mode(mode).json(path)

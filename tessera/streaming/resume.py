@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.operators.ordinal import global_ordinal
+from tessera.sources.blocks import blocks_of
 
 
 def resume_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
@@ -31,10 +31,7 @@ def resume_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         raw = batch.withColumn("_mid", F.monotonically_increasing_id())
-        ordered = global_ordinal(raw, ["_start", "_mid"], ["file"], "block_no")
-        block = F.regexp_replace(F.col("value"), "\r\n", "\n")
-        blocks = ordered.select("file", "block_no", block.alias("block"), (~block.endswith("\n")).alias("closed"))
-        parse(blocks).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        parse(blocks_of(raw, keep_empty=True)).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
     q = (stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
