@@ -32,8 +32,8 @@ def lookup_pairs(ids: DataFrame, left: DataFrame, right: DataFrame, key: str) ->
 
 
 def attach_by_ordinal(left: DataFrame, right: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """Attach rows of two sequences that share a position (equi-join on the ordinal)."""
-    return left.join(right, ordinal, "inner")
+    """Attach rows of two sequences that share a position; fails where one sequence is longer."""
+    return zip_join(left, right, [ordinal])
 
 
 def cosine_paired(pairs: DataFrame, v1: str = "v1", v2: str = "v2", key: str = "pair_id") -> DataFrame:
@@ -41,10 +41,18 @@ def cosine_paired(pairs: DataFrame, v1: str = "v1", v2: str = "v2", key: str = "
     return pairs.select(key, cosine(F.col(v1), F.col(v2)).alias("cosine"))
 
 
-def parallel_align(frames: dict[str, DataFrame], key: str = "line_no", text: str = "text") -> DataFrame:
-    """Line-aligned corpora -> one row per line with one column per language."""
+def parallel_align(frames: dict[str, DataFrame], key="line_no", text: str = "text", unmatched: str = "error") -> DataFrame:
+    """Line-aligned corpora -> one row per line with one column per language.
+
+    A line that some corpus lacks fails the job, or with ``unmatched='null'`` stays with null in
+    that column. Keys must not be null.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
     out = None
     for lang, df in frames.items():
-        f = df.select(key, F.col(text).alias(lang))
-        out = f if out is None else out.join(f, key, "inner")
+        f = df.select(*keys, F.col(text).alias(lang))
+        if out is None:
+            out = f
+        else:
+            out = zip_join(out, f, keys) if unmatched == "error" else out.join(f, keys, "full_outer")
     return out

@@ -13,10 +13,7 @@ bounds computed with joins and windows:
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window, functions as F
-
-from tessera.session import ensure_checkpoint_dir
+from pyspark.sql import DataFrame, functions as F
 
 
 def graph_normalise(edges: DataFrame, gid: str = "graph_id", u: str = "u", v: str = "v") -> DataFrame:
@@ -40,79 +37,52 @@ def graph_profile(norm: DataFrame) -> DataFrame:
     return nodes.join(edges, "graph_id")
 
 
-def _ranked_nodes(norm: DataFrame) -> DataFrame:
-    deg = graph_degrees(norm)
-    w = Window.partitionBy("graph_id").orderBy(F.desc("degree"), F.asc("node"))
-    return deg.withColumn("rank", F.row_number().over(w))
-
-
-def _side(df: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    return pairs.join(df.withColumnRenamed("graph_id", side), side)
-
-
-def _graph_features(norm: DataFrame) -> DataFrame:
-    """Long per-graph feature table ``(graph_id, kind, key, val)`` used by the bounds.
+def graph_rows(norm: DataFrame) -> DataFrame:
+    """One row per graph: nodes, edges, degrees (descending), and the edges relabelled by node rank.
 
-    kind 'v': node (val 1); 'e': edge (val 1); 'r': edge relabelled by node
-    rank (degree desc, node asc); 'd': degree (val) at rank (key).
+    A node's rank is its place by (degree descending, node). One aggregation by graph; the rest are
+    expressions on its arrays, so a graph has to fit in a row.
     """
-    # node table (graph, node, degree, rank) is read four times below: pin it
-    # once in the shared checkpoint folder instead of re-deriving it per branch
-    ensure_checkpoint_dir(norm.sparkSession)
-    ranked = _ranked_nodes(norm).checkpoint(eager=True)
-    rk = ranked.select("graph_id", "node", "rank")
-    relab = (norm.join(rk.withColumnRenamed("node", "a").withColumnRenamed("rank", "ra"), ["graph_id", "a"])
-             .join(rk.withColumnRenamed("node", "b").withColumnRenamed("rank", "rb"), ["graph_id", "b"]))
-    pack = lambda x, y: F.least(x, y).cast("long") * F.lit(1 << 32) + F.greatest(x, y).cast("long")
-    one = F.lit(1).cast("long")
-    return (ranked.select("graph_id", F.lit("v").alias("kind"), F.col("node").cast("long").alias("key"), one.alias("val"))
-            .unionByName(ranked.select("graph_id", F.lit("d").alias("kind"), F.col("rank").cast("long").alias("key"),
-                                       F.col("degree").cast("long").alias("val")))
-            .unionByName(relab.select("graph_id", F.lit("e").alias("kind"), pack(F.col("a"), F.col("b")).alias("key"),
-                                      one.alias("val")))
-            .unionByName(relab.select("graph_id", F.lit("r").alias("kind"), pack(F.col("ra"), F.col("rb")).alias("key"),
-                                      one.alias("val"))))
+    g = norm.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("edges"))
+    g = g.withColumn("_ends", F.flatten(F.transform("edges", lambda e: F.array(e["a"], e["b"]))))
+    g = g.withColumn("nodes", F.array_sort(F.array_distinct("_ends")))
+    g = g.withColumn("_ranked", F.array_sort(F.transform("nodes", lambda x: F.struct(
+        (-F.size(F.filter("_ends", lambda y: y == x))).alias("d"), x.alias("node")))))
+    g = g.withColumn("_order", F.transform("_ranked", lambda r: r["node"]))
+    place = lambda x: F.array_position(F.col("_order"), x)
+    relabelled = F.transform("edges", lambda e: F.struct(F.least(place(e["a"]), place(e["b"])).alias("a"),
+                                                         F.greatest(place(e["a"]), place(e["b"])).alias("b")))
+    return g.select("graph_id", "nodes", "edges", F.transform("_ranked", lambda r: -r["d"]).alias("degrees"), relabelled.alias("by_rank"))
 
 
 def ged_bounds(norm: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edit-distance bounds per pair ``(g1, g2)``.
 
-    Both graphs of a pair are expanded into their feature rows and matched
-    with one full outer join on (pair, kind, key); a single aggregation then
-    yields node/edge counts, common nodes, common edges under the identity
-    and the degree-rank alignment, and the L1 distance of the degree
-    sequences. Output: g1, g2, n_nodes1, n_nodes2, n_edges1, n_edges2,
-    ged_lower, ged_upper, exact.
+    Each graph is one row (:func:`graph_rows`), joined to the pairs from both sides; the bounds are
+    array expressions. Output: g1, g2, n_nodes1, n_nodes2, n_edges1, n_edges2, ged_lower, ged_upper,
+    exact. Pairs of which a graph is unknown stay out, as with an inner join.
     """
-    keys = ["g1", "g2"]
-    pairs = pairs.select(*keys).distinct()
-    feats = _graph_features(norm).checkpoint(eager=True)  # read by both sides of every pair
-    s1 = pairs.join(feats.withColumnRenamed("graph_id", "g1").withColumnRenamed("val", "v1"), "g1")
-    s2 = pairs.join(feats.withColumnRenamed("graph_id", "g2").withColumnRenamed("val", "v2"), "g2")
-    j = s1.join(s2, keys + ["kind", "key"], "full_outer")
-    both = F.col("v1").isNotNull() & F.col("v2").isNotNull()
-    cnt = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    kind = F.col("kind")
-    agg = j.groupBy(*keys).agg(
-        cnt((kind == "v") & F.col("v1").isNotNull()).alias("n1"),
-        cnt((kind == "v") & F.col("v2").isNotNull()).alias("n2"),
-        cnt((kind == "e") & F.col("v1").isNotNull()).alias("m1"),
-        cnt((kind == "e") & F.col("v2").isNotNull()).alias("m2"),
-        cnt((kind == "v") & both).alias("cv"),
-        cnt((kind == "e") & both).alias("ce"),
-        cnt((kind == "r") & both).alias("cr"),
-        F.sum(F.when(kind == "d", F.abs(F.coalesce("v1", F.lit(0)) - F.coalesce("v2", F.lit(0))))
-              .otherwise(0)).alias("l1"))
-    ident = (F.col("n1") + F.col("n2") - 2 * F.col("cv")) + (F.col("m1") + F.col("m2") - 2 * F.col("ce"))
-    by_rank = F.abs(F.col("n1") - F.col("n2")) + (F.col("m1") + F.col("m2") - 2 * F.col("cr"))
-    upper = F.least(ident, by_rank)
-    lower = F.abs(F.col("n1") - F.col("n2")) + F.ceil(F.col("l1") / 2)
-    out = agg.select(*keys, F.col("n1").cast("long").alias("n_nodes1"), F.col("n2").cast("long").alias("n_nodes2"),
-                     F.col("m1").cast("long").alias("n_edges1"), F.col("m2").cast("long").alias("n_edges2"),
-                     lower.cast("long").alias("ged_lower"), upper.cast("long").alias("ged_upper"),
-                     (lower == upper).alias("exact"))
-    # pairs whose graphs are both unknown have no feature rows: they stay out, as with an inner join
-    return out.where((F.col("n_nodes1") > 0) & (F.col("n_nodes2") > 0))
+    rows = graph_rows(norm)
+    side = lambda k: rows.select(F.col("graph_id").alias(f"g{k}"), *[F.col(c).alias(f"{c}{k}") for c in rows.columns[1:]])
+    j = pairs.select("g1", "g2").distinct().join(side(1), "g1").join(side(2), "g2")
+    n1, n2, m1, m2 = F.size("nodes1"), F.size("nodes2"), F.size("edges1"), F.size("edges2")
+    shared = lambda c: F.size(F.array_intersect(f"{c}1", f"{c}2"))
+    l1 = F.aggregate(F.zip_with("degrees1", "degrees2", lambda x, y: F.abs(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0)))),
+                     F.lit(0), lambda s, x: s + x)
+    identity = (n1 + n2 - 2 * shared("nodes")) + (m1 + m2 - 2 * shared("edges"))
+    by_rank = F.abs(n1 - n2) + (m1 + m2 - 2 * shared("by_rank"))
+    lower = F.abs(n1 - n2) + F.ceil(l1 / 2)
+    out = j.select("g1", "g2", n1.cast("long").alias("n_nodes1"), n2.cast("long").alias("n_nodes2"),
+                   m1.cast("long").alias("n_edges1"), m2.cast("long").alias("n_edges2"),
+                   lower.cast("long").alias("ged_lower"), F.least(identity, by_rank).cast("long").alias("ged_upper"))
+    return out.withColumn("exact", F.col("ged_lower") == F.col("ged_upper"))
+
+
+def _has_parts(spark, path: str) -> bool:
+    """Whether a written table has part files (a first run may have left an empty folder)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path, "part-*")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
 
 
 def resume_pairs(work: DataFrame, done_path: str, compute, keys=("g1", "g2")) -> DataFrame:
@@ -123,10 +93,8 @@ def resume_pairs(work: DataFrame, done_path: str, compute, keys=("g1", "g2")) ->
     """
     spark = work.sparkSession
     keys = list(keys)
-    try:
-        done = spark.read.parquet(done_path)
-        todo = work.join(done.select(*keys), keys, "left_anti")
-    except AnalysisException:  # no output yet
-        todo = work
+    todo = work
+    if _has_parts(spark, done_path):
+        todo = work.join(spark.read.parquet(done_path).select(*keys), keys, "left_anti")
     compute(todo).write.mode("append").parquet(done_path)
     return spark.read.parquet(done_path)

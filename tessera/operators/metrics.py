@@ -7,9 +7,11 @@ the rest (per-class sums, report rows, F1 grids) costs nothing.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.operators.ordinal import global_ordinal
+from tessera.operators.ordinal import _null_safe_join, global_ordinal
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -79,15 +81,17 @@ def confusion_matrix(preds: DataFrame, labels: list, by=(), gold: str = "gold",
 
 
 def per_class(counts: DataFrame, by=()) -> DataFrame:
-    """precision / recall / f1 / support per class from ``pair_counts``."""
+    """precision / recall / f1 / support per class from ``pair_counts``.
+
+    Every count row gives an entry for its gold class and one for its predicted class, so one
+    aggregation has all sums and nothing is joined.
+    """
     by = list(by)
-    tp = counts.where(F.col("gold") == F.col("pred")).groupBy(*by, F.col("gold").alias("cls")) \
-        .agg(F.sum("n").alias("tp"))
-    sup = counts.groupBy(*by, F.col("gold").alias("cls")).agg(F.sum("n").alias("support"))
-    prd = counts.groupBy(*by, F.col("pred").alias("cls")).agg(F.sum("n").alias("predicted"))
-    j = sup.join(prd, by + ["cls"], "full_outer").join(tp, by + ["cls"], "left")
-    j = j.select(*by, "cls", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-                              for c in ("tp", "support", "predicted")])
+    n, zero = F.col("n"), F.lit(0).cast("long")
+    entry = lambda cls, sup, prd, tp: F.struct(cls.alias("cls"), sup.alias("support"), prd.alias("predicted"), tp.alias("tp"))
+    hit = F.when(F.col("gold").eqNullSafe(F.col("pred")), n).otherwise(zero)
+    e = counts.select(*by, F.explode(F.array(entry(F.col("gold"), n, zero, hit), entry(F.col("pred"), zero, n, zero))).alias("e"))
+    j = e.groupBy(*by, F.col("e.cls").alias("cls")).agg(*[F.sum(f"e.{c}").cast("long").alias(c) for c in ("tp", "support", "predicted")])
     p = _div(F.col("tp"), F.col("predicted"))
     r = _div(F.col("tp"), F.col("support"))
     return j.select(*by, "cls", p.alias("precision"), r.alias("recall"),
@@ -97,32 +101,28 @@ def per_class(counts: DataFrame, by=()) -> DataFrame:
 def class_report(preds: DataFrame, by=(), gold: str = "gold", pred: str = "pred") -> DataFrame:
     """Per-class rows plus ``accuracy``, ``macro avg`` and ``weighted avg`` rows.
 
-    Classes are the union of gold and predicted labels (as strings).
+    Classes are the union of gold and predicted labels (as strings). One scan: counts, per-class sums,
+    and one more aggregation in which every class row stands for itself and for the group's totals.
     """
     by = list(by)
     counts = pair_counts(preds.withColumn(gold, F.col(gold).cast("string"))
                          .withColumn(pred, F.col(pred).cast("string")), by, gold, pred)
     pc = per_class(counts, by)
-    total = pc.groupBy(*by).agg(
-        F.sum("support").alias("_total"), F.sum("tp").alias("_tp"),
-        F.avg("precision").alias("_mp"), F.avg("recall").alias("_mr"), F.avg("f1").alias("_mf"),
-        F.sum(F.col("precision") * F.col("support")).alias("_wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("_wr"),
-        F.sum(F.col("f1") * F.col("support")).alias("_wf"))
-    cls_rows = pc.select(*by, F.col("cls").alias("class"), "precision", "recall", "f1",
-                         F.col("support").cast("long").alias("support"))
-    acc = total.select(*by, F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                       F.lit(None).cast("double").alias("recall"), _div(F.col("_tp"), F.col("_total")).alias("f1"),
-                       F.col("_total").cast("long").alias("support"))
-    macro = total.select(*by, F.lit("macro avg").alias("class"), F.col("_mp").alias("precision"),
-                         F.col("_mr").alias("recall"), F.col("_mf").alias("f1"),
-                         F.col("_total").cast("long").alias("support"))
-    weighted = total.select(*by, F.lit("weighted avg").alias("class"),
-                            _div(F.col("_wp"), F.col("_total")).alias("precision"),
-                            _div(F.col("_wr"), F.col("_total")).alias("recall"),
-                            _div(F.col("_wf"), F.col("_total")).alias("f1"),
-                            F.col("_total").cast("long").alias("support"))
-    return cls_rows.unionByName(acc).unionByName(macro).unionByName(weighted)
+    own = F.struct(F.lit(False).alias("all"), F.col("cls").alias("cls"))
+    every = F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("cls"))
+    p, r, f, n = (F.col(c) for c in ("precision", "recall", "f1", "support"))
+    g = pc.select(*by, "precision", "recall", "f1", "support", "tp", F.explode(F.array(own, every)).alias("row")).groupBy(
+        *by, "row.all", "row.cls").agg(
+        F.avg(p).alias("mp"), F.avg(r).alias("mr"), F.avg(f).alias("mf"), F.sum(n).alias("n"), F.sum("tp").alias("tp"),
+        F.sum(p * n).alias("wp"), F.sum(r * n).alias("wr"), F.sum(f * n).alias("wf"))
+    line = lambda name, a, b, c: F.struct(name.alias("class"), a.alias("precision"), b.alias("recall"), c.alias("f1"),
+                                          F.col("n").cast("long").alias("support"))
+    none, avg = F.lit(None).cast("double"), lambda c: _div(F.col(c), F.col("n"))
+    totals = F.array(line(F.lit("accuracy"), none, none, avg("tp")),
+                     line(F.lit("macro avg"), F.col("mp"), F.col("mr"), F.col("mf")),
+                     line(F.lit("weighted avg"), avg("wp"), avg("wr"), avg("wf")))
+    one = F.array(line(F.col("cls"), F.col("mp"), F.col("mr"), F.col("mf")))
+    return g.select(*by, F.explode(F.when(F.col("all"), totals).otherwise(one)).alias("x")).select(*by, "x.*")
 
 
 def weighted_f1(preds: DataFrame, by=(), gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -169,11 +169,12 @@ def average_rank(df: DataFrame, value: str, tiebreak: str, by=(), out: str = "ra
 
     Positions come from the two-phase ordinal; ties are resolved with one
     aggregation per distinct value joined back (AQE broadcasts it when small).
+    Nulls are ties of each other and rank first.
     """
     by = list(by)
     o = global_ordinal(df, [value, tiebreak], by, "_ord")
     ties = o.groupBy(*by, value).agg(((F.min("_ord") + F.max("_ord")) / 2.0 + 1.0).alias(out))
-    return o.join(ties, by + [value], "inner").drop("_ord")
+    return _null_safe_join(o, ties, by + [value]).drop("_ord")
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -207,18 +208,16 @@ def epoch_summary(df: DataFrame, epoch: str = "epoch", split: str = "split", los
 def mean_pool(tokens: DataFrame, keys, vec: str = "vec", mask: str = "mask") -> DataFrame:
     """Masked average of token vectors per sentence, element-wise.
 
-    ``posexplode`` + ``groupBy(key, dim)`` (partial aggregation, so a huge
-    sentence is summed by many tasks); only the per-sentence result, one
-    value per dimension, is collected back into an array.
+    One partial aggregation of whole vectors per sentence (one buffer per task and sentence, so a huge
+    sentence is summed by many tasks). A sentence whose tokens are all masked keeps its row, with a
+    null vector and 0 tokens.
     """
     keys = list(keys)
-    m = tokens.where(F.col(mask) != 0)
-    e = m.select(*keys, F.posexplode(vec).alias("_d", "_x"))
-    per_dim = e.groupBy(*keys, "_d").agg(F.avg(F.col("_x").cast("double")).alias("_avg"),
-                                         F.count(F.lit(1)).alias("_n"))
-    g = per_dim.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_d", "_avg"))).alias("_v"),
-                                   F.max("_n").cast("long").alias("n_tokens"))
-    return g.select(*keys, F.col("_v")["_avg"].alias("mean_vec"), "n_tokens")
+    live = F.col(mask) != 0
+    vectors = tokens.where(live).select(*keys, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("_v"))
+    means = vectors.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("mean_vec"))
+    n = tokens.groupBy(*keys).agg(F.sum(F.when(live, 1).otherwise(0)).cast("long").alias("n_tokens"))
+    return _null_safe_join(n, means, keys, "left").select(*keys, "mean_vec", "n_tokens")
 
 
 def first_pool(tokens: DataFrame, keys, vec: str = "vec", pos: str = "pos") -> DataFrame:

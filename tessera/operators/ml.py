@@ -2,18 +2,17 @@
 
 The default text encoder is stateless (hashed character n-grams), so it can
 run inside any job without a fitted vocabulary; a user encoder plugs in as
-a ``predict_batch_udf`` factory (Arrow batches, one model load per worker).
-Similarity of texts is computed on the n-gram count table with joins, not
-on dense vectors.
+a factory of a predict function (Arrow batches, one model load per worker).
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import FeatureHasher, HashingTF, NGram, Normalizer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.feature import FeatureHasher, HashingTF, NGram, Normalizer, StringIndexer, StringIndexerModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as Ty
 
@@ -33,44 +32,75 @@ def char_ngram_pipeline(text_col: str, out: str = "features", n: int = 3, num_fe
                             Normalizer(p=2.0, inputCol=raw, outputCol=out)])
 
 
-def encode_text(df: DataFrame, text_col: str, out: str = "features", encoder=None, batch_size: int = 256,
-                dim: int | None = None) -> DataFrame:
+ENCODERS: dict = {}
+
+
+def register_encoder(name: str, make_predict_fn) -> None:
+    """Make an encoder known under a name that :func:`encode_text` accepts."""
+    ENCODERS[name] = make_predict_fn
+
+
+def encode_text(df: DataFrame, text_col: str, out: str = "features", encoder=None, batch_size: int = 256) -> DataFrame:
     """One vector per text.
 
-    ``encoder=None`` uses hashed character trigrams (a Spark ML vector).
-    Otherwise ``encoder`` is a ``make_predict_fn`` for ``predict_batch_udf``
-    returning ``array<float>`` of length ``dim``; rows of a batch that fails
-    get NaN vectors (the job does not stop, and no garbage values are kept).
+    ``encoder=None`` uses hashed character trigrams (a Spark ML vector). Otherwise ``encoder`` is a
+    factory (or its registered name) that returns ``predict(texts) -> 2-d array``; it is called once
+    per worker. A row that cannot be encoded gets a null vector and the error in ``<out>_error``: a
+    batch that fails is tried again row by row, so the other rows of the batch keep their vectors.
     """
     if encoder is None:
         model = char_ngram_pipeline(text_col, out).fit(df.limit(0))
         keep = df.columns + [out]
         return model.transform(df).select(*keep)
+    make = ENCODERS[encoder] if isinstance(encoder, str) else encoder
 
-    def safe_fn():
-        predict = encoder()
-
-        def run(texts: np.ndarray):
-            try:
-                return predict(texts)
-            except Exception:  # a failed batch yields NaN rows, not garbage values
-                return np.full((len(texts), dim or 1), np.nan, dtype=np.float32)
-        return run
-
-    udf = predict_batch_udf(safe_fn, return_type=Ty.ArrayType(Ty.FloatType()), batch_size=batch_size)
-    return df.withColumn(out, udf(F.col(text_col)))
-
-
-def layer_features(df: DataFrame, key: str, text_col: str, layers=(1, 2, 3), num_features: int = 1 << 12) -> DataFrame:
-    """Long form ``(key, layer, vec)``: one feature vector per "layer" (n-gram order)."""
-    parts = []
-    for n in layers:
-        m = char_ngram_pipeline(text_col, "vec", n=n, num_features=num_features).fit(df.limit(0))
-        parts.append(m.transform(df).select(key, F.lit(n).alias("layer"), "vec"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def run(batches):
+        import pandas as pd
+        predict = make()
+
+        def vectors(texts):
+            return [None if v is None else [float(x) for x in v] for v in predict(np.array(texts, dtype=object))]
+
+        for col in batches:
+            vecs, errors = [], []
+            texts = col.tolist()
+            for at in range(0, len(texts), batch_size):
+                part = texts[at:at + batch_size]
+                try:
+                    got = [(v, None) for v in vectors(part)]
+                except Exception:  # the user's code: find the rows at fault
+                    got = []
+                    for t in part:
+                        try:
+                            got.append((vectors([t])[0], None))
+                        except Exception as exc:
+                            got.append((None, f"{type(exc).__name__}: {exc}"))
+                vecs += [v for v, _ in got]
+                errors += [e for _, e in got]
+            yield pd.DataFrame({"vec": vecs, "error": errors})
+
+    from collections.abc import Iterator
+
+    import pandas as pd
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    udf = F.pandas_udf(run, "vec array<float>, error string")
+    keep = [F.col(c) for c in df.columns if c not in (out, f"{out}_error")]
+    return df.withColumn("_enc", udf(F.col(text_col))).select(*keep, F.col("_enc.vec").alias(out), F.col("_enc.error").alias(f"{out}_error"))
+
+
+def layer_features(df: DataFrame, key: str, text_col: str, layers=(1, 2, 3), num_features: int = 1 << 12, keep=()) -> DataFrame:
+    """Long form ``(key, layer, vec)``: one feature vector per "layer" (n-gram order), from one scan.
+
+    A text gives a row per layer with that layer's n-grams; hashing and normalising follow once.
+    """
+    chars = F.split(text_col, "")
+    df = df.select(key, *keep, F.when(F.char_length(text_col) > 0, F.slice(chars, 1, F.char_length(text_col))).otherwise(F.array().cast("array<string>")).alias("_c"))
+    grams = lambda n: F.struct(F.lit(n).alias("layer"), F.when(F.size("_c") >= n, F.transform(
+        F.slice("_c", 1, F.size("_c") - (n - 1)), lambda c, i: F.concat(c, *[F.col("_c")[i + j] for j in range(1, n)])))
+        .otherwise(F.array().cast("array<string>")).alias("grams"))
+    rows = df.select(key, *keep, F.explode(F.array(*[grams(n) for n in layers])).alias("_l")).select(key, *keep, "_l.layer", "_l.grams")
+    stages = [HashingTF(numFeatures=num_features, inputCol="grams", outputCol="_tf"), Normalizer(p=2.0, inputCol="_tf", outputCol="vec")]
+    return Pipeline(stages=stages).fit(rows.limit(0)).transform(rows).select(key, *keep, "layer", "vec")
 
 
 def char_ngrams(df: DataFrame, key: str, text_col: str, n: int = 3) -> DataFrame:
@@ -83,39 +113,32 @@ def char_ngrams(df: DataFrame, key: str, text_col: str, n: int = 3) -> DataFrame
     return e.groupBy(key, "gram").agg(F.count(F.lit(1)).cast("long").alias("cnt"))
 
 
-def predict_similarity(pairs: DataFrame, key: str, left: str, right: str, n: int = 3) -> DataFrame:
-    """Cosine of character n-gram count vectors for each aligned text pair.
+def predict_similarity(pairs: DataFrame, key, left: str, right: str, n: int = 3) -> DataFrame:
+    """Cosine of character n-gram count vectors for each aligned text pair (null where a text has no n-gram).
 
-    Both sides are exploded in one pass (each gram tagged with its side, plus
-    one empty marker row so every pair survives); ``groupBy(pair, gram)``
-    gives both counts, and a second aggregation per pair gives the dot
-    product and the two norms. No join, and the work is proportional to the
-    text lengths.
+    Both texts stand in one row, so they are counted there, in Arrow batches: nothing is shuffled.
     """
-    def grams(t):
-        t = F.col(t)
-        return F.when(F.char_length(t) >= n, F.transform(F.sequence(F.lit(1), F.char_length(t) - (n - 1)),
-                                                         lambda i: F.substring(t, i, n))) \
-            .otherwise(F.array().cast("array<string>"))
-
-    tag = lambda side: lambda g: F.struct(g.alias("gram"), F.lit(int(side == 0)).alias("a"),
-                                          F.lit(int(side == 1)).alias("b"))
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("gram"), F.lit(0).alias("a"), F.lit(0).alias("b")))
-    rows = pairs.select(key, F.explode(F.concat(marker, F.transform(grams(left), tag(0)),
-                                                F.transform(grams(right), tag(1)))).alias("x"))
-    per = rows.groupBy(key, F.col("x.gram").alias("gram")).agg(F.sum("x.a").cast("long").alias("ca"),
-                                                                F.sum("x.b").cast("long").alias("cb"))
-    out = per.groupBy(key).agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"),
-                               F.sqrt(F.sum(F.col("ca") * F.col("ca"))).alias("na"),
-                               F.sqrt(F.sum(F.col("cb") * F.col("cb"))).alias("nb"))
-    return out.select(key, F.try_divide(F.col("dot").cast("double"), F.col("na") * F.col("nb")).alias("similarity"))
+    from collections import Counter
+
+    @F.pandas_udf("double")
+    def cosine_of(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x, y):
+            if x is None or y is None:
+                return None
+            cx, cy = (Counter(t[i:i + n] for i in range(len(t) - n + 1)) for t in (x, y))
+            norm = np.sqrt(float(sum(v * v for v in cx.values()))) * np.sqrt(float(sum(v * v for v in cy.values())))
+            return sum(v * cy[g] for g, v in cx.items()) / norm if norm else None
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64").astype(object).where(lambda v: v.notna(), None)
+
+    keys = [key] if isinstance(key, str) else list(key)
+    return pairs.select(*keys, cosine_of(F.col(left), F.col(right)).alias("similarity"))
 
 
 # ---------------------------------------------------------------- trainers
-def train_linear_svm(df: DataFrame, features: str = "features", label: str = "label", max_iter: int = 10,
-                     parallelism: int = 4):
-    """Multi-class hinge-loss linear classifier (one-vs-rest LinearSVC)."""
-    svc = LinearSVC(maxIter=max_iter, regParam=0.01, featuresCol=features, labelCol=label)
+def train_linear_svm(df: DataFrame, features: str = "features", label: str = "label", max_iter: int = 1000,
+                     parallelism: int = 4, tol: float = 0.1):
+    """Multi-class hinge-loss linear classifier (one-vs-rest LinearSVC); stops on ``tol`` or after ``max_iter``."""
+    svc = LinearSVC(maxIter=max_iter, tol=tol, regParam=0.01, featuresCol=features, labelCol=label)
     return OneVsRest(classifier=svc, featuresCol=features, labelCol=label, parallelism=parallelism).fit(df)
 
 
@@ -135,7 +158,6 @@ def random_fourier(df: DataFrame, features: str, out: str, dim: int, n_component
     def project(col):
         x = np.vstack(col.to_numpy()).astype(np.float64) if len(col) else np.zeros((0, dim))
         z = scale * np.cos(x @ w.T + b)
-        import pandas as pd
         return pd.Series(list(z))
 
     arr = vector_to_array(F.col(features)) if dict(df.dtypes)[features] == "vector" else F.col(features)
@@ -143,7 +165,7 @@ def random_fourier(df: DataFrame, features: str, out: str, dim: int, n_component
 
 
 def train_kernel_svm(df: DataFrame, features: str, label: str, dim: int, n_components: int = 256,
-                     gamma: float = 1.0, seed: int = 42, max_iter: int = 10):
+                     gamma: float = 1.0, seed: int = 42, max_iter: int = 1000):
     """RBF-kernel SVM re-aimed as random Fourier features + linear SVM (one-vs-rest)."""
     z = random_fourier(df, features, "_rff", dim, n_components, gamma, seed)
     return train_linear_svm(z, "_rff", label, max_iter)
@@ -151,10 +173,28 @@ def train_kernel_svm(df: DataFrame, features: str, label: str, dim: int, n_compo
 
 def train_sequence_classifier(df: DataFrame, text_col: str, label_col: str, max_iter: int = 20):
     """Text -> label: hashed char trigrams + multinomial logistic regression (one Pipeline)."""
-    idx = StringIndexer(inputCol=label_col, outputCol="_label", handleInvalid="keep")
+    idx = StringIndexer(inputCol=label_col, outputCol="_label", handleInvalid="error")
     lr = LogisticRegression(featuresCol="features", labelCol="_label", family="multinomial", maxIter=max_iter)
     stages = char_ngram_pipeline(text_col, "features", num_features=1 << 16).getStages() + [idx, lr]
-    return Pipeline(stages=stages).fit(df)
+    return _for_scoring(Pipeline(stages=stages).fit(df))
+
+
+def _for_scoring(model):
+    """The fitted indexer passes labels it has not seen, so that rows of a test set are all scored; the classes stay those of the training rows."""
+    for stage in model.stages:
+        if isinstance(stage, StringIndexerModel):
+            stage.setHandleInvalid("keep")
+    return model
+
+
+def labels_of(model) -> list[str]:
+    """Class names of a trained model, by class index."""
+    return next(list(s.labels) for s in model.stages if isinstance(s, StringIndexerModel))
+
+
+def decode_prediction(model, prediction: str = "prediction") -> Column:
+    """The class name of a prediction."""
+    return F.element_at(F.array(*[F.lit(x) for x in labels_of(model)]), F.col(prediction).cast("int") + 1)
 
 
 def token_features(tokens: DataFrame, sent: str = "sent_id", pos: str = "pos", word: str = "word") -> DataFrame:
@@ -181,21 +221,18 @@ def train_token_tagger(tokens: DataFrame, tag: str = "tag", max_iter: int = 20,
     iteration).
     """
     feats = token_features(tokens).persist()
-    idx = StringIndexer(inputCol=tag, outputCol="_label", handleInvalid="keep")
+    idx = StringIndexer(inputCol=tag, outputCol="_label", handleInvalid="error")
     hasher = FeatureHasher(inputCols=TOKEN_FEATURES, outputCol="features", numFeatures=num_features)
     lr = LogisticRegression(featuresCol="features", labelCol="_label", family="multinomial", maxIter=max_iter)
     model = Pipeline(stages=[idx, hasher, lr]).fit(feats)
     feats.unpersist()
-    return model
+    return _for_scoring(model)
 
 
 def predict_tokens(model, tokens: DataFrame, tag: str = "tag") -> DataFrame:
     """``(sent_id, pos, word, gold, pred)``: argmax class decoded back to its tag."""
-    labels = model.stages[0].labels
     out = model.transform(token_features(tokens))
-    lab = F.array(*[F.lit(x) for x in labels])
-    pred = F.try_element_at(lab, F.col("prediction").cast("int") + 1)
-    return out.select("sent_id", "pos", "word", F.col(tag).alias("gold"), pred.alias("pred"))
+    return out.select("sent_id", "pos", "word", F.col(tag).alias("gold"), decode_prediction(model).alias("pred"))
 
 
 def pair_features(df: DataFrame, v1: str, v2: str, out: str = "features") -> DataFrame:
@@ -212,74 +249,47 @@ def train_pair_scorer(pairs: DataFrame, v1: str = "v1", v2: str = "v2", score: s
     return LinearRegression(featuresCol="features", labelCol=score, maxIter=max_iter, regParam=0.01).fit(feats)
 
 
-def training_history(model) -> list[float]:
-    """Objective per iteration (for ``epoch_summary``-style reports)."""
-    s = model.summary
-    return list(getattr(s, "objectiveHistory", []))
-
-
-__all__ = [name for name in dir() if not name.startswith("_") and name not in ("np", "Column", "Ty", "F")]
-_unused = (Column, VectorAssembler)
-
-
 # ---------------------------------------------------------------- subword pieces
-def longest_match_splitter(vocab, unk: str = "[UNK]", prefix: str = "##", max_chars: int = 100):
-    """Greedy longest-match-first splitter over a piece vocabulary (WordPiece style).
+def piece_vocabulary(tokens: DataFrame, word: str = "word", longest: int = 4, min_count: int = 20, prefix: str = "##") -> DataFrame:
+    """``piece, n``: the corpus's substrings of up to ``longest`` characters that occur ``min_count`` times, and all single characters.
 
-    Returns a pandas UDF ``array<string>`` for a word column. The vocabulary is
-    a user-supplied, bounded set shipped with the function; a word with an
-    unmatchable rest (or longer than ``max_chars``) becomes ``[unk]``.
+    A piece inside a word carries ``prefix``. The table has no size limit and never leaves the cluster.
     """
-    pieces = frozenset(vocab)
-    longest = max((len(p) for p in pieces), default=1)
-
-    def split_word(w: str):
-        if w is None:
-            return None
-        if len(w) > max_chars:
-            return [unk]
-        out, start = [], 0
-        while start < len(w):
-            end = min(len(w), start + longest + (len(prefix) if start else 0))
-            found = None
-            while end > start:
-                cand = w[start:end] if start == 0 else prefix + w[start:end]
-                if cand in pieces:
-                    found = cand
-                    break
-                end -= 1
-            if found is None:
-                return [unk]
-            out.append(found)
-            start = end
-        return out
-
-    @F.pandas_udf(Ty.ArrayType(Ty.StringType()))
-    def split(words):
-        import pandas as pd
-        return pd.Series([split_word(w) for w in words])
+    words = tokens.groupBy(word).agg(F.count(F.lit(1)).alias("w"))
+    cand = _candidates(words, word, longest, prefix)
+    return cand.groupBy("piece").agg(F.sum("w").alias("n")).where((F.col("n") >= min_count) | (F.char_length(F.regexp_replace("piece", f"^{prefix}", "")) == 1))
 
-    return split
 
+def _candidates(words: DataFrame, word: str, longest: int, prefix: str) -> DataFrame:
+    """Every substring of up to ``longest`` characters of each word, with its start and length."""
+    w = F.col(word)
+    at = words.where(F.char_length(w) > 0).select("*", F.explode(F.sequence(F.lit(1), F.char_length(w))).alias("start"))
+    at = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length(w) - F.col("start") + 1))).alias("size"))
+    cut = F.substring(w, F.col("start"), F.col("size"))
+    return at.withColumn("piece", F.when(F.col("start") == 1, cut).otherwise(F.concat(F.lit(prefix), cut)))
 
-def subword_pieces(tokens: DataFrame, splitter, word: str = "word") -> DataFrame:
-    """Pieces per token with a Python splitter applied once per *distinct* word.
 
-    Distinct words are split in Arrow batches and joined back on the word, so
-    the Python work scales with the vocabulary of the corpus, not its length.
-    """
-    distinct = tokens.select(word).distinct()
-    table = distinct.select(word, splitter(F.col(word)).alias("_pieces"))
-    return tokens.join(table, word, "left")
+def longest_match_pieces(words: DataFrame, vocabulary: DataFrame, word: str = "word", longest: int = 4, prefix: str = "##",
+                         unk: str = "[UNK]") -> DataFrame:
+    """``word, pieces`` for distinct words: greedy longest match from the left against a vocabulary table.
 
-
-ENCODERS: dict = {}
-
-
-def register_encoder(name: str, make_predict_fn) -> None:
-    """Register a ``make_predict_fn`` (for ``predict_batch_udf``) under a name."""
-    ENCODERS[name] = make_predict_fn
-
-
-def encoder(name: str):
-    return ENCODERS[name]
+    A word's candidate pieces are joined to the vocabulary; the longest match at each start is kept, and
+    the greedy path through these is walked in the row. A word with a rest that nothing matches is ``unk``.
+    """
+    cand = _candidates(words.select(word).distinct(), word, longest, prefix)
+    best = cand.join(vocabulary.select("piece").distinct(), "piece").groupBy(word, "start").agg(F.max("size").alias("size"))
+    sizes = best.groupBy(word).agg(F.map_from_entries(F.collect_list(F.struct("start", "size"))).alias("m"))
+    zero = F.array().cast("array<string>")
+    step = lambda acc, i: F.when(acc["next"] != i, acc).otherwise(F.struct(
+        F.when(F.col("m")[i].isNull(), F.lit(-1)).otherwise(i + F.col("m")[i]).cast("int").alias("next"),
+        F.when(F.col("m")[i].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(
+            F.concat(F.when(i == 1, F.lit("")).otherwise(F.lit(prefix)), F.substring(F.col(word), i, F.col("m")[i]))))).alias("out")))
+    walked = F.aggregate(F.sequence(F.lit(1), F.char_length(word)), F.struct(F.lit(1).cast("int").alias("next"), zero.alias("out")), step)
+    all_ = words.select(word).distinct().join(sizes, word, "left")
+    res = all_.withColumn("_w", F.when(F.col("m").isNotNull(), walked))
+    return res.select(word, F.when(F.col("_w.next") == F.char_length(word) + 1, F.col("_w.out")).otherwise(F.array(F.lit(unk))).alias("pieces"))
+
+
+def subword_pieces(tokens: DataFrame, pieces: DataFrame, word: str = "word") -> DataFrame:
+    """Tokens with the piece array of their word, joined from a table of distinct words."""
+    return tokens.join(pieces.withColumnRenamed("pieces", "_pieces"), word, "left")

@@ -34,11 +34,24 @@ def _cols(xs) -> list:
 
 
 def _names(xs) -> list[str]:
-    return [x for x in _cols(xs) if isinstance(x, str)]
+    """Column names; an expression is refused, as leaving it out would change the order."""
+    for x in _cols(xs):
+        if not isinstance(x, str):
+            raise TypeError("keys are column names; add an expression as a column first")
+    return _cols(xs)
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where null equals null; the keys come from the left."""
+    r = right.select(*[F.col(k).alias(f"_r_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & left[k].eqNullSafe(r[f"_r_{i}"])
+    return left.join(r, cond, how).drop(*[f"_r_{i}" for i in range(len(keys))])
 
 
 def global_ordinal(df: DataFrame, order_cols, group_cols=(), name: str = "ordinal",
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, total: str | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row by ``order_cols`` (within ``group_cols``).
 
     ``group_cols + order_cols`` must be a total order (unique), otherwise
@@ -50,7 +63,8 @@ def global_ordinal(df: DataFrame, order_cols, group_cols=(), name: str = "ordina
     Without groups the offset table has one row per partition and is
     broadcast; with groups it is joined normally so AQE decides by its
     measured size. Select only the needed columns before calling: the
-    ranged frame is checkpointed.
+    ranged frame is checkpointed. ``total`` names a column for the number of
+    rows (of the group), which the offset table already has.
     """
     groups = _names(group_cols)
     keys = groups + _names(order_cols)
@@ -70,14 +84,15 @@ def global_ordinal(df: DataFrame, order_cols, group_cols=(), name: str = "ordina
                                                 F.min("_loc").alias("_first"))
     before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*groups)
     offsets = stats.select("_pid", *groups,
                            (F.coalesce(F.sum("_n").over(before), F.lit(0))
-                            - F.col("_first")).alias("_off"))
+                            - F.col("_first")).alias("_off"), F.sum("_n").over(whole).alias("_total"))
     if not groups:
         offsets = F.broadcast(offsets)  # one row per partition: bounded
     cond = [ranged["_pid"] == offsets["_pid"]] + [ranged[g].eqNullSafe(offsets[g]) for g in groups]
     out = ranged.join(offsets, cond, "inner").select(
-        ranged["*"], (offsets["_off"] + ranged["_loc"]).alias(name))
+        ranged["*"], (offsets["_off"] + ranged["_loc"]).alias(name), *([offsets["_total"].alias(total)] if total else []))
     return out.drop("_mid", "_pid", "_loc")
 
 
@@ -107,7 +122,7 @@ def prefix_sum(df: DataFrame, partition_cols, order_cols, values: Mapping[str, C
         F.coalesce(F.sum(f"{t}_tot").over(wb), F.lit(0)).alias(f"{t}_off") for t in tmp.values()])
     w = Window.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     local = frame.withColumns({f"{t}_loc": F.coalesce(F.sum(t).over(w), F.lit(0)) for t in tmp.values()})
-    joined = local.join(offsets, keys + ["_bkt"], "inner")
+    joined = _null_safe_join(local, offsets, keys + ["_bkt"])
     out = joined.withColumns({k: F.col(f"{tmp[k]}_loc") + F.col(f"{tmp[k]}_off") for k in values})
     drop = ["_bkt"] + [c for t in tmp.values() for c in (t, f"{t}_loc", f"{t}_off")]
     return out.drop(*drop)
@@ -134,10 +149,10 @@ def carry_forward(df: DataFrame, partition_cols, order_cols: Sequence[str], valu
     # bucket value of the earlier buckets (buckets without values included)
     wb = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     seq = (frame.select(*keys, "_bkt").distinct()
-           .join(per_bucket, keys + ["_bkt"], "left")
+           .transform(lambda x: _null_safe_join(x, per_bucket, keys + ["_bkt"], "left"))
            .select(*keys, "_bkt", F.last("_blast", ignorenulls=True).over(wb).alias("_prev")))
     w = Window.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     local = frame.withColumn("_in", F.last("_cv", ignorenulls=True).over(w))
-    out = (local.join(seq, keys + ["_bkt"], "inner")
+    out = (_null_safe_join(local, seq, keys + ["_bkt"])
            .withColumn(name, F.coalesce(F.col("_in"), F.col("_prev"))))
     return out.drop("_cv", "_bkt", "_in", "_prev")
