@@ -136,22 +136,22 @@ _SOFT_SQL = """(exp(logits[3] - list_max(logits)) - exp(logits[1] - list_max(log
   / list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))) + 1.0"""
 
 
-@register("softmax_expected", with_ctes("emb_logits") + f"SELECT id, {_SOFT_SQL} AS score FROM emb_logits")
+@register("softmax_expected", with_ctes("emb_soft") + f"SELECT id, {_SOFT_SQL} AS score FROM emb_soft")
 def q_softmax_expected(spark, d):
-    return T.emb_logits(spark, d).select("id", V.softmax_expected(F.col("logits")).alias("score"))
+    return T.emb_soft(spark, d).select("id", V.softmax_expected(F.col("logits")).alias("score"))
 
 
 @register("argmax_label", with_ctes("emb_logits") + """
-SELECT id, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred, gold FROM emb_logits""")
+SELECT id, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred, label FROM emb_logits""")
 def q_argmax_label(spark, d):
-    return T.emb_logits(spark, d).select("id", V.argmax(F.col("logits")).cast("int").alias("pred"), "gold")
+    return T.emb_logits(spark, d).select("id", V.argmax(F.col("logits")).cast("int").alias("pred"), "label")
 
 
-@register("abs_sq_error", with_ctes("emb_logits") + f"""
+@register("abs_sq_error", with_ctes("emb_soft") + f"""
 SELECT avg(abs(s - gold)) AS mae, avg((s - gold) * (s - gold)) AS mse, CAST(count(*) AS BIGINT) AS n
-FROM (SELECT gold, {_SOFT_SQL} AS s FROM emb_logits) x""")
+FROM (SELECT gold, {_SOFT_SQL} AS s FROM emb_soft) x""")
 def q_abs_sq_error(spark, d):
-    s = T.emb_logits(spark, d).select("gold", V.softmax_expected(F.col("logits")).alias("score"))
+    s = T.emb_soft(spark, d).select("gold", V.softmax_expected(F.col("logits")).alias("score"))
     return M.abs_sq_error(s, "gold", "score")
 
 

@@ -69,14 +69,15 @@ def q_graph_profile(spark, d):
     return p.select("graph_id", "n_nodes", F.array_join("degrees", ",").alias("degrees"), "n_edges")
 
 
-@register("edge_band_filter", with_ctes("order_graphs") + """
-SELECT graph_id, CASE WHEN m > 0 AND m <= 3 THEN '(0,3]' WHEN m > 3 AND m <= 5 THEN '(3,5]'
-                      WHEN m > 5 AND m <= 10 THEN '(5,10]' END AS band
+@register("edge_band_filter", with_ctes("customer_graphs") + """
+SELECT graph_id, CASE WHEN m > 0 AND m <= 10 THEN '(0,10]' WHEN m > 10 AND m <= 12 THEN '(10,12]'
+                      WHEN m > 12 AND m <= 15 THEN '(12,15]' END AS band
 FROM (SELECT graph_id, count(*) AS m FROM (SELECT DISTINCT graph_id, least(u, v) AS a, greatest(u, v) AS b
-      FROM order_graphs) n GROUP BY graph_id) x WHERE m > 0 AND m <= 10""")
+      FROM customer_graphs) n GROUP BY graph_id) x WHERE m > 0 AND m <= 15""")
 def q_edge_band_filter(spark, d):
-    m = _norm(spark, d).groupBy("graph_id").agg(F.count(F.lit(1)).alias("m"))
-    return m.select("graph_id", edge_band(F.col("m"), (3, 5, 10)).alias("band")).where(F.col("band").isNotNull())
+    norm = G.graph_normalise(T.customer_graphs(spark, d))
+    m = norm.groupBy("graph_id").agg(F.count(F.lit(1)).alias("m"))
+    return m.select("graph_id", edge_band(F.col("m"), (10, 12, 15)).alias("band")).where(F.col("band").isNotNull())
 
 
 @register("graph_edit_distance", GRAPH_CTES + """
@@ -114,29 +115,34 @@ def q_resume_pairs(spark, d):
 
 
 @register("scan_graphs", with_ctes("order_graphs") + """
-SELECT graph_id, CAST(count(*) AS BIGINT) AS n_edges, string_agg(u || '-' || v, ',' ORDER BY u, v) AS edges
-FROM order_graphs GROUP BY graph_id""")
+SELECT graph_id, o_orderpriority AS text, CAST(count(*) AS BIGINT) AS n_edges, string_agg(u || '-' || v, ',' ORDER BY pos, u, v) AS edges
+FROM order_graphs JOIN orders ON o_orderkey = graph_id GROUP BY graph_id, o_orderpriority""")
 def q_scan_graphs(spark, d):
     g = T.order_graphs(spark, d)
-    records = g.groupBy("graph_id").agg(F.collect_list(F.struct("u", "v")).alias("edges"),
-                                        F.lit("").alias("text"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "u", "v"))), lambda e: F.struct(e["u"].alias("u"), e["v"].alias("v")))
+    text = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("graph_id"), F.col("o_orderpriority").alias("text"))
+    records = g.groupBy("graph_id").agg(listed.alias("edges")).join(text, "graph_id")
     path = scratch_path(spark, f"graphs-{uuid.uuid4().hex}")
     records.write.json(path)
     back = B.scan_graphs(spark, path)
-    return back.select("graph_id", F.size("edges").cast("long").alias("n_edges"),
-                       F.array_join(F.array_sort(F.transform("edges", lambda e: F.concat_ws("-", e["u"], e["v"]))), ",")
-                       .alias("edges"))
+    return back.select("graph_id", "text", F.size("edges").cast("long").alias("n_edges"),
+                       F.array_join(F.transform("edges", lambda e: F.concat_ws("-", e["u"], e["v"])), ",").alias("edges"))
 
 
-@register("write_pair_records", GRAPH_CTES + """
-SELECT g1, g2, n_edges1, n_edges2, ged_upper FROM ged""")
+@register("write_pair_records", GRAPH_CTES.rstrip() + """,
+line AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY pos, u, v) AS rn FROM order_graphs),
+ends AS (SELECT graph_id, u AS node, rn * 2 AS k FROM line UNION ALL SELECT graph_id, v, rn * 2 + 1 FROM line),
+seen AS (SELECT graph_id, string_agg(node, ' ' ORDER BY k, node) AS nodes FROM (SELECT graph_id, node, min(k) AS k FROM ends GROUP BY ALL) GROUP BY 1),
+cnt AS (SELECT graph_id, CAST(count(*) AS BIGINT) AS n FROM order_graphs GROUP BY 1)
+SELECT g1, g2, a.n AS n_edges1, b.n AS n_edges2, x.nodes AS nodes1, y.nodes AS nodes2, ged_upper FROM ged JOIN seen x ON x.graph_id = g1
+JOIN seen y ON y.graph_id = g2 JOIN cnt a ON a.graph_id = g1 JOIN cnt b ON b.graph_id = g2""")
 def q_write_pair_records(spark, d):
     from tessera.sources.sinks import write_pair_records
-    norm = _norm(spark, d)
-    pairs = T.graph_pairs(spark, d)
-    ged = G.ged_bounds(norm, pairs)
+    edges = T.order_graphs(spark, d)
+    ged = G.ged_bounds(G.graph_normalise(edges), T.graph_pairs(spark, d))
     path = scratch_path(spark, f"pairs-{uuid.uuid4().hex}")
-    write_pair_records(ged, norm, path)
+    write_pair_records(ged, edges, path)
     back = spark.read.json(path)
     return back.select("g1", "g2", F.size("edges1").cast("long").alias("n_edges1"),
-                       F.size("edges2").cast("long").alias("n_edges2"), F.col("ged_upper").cast("long").alias("ged_upper"))
+                       F.size("edges2").cast("long").alias("n_edges2"), F.array_join("nodes1", " ").alias("nodes1"),
+                       F.array_join("nodes2", " ").alias("nodes2"), F.col("ged_upper").cast("long").alias("ged_upper"))

@@ -8,10 +8,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.operators import align as A
 from tessera.operators import metrics as M
 from tessera.operators.order import split_counted
 from tessera.operators.ordinal import global_ordinal
 from tessera.plans import standins as T
+from tessera.plans.catalog_order import LANGS, PARALLEL_SQL, parallel_frames
 from tessera.plans.registry import register
 from tessera.plans.sql_standins import lid_sql, tag_sql, with_ctes
 from tessera.session import scratch_path
@@ -35,9 +37,8 @@ def q_scan_blocks(spark, d):
     blocks = T.conv_blocks(spark, d, "conll2").where(F.col("block") != "")
     path = _tmp(spark, "blocks")
     K._ordered(blocks, ["block_no"]).select("block").write.option("lineSep", "\n\n").text(path)
-    back = B.scan_blocks(spark, path)
-    return global_ordinal(back.select("file", "block_no", "block"), ["file", "block_no"], name="ordinal") \
-        .select("ordinal", "block")
+    back = B.scan_blocks(spark, path).withColumns(dict(zip(("_k1", "_k2", "_k3"), B._file_key())))
+    return global_ordinal(back, ["_k1", "_k2", "_k3", "block_no"], name="ordinal").select("ordinal", "block")
 
 
 @register("write_conll2", with_ctes("doc_tokens") + """
@@ -49,8 +50,9 @@ def q_write_conll2(spark, d):
     back = P.parse_conll2(B.scan_blocks(spark, path))
     # blocks were written in sent_id order: block order = sentence order
     sent_ids = global_ordinal(toks.select("sent_id").distinct(), ["sent_id"], name="_k")
-    blocks = global_ordinal(back.select("file", "block_no").distinct(), ["file", "block_no"], name="_k")
-    keyed = back.join(blocks, ["file", "block_no"]).join(sent_ids, "_k")
+    keys = dict(zip(("_k1", "_k2", "_k3"), B._file_key()))
+    blocks = global_ordinal(back.select("file", "block_no").distinct().withColumns(keys), ["_k1", "_k2", "_k3", "block_no"], name="_k")
+    keyed = back.join(blocks.select("file", "block_no", "_k"), ["file", "block_no"]).join(sent_ids, "_k")
     return keyed.select("sent_id", F.col("pos").cast("long").alias("pos"), "word", "tag")
 
 
@@ -68,38 +70,42 @@ def q_scan_text_dir(spark, d):
     return back.select("ordinal", "doc_id", F.char_length(text).cast("long").alias("n_chars"))
 
 
-@register("scan_delimited", with_ctes("label_texts") + """
-SELECT doc_id, text, sentiment AS label, source FROM label_texts""")
+def _round_trip(spark, d, name, sep, write):
+    lt = T.label_texts(spark, d).select("doc_id", "text", F.col("sentiment").alias("label"), "source", "n_chars")
+    path = _tmp(spark, name)
+    write(lt, path)
+    return B.scan_delimited(spark, path, "doc_id long, text string, label string, source string, n_chars long", sep=sep, escaped=True)
+
+
+_DELIMITED_SQL = with_ctes("label_texts") + """
+SELECT doc_id, text, sentiment AS label, source, n_chars FROM label_texts"""
+
+
+@register("scan_delimited", _DELIMITED_SQL)
 def q_scan_delimited(spark, d):
-    lt = T.label_texts(spark, d).select("doc_id", "text", F.col("sentiment").alias("label"), "source")
-    path = _tmp(spark, "tsv")
-    lt.write.option("header", True).option("sep", "\t").option("escape", '"').csv(path)
-    return spark.read.schema("doc_id long, text string, label string, source string") \
-        .option("header", True).option("sep", "\t").option("escape", '"').option("multiLine", True).csv(path)
+    return _round_trip(spark, d, "delimited", "|", lambda df, p: K.write_delimited(df, p, "|"))
 
 
-@register("write_tsv", with_ctes("label_texts") + """
-SELECT doc_id, sentiment AS label, source, n_chars FROM label_texts""")
+@register("write_tsv", _DELIMITED_SQL)
 def q_write_tsv(spark, d):
-    lt = T.label_texts(spark, d).select("doc_id", F.col("sentiment").alias("label"), "source", "n_chars")
-    path = _tmp(spark, "write-tsv")
-    K.write_delimited(lt, path, "\t", order=["doc_id"])
-    return B.scan_delimited(spark, path, "doc_id long, label string, source string, n_chars long", sep="\t")
-
-
-@register("scan_parallel", with_ctes("conv_turns") + """
-SELECT a.r AS line_no, a.t AS cs, b.t AS en
-FROM (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS r, array_to_string(words, ' ') AS t
-      FROM conv_turns WHERE turn = 0) a
-JOIN (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS r, array_to_string(words, ' ') AS t
-      FROM conv_turns WHERE turn = 1) b ON a.r = b.r""")
+    return _round_trip(spark, d, "write-tsv", "\t", lambda df, p: K.write_delimited(df, p, "\t", order=["doc_id"]))
+
+
+@register("write_csv", _DELIMITED_SQL)
+def q_write_csv(spark, d):
+    return _round_trip(spark, d, "write-csv", ",", lambda df, p: K.write_csv(df, p, order=["doc_id"]))
+
+
+@register("scan_parallel", with_ctes("conv_turns", extra=PARALLEL_SQL) + """
+SELECT CAST(row_number() OVER (ORDER BY conv_id, line) - 1 AS BIGINT) AS line_no, coalesce(cs, '') AS cs, coalesce(en, '') AS en,
+       coalesce(es, '') AS es FROM par""")
 def q_scan_parallel(spark, d):
-    t = T.conv_turn_words(spark, d).select("conv_id", "turn", F.array_join("words", " ").alias("text"))
+    # every (conversation, turn div 3) is a line of each file; a language that lacks it has an empty line
+    lines = A.parallel_align(parallel_frames(spark, d), ["conv_id", "line"], unmatched="null")
     paths = {}
-    for turn, lang in ((0, "cs"), (1, "en")):
-        p = _tmp(spark, f"parallel-{lang}")
-        K._ordered(t.where(F.col("turn") == turn), ["conv_id"]).select("text").write.text(p)
-        paths[lang] = p
+    for lang in LANGS:
+        paths[lang] = _tmp(spark, f"parallel-{lang}")
+        K._ordered(lines, ["conv_id", "line"]).select(F.coalesce(lang, F.lit("")).alias("text")).write.text(paths[lang])
     return B.scan_parallel(spark, paths)
 
 
@@ -137,15 +143,15 @@ def q_write_metrics(spark, d):
 
 
 @register("write_predictions", with_ctes("model_grid") + """
-SELECT model, CAST(layer AS INTEGER) AS test_set, CAST(count(*) AS BIGINT) AS n,
+SELECT model, CAST(layer AS INTEGER) AS test_set, CAST(seed AS INTEGER) AS seed, CAST(count(*) AS BIGINT) AS n,
        CAST(sum(CASE WHEN gold = pred THEN 1 ELSE 0 END) AS BIGINT) AS n_correct
-FROM model_grid WHERE seed = 0 GROUP BY model, layer""")
+FROM model_grid GROUP BY model, layer, seed""")
 def q_write_predictions(spark, d):
-    g = T.model_grid(spark, d).where(F.col("seed") == 0).withColumnRenamed("layer", "test_set")
+    g = T.model_grid(spark, d).withColumnRenamed("layer", "test_set")
     path = _tmp(spark, "preds")
-    K.write_predictions(g.select("model", "test_set", "event_id", "gold", "pred"), path)
+    K.write_predictions(g.select("model", "test_set", "seed", "event_id", "gold", "pred"), path, ("model", "test_set", "seed"))
     back = spark.read.parquet(path)
-    return back.groupBy("model", F.col("test_set").cast("int").alias("test_set")).agg(
+    return back.groupBy("model", F.col("test_set").cast("int").alias("test_set"), F.col("seed").cast("int").alias("seed")).agg(
         F.count(F.lit(1)).cast("long").alias("n"),
         F.sum((F.col("gold") == F.col("pred")).cast("long")).alias("n_correct"))
 
@@ -161,7 +167,7 @@ def q_resume_stream(spark, d):
         return P.parse_lid(b).select("file", "sent_no", "pos", "token", "label")
 
     # files arrive in two drops; the restarted stream only reads the new ones
-    for drop, cond in enumerate([F.col("block_no") % 100 <= 1, F.col("block_no") % 100 > 1]):
+    for drop, cond in enumerate([F.col("block_no") % 3 <= 1, F.col("block_no") % 3 > 1]):
         K._ordered(blocks.where(cond), ["block_no"]).select("block").write.mode("append" if drop else "overwrite") \
             .option("lineSep", "\n\n").text(in_dir)
         resume_stream(spark, in_dir, out_dir, ckpt, parse)

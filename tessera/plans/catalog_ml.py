@@ -1,7 +1,7 @@
 """Registered queries: encoders, trainers and predictors.
 
-Training queries have no SQL twin (rows-only check); their outputs are the
-evaluation rows the trained model produces on held-out data.
+Training queries return what can be recomputed in SQL: the held-out rows or their
+support by class, and flags computed from the trained model's predictions on them.
 """
 
 from __future__ import annotations
@@ -9,8 +9,11 @@ from __future__ import annotations
 import uuid
 from fractions import Fraction
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import functions as F
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window, functions as F
+
+from tessera.functions import vectors as V
 
 from tessera.operators import metrics as M
 from tessera.operators import ml as ML
@@ -25,20 +28,19 @@ from tessera.sources.sinks import load_model, save_model
 PIECE = 3  # fixed-width piece splitter used by the default subword_align
 
 
-def subword_align(tokens, word: str = "word", tag: str = "tag", width: int = PIECE, splitter=None):
+def subword_align(tokens, word: str = "word", tag: str = "tag", width: int = PIECE, pieces=None):
     """Word -> pieces; the first piece carries the tag and head=1, the others '<pad>' and 0.
 
     One row per piece: (..., piece_no, piece, piece_tag, is_head). The default
-    splitter cuts ``width`` characters (pure SQL expressions); ``splitter`` is a
-    vocabulary splitter from :func:`tessera.operators.ml.longest_match_splitter`,
-    applied once per distinct word.
+    splitter cuts ``width`` characters (pure SQL expressions); ``pieces`` is a table of distinct words
+    and their pieces from :func:`tessera.operators.ml.longest_match_pieces`.
     """
-    if splitter is None:
+    if pieces is None:
         n = F.greatest(F.ceil(F.char_length(word) / width), F.lit(1)).cast("int")
-        pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(word), i * width + 1, width))
-        t = tokens.select("*", F.posexplode(pieces).alias("piece_no", "piece"))
+        cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(word), i * width + 1, width))
+        t = tokens.select("*", F.posexplode(cut).alias("piece_no", "piece"))
     else:
-        t = ML.subword_pieces(tokens, splitter, word)
+        t = ML.subword_pieces(tokens, pieces, word)
         t = t.select(*tokens.columns, F.posexplode("_pieces").alias("piece_no", "piece"))
     return t.withColumns({"piece_tag": F.when(F.col("piece_no") == 0, F.col(tag)).otherwise(F.lit("<pad>")),
                           "is_head": (F.col("piece_no") == 0).cast("int")})
@@ -58,25 +60,15 @@ def q_subword_align(spark, d):
     return s.select("sent_id", "pos", F.col("piece_no").cast("int").alias("piece_no"), "piece", "piece_tag", "is_head")
 
 
-def piece_vocab(tokens, word: str = "word", size: int = 2000):
-    """A bounded piece vocabulary derived from the corpus: every character, plus the
-    ``size`` most frequent word-initial trigrams and continuation bigrams."""
-    w = F.col(word)
-    chars = tokens.select(F.explode(F.split(w, "")).alias("p")).where(F.col("p") != "")
-    heads = tokens.select(F.substring(w, 1, 3).alias("p")).where(F.char_length("p") == 3)
-    tails = tokens.select(F.concat(F.lit("##"), F.substring(w, 4, 2)).alias("p")).where(F.char_length("p") == 4)
-    cont = chars.select(F.concat(F.lit("##"), "p").alias("p"))
-    top = heads.unionByName(tails).groupBy("p").count().orderBy(F.desc("count"), "p").limit(size)
-    vocab = chars.unionByName(cont).distinct().unionByName(top.select("p")).distinct()
-    return [r.p for r in vocab.collect()]  # bounded: distinct characters + `size`
-
-
-@register("subword_align_vocab")
+@register("subword_align_vocab", with_ctes("conv_tokens") + """
+SELECT sent_id, pos, word AS rebuilt, CAST(1 AS BIGINT) AS n_heads FROM conv_tokens""")
 def q_subword_align_vocab(spark, d):
-    toks = T.conv_tokens(spark, d)
-    split = ML.longest_match_splitter(piece_vocab(toks))
-    s = subword_align(toks, "word", "label", splitter=split)
-    return s.select("sent_id", "pos", F.col("piece_no").cast("int").alias("piece_no"), "piece", "piece_tag", "is_head")
+    toks = T.conv_tokens(spark, d).select("sent_id", "pos", "word", "label")
+    split = ML.longest_match_pieces(toks, ML.piece_vocabulary(toks))
+    s = subword_align(toks, "word", "label", pieces=split)
+    g = s.groupBy("sent_id", "pos").agg(F.array_sort(F.collect_list(F.struct("piece_no", "piece"))).alias("p"), F.sum("is_head").cast("long").alias("n_heads"))
+    rebuilt = F.array_join(F.transform("p", lambda x: F.when(x["piece_no"] > 0, F.substring(x["piece"], 3, 1 << 30)).otherwise(x["piece"])), "")
+    return g.select("sent_id", "pos", rebuilt.alias("rebuilt"), "n_heads")
 
 
 @register("head_piece_filter", with_ctes("conv_tokens") + "SELECT sent_id, pos, word, label AS tag FROM conv_tokens")
@@ -88,115 +80,182 @@ def q_head_piece_filter(spark, d):
 
 # ---------------------------------------------------------------- similarity (SQL-checked)
 def _grams_sql(src: str, col: str) -> str:
-    return f"""(SELECT conv_id, g AS gram, count(*) AS c FROM (SELECT conv_id,
+    return f"""(SELECT conv_id, turn, g AS gram, count(*) AS c FROM (SELECT conv_id, turn,
        unnest(CASE WHEN length({col}) >= 3 THEN list_transform(range(1, length({col}) - 1), lambda i: substring({col}, i, 3))
-                   ELSE [] END) AS g FROM {src}) x GROUP BY conv_id, g)"""
+                   ELSE [] END) AS g FROM {src}) x GROUP BY conv_id, turn, g)"""
 
 
 @register("predict_similarity", with_ctes("conv_turns", extra="""
-p AS (SELECT a.conv_id, array_to_string(a.words, ' ') AS t0, array_to_string(b.words, ' ') AS t1
-      FROM conv_turns a JOIN conv_turns b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1)""") + f"""
-SELECT p.conv_id, CASE WHEN na.n * nb.n = 0 THEN NULL ELSE coalesce(dd.dot, 0) / (na.n * nb.n) END AS similarity
+p AS (SELECT a.conv_id, a.turn, array_to_string(a.words, ' ') AS t0, array_to_string(b.words, ' ') AS t1
+      FROM conv_turns a JOIN conv_turns b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)""") + f"""
+SELECT p.conv_id, p.turn, CASE WHEN na.n * nb.n = 0 THEN NULL ELSE coalesce(dd.dot, 0) / (na.n * nb.n) END AS similarity
 FROM p
-LEFT JOIN (SELECT conv_id, sqrt(sum(c * c)) AS n FROM {_grams_sql('p', 't0')} ga GROUP BY conv_id) na ON na.conv_id = p.conv_id
-LEFT JOIN (SELECT conv_id, sqrt(sum(c * c)) AS n FROM {_grams_sql('p', 't1')} gb GROUP BY conv_id) nb ON nb.conv_id = p.conv_id
-LEFT JOIN (SELECT a.conv_id, sum(a.c * b.c) AS dot FROM {_grams_sql('p', 't0')} a
-           JOIN {_grams_sql('p', 't1')} b ON a.conv_id = b.conv_id AND a.gram = b.gram GROUP BY a.conv_id) dd
-  ON dd.conv_id = p.conv_id""")
+LEFT JOIN (SELECT conv_id, turn, sqrt(sum(c * c)) AS n FROM {_grams_sql('p', 't0')} ga GROUP BY conv_id, turn) na USING (conv_id, turn)
+LEFT JOIN (SELECT conv_id, turn, sqrt(sum(c * c)) AS n FROM {_grams_sql('p', 't1')} gb GROUP BY conv_id, turn) nb USING (conv_id, turn)
+LEFT JOIN (SELECT a.conv_id, a.turn, sum(a.c * b.c) AS dot FROM {_grams_sql('p', 't0')} a
+           JOIN {_grams_sql('p', 't1')} b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.gram = b.gram GROUP BY a.conv_id, a.turn) dd
+  USING (conv_id, turn)""")
 def q_predict_similarity(spark, d):
+    # every turn with the next one of its conversation
     t = T.conv_turn_words(spark, d).select("conv_id", "turn", F.array_join("words", " ").alias("text"))
-    pairs = (t.where(F.col("turn") == 0).select("conv_id", F.col("text").alias("t0"))
-             .join(t.where(F.col("turn") == 1).select("conv_id", F.col("text").alias("t1")), "conv_id"))
-    return ML.predict_similarity(pairs, "conv_id", "t0", "t1")
+    pairs = t.withColumnRenamed("text", "t0").join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("t1")), ["conv_id", "turn"])
+    return ML.predict_similarity(pairs, ["conv_id", "turn"], "t0", "t1")
 
 
-# ---------------------------------------------------------------- encoders (rows-only)
-@register("encode_text")
+# ---------------------------------------------------------------- encoders
+@register("encode_text", "SELECT doc_id, CASE WHEN length(text) >= 3 THEN 1.0 ELSE 0.0 END AS norm FROM documents")
 def q_encode_text(spark, d):
     docs = T.table(spark, d, "documents").select("doc_id", "text")
     enc = ML.encode_text(docs, "text")
-    return enc.select("doc_id", F.col("features").isNotNull().alias("encoded"))
+    return enc.select("doc_id", V.norm(vector_to_array("features")).alias("norm"))
 
 
-@register("layer_features")
+@register("layer_features", """
+SELECT doc_id, CAST(n AS INTEGER) AS layer, CASE WHEN length(text) >= n THEN 1.0 ELSE 0.0 END AS norm
+FROM documents, (SELECT unnest([1, 2, 3]) AS n)""")
 def q_layer_features(spark, d):
     docs = T.table(spark, d, "documents").select("doc_id", "text")
-    lf = ML.layer_features(docs, "doc_id", "text")
-    return lf.select("doc_id", "layer", F.col("vec").isNotNull().alias("encoded"))
-
-
-# ---------------------------------------------------------------- trainers (rows-only)
-def _emb_frame(spark, d):
-    e = T.table(spark, d, "embeddings")
-    return e.select("vec_id", "embedding", array_to_vector(F.col("embedding")).alias("features"),
-                    (F.col("label") % 3).cast("double").alias("label"))
-
-
-def _svm_report(spark, d, kernel: bool):
-    data = split_random(_emb_frame(spark, d), "vec_id", Fraction(20, 100), 42).cache()
-    train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
-    if kernel:
-        model = ML.train_kernel_svm(train, "embedding", "label", dim=64, n_components=128, gamma=4.0)
-        test = ML.random_fourier(test, "embedding", "_rff", 64, 128, 4.0, 42)
-    else:
-        model = ML.train_linear_svm(train.coalesce(4), "features", "label")
-    pred = model.transform(test).select(F.col("label").cast("int").alias("gold"),
-                                        F.col("prediction").cast("int").alias("pred"))
-    return M.class_report(pred)
-
-
-@register("train_linear_svm")
+    lf = ML.layer_features(docs, "doc_id", "text", num_features=1 << 10)
+    return lf.select("doc_id", "layer", V.norm(vector_to_array("vec")).alias("norm"))
+
+
+# ---------------------------------------------------------------- trainers: held-out rows by the md5 split
+def _test_sql(src: str, key: str) -> str:
+    """Rows of a key's md5 test part: the first fifth (rounded up) in hash order."""
+    return f"""(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(CAST({key} AS VARCHAR) || ':42'), {key}) AS rn, count(*) OVER () AS c
+            FROM {src}) s WHERE rn - 1 < (c * 20 + 99) // 100)"""
+
+
+def _support(pred, by=()):
+    """``class, support, above_majority`` of gold / pred rows: whether the accuracy reaches the largest class's share."""
+    by = list(by)
+    n = M.pair_counts(pred, by).groupBy(*by, F.col("gold").alias("class")).agg(
+        F.sum("n").alias("support"), F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).alias("hits"))
+    w = Window.partitionBy(*by)          # one row per class
+    ok = F.sum("hits").over(w) >= F.max("support").over(w)
+    return n.select(*by, F.col("class").cast("string").alias("class"), F.col("support").cast("long").alias("support"), ok.alias("above_majority"))
+
+
+def _split_docs(spark, d):
+    docs = T.table(spark, d, "documents").select("doc_id", "lang", "text")
+    return docs.join(split_random(docs.select("doc_id"), "doc_id", Fraction(20, 100), 42), "doc_id")
+
+
+def _lid_predictions(spark, d, layers, kernel: bool, dim: int):
+    """Features per layer -> a linear SVM per layer on the training part -> gold and pred of the test part, by layer."""
+    feats = ML.layer_features(_split_docs(spark, d), "doc_id", "text", layers, dim, keep=["lang", "split"])
+    idx = StringIndexer(inputCol="lang", outputCol="label", handleInvalid="error").fit(feats)
+    data = idx.transform(feats).persist()
+    parts = []
+    for layer in layers:
+        train, test = (data.where((F.col("layer") == layer) & (F.col("split") == x)) for x in ("train", "test"))
+        if kernel:
+            model = ML.train_kernel_svm(train, "vec", "label", dim=dim, n_components=128, gamma=1.0)
+            out = model.transform(ML.random_fourier(test, "vec", "_rff", dim, 128, 1.0, 42))
+        else:
+            out = ML.train_linear_svm(train, "vec", "label").transform(test)
+        lab = F.array(*[F.lit(x) for x in idx.labels])
+        parts.append(out.select(F.lit(layer).alias("layer"), F.col("lang").alias("gold"), F.element_at(lab, F.col("prediction").cast("int") + 1).alias("pred")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_LANG_SQL = f"""
+SELECT lang AS class, CAST(count(*) AS BIGINT) AS support, TRUE AS above_majority FROM {_test_sql('documents', 'doc_id')} GROUP BY lang"""
+
+
+@register("train_linear_svm", _LANG_SQL)
 def q_train_linear_svm(spark, d):
-    return _svm_report(spark, d, kernel=False)
+    return _support(_lid_predictions(spark, d, [2], False, 256).drop("layer"))
 
 
-@register("train_kernel_svm")
+@register("train_kernel_svm", _LANG_SQL)
 def q_train_kernel_svm(spark, d):
-    return _svm_report(spark, d, kernel=True)
+    return _support(_lid_predictions(spark, d, [1], True, 128).drop("layer"))
+
+
+@register("language_id_flow", f"""
+SELECT CAST(n AS INTEGER) AS layer, CAST(count(*) AS BIGINT) AS support, TRUE AS f1_above_half
+FROM {_test_sql('documents', 'doc_id')}, (SELECT unnest([1, 2, 3]) AS n) GROUP BY n""")
+def q_language_id_flow(spark, d):
+    """Layer features -> SVM per layer on the document language -> weighted F1 per layer, in one metric query."""
+    rep = M.class_report(_lid_predictions(spark, d, [1, 2, 3], False, 128), ["layer"]).where(F.col("class") == "weighted avg")
+    return rep.select("layer", "support", (F.col("f1") > 0.5).alias("f1_above_half"))
 
 
 def _labelled_docs(spark, d):
     lab = T.table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
-    docs = T.table(spark, d, "documents").select("doc_id", "text")
-    return split_random(lab.join(docs, "doc_id"), "doc_id", Fraction(20, 100), 42)
+    docs = T.table(spark, d, "documents").select("doc_id", "text", "lang")
+    return lab.join(docs, "doc_id").join(split_random(lab.select("doc_id"), "doc_id", Fraction(20, 100), 42), "doc_id")
 
 
-@register("train_sequence_classifier")
+@register("train_sequence_classifier", f"""
+SELECT CAST(quality AS VARCHAR) AS class, CAST(count(*) AS BIGINT) AS support, TRUE AS above_majority
+FROM {_test_sql('labels', 'doc_id')} GROUP BY quality""")
 def q_train_sequence_classifier(spark, d):
     data = _labelled_docs(spark, d)
     model = ML.train_sequence_classifier(data.where(F.col("split") == "train"), "text", "quality")
     out = model.transform(data.where(F.col("split") == "test"))
-    labels = model.stages[-2].labels
-    pred = F.try_element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
-    return M.class_report(out.select(F.col("quality").alias("gold"), pred.alias("pred")))
+    return _support(out.select(F.col("quality").alias("gold"), ML.decode_prediction(model).alias("pred")))
+
+
+@register("eval_flow", f"""
+SELECT m.lang AS model, t.lang AS test_set, CAST(t.n AS BIGINT) AS support, TRUE AS scored
+FROM (SELECT DISTINCT lang FROM documents) m, (SELECT d.lang, count(*) AS n FROM {_test_sql('labels', 'doc_id')} l JOIN documents d USING (doc_id) GROUP BY d.lang) t""")
+def q_eval_flow(spark, d):
+    """One classifier per corpus (language) scored on every corpus's test set; one metric query over all predictions, with
+    the soft score of the logits and its error beside the hard classes."""
+    data = _labelled_docs(spark, d).persist()
+    corpora = sorted(r.lang for r in T.table(spark, d, "documents").select("lang").distinct().collect())    # the list of corpora
+    preds = None
+    for lang in corpora:
+        model = ML.train_sequence_classifier(data.where((F.col("split") == "train") & (F.col("lang") == lang)), "text", "quality")
+        one = model.transform(data.where(F.col("split") == "test")).select(
+            F.lit(lang).alias("model"), F.col("lang").alias("test_set"), F.col("quality").alias("gold"), ML.decode_prediction(model).alias("pred"),
+            F.element_at(vector_to_array("probability"), -1).alias("soft"))
+        preds = one if preds is None else preds.unionByName(one)
+    g = preds.groupBy("model", "test_set").agg(
+        F.count(F.lit(1)).alias("support"), F.avg((F.col("gold") == F.col("pred")).cast("double")).alias("accuracy"),
+        F.avg(F.abs(F.col("soft") - F.col("gold").cast("double"))).alias("mae"))
+    return g.select("model", "test_set", F.col("support").cast("long").alias("support"), (F.col("accuracy").between(0, 1) & F.col("mae").between(0, 1)).alias("scored"))
 
 
 def _tagger(spark, d):
     toks = R.normalise_tags(R.drop_placeholders(T.doc_tokens(spark, d)))
-    sents = split_random(toks.select("sent_id").distinct(), "sent_id", Fraction(20, 100), 42)
+    sents = split_random(T.table(spark, d, "documents").select(F.col("doc_id").alias("sent_id")), "sent_id", Fraction(20, 100), 42)
     data = toks.join(sents, "sent_id")
-    model = ML.train_token_tagger(data.where(F.col("split") == "train"), max_iter=5)
-    return model, data.where(F.col("split") == "test")
+    return ML.train_token_tagger(data.where(F.col("split") == "train")), data.where(F.col("split") == "test")
+
 
+_TAG_TEST = with_ctes("doc_tokens", extra=f"""
+test AS (SELECT doc_id AS sent_id FROM {_test_sql('documents', 'doc_id')}),
+tt AS (SELECT sent_id, pos, word, CASE tag WHEN 'SYM' THEN 'X' WHEN 'UNK' THEN 'X' WHEN 'CCONJ' THEN 'CONJ' ELSE tag END AS gold
+       FROM doc_tokens JOIN test USING (sent_id) WHERE tag <> '_')""")
 
-@register("train_token_tagger")
+
+@register("train_token_tagger", _TAG_TEST + """
+SELECT gold AS class, CAST(count(*) AS BIGINT) AS support, TRUE AS above_majority FROM tt GROUP BY gold""")
 def q_train_token_tagger(spark, d):
     model, test = _tagger(spark, d)
-    return M.accuracy(ML.predict_tokens(model, test))
+    return _support(ML.predict_tokens(model, test).select("gold", "pred"))
 
 
-@register("predict_tokens")
+@register("predict_tokens", _TAG_TEST + "SELECT sent_id, pos, word, gold, TRUE AS known_tag FROM tt")
 def q_predict_tokens(spark, d):
     model, test = _tagger(spark, d)
-    return ML.predict_tokens(model, test)
+    return ML.predict_tokens(model, test).select("sent_id", "pos", "word", "gold", F.col("pred").isin(ML.labels_of(model)).alias("known_tag"))
 
 
-@register("train_pair_scorer")
+@register("train_pair_scorer", with_ctes("emb_pairs") + f"""
+SELECT pair_id, score / 5.0 AS label, TRUE AS scored FROM {_test_sql('emb_pairs', 'pair_id')}""")
 def q_train_pair_scorer(spark, d):
     pairs = T.emb_pairs(spark, d).withColumn("label", R.scale_score(F.col("score")))
-    model = ML.train_pair_scorer(pairs, "v1", "v2", "label")
-    out = model.transform(ML.pair_features(pairs, "v1", "v2"))
-    return out.select("pair_id", "label", F.col("prediction").alias("predicted"))
+    pairs = pairs.join(split_random(pairs.select("pair_id"), "pair_id", Fraction(20, 100), 42), "pair_id")
+    model = ML.train_pair_scorer(pairs.where(F.col("split") == "train"), "v1", "v2", "label")
+    out = model.transform(ML.pair_features(pairs.where(F.col("split") == "test"), "v1", "v2"))
+    return out.select("pair_id", "label", F.col("prediction").isNotNull().alias("scored"))
 
 
 def _saved_classifier(spark, d):
@@ -207,13 +266,17 @@ def _saved_classifier(spark, d):
     return model, path, data
 
 
-@register("save_model")
+@register("save_model", f"""
+SELECT CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS INTEGER) AS class_index, label
+FROM (SELECT CAST(quality AS VARCHAR) AS label, count(*) AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM {_test_sql('labels', 'doc_id')})
+      GROUP BY quality) x""")
 def q_save_model(spark, d):
-    model, path, data = _saved_classifier(spark, d)
-    return spark.read.json(f"{path}/metadata").select("class", "uid")
+    _, path, _ = _saved_classifier(spark, d)
+    labels = ML.labels_of(load_model(path))
+    return spark.createDataFrame(list(enumerate(labels)), "class_index int, label string")
 
 
-@register("load_model")
+@register("load_model", "SELECT doc_id, TRUE AS same_prediction FROM labels JOIN documents USING (doc_id)")
 def q_load_model(spark, d):
     model, path, data = _saved_classifier(spark, d)
     again = load_model(path)

@@ -14,8 +14,7 @@ from tessera.operators import sequence as S
 from tessera.operators.ordinal import global_ordinal
 from tessera.plans import standins as T
 from tessera.plans.registry import register
-from tessera.plans.sql_standins import tag_sql, with_ctes
-from tessera.functions.vocab import TAG_INDEX
+from tessera.plans.sql_standins import SID_SQL, tag_sql, with_ctes
 
 CORPUS_ORDER = ["en", "es", "de", "fr"]
 MD5_SQL = "md5(CAST({c} AS VARCHAR) || ':42')"
@@ -104,8 +103,7 @@ SELECT lang AS corpus, doc_id, CAST(row_number() OVER (ORDER BY {_CORPUS_RANK},
 FROM documents""")
 def q_concat_corpora(spark, d):
     lc = T.lang_corpora(spark, d).select("corpus", "doc_id")
-    parts = {c: lc.where(F.col("corpus") == c).drop("corpus") for c in CORPUS_ORDER}
-    return O.concat_corpora(parts, ["doc_id"])
+    return O.concat_labelled(lc, CORPUS_ORDER, ["doc_id"])
 
 
 # ---------------------------------------------------------------- joins
@@ -128,9 +126,9 @@ def q_lookup_pairs(spark, d):
     return A.lookup_pairs(T.graph_pairs(spark, d).select("g1"), side_a, side_b, "graph_id")
 
 
-@register("attach_ids", with_ctes("conv_turns") + """
+@register("attach_ids", with_ctes("conv_turns") + f"""
 SELECT CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS ordinal,
-       CAST(conv_id * 100 + turn AS VARCHAR) AS header_id, array_to_string(words, ' ') AS text
+       CAST({SID_SQL.format(c='conv_id')} AS VARCHAR) AS header_id, array_to_string(words, ' ') AS text
 FROM conv_turns""")
 def q_attach_ids(spark, d):
     from tessera.sources import parse as P
@@ -154,19 +152,24 @@ def q_reorder_lookup(spark, d):
     return ranked.join(texts, "sent_id").select("rank", "sent_id", "text")
 
 
-def _turn_text_sql(turn: int) -> str:
-    return f"(SELECT conv_id, array_to_string(words, ' ') AS t FROM conv_turns WHERE turn = {turn})"
+LANGS = ["cs", "en", "es"]
+# every turn is a line: language = turn modulo 3, line = (conversation, turn div 3); a missing language is null
+PARALLEL_SQL = """
+par AS (SELECT conv_id, turn // 3 AS line, """ + ", ".join(
+    f"max(CASE WHEN turn % 3 = {i} THEN array_to_string(words, ' ') END) AS {lang}" for i, lang in enumerate(LANGS)) + """
+        FROM conv_turns GROUP BY conv_id, turn // 3)"""
 
 
-@register("parallel_align", with_ctes("conv_turns") + f"""
-SELECT a.conv_id AS line_no, a.t AS cs, b.t AS en, c.t AS es
-FROM {_turn_text_sql(0)} a JOIN {_turn_text_sql(1)} b ON a.conv_id = b.conv_id
-JOIN {_turn_text_sql(2)} c ON a.conv_id = c.conv_id""")
+def parallel_frames(spark, d):
+    t = T.conv_turn_words(spark, d).select("conv_id", F.floor(F.col("turn") / 3).alias("line"), (F.col("turn") % 3).alias("k"),
+                                           F.array_join("words", " ").alias("text"))
+    return {lang: t.where(F.col("k") == i).select("conv_id", "line", "text") for i, lang in enumerate(LANGS)}
+
+
+@register("parallel_align", with_ctes("conv_turns", extra=PARALLEL_SQL) + """
+SELECT conv_id, CAST(line AS BIGINT) AS line, cs, en, es FROM par""")
 def q_parallel_align(spark, d):
-    t = T.conv_turn_words(spark, d).select("conv_id", "turn", F.array_join("words", " ").alias("text"))
-    frames = {lang: t.where(F.col("turn") == i).select(F.col("conv_id").alias("line_no"), "text")
-              for i, lang in enumerate(["cs", "en", "es"])}
-    return A.parallel_align(frames)
+    return A.parallel_align(parallel_frames(spark, d), ["conv_id", "line"], unmatched="null")
 
 
 @register("cosine_paired", with_ctes("emb_pairs") + """
@@ -284,5 +287,3 @@ def q_assign_batches(spark, d):
     docs = T.table(spark, d, "documents").select("doc_id")
     return S.assign_batches(docs, ["doc_id"], 32)
 
-
-_ = TAG_INDEX  # vocabulary used by the ML catalog

@@ -10,7 +10,7 @@ from tessera.operators import recode as R
 from tessera.operators import sequence as S
 from tessera.plans import standins as T
 from tessera.plans.registry import register
-from tessera.plans.sql_standins import lid_sql, tag_sql, with_ctes
+from tessera.plans.sql_standins import SID_SQL, lid_sql, pick_sql, tag_sql, with_ctes
 from tessera.sources import parse as P
 
 
@@ -133,8 +133,8 @@ def q_token_spans(spark, d):
 # ---------------------------------------------------------------- CoNLL parsers
 def _conv_word_rows():
     """Oracle token rows per (conv_id, turn) block: block_no, pos, word."""
-    return with_ctes("conv_tokens", extra="""
-tok AS (SELECT CAST(sent_id * 100 + turn AS BIGINT) AS block_no, CAST(wpos AS BIGINT) AS pos, word
+    return with_ctes("conv_tokens", extra=f"""
+tok AS (SELECT CAST({SID_SQL.format(c='sent_id')} AS BIGINT) AS block_no, CAST(wpos AS BIGINT) AS pos, word
         FROM conv_tokens)""")
 
 
@@ -168,35 +168,34 @@ def q_project_columns(spark, d):
     return p.select("block_no", F.col("pos").cast("long").alias("pos"), "word", "tag")
 
 
-@register("drop_comments", """
-SELECT CAST(conv_id * 100 + turn AS BIGINT) AS block_no, CAST(2 AS BIGINT) AS n_comment_lines
-FROM conversations""")
+@register("drop_comments", _conv_word_rows() + f"""
+SELECT block_no, pos, word || chr(9) || lower(word) AS form_lemma, {tag_sql('word')} AS tag FROM tok""")
 def q_drop_comments(spark, d):
     b = T.conv_blocks(spark, d, "conllu")
-    lines = b.select("block_no", F.explode(P.block_lines(F.col("block"))).alias("line"))
-    kept = R.drop_comments(lines, "line")
-    n_all = lines.groupBy("block_no").agg(F.count(F.lit(1)).alias("a"))
-    n_kept = kept.groupBy("block_no").agg(F.count(F.lit(1)).alias("k"))
-    return n_all.join(n_kept, "block_no", "left").select(
-        "block_no", (F.col("a") - F.coalesce(F.col("k"), F.lit(0))).cast("long").alias("n_comment_lines"))
+    lines = b.select("block_no", F.posexplode(P.block_lines(F.col("block"))).alias("line_no", "line"))
+    kept = R.drop_comments(lines, "line").where(F.col("line") != "")
+    f = F.split("line", "\t")
+    # two header lines per block come first, so a kept line's position is its token id
+    return kept.select("block_no", (f[0].cast("long") - 1).alias("pos"), F.concat_ws("\t", f[1], f[2]).alias("form_lemma"),
+                       f[3].alias("tag"))
 
 
 @register("parse_labelled_conll", with_ctes("conv_turns") + f"""
-SELECT CAST(conv_id * 100 + turn AS BIGINT) AS block_no, array_to_string(words, ' ') AS text,
-       ['positive', 'neutral', 'negative', 'other'][CAST((conv_id + turn) % 4 AS INTEGER) + 1] AS label
+SELECT CAST({SID_SQL.format(c='conv_id')} AS BIGINT) AS block_no, array_to_string(words, ' ') AS text,
+       {pick_sql(T.SENTIMENT_RULE, 'conv_id + turn')} AS label
 FROM conv_turns""")
 def q_parse_labelled_conll(spark, d):
     return P.parse_labelled_conll(T.conv_blocks(spark, d, "sentiment")).select("block_no", "text", "label")
 
 
-@register("parse_meta_conll", with_ctes("conv_turns") + """
-SELECT CAST(conv_id * 100 + turn AS BIGINT) AS block_no, array_to_string(words, ' ') AS text FROM conv_turns""")
+@register("parse_meta_conll", with_ctes("conv_turns") + f"""
+SELECT CAST({SID_SQL.format(c='conv_id')} AS BIGINT) AS block_no, array_to_string(words, ' ') AS text FROM conv_turns""")
 def q_parse_meta_conll(spark, d):
     return P.parse_meta_conll(T.conv_blocks(spark, d, "meta")).select("block_no", "text")
 
 
-@register("extract_header_ids", """
-SELECT CAST(conv_id * 100 + turn AS BIGINT) AS block_no, CAST(conv_id * 100 + turn AS VARCHAR) AS header_id
+@register("extract_header_ids", f"""
+SELECT CAST({SID_SQL.format(c='conv_id')} AS BIGINT) AS block_no, CAST({SID_SQL.format(c='conv_id')} AS VARCHAR) AS header_id
 FROM conversations""")
 def q_extract_header_ids(spark, d):
     return P.extract_header_ids(T.conv_blocks(spark, d, "conllu"), "sent_id").select("block_no", "header_id")

@@ -14,9 +14,11 @@ ROUND_COLS = {
     'class_report': ['precision', 'recall', 'f1'],
     'cosine_mse': ['cosine_mse'],
     'cosine_paired': ['cosine'],
+    'encode_text': ['norm'],
     'epoch_summary': ['train_loss', 'valid_loss'],
     'eval_matrix': ['accuracy', 'macro_f1', 'weighted_f1'],
     'first_pool': ['value'],
+    'layer_features': ['norm'],
     'mean_over_seeds': ['mean_f1', 'std_f1'],
     'mean_pool': ['value'],
     'micro_scores': ['micro_precision', 'micro_recall', 'micro_f1'],
@@ -27,6 +29,7 @@ ROUND_COLS = {
     'softmax_expected': ['score'],
     'sorted_pairs': ['score_sorted', 'cosine_sorted'],
     'spearman': ['spearman'],
+    'train_pair_scorer': ['label'],
     'weighted_f1': ['weighted_f1'],
     'write_metrics': ['accuracy'],
 }

@@ -7,7 +7,7 @@ Spark code on purpose - the two must agree only on results.
 
 from __future__ import annotations
 
-from tessera.plans.standins import EVENT_SHIFT, LID_RULE, MODELS, SENTIMENT_RULE, TAG_RULE
+from tessera.plans.standins import EVENT_SHIFT, LID_RULE, MODELS, SENTIMENT_RULE, TAG_RULE, TURN_BITS
 
 
 def _list(values) -> str:
@@ -32,6 +32,8 @@ def lid_sql(w: str) -> str:
 
 _SHIFT_CASE = "CASE " + " ".join(f"WHEN {{g}} = '{k}' THEN '{v}'" for k, v in EVENT_SHIFT.items()) + " END"
 
+SID_SQL = f"(CAST({{c}} AS BIGINT) * {1 << TURN_BITS} + turn)"
+
 CTES: dict[str, str] = {
     "conv_turns": f"""
 conv_turns AS (
@@ -84,8 +86,14 @@ emb_pairs AS (
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)""",
     "emb_logits": """
 emb_logits AS (
-  SELECT vec_id AS id, CAST(embedding[1:3] AS DOUBLE[]) AS logits, CAST(label % 3 AS INTEGER) AS gold
+  SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS logits, label, CAST(label % 3 AS INTEGER) AS gold
   FROM embeddings)""",
+    "emb_soft": """
+emb_soft AS (
+  SELECT id, [coalesce(list_sum(list_transform(range(1, len(logits) + 1), lambda i: CASE WHEN (i - 1) % 3 = 0 THEN logits[i] ELSE 0.0 END)), 0.0),
+              coalesce(list_sum(list_transform(range(1, len(logits) + 1), lambda i: CASE WHEN (i - 1) % 3 = 1 THEN logits[i] ELSE 0.0 END)), 0.0),
+              coalesce(list_sum(list_transform(range(1, len(logits) + 1), lambda i: CASE WHEN (i - 1) % 3 = 2 THEN logits[i] ELSE 0.0 END)), 0.0)] AS logits, gold
+  FROM emb_logits)""",
     "emb_tokens": """
 emb_tokens AS (
   SELECT CAST(vec_id // 5 AS BIGINT) AS sent_id, CAST(vec_id % 5 AS INTEGER) AS pos, embedding AS vec,
@@ -93,8 +101,13 @@ emb_tokens AS (
   FROM embeddings)""",
     "order_graphs": """
 order_graphs AS (
-  SELECT DISTINCT l_orderkey AS graph_id, CAST(l_suppkey % 7 AS INTEGER) AS u, CAST(l_partkey % 7 AS INTEGER) AS v
-  FROM lineitem WHERE l_suppkey % 7 <> l_partkey % 7)""",
+  SELECT l_orderkey AS graph_id, CAST(l_suppkey AS BIGINT) AS u, CAST(l_partkey AS BIGINT) AS v,
+         CAST(min(l_linenumber) AS BIGINT) AS pos
+  FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY ALL)""",
+    "customer_graphs": """
+customer_graphs AS (
+  SELECT o_custkey AS graph_id, CAST(o_orderkey AS BIGINT) AS u, -CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS v
+  FROM orders)""",
     "graph_pairs": """
 graph_pairs AS (
   SELECT a.graph_id AS g1, b.graph_id AS g2
@@ -106,6 +119,7 @@ DEPENDS = {
     "conv_tokens": ["conv_turns"],
     "model_grid": ["event_preds"],
     "graph_pairs": ["order_graphs"],
+    "emb_soft": ["emb_logits"],
 }
 
 

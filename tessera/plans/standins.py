@@ -9,19 +9,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tessera.functions.vocab import LANG_LABEL_INDEX, PAD_TAG, SENTIMENT_INDEX, TAG_INDEX, TAG_RENAMES
 from tessera.operators.ordinal import prefix_sum
 
-# invented rule tables (not vocabularies of the studied corpora)
-TAG_RULE = ["X", "PART", "AUX", "PUNCT", "CONJ", "PRON", "INTJ", "NOUN", "VERB", "NUM",
-            "SCONJ", "DET", "PROPN", "ADP", "ADV", "ADJ", "SYM", "UNK", "CCONJ", "_"]
-LID_RULE = ["lang1", "lang2", "other", "ne", "unk", "ambiguous", "mixed", "fw", "xx"]
-SENTIMENT_RULE = ["positive", "neutral", "negative", "other"]
+# rule tables: the fixed vocabularies plus values that the operators must map or drop
+TAG_RULE = [t for t in TAG_INDEX if t != PAD_TAG] + [*TAG_RENAMES, "_"]
+LID_RULE = [*LANG_LABEL_INDEX, "no-such-label"]
+SENTIMENT_RULE = [*SENTIMENT_INDEX, "other"]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 # pred shift for event_preds: 'signup' is never a prediction
 EVENT_SHIFT = {"click": "view", "error": "click", "purchase": "error", "signup": "purchase",
                "view": "purchase"}
 MODELS = ["mbert", "xlmr", "beto"]
 WS_CLASS = "[\t\n\r ]+"
+TURN_BITS = 24  # a block number is conv_id * 2^24 + turn, so it is unique and in (conv_id, turn) order
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +78,7 @@ def conv_blocks(spark, d, fmt: str = "lid") -> DataFrame:
     ``conllu`` (headers + 10 columns), ``meta`` (``meta`` header, word<SPACE>x).
     """
     c = table(spark, d, "conversations").select("conv_id", "turn", "role", words_of(F.col("text")).alias("words"))
-    sid = (F.col("conv_id") * 100 + F.col("turn")).cast("long")
+    sid = F.col("conv_id").cast("long") * (1 << TURN_BITS) + F.col("turn")
     w = F.col("words")
     if fmt == "lid":
         header = F.array(F.concat(F.lit("# sent_enum = "), sid.cast("string")))
@@ -186,10 +187,17 @@ def emb_pairs(spark, d) -> DataFrame:
 def emb_logits(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("id"),
-                    F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("logits"),
+                    F.transform("embedding", lambda x: x.cast("double")).alias("logits"), "label",
                     (F.col("label") % 3).cast("int").alias("gold"))
 
 
+def emb_soft(spark, d) -> DataFrame:
+    """Three class logits per vector: the sums of the elements at positions 0, 1 and 2 modulo 3 of the whole vector."""
+    e = emb_logits(spark, d)
+    part = lambda k: F.aggregate(F.filter("logits", lambda _, i: i % 3 == k), F.lit(0.0), lambda s, x: s + x)
+    return e.select("id", F.array(part(0), part(1), part(2)).alias("logits"), "gold")
+
+
 def emb_tokens(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")
     return e.select((F.col("vec_id") / 5).cast("long").alias("sent_id"),
@@ -201,11 +209,21 @@ def emb_tokens(spark, d) -> DataFrame:
 
 # ---------------------------------------------------------------- graphs
 def order_graphs(spark, d) -> DataFrame:
-    """Edge table ``(graph_id, u, v)`` from lineitem: u, v = supplier / part key modulo 7."""
+    """Edge table ``(graph_id, u, v, pos)`` from lineitem: an order's graph links supplier and part keys.
+
+    ``pos`` is the first line that has the edge. Edges of a key to itself are left out.
+    """
     li = table(spark, d, "lineitem")
-    return (li.select(F.col("l_orderkey").alias("graph_id"), (F.col("l_suppkey") % 7).cast("int").alias("u"),
-                      (F.col("l_partkey") % 7).cast("int").alias("v"))
-            .where(F.col("u") != F.col("v")).dropDuplicates(["graph_id", "u", "v"]))
+    return (li.select(F.col("l_orderkey").alias("graph_id"), F.col("l_suppkey").cast("long").alias("u"),
+                      F.col("l_partkey").cast("long").alias("v"), F.col("l_linenumber").cast("long").alias("pos"))
+            .where(F.col("u") != F.col("v")).groupBy("graph_id", "u", "v").agg(F.min("pos").alias("pos")))
+
+
+def customer_graphs(spark, d) -> DataFrame:
+    """Edge table ``(graph_id, u, v)``: a customer's graph links the order keys to their order days (graphs of 1 to some 30 edges)."""
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").cast("long").alias("u"),
+                    (-F.datediff("o_orderdate", F.lit("1970-01-01").cast("date"))).cast("long").alias("v"))
 
 
 def graph_pairs(spark, d) -> DataFrame:

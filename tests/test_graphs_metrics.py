@@ -86,3 +86,31 @@ def test_splits_cover_and_lose_at_most_one(spark):
     assert counts == {"train": 1394, "valid": 245}
     rs = O.split_random(df, "k", Fraction(20, 100))
     assert rs.where(F.col("split") == "test").count() == 372
+
+
+def test_null_values_and_masked_sentences_keep_their_rows(spark):
+    r = M.average_rank(spark.createDataFrame([(1, 5.0), (2, None), (3, None), (4, 7.0)], "id long, v double"), "v", "id")
+    assert {x.id: x["rank"] for x in r.collect()} == {2: 1.5, 3: 1.5, 1: 3.0, 4: 4.0}
+    t = spark.createDataFrame([(1, [1.0, 2.0], 1), (1, [3.0, 6.0], 1), (1, [9.0, 9.0], 0), (2, [5.0, 5.0], 0), (None, [1.0, 1.0], 1)],
+                              "s long, vec array<double>, mask int")
+    assert {x.s: (x.mean_vec, x.n_tokens) for x in M.mean_pool(t, ["s"]).collect()} == {1: ([2.0, 4.0], 2), 2: (None, 0), None: ([1.0, 1.0], 1)}
+
+
+def test_class_report_reads_its_input_once(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("gold"), (F.col("id") % 2).alias("pred"))
+    df.write.mode("overwrite").parquet(path := spark.conf.get("spark.checkpoint.dir", "/tmp") + "/report-input")
+    rep = M.class_report(spark.read.parquet(path))
+    rep.collect()
+    plan = rep._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan
+
+
+def test_first_n_and_sample_beyond_one_task(spark, monkeypatch):
+    df = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 2).alias("g"))
+    for limit in (1_000_000, 5):
+        monkeypatch.setattr(O, "TASK_ROWS", limit)
+        assert sorted((r.k, r.ordinal) for r in O.first_n(df, ["k"], 10).collect()) == [(i, i) for i in range(10)]
+        assert sorted((r.g, r.k, r.ordinal) for r in O.first_n(df, ["k"], 7, ["g"]).collect()) == [(g, 2 * i + g, i) for g in (0, 1) for i in range(7)]
+    a = {r.k for r in O.sample_n(df, "k", 20).collect()}
+    monkeypatch.setattr(O, "TASK_ROWS", 1000)
+    assert a == {r.k for r in O.sample_n(df, "k", 20).collect()} and len(a) == 20

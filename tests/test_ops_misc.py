@@ -35,7 +35,7 @@ def test_strict_tag_lookup_raises_and_lenient_modes(spark):
             .select(R.normalise_tag(F.col("t"))).collect()] == ["X", "CONJ", "ADJ"]
 
 
-def test_pluggable_encoder_batches_and_failed_batch_is_null(spark):
+def test_pluggable_encoder_keeps_good_rows_of_a_failed_batch(spark):
     def make_encoder():
         def predict(texts):
             if any(t.startswith("boom") for t in texts):
@@ -44,10 +44,10 @@ def test_pluggable_encoder_batches_and_failed_batch_is_null(spark):
         return predict
 
     df = spark.createDataFrame([(1, "a b c"), (2, "hello"), (3, "boom x")], "id long, text string").coalesce(1)
-    ok = ML.encode_text(df.where("id < 3"), "text", "vec", encoder=make_encoder, batch_size=2, dim=2)
-    assert {r.id: list(r.vec) for r in ok.collect()} == {1: [5.0, 2.0], 2: [5.0, 0.0]}
-    bad = ML.encode_text(df, "text", "vec", encoder=make_encoder, batch_size=8, dim=2).collect()
-    assert all(r.vec is None or any(np.isnan(v) for v in r.vec) for r in bad)
+    ML.register_encoder("lengths", make_encoder)
+    got = {r.id: (r.vec, r.vec_error) for r in ML.encode_text(df, "text", "vec", encoder="lengths", batch_size=8).collect()}
+    assert got[1] == ([5.0, 2.0], None) and got[2] == ([5.0, 0.0], None)
+    assert got[3] == (None, "RuntimeError: encoder failure")
 
 
 def test_resume_stream_processes_each_file_once(spark, tmp_path):
@@ -112,14 +112,95 @@ def test_predict_similarity_identity_and_disjoint(spark):
 _ = PySparkException
 
 
-def test_longest_match_splitter_rebuilds_words(spark):
+def test_longest_match_pieces_rebuild_words(spark):
     from tessera.plans.catalog_ml import subword_align
     vocab = ["un", "##aff", "##able", "##a", "##b", "##l", "##e", "hola", "h", "##o", "##la", "x"]
-    split = ML.longest_match_splitter(vocab)
     toks = spark.createDataFrame([(1, 0, "unaffable", "ADJ"), (1, 1, "hola", "INTJ"), (1, 2, "qq", "X"),
                                   (2, 0, "hola", "INTJ")], "sent_id long, pos long, word string, tag string")
-    s = subword_align(toks, splitter=split).orderBy("sent_id", "pos", "piece_no").collect()
+    split = ML.longest_match_pieces(toks, spark.createDataFrame([(p,) for p in vocab], "piece string"))
+    s = subword_align(toks, pieces=split).orderBy("sent_id", "pos", "piece_no").collect()
     first = [(r.piece, r.piece_tag, r.is_head) for r in s if r.sent_id == 1 and r.pos == 0]
     assert first == [("un", "ADJ", 1), ("##aff", "<pad>", 0), ("##able", "<pad>", 0)]
     assert [r.piece for r in s if r.pos == 2] == ["[UNK]"]
     assert [r.piece for r in s if r.sent_id == 2] == ["hola"]
+
+
+def test_delimited_round_trip_keeps_quotes_separators_and_line_ends(spark, tmp_path):
+    from tessera.sources.sinks import write_csv, write_delimited
+    texts = ['a "quoted" text', "two\nlines", "tab\there", "back\\slash \\n", "cr\rlf\r\n", "", None, " spaces ", "\\", "a,b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for i, (write, sep) in enumerate([(lambda d, p: write_delimited(d, p), "\t"), (write_csv, ","), (lambda d, p: write_delimited(d, p, "|"), "|")]):
+        path = str(tmp_path / f"d{i}")
+        write(df, path)
+        back = B.scan_delimited(spark, path, "id long, text string", sep=sep, escaped=True)
+        assert {r.id: r.text for r in back.collect()} == dict(enumerate(texts))
+
+
+def test_scans_keep_file_order_over_splits_and_many_files(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    want = []
+    for f in (9, 10, 99999, 100000):
+        rows = [f"{f}-{i} " + "x" * (i % 7) for i in range(300)]
+        (d / f"part-{f}.txt").write_text("".join(r + "\n\n" for r in rows))
+        want += rows
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        blocks = B.scan_blocks(spark, str(d))
+        got = sorted((int(r.file.rsplit("part-", 1)[1][:-4]), r.block_no, r.block) for r in blocks.collect())
+        assert [g[2] for g in got] == want and [g[1] for g in got] == list(range(300)) * 4
+        lines = B.scan_lines(spark, str(d)).where("text <> ''").orderBy("line_no").collect()
+        assert [r.text for r in lines] == want
+        plan = blocks._jdf.queryExecution().executedPlan().toString()
+        assert "value" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (d / "part-5.txt").write_text("a\n\n\n\nb\n\n")
+    assert B.scan_blocks(spark, str(d / "part-5.txt"), keep_empty=True).count() == 3
+
+
+def test_cluster_without_checkpoint_folder_fails(monkeypatch):
+    from types import SimpleNamespace
+
+    from tessera.session import ensure_checkpoint_dir
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://x:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(fake)
+
+
+def test_unseen_labels_add_no_class(spark):
+    rows = [(i, "good day " * 3 if i % 2 else "bad night " * 3, "ab"[i % 2]) for i in range(20)]
+    model = ML.train_sequence_classifier(spark.createDataFrame(rows, "id long, text string, label string"), "text", "label", max_iter=5)
+    assert sorted(ML.labels_of(model)) == ["a", "b"] and model.stages[-1].numClasses == 2
+    out = model.transform(spark.createDataFrame([(1, "good day", "z")], "id long, text string, label string"))
+    assert out.select(ML.decode_prediction(model)).first()[0] in ("a", "b")
+
+
+def test_attach_by_ordinal_fails_on_unequal_lengths(spark):
+    a = spark.createDataFrame([(0, "x"), (1, "y")], "ordinal long, a string")
+    b = spark.createDataFrame([(0, "N")], "ordinal long, b string")
+    with pytest.raises(Exception, match="differ in length"):
+        A.attach_by_ordinal(a, b).collect()
+    frames = {"en": a.withColumnRenamed("a", "text").withColumnRenamed("ordinal", "line_no"), "es": b.withColumnRenamed("b", "text").withColumnRenamed("ordinal", "line_no")}
+    with pytest.raises(Exception, match="differ in length"):
+        A.parallel_align(frames).collect()
+    assert {tuple(r) for r in A.parallel_align(frames, unmatched="null").collect()} == {(0, "x", "N"), (1, "y", None)}
+
+
+def test_resume_pairs_fails_on_a_broken_schema(spark, tmp_path):
+    from tessera.operators.graphs import resume_pairs
+    work = spark.createDataFrame([(1, 2), (2, 3)], "g1 long, g2 long")
+    out = str(tmp_path / "done")
+    assert resume_pairs(work.limit(1), out, lambda d: d).count() == 1
+    assert resume_pairs(work, out, lambda d: d).count() == 2
+    broken = str(tmp_path / "broken")
+    spark.createDataFrame([(1,)], "other long").write.parquet(broken)
+    with pytest.raises(Exception):
+        resume_pairs(work, broken, lambda d: d)
+
+
+def test_meta_blocks_drop_the_dangling_tail(spark):
+    b = spark.createDataFrame([("f", 0, "noise x\nmeta 1\na x\nb x", True), ("f", 1, "metadata 2\nc x", True), ("f", 2, "meta 3\nd x\n", False)],
+                              "file string, block_no long, block string, closed boolean")
+    texts = lambda **k: [r.text for r in P.parse_meta_conll(b, **k).orderBy("block_no").collect()]
+    assert texts() == ["a b", "metadata c"] and texts(compat=True) == ["a b", "c"] and texts(dangling="keep")[-1] == "d"

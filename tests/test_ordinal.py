@@ -1,5 +1,6 @@
 """Two-phase ordinals, bucketed running sums and carries against plain windows."""
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from tessera.operators.ordinal import carry_forward, global_ordinal, prefix_sum
@@ -33,3 +34,20 @@ def test_carry_forward_bucketed_matches_window(spark):
     w = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ref = got.withColumn("r", F.last("h", ignorenulls=True).over(w))
     assert ref.where(~F.col("r").eqNullSafe(F.col("c"))).count() == 0
+
+
+def test_null_keys_stay(spark):
+    df = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), (None, 0, 5), (None, 1, 7)], "k string, pos long, v long")
+    for bucket in (None, F.floor(F.col("pos") / 1)):
+        got = {(r.k, r.pos): r.s for r in prefix_sum(df, ["k"], ["pos"], {"s": F.col("v")}, bucket=bucket).collect()}
+        assert got == {("a", 0): 0, ("a", 1): 1, (None, 0): 0, (None, 1): 5}
+        c = carry_forward(df, ["k"], ["pos"], F.when(F.col("pos") == 0, F.col("v")), "c", bucket=bucket)
+        assert {(r.k, r.pos): r.c for r in c.collect()} == {("a", 0): 1, ("a", 1): 1, (None, 0): 5, (None, 1): 5}
+
+
+def test_order_expressions_are_refused(spark):
+    df = spark.range(5).withColumn("v", F.col("id"))
+    with pytest.raises(TypeError):
+        global_ordinal(df, ["id", F.desc("v")])
+    got = global_ordinal(df, ["id"], name="o", total="n").collect()
+    assert {r.n for r in got} == {5}
