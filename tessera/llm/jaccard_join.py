@@ -14,7 +14,7 @@ sets; overlaps are not changed by that.
    compatible sizes and skips entries by their position in the set, whose rest bounds the overlap.
 4. *Answers of similar sets.* In every block all sets are compared with the block's smallest id
    only, and linked ones form classes with a centre. Lists whose sets are all of one class are
-   done. Elsewhere a set is compared with the centres of the other classes. Jaccard distance is a
+   done. Elsewhere a set is compared with the centres of the larger classes. Jaccard distance is a
    metric, so a set farther from a centre than a quarter plus the class's radius links with no
    member and the whole class is skipped. For the others, overlaps with the members are derived from the
    overlap with the centre: only the differences between member and centre are looked up.
@@ -225,7 +225,7 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``c, o, inter, dist``: exact overlap and Jaccard distance of every pair (centre c, other o)."""
+    """``c, o, inter, either, dist``: exact overlap, union and Jaccard distance of every pair (centre c, other o)."""
     p = _salted(pairs.select("c", "o").distinct())
     others = p.join(sets.select(F.col("id").alias("o"), "n", "toks"), "o").select("c", "salt", F.lit(1).alias("kind"), "o", "n", "toks")
     heads = p.select("c", "salt").distinct().join(sets.select(F.col("id").alias("c"), "n", "toks"), "c").select(
@@ -242,11 +242,11 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     head = (n, t)
                 else:
                     k = _overlap(head[1], t)
-                    res.append((c, o, k, 1.0 - k / (head[0] + n - k)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in res], ty) for i, ty in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
-                                             names=["c", "o", "inter", "dist"])
+                    res.append((c, o, k, head[0] + n - k, 1.0 - k / (head[0] + n - k)))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in res], ty) for i, ty in enumerate(types)], names=["c", "o", "inter", "either", "dist"])
 
-    return rows.mapInArrow(run, "c long, o long, inter long, dist double")
+    return rows.mapInArrow(run, "c long, o long, inter long, either long, dist double")
 
 
 def _linked(inter, n, m) -> bool:
@@ -299,6 +299,50 @@ def _members(open_: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``c, o, dist, link``: distance of every pair, and whether it links."""
+    c = compare(pairs, sets)
+    link = DEN * F.col("inter") >= NUM * F.col("either")
+    return c.select("c", "o", "dist", link.alias("link"))
+
+
+def _cross_links(post: DataFrame, sets: DataFrame, comp: DataFrame, several: bool) -> DataFrame:
+    """Links between sets of different classes that share a list.
+
+    A set asks the classes that are larger than its own (by number of sets, then by name), so that of
+    two classes only the smaller one's sets ask. ``several``: classes of more than one set only.
+    """
+    near = (DEN - NUM) / DEN
+    sizes = comp.groupBy("comp").agg(F.count("*").alias("size"))
+    lab = post.join(comp.join(sizes, "comp").withColumnRenamed("node", "id"), "id", "left").withColumns(
+        {"comp": F.coalesce("comp", "id"), "size": F.coalesce("size", F.lit(1))})
+    mixed = lab.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("tok")
+    lab = pinned(lab.join(mixed, "tok"), "jaccard-mixed")
+    probe = lab.select("tok", F.explode(F.array(F.col("blk") - 1, F.col("blk"), F.col("blk") + 1)).alias("blk"), "id", "n", "i", "pos",
+                       F.struct("size", "comp").alias("own"))
+    # of a class in a block: the best position and the sizes, so that the class is skipped if no entry can reach the overlap
+    index = (lab.filter("size > 1") if several else lab).groupBy("tok", "blk", F.struct("size", "comp").alias("cls")).agg(
+        F.max("n").alias("hi"), F.min("n").alias("lo"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("i").alias("before"))
+    # before this n-gram at most ``i`` can be shared (those of one document alone cannot), from it on what is left
+    least = NUM * (F.col("n") + F.greatest(F.col("lo"), F.ceil(F.col("n") * NUM / DEN))) / (NUM + DEN)
+    reach = F.least(F.col("i"), F.col("before")) + F.least(F.col("n") - F.col("pos"), F.col("rest"))
+    ask = probe.join(index, ["tok", "blk"]).filter("own < cls").filter((DEN * F.col("hi") >= NUM * F.col("n")) & (DEN * F.col("n") >= NUM * F.col("lo"))).filter(
+        reach >= least - _EPS).groupBy(F.col("cls.comp").alias("c"), F.col("id").alias("o")).agg(
+        F.count("*").alias("shared"), F.max("n").alias("n"), F.max("hi").alias("hi"), F.min("lo").alias("lo"))
+    # two sets share at most the n-grams that stand in the rarest quarter of both, and what follows that quarter in one of them
+    follow = F.ceil(F.greatest(F.col("n"), F.col("hi")) * NUM / DEN) - 1
+    ask = pinned(ask.filter(F.col("shared") + follow >= least - _EPS).select("c", "o"), "jaccard-ask")
+    both = pinned(_compared(ask, sets), "jaccard-centres")
+    direct = both.filter("link").select(F.col("c").alias("a"), F.col("o").alias("b"))
+    apart = both.filter("NOT link")
+    # distances of the members of the classes that are asked, and by that the radius of each class
+    inside = comp.filter("node <> comp").join(ask.select(F.col("c").alias("comp")).distinct(), "comp").select(F.col("comp").alias("c"), F.col("node").alias("o"))
+    ring = pinned(compare(inside, sets).select("c", "o", "dist"), "jaccard-rings")
+    radius = ring.groupBy("c").agg(F.max("dist").alias("radius"))
+    open_ = apart.join(radius, "c").filter(F.col("dist") <= near + F.col("radius") + _EPS).select("c", "o", "dist")
+    return direct.unionByName(_members(pinned(open_, "jaccard-open"), ring, sets))
+
+
 def similarity_classes(docs: DataFrame, n: int = WORDS, shards: int | None = None, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (columns doc_id, text).
 
@@ -327,7 +371,7 @@ def similarity_classes(docs: DataFrame, n: int = WORDS, shards: int | None = Non
     base = reps.select(F.col("node").alias("id"), "n", "toks")
     block = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).cast("int")
     post = reps.select(F.col("node").alias("id"), "n", block.alias("blk"), F.posexplode("pre").alias("i", "tok"), "first").select(
-        "tok", "blk", "id", "n", (F.col("i") + F.col("first")).alias("pos"))
+        "tok", "blk", "id", "n", "i", (F.col("i") + F.col("first")).alias("pos"))
     post = pinned(post, "jaccard-lists")
 
     # answers of each block's smallest id
@@ -335,36 +379,11 @@ def similarity_classes(docs: DataFrame, n: int = WORDS, shards: int | None = Non
     head = post.groupBy("tok", "blk").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("k")).filter("k > 1").select("tok", "blk", "h")
     star = post.join(head, ["tok", "blk"]).filter(F.col("id") != F.col("h.id")).filter(size_ok(F.col("n"), F.col("h.n"))).select(
         F.col("h.id").alias("c"), F.col("id").alias("o"))
-    near = DEN - NUM
-    links = pinned(compare(star, base).filter(F.col("dist") <= near / DEN + _EPS).join(base.select(F.col("id").alias("c"), F.col("n").alias("nc")), "c").join(
-        base.select(F.col("id").alias("o"), F.col("n").alias("no")), "o").filter(DEN * F.col("inter") >= NUM * (F.col("nc") + F.col("no") - F.col("inter"))).select(
-        F.col("c").alias("a"), F.col("o").alias("b")), "jaccard-links")
-    comp = components(links)
-
-    # lists with sets of more than one class
-    lab = post.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = lab.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("tok")
-    lab = pinned(lab.join(mixed, "tok"), "jaccard-mixed")
-    probe = lab.select("tok", F.explode(F.array(F.col("blk") - 1, F.col("blk"), F.col("blk") + 1)).alias("blk"), "id", "n", "pos", "comp")
-    # of a class in a block: the best position and the sizes, so that the class is skipped if no entry can reach the overlap
-    index = lab.groupBy("tok", "blk", "comp").agg(F.max(F.col("n")).alias("hi"), F.min("n").alias("lo"), F.max(F.col("n") - F.col("pos")).alias("rest"),
-                                                  F.max("pos").alias("before")).withColumnRenamed("comp", "c")
-    least = NUM * (F.col("n") + F.greatest(F.col("lo"), F.ceil(F.col("n") * NUM / DEN))) / (NUM + DEN)
-    reach = F.least(F.col("pos"), F.col("before")) + F.least(F.col("n") - F.col("pos"), F.col("rest"))
-    ask = probe.join(index, ["tok", "blk"]).filter("c <> comp").filter((DEN * F.col("hi") >= NUM * F.col("n")) & (DEN * F.col("n") >= NUM * F.col("lo"))).filter(
-        reach >= least - _EPS).select("c", F.col("id").alias("o")).distinct()
-    ask = pinned(ask, "jaccard-ask")
-    to_centre = pinned(compare(ask, base), "jaccard-centres")
-    # radius of the classes that are asked: distances of their members to the centre
-    inside = comp.filter("node <> comp").join(ask.select(F.col("c").alias("comp")).distinct(), "comp").select(F.col("comp").alias("c"), F.col("node").alias("o"))
-    ring = pinned(compare(inside, base), "jaccard-rings")
-    radius = ring.groupBy("c").agg(F.max("dist").alias("radius"))
-    sized = to_centre.join(base.select(F.col("id").alias("c"), F.col("n").alias("nc")), "c").join(base.select(F.col("id").alias("o"), F.col("n").alias("no")), "o")
-    is_link = DEN * F.col("inter") >= NUM * (F.col("nc") + F.col("no") - F.col("inter"))
-    direct = sized.filter(is_link).select(F.col("c").alias("a"), F.col("o").alias("b"))
-    open_ = sized.filter(~is_link).join(radius, "c").filter(F.col("dist") <= near / DEN + F.col("radius") + _EPS).select("c", "o", "dist")
-    derived = _members(pinned(open_, "jaccard-open"), ring.select("c", "o", "dist"), base)
-    final = components(links.unionByName(direct).unionByName(derived).unionByName(alias).unionByName(same))
+    links = pinned(_compared(star, base).filter("link").select(F.col("c").alias("a"), F.col("o").alias("b")), "jaccard-links")
+    # first against classes of several sets, which draws most of the rest in; then among all that are left
+    for several in (True, False):
+        links = pinned(links.unionByName(_cross_links(post, base, components(links), several)), "jaccard-links")
+    final = components(links.unionByName(alias).unionByName(same))
     # alias nodes (second sets of a repeated doc_id) give no name
     name = final.join(alias.select(F.col("a").alias("node")).distinct(), "node", "left_anti").groupBy("comp").agg(F.min("node").alias("name"))
     final = final.join(name, "comp").select(F.col("node").alias("id"), "name")
