@@ -42,9 +42,10 @@ class Walk:
             nxt = at[np.searchsorted(at, np.arange(PERIOD))]
             self.stay.append(np.minimum(nxt - np.arange(PERIOD) + 1, MAX_STAY).astype(np.uint8).tobytes())
         self.salt = mix64(rng.integers(1, 1 << 62, slots).astype(np.uint64))
-        self.records = [self._records(rng) for _ in range(slots)]
-        self.flat = np.concatenate(self.records)
-        self.first = np.cumsum([0] + [len(r) for r in self.records])
+        records = [self._records(rng) for _ in range(slots)]
+        self.records = np.full((slots, max(map(len, records))), np.iinfo(np.int64).max)
+        for i, r in enumerate(records):
+            self.records[i, :len(r)] = r
 
     @staticmethod
     def _records(rng, upto: float = 1e13) -> np.ndarray:
@@ -58,7 +59,7 @@ class Walk:
 
     def sampled(self, length: int) -> np.ndarray:
         """For each slot the last record step below ``length``."""
-        return np.array([r[np.searchsorted(r, length) - 1] for r in self.records])
+        return self.records[np.arange(self.slots), (self.records < length).sum(1) - 1]
 
 
 def symbols(text: str) -> np.ndarray:
