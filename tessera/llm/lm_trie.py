@@ -17,7 +17,8 @@ Smoothing is a hierarchy of Dirichlet priors, so every level sums to one:
 ``P(w | h) = (c(h w) + mu * P(w | h')) / (c(h) + mu)``, ending in ``(c(w) + 0.5) / (N + 0.5 (V + 1))``.
 
 Counting: chunks send, by hash range, their sorted n-gram keys with counts to counting shards, and
-get back one number per key, in the same order. A frequent n-gram is one key per chunk, so no
+get back one number per key, in the same order. From the third order on only n-grams whose two
+halves occur in other chunks are sent; the others' counts are known from the chunk. A frequent n-gram is one key per chunk, so no
 shard grows with its frequency. What is sent grows with the corpus; nothing of it passes the driver
 except N and V.
 """
@@ -132,32 +133,89 @@ def _ranges(keys: np.ndarray, bits: int, shards: int) -> tuple[np.ndarray, np.nd
     return order, np.searchsorted(top, np.arange(shards + 1, dtype=np.uint64))
 
 
+_REQUEST = "shard int, chunk long, k int, keys binary, n binary"
+
+
+def _bits(k: int) -> int:
+    return 64 if k == 0 else 56
+
+
+def _requests(chunk: int, k: int, keys: np.ndarray, n: np.ndarray, shards: int) -> pa.Table:
+    """Keys with training counts, one row per shard."""
+    o, cut = _ranges(keys, _bits(k), shards)
+    rows = [(s, int(cut[s]), int(cut[s + 1])) for s in range(shards) if cut[s + 1] > cut[s]]
+    keys, n = keys[o], n[o].astype(np.uint32)
+    return pa.table({"shard": pa.array([s for s, _, _ in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "k": pa.array([k] * len(rows), pa.int32()),
+                     "keys": pa.array([planes(np.diff(keys[a:z], prepend=np.uint64(0))) for _, a, z in rows], pa.binary()),
+                     "n": pa.array([planes(n[a:z]) for _, a, z in rows], pa.binary())})
+
+
+def _own_counts(r: dict, lens: np.ndarray, g: "Grams", k: int) -> np.ndarray:
+    """Training counts of a chunk's own n-grams within the chunk."""
+    here = g.at[k]
+    return np.bincount(here[np.repeat(np.array(r["train"], bool), lens) & (here >= 0)], minlength=len(g.key[k]))
+
+
+def _answer(got: dict[int, bytes], keys: np.ndarray, k: int, shards: int) -> np.ndarray:
+    """Answers for ``keys`` (by shard, each in key order): twice the corpus count, plus 1 if several chunks have the n-gram."""
+    o, _ = _ranges(keys, _bits(k), shards)
+    n = np.empty(len(o), np.int64)
+    n[o] = np.concatenate([unplanes(got[s], np.uint32) for s in sorted(got)] or [np.empty(0, np.uint32)])
+    return n
+
+
+def _open(k: int, g: "Grams", several: list[np.ndarray]) -> np.ndarray:
+    """Which n-grams of order index ``k`` other chunks can have: those of which other chunks have both halves."""
+    return several[k - 1][g.parent[k]] & several[k - 1][g.suffix[k]]
+
+
+def _totals(r: dict, right: pa.Table, order: int, shards: int):
+    """A chunk's n-grams, their corpus counts from the answers in ``right``, and whether several chunks have them."""
+    tokens, lens, g = _grams_of(r, order)
+    got: dict[int, dict[int, bytes]] = {k: {} for k in range(order)}
+    for k, s, n in zip(right.column("k").to_pylist(), right.column("shard").to_pylist(), right.column("n").to_pylist()):
+        got[k][s] = n
+    total, several = [], []
+    for k in range(order):
+        if k < 2:
+            a = _answer(got[k], g.key[k], k, shards)
+        else:
+            need, a = _open(k, g, several), 2 * _own_counts(r, lens, g, k)
+            a[need] = _answer(got[k], g.key[k][need], k, shards)
+        total.append(a >> 1)
+        several.append((a & 1).astype(bool))
+    return tokens, lens, g, total, several
+
+
 def _asked(chunks: DataFrame, order: int, shards: int) -> DataFrame:
-    """Keys with training counts, by shard, chunk and order."""
+    """Requests for all n-grams of the first two orders."""
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                tokens, lens, g = _grams_of(r, order)
-                train = np.repeat(np.array(r["train"], bool), lens)
-                for k in range(order):
-                    here = g.at[k]
-                    n = np.bincount(here[train & (here >= 0)], minlength=len(g.key[k])).astype(np.uint32)
-                    o, cut = _ranges(g.key[k], 64 if k == 0 else 56, shards)
-                    rows = [(s, int(cut[s]), int(cut[s + 1])) for s in range(shards) if cut[s + 1] > cut[s]]
-                    keys, n = g.key[k][o], n[o]
-                    for i in range(0, len(rows), 64):
-                        part = rows[i:i + 64]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([s for s, _, _ in part], pa.int32()), pa.array([r["chunk"]] * len(part), pa.int64()), pa.array([k] * len(part), pa.int32()),
-                             pa.array([planes(np.diff(keys[a:z], prepend=np.uint64(0))) for _, a, z in part], pa.binary()),
-                             pa.array([planes(n[a:z]) for _, a, z in part], pa.binary())], names=["shard", "chunk", "k", "keys", "n"])
-
-    return chunks.select("chunk", "lens", "train", "tokens", "hashes").mapInArrow(run, "shard int, chunk long, k int, keys binary, n binary")
+                _, lens, g = _grams_of(r, min(order, 2))
+                for k in range(min(order, 2)):
+                    yield from _requests(r["chunk"], k, g.key[k], _own_counts(r, lens, g, k), shards).to_batches(max_chunksize=64)
+
+    return chunks.select("chunk", "lens", "train", "tokens", "hashes").mapInArrow(run, _REQUEST)
+
+
+def _asked_next(chunks: DataFrame, counts: DataFrame, k: int, shards: int) -> DataFrame:
+    """Requests for the n-grams of order index ``k`` whose halves occur in other chunks."""
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        r = left.to_pylist()[0]
+        _, lens, _, _, several = _totals(r, right, k, shards)
+        g = _grams_of(r, k + 1)[2]
+        need = _open(k, g, several)
+        return _requests(r["chunk"], k, g.key[k][need], _own_counts(r, lens, g, k)[need], shards)
+
+    left = chunks.select("chunk", "lens", "train", "tokens", "hashes").groupBy("chunk")
+    return left.cogroup(counts.filter("chunk >= 0").select("chunk", "k", "shard", "n").groupBy("chunk")).applyInArrow(ask, _REQUEST)
 
 
 def _counted(t: pa.Table) -> pa.Table:
-    """Of one shard: the corpus count of every key asked for, in the order asked; a row of chunk -1 has the shard's N and V."""
+    """Of one shard: the answer for every key asked for, in the order asked; a row of chunk -1 has the shard's N and V."""
     out = {"chunk": [], "k": [], "shard": [], "n": [], "total": [], "distinct": []}
     ks, shard = t.column("k").to_numpy(), t.column("shard")[0].as_py()
     for k in np.unique(ks).tolist():
@@ -172,7 +230,8 @@ def _counted(t: pa.Table) -> pa.Table:
         if k == 0:
             for c, v in zip(out, (-1, 0, shard, None, int(total.sum()), int(np.count_nonzero(total)))):
                 out[c].append(v)
-        counts = np.minimum(total, (1 << 32) - 1).astype(np.uint32)[inv]
+        chunks_with = np.bincount(inv)
+        counts = (2 * np.minimum(total, (1 << 31) - 1) + (chunks_with > 1)).astype(np.uint32)[inv]
         for c, a, z in zip(chunks, np.concatenate([[0], ends[:-1]]), ends):
             for col, v in zip(out, (c, k, shard, planes(counts[a:z]), None, None)):
                 out[col].append(v)
@@ -299,26 +358,19 @@ def score_texts(docs: DataFrame, order: int = ORDER, mu=MU, shards: int | None =
     mu = tuple(mu)[:order]
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce("train", F.lit(False)).alias("train"))
     chunks = pinned(_chunks(src, chunk_tokens), "lm-chunks")
-    counts = pinned(_asked(chunks, order, shards).groupBy("shard").applyInArrow(_counted, "chunk long, k int, shard int, n binary, total long, distinct long"), "lm-counts")
+    count = lambda asked, name: pinned(asked.groupBy("shard").applyInArrow(
+        _counted, "chunk long, k int, shard int, n binary, total long, distinct long"), name)
+    counts = count(_asked(chunks, order, shards), "lm-counts")
     release(spark)
+    for k in range(2, order):
+        counts = counts.unionByName(count(_asked_next(chunks, counts, k, shards), f"lm-counts-{k}"))
+        release(spark)
     tot = counts.filter("chunk = -1").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
     total, distinct = int(tot.n), int(tot.v)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:                            # the rows of chunk -1
-            return pa.table({c: pa.array([], ty) for c, ty in zip(("doc_id", "train", "n_tokens", "n_known", "base_score", "score"),
-                                                                  (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))})
         r = left.to_pylist()[0]
-        tokens, lens, g = _grams_of(r, order)
-        got: dict[int, dict[int, bytes]] = {k: {} for k in range(order)}
-        for k, s, n in zip(right.column("k").to_pylist(), right.column("shard").to_pylist(), right.column("n").to_pylist()):
-            got[k][s] = n
-        counted = []
-        for k in range(order):
-            o, _ = _ranges(g.key[k], 64 if k == 0 else 56, shards)
-            n = np.empty(len(o), np.int64)
-            n[o] = np.concatenate([unplanes(got[k][s], np.uint32) for s in sorted(got[k])] or [np.empty(0, np.uint32)])
-            counted.append(n)
+        tokens, lens, g, counted, _ = _totals(r, right, order, shards)
         begins = np.cumsum(lens) - lens
         trie = Trie.build(g, counted, total, distinct, mu)
         codes = trie.score(tokens, begins)
