@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -72,9 +73,15 @@ def labelled_sample(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver's JVM drop unreachable shuffles now, so that their files go before more are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver's JVM drop unreachable shuffles now, so that their files go before more are written.
+
+    Spark removes a shuffle's files in the background once its driver has collected the objects that
+    refer to it; some of these are only found by a second collection.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def crc_bucket(doc_id, n: int):

@@ -33,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, pinned, raw_texts, space_words
+from tessera.llm.common import mix64, pinned, raw_texts, release, space_words
 from tessera.llm.graph import components
 
 WORDS = 5
 NUM, DEN = 3, 4                 # the least Jaccard index, as a fraction
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 1_000_000
 GROUP = 2000                    # sets compared with one centre in one group
 _P = np.uint64(0x9E3779B97F4A7C15)
 _EPS = 1e-9
@@ -57,7 +57,7 @@ def unplanes(raw: bytes, dtype) -> np.ndarray:
 class Hasher:
     """64-bit hashes of words from a bounded cache, and of word n-grams."""
 
-    def __init__(self, n: int = WORDS, limit: int = 500_000):
+    def __init__(self, n: int = WORDS, limit: int = 250_000):
         self.n, self.limit, self.cache = n, limit, {}
 
     def words(self, words: list[bytes]) -> np.ndarray:
@@ -354,6 +354,7 @@ def similarity_classes(docs: DataFrame, n: int = WORDS, shards: int | None = Non
     blocks have no caps.
     """
     sets = pinned(document_sets(docs, n, shards, chunk_words), "jaccard-sets")
+    release(docs.sparkSession)              # the counting shuffles are done with
     named = sets.filter("doc_id IS NOT NULL")
     groups = named.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"))
     member = named.select("doc_id", "s1", "s2", "n").join(groups, ["s1", "s2", "n"], "left").select(
