@@ -9,17 +9,28 @@ not overlap the first one covers its lines; covered positions are merged and tho
 Counting is a partial aggregation, so a window that stands in a third of all documents is one row
 per task; marking later occurrences is an equi-join with one row per repeated window, which
 adaptive execution can split. Only documents' own covered positions are gathered per document.
+
+``passages=True`` forms the windows over finer units, for passages that stand on one or two lines:
+a unit ends at a line end, after a word that ends in one of ``.!?;`` and after a word whose
+crc32 is a multiple of ``CUT`` (by content, so equal passages are cut alike whatever precedes
+them). A document of fewer than ``width`` units is one window of all it has.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import narrow, pinned
 
 BLANKS = " \t\r"
+CUT = 8                    # one word in so many ends a unit of its own accord
+_WORD = re.compile(r"[^ \t\r]+")
 
 
 def line_windows(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -35,10 +46,46 @@ def line_windows(docs: DataFrame, width: int = 3) -> DataFrame:
     return d.select("doc_id", "th", "pos", "w.h1", "w.h2")
 
 
-def covered_positions(docs: DataFrame, width: int = 3) -> DataFrame:
+def passage_units(raw: str | None) -> list[tuple[int, int, int, str]]:
+    """Units of a text: line number, start and end within the line, words joined by single spaces."""
+    out = []
+    for i, line in enumerate((raw or "").split("\n")):
+        words, start = [], 0
+        for m in _WORD.finditer(line):
+            start = start if words else m.start()
+            words.append(m.group())
+            if words[-1][-1] in ".!?;" or zlib.crc32(words[-1].encode("utf-8", "surrogatepass")) % CUT == 0:
+                out.append((i, start, m.end(), " ".join(words)))
+                words = []
+        if words:
+            out.append((i, start, len(line), " ".join(words)))
+    return out
+
+
+def passage_windows(docs: DataFrame, width: int = 3) -> DataFrame:
+    """As ``line_windows``, over the units of ``passage_units``."""
+
+    def run(batches):
+        for b in batches:
+            cols = [[], [], [], [], []]
+            for d, th, raw in zip(*[b.column(c).to_pylist() for c in ("doc_id", "th", "text")]):
+                units = [u[3] for u in passage_units(raw)]
+                for p in range(max(1, len(units) - width + 1) if units else 0):
+                    w = "\n".join(units[p:p + width]).encode("utf-8", "surrogatepass")
+                    h = xxhash.xxh3_128_intdigest(w)
+                    for c, v in zip(cols, (d, th, p, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63))):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
+                                             names=["doc_id", "th", "pos", "h1", "h2"])
+
+    d = narrow(docs).withColumn("th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return d.mapInArrow(run, "doc_id long, th long, pos int, h1 long, h2 long")
+
+
+def covered_positions(docs: DataFrame, width: int = 3, windows=line_windows) -> DataFrame:
     """``doc_id, th, starts``: start positions of the windows to remove, per document that has any."""
     # identical rows (same id, same text) are one document
-    occ = pinned(line_windows(docs, width).dropDuplicates(["doc_id", "th", "pos"]), "line-windows")
+    occ = pinned(windows(docs, width).dropDuplicates(["doc_id", "th", "pos"]), "line-windows")
     first = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("f"), F.count("*").alias("n")).filter("n > 1")
     later = occ.join(first.drop("n"), ["h1", "h2"]).filter(
         ~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th"))) | (F.col("pos") >= F.col("f.pos") + width))
@@ -53,7 +100,28 @@ def cut_lines(raw: str | None, starts, width: int) -> tuple[str, int, int]:
     return ("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else raw or ""), len(solid), len(gone)
 
 
-def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
+def cut_passages(raw: str | None, starts, width: int) -> tuple[str, int, int]:
+    """As ``cut_lines`` by units: a line all of whose units go is dropped, other lines keep the rest of their text."""
+    units = passage_units(raw)
+    gone = {p + j for p in starts or () for j in range(min(width, len(units)))}
+    if not gone:
+        return raw or "", len(units), 0
+    lines: dict[int, list[int]] = {}
+    for k, u in enumerate(units):
+        lines.setdefault(u[0], []).append(k)
+    out = []
+    for i, line in enumerate(raw.split("\n")):
+        ks = lines.get(i, [])
+        if gone.isdisjoint(ks):
+            out.append(line)
+        elif not gone.issuperset(ks):
+            # a unit takes the blanks before the next one with it
+            ends = [units[k][1] for k in ks[1:]] + [len(line)]
+            out.append((line[:units[ks[0]][1]] + "".join(line[units[k][1]:e] for k, e in zip(ks, ends) if k not in gone)).rstrip(BLANKS))
+    return "\n".join(out), len(units), len(gone)
+
+
+def dedup_lines(docs: DataFrame, width: int = 3, passages: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with ``text`` cleaned, plus ``n_lines`` and ``n_removed``.
 
     Rows are never dropped: a later copy of a whole document keeps its row with the text that is left
@@ -61,12 +129,15 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     ``width`` non-blank lines have no window and stay as they are. Identical rows count as one document
     and come out alike; ties in doc_id are ordered by a hash of the text, null ids come first. Columns
     named ``n_lines`` or ``n_removed`` are replaced; others, whatever their names, pass through.
+    With ``passages`` the windows are over the finer units, which both counts then count; shorter
+    documents are one window.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     src = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)],
                       F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.withColumn("th", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).drop(f"k{keep.index('text')}")
-    cov = covered_positions(docs, width)
+    cov = covered_positions(docs, width, passage_windows if passages else line_windows)
+    cut = cut_passages if passages else cut_lines
     both = src.join(cov, src.doc_id.eqNullSafe(cov.doc_id) & (src.th == cov.th), "left").drop("th", "doc_id")
     others = [f"k{i}" for i, c in enumerate(keep) if c != "text"]
     both = both.select(*others, "text", "starts")
@@ -74,7 +145,7 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            res = [cut_lines(t, s, width) for t, s in zip(b.column("text").to_pylist(), b.column("starts").to_pylist())]
+            res = [cut(t, s, width) for t, s in zip(b.column("text").to_pylist(), b.column("starts").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in others], pa.array([r[0] for r in res], pa.string()),
                  pa.array([r[1] for r in res], pa.int64()), pa.array([r[2] for r in res], pa.int64())],

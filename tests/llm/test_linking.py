@@ -102,6 +102,31 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_line_dedup_passages(spark):
+    """Repeated passages on one line, and copies of one-line documents, which no three-line window reaches."""
+    rnd, words = random.Random(6), vocabulary(400)
+    passage = " ".join(rnd.choice(words) for _ in range(80))
+    rows = [(i, f"{text(rnd, words, 30, 99)} own {i}.\n{text(rnd, words, 9, 99)} {passage} {text(rnd, words, 9, 99)}\nlast {i}") for i in range(6)]
+    rows += [(50, "short one"), (51, "short one"), (52, "short two"), (60, None), (61, ""), (62, " \n ")]
+    df = frame(spark, rows).repartition(3)
+    assert line_dedup.dedup_lines(df).filter("n_removed > 0").count() == 0
+    res = {r.doc_id: r for r in line_dedup.dedup_lines(df, passages=True).collect()}
+    assert len(res) == len(rows) and res[0].text == rows[0][1] and (res[50].text, res[51].text, res[52].text) == ("short one", "", "short two")
+    units = line_dedup.passage_units
+    for i in range(1, 6):
+        assert len(res[i].text) < len(rows[i][1]) - 0.4 * len(passage) and f"own {i}." in res[i].text and f"last {i}" in res[i].text
+        assert res[i].n_lines == len(units(rows[i][1]))
+    # brute force over units
+    seen = {}
+    for d, t in sorted((r for r in rows if r[0] < 60)):
+        us = [u[3] for u in units(t)]
+        ws = [tuple(us[p:p + 3]) for p in range(max(1, len(us) - 2))]
+        for p, w in enumerate(ws):
+            seen.setdefault(w, (d, p))
+        gone = {p + j for p, w in enumerate(ws) if seen[w][0] != d or p >= seen[w][1] + 3 for j in range(min(3, len(us)))}
+        assert res[d].n_removed == len(gone)
+
+
 def contamination_brute(rows, bench, window=10):
     ws = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
     items = []
