@@ -18,7 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import mix64, narrow
@@ -27,6 +27,7 @@ SLOTS = 256
 CLASSES = 64              # characters are hashed to this many walk symbols
 PERIOD = 1 << 16          # the shared bits repeat after so many steps
 MAX_STAY = 64
+BLOCK = 1000              # fingerprints on one side of a block of comparisons
 _MASK = PERIOD - 1
 
 
@@ -227,25 +228,54 @@ def fingerprints(docs: DataFrame, slots: int = SLOTS, seed: int = 1) -> DataFram
 def similar_pairs(fps: DataFrame, least: float = 0.75, band: int = 8) -> DataFrame:
     """Pairs of different fingerprints with a likeness of ``least`` or more: a, b, likeness.
 
-    ``a < b`` are class representatives (smallest doc_id of equal fingerprints; members have the same
-    fingerprint). Candidates share all slots of a band; within a band value every fingerprint is
-    compared with the smallest and with its neighbour in order, so that a value that a third of all
-    documents share still gives a number of candidates in proportion to its size; classes of
-    similar documents stay linked through them. Empty texts pair with nothing.
+    ``a < b`` are representatives (smallest doc_id of equal fingerprints; members have the same
+    fingerprint, so ``fps`` joined by fingerprint gives them). All pairs that share all slots of a band are
+    compared, without a cap: the fingerprints of a band value are dealt to a grid of blocks of
+    about ``2 * BLOCK`` of them, so that a value that a third of all documents share is spread over
+    many tasks, and a pair is taken in the first band that it shares, so it is met once. The work
+    grows with the square of a band value's different fingerprints, as the pairs to return can.
+    Empty texts pair with nothing, and neither do fingerprints that only rows of null doc_id have.
     """
     slots = fps.select(F.length("fingerprint")).first()
     n = slots[0] if slots else 0
-    reps = fps.filter(~F.col("fingerprint").startswith("z")).groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
-    bands = reps.select("id", "fingerprint", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max(n // band - 1, 0))), lambda i: F.struct(
-        i.alias("i"), F.substring(F.col("fingerprint"), i * band + 1, F.lit(band)).alias("v")))).alias("b"))
-    bands = bands.withColumn("key", F.xxhash64("b.i", "b.v")).drop("b")
-    heads = bands.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).filter("m > 1")
-    star = bands.join(heads, "key").filter("id <> a").select("a", F.col("id").alias("b"))
-    w = Window.partitionBy("key", "salt").orderBy("fingerprint", "id")
-    near = bands.withColumn("salt", F.substring("fingerprint", 1, 2)).withColumn("a", F.lag("id").over(w)).filter("a IS NOT NULL").select(
-        F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-    cand = star.unionByName(near).distinct()
-    fa, fb = reps.select(F.col("id").alias("a"), F.col("fingerprint").alias("x")), reps.select(F.col("id").alias("b"), F.col("fingerprint").alias("y"))
-    eq = F.aggregate(F.sequence(F.lit(1), F.length("x")), F.lit(0), lambda s, i: s + (F.substring(F.col("x"), i, F.lit(1)) == F.substring(F.col("y"), i, F.lit(1))).cast("int"))
-    like = F.greatest(F.lit(0.0), (eq / F.length("x") - 1 / 16) / (15 / 16))
-    return cand.join(fa, "a").join(fb, "b").select("a", "b", like.alias("likeness")).filter(F.col("likeness") >= least)
+    reps = fps.filter(~F.col("fingerprint").startswith("z")).groupBy("fingerprint").agg(F.min("doc_id").alias("id")).filter("id IS NOT NULL")
+    bands = reps.select("id", "fingerprint", F.explode(F.sequence(F.lit(0), F.lit(max(n // band - 1, 0)))).alias("i"))
+    bands = bands.withColumn("v", F.substring(F.col("fingerprint"), F.col("i") * band + 1, F.lit(band)))
+    groups = bands.groupBy("i", "v").agg(F.count("*").alias("m")).filter("m > 1").select("i", "v", F.ceil(F.col("m") / BLOCK).alias("s"))
+    rows = bands.join(groups, ["i", "v"]).withColumn("g", F.pmod(F.xxhash64("fingerprint"), F.col("s")))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1))).select(
+        "i", "v", F.least("g", "k").alias("x"), F.greatest("g", "k").alias("y"), (F.col("g") > F.col("k")).cast("int").alias("side"), "id", "fingerprint")
+    key = ["i", "v", "x", "y"]
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "side")
+
+    def compared(key, sides, ids, codes):
+        """Verified pairs of one block: of its two sides, or within its only one (x = y)."""
+        c = np.frombuffer("".join(codes).encode(), np.uint8).reshape(len(codes), -1)
+        ids, side, step = np.array(ids, np.int64), np.array(sides), c.shape[1]
+        whole = key[2] == key[3]
+        other = np.arange(len(ids)) if whole else np.flatnonzero(side == 1)
+        for p in range(len(ids) - 1) if whole else np.flatnonzero(side == 0):
+            q = other[p + 1:] if whole else other
+            same = c[q] == c[p]
+            like = np.maximum(0.0, (same.sum(1) / step - 1 / 16) / (15 / 16))
+            # shared before: met in that band
+            early = same[:, :key[0] * band].reshape(len(q), key[0], band).all(2).any(1) if key[0] else np.zeros(len(q), bool)
+            hit = (like >= least) & ~early & (ids[q] != ids[p])
+            if hit.any():
+                o = ids[q[hit]]
+                yield np.minimum(o, ids[p]), np.maximum(o, ids[p]), like[hit]
+
+    def run(batches):
+        names, cur, block = ["a", "b", "likeness"], None, ([], [], [])
+        for b in batches:
+            for *k, side, i, fp in zip(*[b.column(c).to_pylist() for c in (*key, "side", "id", "fingerprint")]):
+                if k != cur:
+                    for arrays in compared(cur, *block) if len(block[0]) > 1 else ():
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
+                    cur, block = k, ([], [], [])
+                for part, x in zip(block, (side, i, fp)):
+                    part.append(x)
+        for arrays in compared(cur, *block) if len(block[0]) > 1 else ():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
+
+    return rows.mapInArrow(run, "a long, b long, likeness double")

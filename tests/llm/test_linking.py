@@ -218,3 +218,26 @@ def test_fingerprint_pairs(spark):
     by = {r.doc_id: r.fingerprint for r in fps.collect()}
     pairs = {(r.a, r.b) for r in fingerprint.similar_pairs(fps).collect()}
     assert by[200] == by[0] and pairs == {(i, 100 + i) for i in range(10) if by[i] != by[100 + i]}
+
+
+@pytest.mark.parametrize("block", [1000, 16])
+def test_fingerprint_pairs_of_one_band(spark, monkeypatch, block):
+    """All likely pairs of a band value that every fingerprint shares, also between texts that are neither first nor neighbours."""
+    monkeypatch.setattr(fingerprint, "BLOCK", block)
+    rnd = random.Random(9)
+    fam = ["".join(rnd.choice("0123456789abcdef") for _ in range(248)) for _ in range(12)]
+    rows = []
+    for i in range(90):
+        f = list(fam[i % 12])
+        for _ in range(rnd.choice([5, 20, 30, 40])):
+            f[rnd.randrange(248)] = rnd.choice("0123456789abcdef")
+        rows.append((1000 - i, "".join(f[:160]) + "templ4te" + "".join(f[160:])))
+    rows += [(2000, rows[0][1]), (None, rows[1][1]), (None, "f" * 256), (3000, "z" * 256)]
+    got_ = sorted((r.a, r.b, round(r.likeness, 9)) for r in fingerprint.similar_pairs(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect())
+    want = []
+    for i in range(90):
+        for j in range(i):
+            like = (sum(a == b for a, b in zip(rows[i][1], rows[j][1])) / 256 - 1 / 16) / (15 / 16)
+            if like >= 0.75:
+                want.append((rows[i][0], rows[j][0], round(like, 9)))
+    assert got_ == sorted(want) and len(want) > 100
