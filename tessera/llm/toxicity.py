@@ -141,13 +141,14 @@ def _document_counts(docs: DataFrame, only: frozenset | None) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def learn_terms(train: DataFrame, min_docs: int = 3, min_share: float = 0.002, min_odds: float = 4.0,
-                spread: float = 3.0) -> dict[bytes, float]:
+def learn_terms(train: DataFrame, min_docs: int = 3, min_share: float = 0.002, min_odds: float = 4.0) -> dict[bytes, float]:
     """Insult terms from labelled rows (text, y): term -> log odds.
 
     A term needs ``min_docs`` documents and ``min_share`` of the documents of label 1, and log odds
-    of at least ``min_odds`` and at most ``spread`` below the strongest term's (with 0.5 added to each
-    count), which leaves out the plain words of a few copied documents. The share bounds the candidates by
+    of at least ``min_odds`` (with 0.5 added to each count). The rate under label 0 counts as at least
+    the one at which a term of ``min_share`` just reaches ``min_odds``: a term without label-0 rows
+    does not gain with the table, so terms of the same rates are kept at any size. Plain words
+    that only a few copied documents hold may pass, with low weights. The share bounds the candidates by
     (mean terms of a document / min_share) whatever the corpus size, so they may be broadcast to
     the count over label 0. Of more than ``MAX_TERMS`` terms the strongest are kept (the model's
     size, ties by term). Without rows of either label there are no terms.
@@ -162,9 +163,9 @@ def learn_terms(train: DataFrame, min_docs: int = 3, min_share: float = 0.002, m
     neg_docs = neg.pop(b"", 0)
     if not neg_docs:
         return {}
-    odds = {t: math.log((n + 0.5) / (pos_docs + 1.0)) - math.log((neg.get(t, 0) + 0.5) / (neg_docs + 1.0)) for t, n in pos.items()}
-    least = max(min_odds, max(odds.values(), default=0.0) - spread)
-    best = sorted((-o, t) for t, o in odds.items() if o >= least)[:MAX_TERMS]
+    floor = min_share * math.exp(-min_odds)
+    odds = {t: math.log((n + 0.5) / (pos_docs + 1.0)) - math.log(max((neg.get(t, 0) + 0.5) / (neg_docs + 1.0), floor)) for t, n in pos.items()}
+    best = sorted((-o, t) for t, o in odds.items() if o >= min_odds)[:MAX_TERMS]
     return {t: -o for o, t in best}
 
 

@@ -69,6 +69,16 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(df.limit(0), df.limit(0), labels).count() == 0
 
 
+def test_toxicity_terms_at_any_size(spark):
+    """Terms of the same rates are kept whatever the table's size, also next to a term without clean rows."""
+    kept = []
+    for clean, toxic in ((3000, 250), (12000, 1000)):
+        i = spark.range(clean).selectExpr("0 AS y", "concat('plain w', id % 7, if(id % 1000 = 0, ' mean', ''), if(id % 10 = 0, ' calm', '')) AS text")
+        j = spark.range(toxic).selectExpr("1 AS y", "concat('plain w', id % 7, if(id % 10 < 3, ' vile', ''), if(id % 10 > 6, ' mean', ''), if(id % 10 = 5, ' calm', '')) AS text")
+        kept.append(toxicity.learn_terms(i.unionByName(j)))
+    assert [sorted(k) for k in kept] == [[b"mean", b"vile"]] * 2
+
+
 def test_grammar_clauses():
     g = toxicity.Grammar({b"vile": 2.0, b"gro*": 1.0})
     clause = lambda t: g.clause(toxicity._words(t.encode()))
