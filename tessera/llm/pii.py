@@ -8,10 +8,18 @@ card stays a card with a right check digit, a date a date. The permutation is a
 two mixed halves with a keyed hash as round function, walked on until the result lies in the domain, so it
 is a bijection and can be undone with the key. It depends on the key, the kind and the format alone, so equal
 values stay equal in all documents, whatever partition they are in.
+
+Of a card or IBAN match that fails its check, shorter and later parts at group ends are tried. A
+pseudonym is walked on until the rejected parts that overlap it still fail, so that undoing takes the same
+ones. Secrets are hex strings of 16 to 64 digits after a credential word and ``=`` or ``:``. Phones
+are +1 numbers, separated ten-digit numbers, and ``+`` numbers of other countries (the country code
+stays); national numbers of other countries have no mark and stay. Day-first dates come before
+month-first ones; a month-first date whose day is above 12 keeps such a day.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import math
@@ -84,16 +92,19 @@ class Pseudonyms:
     KINDS = [
         ("email", r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
         ("credential", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
-        ("secret", r"(?:(?<=password=)|(?<=token = \"))[0-9a-f]{16,64}(?![0-9A-Za-z])"),
+        ("secret", r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?[0-9A-Fa-f]{16,64}(?![0-9A-Za-z])"),
         ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
         ("date", r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)"),
         ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"),
-        ("phone", r"(?<![\d+])\+1[ .-]?\(?[2-9]\d{2}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"),
+        ("phone", r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+                  r"|(?<![\w+.(-])(?:\([2-9]\d{2}\)[ .-]?|[2-9]\d{2}[ .-])\d{3}[ .-]\d{4}(?![\d-]|\.\d)"
+                  r"|(?<![\d+])\+(?!1)[1-9](?:[ .-]?\(?\d\)?){7,14}(?!\d)"),
         ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
         ("card", r"(?<![\d])\d(?:[ -]?\d){12,18}(?!\d)"),
     ]
     _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS))
-    _NEAR = re.compile(r"[0-9@]+|AKIA|password=|token = ")
+    _NEAR = re.compile(r"[0-9@]+|AKIA|(?i:password|passwd|pwd|token|secret|api[_-]?key)")
+    _TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
     def __init__(self, key: bytes, back: bool = False):
         self.key, self.back, self.nets = key, back, {}
@@ -126,6 +137,40 @@ class Pseudonyms:
             out[i] = c
         return "".join(out)
 
+    def _hex(self, s: str) -> str:
+        """Permute a hex string; its spelling (lower, upper or mixed) stays."""
+        if s != s.lower() and s != s.upper():
+            return self._mixed("secret:" + "".join("0" if c < "A" else "a" if c > "Z" else "A" for c in s), s,
+                               ["0123456789" if c < "A" else "abcdef" if c > "Z" else "ABCDEF" for c in s])
+        upper, new = s != s.lower(), s.lower()
+        while True:
+            new = self._mixed(f"secret{len(s)}", new, [_HEX] * len(s))
+            if not upper or not new.isdigit():                # upper case must show
+                return new.upper() if upper else new
+
+    @staticmethod
+    def _parts(kind: str, s: str):
+        """Parts of a match to try in order: the whole, then for cards runs of whole groups, for IBANs shorter ones."""
+        if kind == "card":
+            g = [m.span() for m in re.finditer(r"\d+", s)]
+            for i in range(len(g)):
+                for j in range(len(g) - 1, i - 1, -1):
+                    if 13 <= sum(z - a for a, z in g[i:j + 1]) <= 19:
+                        yield g[i][0], g[j][1]
+        else:
+            yield 0, len(s)
+            if kind == "iban":
+                yield from ((0, m.start()) for m in reversed(list(re.finditer(" ", s))))
+
+    @staticmethod
+    def _checked(kind: str, s: str) -> bool:
+        """The check of a card or an IBAN."""
+        if kind == "iban":
+            flat = s.replace(" ", "")
+            return 15 <= len(flat) <= 34 and iban_ok(flat)
+        digits = "".join(c for c in s if c.isdigit())
+        return luhn_ok(digits) and len(set(digits)) > 1
+
     @staticmethod
     def _refill(layout: str, digits: str) -> str:
         it = iter(digits)
@@ -141,7 +186,8 @@ class Pseudonyms:
         if kind == "credential":
             return "AKIA" + self._mixed("credential", s[4:], [d + _CLASSES[2]] * 16)
         if kind == "secret":
-            return self._mixed(f"secret{len(s)}", s, [_HEX] * len(s))
+            at = re.search("[0-9A-Fa-f]{16,64}$", s).start()
+            return s[:at] + self._hex(s[at:])
         if kind == "iban":
             flat = s.replace(" ", "")
             if not 15 <= len(flat) <= 34 or not iban_ok(flat):
@@ -152,14 +198,18 @@ class Pseudonyms:
             return "".join(c if c == " " else next(new) for c in s)
         if kind == "date":
             y, m, dd = (s[:4], s[5:7], s[8:]) if s[4:5] == "-" else (s[6:], s[3:5], s[:2])
+            late = "/" in s and int(m) > 12                   # month first, which only a day above 12 shows
             try:
-                n = datetime.date(int(y), int(m), int(dd)).toordinal() - _EPOCH
+                n = datetime.date(int(y), *((int(dd), int(m)) if late else (int(m), int(dd)))).toordinal() - _EPOCH
             except ValueError:
                 return None
             if not 0 <= n < _DAYS:
                 return None
-            new = datetime.date.fromordinal(_EPOCH + self._net("date", _DAYS, n))
-            return new.strftime("%Y-%m-%d" if s[4:5] == "-" else "%d/%m/%Y" if "/" in s else "%d.%m.%Y")
+            while True:
+                n = self._net("date", _DAYS, n)
+                new = datetime.date.fromordinal(_EPOCH + n)
+                if not late or new.day > 12:
+                    return new.strftime("%Y-%m-%d" if s[4:5] == "-" else "%m/%d/%Y" if late else "%d/%m/%Y" if "/" in s else "%d.%m.%Y")
         if kind == "ip":
             octets = [int(x) for x in s.split(".")]
             if max(octets) > 255:
@@ -167,8 +217,15 @@ class Pseudonyms:
             x = self._net("ip", 1 << 32, int.from_bytes(bytes(octets), "big"))
             return ".".join(str(b) for b in x.to_bytes(4, "big"))
         if kind == "phone":
-            new = self._mixed("phone", digits[1:], [d[2:], d, d] + [d] * 7)
-            return self._refill(s, "1" + new)
+            if s[0] != "+" or digits[0] == "1":
+                rest, kept = digits[-10:], digits[:-10]
+                # an area code that no number plan has (0.., 1..) stays one
+                new = self._mixed("phone", rest, [d[2:], d, d] + [d] * 7) if rest[0] >= "2" else self._mixed("phone01", rest, [d[:2]] + [d] * 9)
+                return self._refill(s, kept + new)
+            cut = 1 if digits[0] == "7" else 2 if digits[:2] in self._TWO else 3
+            kept, rest = digits[:cut], digits[cut:]
+            new = self._mixed(f"phone+{kept}:{len(rest)}{'z' * (rest[0] == '0')}", rest, ["0" if rest[0] == "0" else d[1:]] + [d] * (len(rest) - 1))
+            return self._refill(s, kept + new)
         if kind == "ssn":
             if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000":
                 return None
@@ -198,19 +255,51 @@ class Pseudonyms:
 
     def text(self, text: str) -> tuple[str, list[str]]:
         """The text with pseudonyms, and the kinds replaced in order of place."""
-        out, at, kinds = [], 0, []
+        hits, rejected, at = [], [], 0
         for a, z in self._windows(text):
             while a > at and not text[a - 1].isspace():      # whole values, whatever their length
                 a -= 1
             while z < len(text) and not text[z].isspace():
                 z += 1
-            for m in self._ANY.finditer(text, max(a, at), z):
-                new = self.value(m.lastgroup, m.group())
-                if new is not None:
-                    out += [text[at:m.start()], new]
-                    at = m.end()
-                    kinds.append(m.lastgroup)
-        return ("".join(out) + text[at:] if kinds else text), kinds
+            pos = max(a, at)
+            while m := self._ANY.search(text, pos, z):
+                kind, start, pos = m.lastgroup, m.start(), m.end()
+                for i, j in self._parts(kind, m.group()):
+                    new = self.value(kind, text[start + i:start + j])
+                    if new is not None:
+                        at = pos = start + j
+                        hits.append([kind, start + i, at, new])
+                        break
+                    if kind in ("card", "iban"):
+                        rejected.append([kind, start + i, text[start + i:start + j]])
+                else:                                        # nothing in it: go on behind its first group
+                    if kind in ("card", "iban"):
+                        pos = start + re.match("[0-9A-Za-z]+", m.group()).end()
+        if not hits:
+            return text, []
+        if rejected:
+            # with two values in one rejected part, the second saw the first one's pseudonym: undo it first
+            for h in reversed(hits) if self.back else hits:
+                self._keep_rejected(h, rejected)
+        out, at = [], 0
+        for _, i, j, new in hits:
+            out += [text[at:i], new]
+            at = j
+        return "".join(out) + text[at:], [h[0] for h in hits]
+
+    def _keep_rejected(self, hit: list, rejected: list) -> None:
+        """Walk a value on until the rejected parts that overlap it (in order of place, at most 60 signs long) fail again."""
+        kind, i, j, new = hit
+        lo, hi = (bisect.bisect_left(rejected, p, key=lambda r: r[1]) for p in (i - 60, j))
+        near = [r for r in rejected[lo:hi] if r[1] + len(r[2]) > i] if len(new) == j - i else []
+        while near:
+            fits = ["".join(new[p - i] if i <= p < j else c for p, c in enumerate(r[2], r[1])) for r in near]
+            if not any(self._checked(r[0], t) for r, t in zip(near, fits)):
+                for r, t in zip(near, fits):
+                    r[2] = t
+                break
+            new = self.value(kind, new)
+        hit[3] = new
 
 
 def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
