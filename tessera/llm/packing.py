@@ -35,7 +35,7 @@ from tessera.operators.ordinal import prefix_sum
 WINDOW, GRAIN = 1024, 64
 END_ID = 0
 CHUNK_TOKENS = 400_000
-MAX_QUEUES = 4096          # more sources than this share queues by hash; no token is left out
+MAX_QUEUES = 4096          # more sources without a target than this share queues by hash; no token is left out
 WEIGHT_STEPS = 1 << 20
 _CACHE_MAX = 400_000
 
@@ -139,20 +139,24 @@ def _tokenised(docs: DataFrame, path: str, chunk_tokens: int) -> DataFrame:
     return docs.mapInArrow(run, "chunk long, doc_ids array<long>, queues array<string>, lens array<long>, ids binary")
 
 
-def weights_of(totals: dict[str, int], targets: dict[str, float] | None) -> dict[str, int]:
-    """Integer target weight of each queue; by default its share of all tokens. A queue without a target gets the least weight."""
+def weights_of(totals: dict[str, int], targets: dict[str, float] | None, sources: dict[str, int] | None = None) -> dict[str, int]:
+    """Integer target weight of each queue; by default its share of all tokens.
+
+    With targets, a source without one gets the least weight; a queue of several (``sources``) their sum.
+    """
     share = {q: float(n) if targets is None else float(targets.get(q, 0.0)) for q, n in totals.items()}
+    least = {} if targets is None or sources is None else sources
     top = max(share.values(), default=0.0) or 1.0
-    return {q: max(1, round(v / top * WEIGHT_STEPS)) for q, v in share.items()}
+    return {q: max(least.get(q, 1), round(v / top * WEIGHT_STEPS)) for q, v in share.items()}
 
 
 class Schedule:
     """Closed form of the round-robin: where each queue position stands in the packed stream."""
 
-    def __init__(self, totals: dict[str, int], targets: dict[str, float] | None = None, grain: int = GRAIN):
+    def __init__(self, totals: dict[str, int], targets: dict[str, float] | None = None, sources: dict[str, int] | None = None, grain: int = GRAIN):
         self.names = sorted(totals)
         self.at = {q: i for i, q in enumerate(self.names)}
-        w = weights_of(totals, targets)
+        w = weights_of(totals, targets, sources)
         self.grain = grain
         self.w = np.array([w[q] for q in self.names], np.int64)
         self.total = np.array([totals[q] for q in self.names], np.int64)
@@ -218,6 +222,9 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: dict[str, float] | None
     One row per piece: ``doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
     ``targets`` gives the token share by source (default: the corpus's own shares; a source that runs
     dry leaves its share to the others). ``window`` must be a multiple of ``grain``.
+    Every source with a target has a queue of its own; of the others, if they are more than
+    ``MAX_QUEUES``, those of the same hash share one, which is served in the order of the input, so its
+    sources are in proportion together but not each within a window.
 
     Null and empty texts are their end token alone; a null source is the queue "". Repeated rows are
     packed once each. An empty table gives no rows. Long texts are cut into pieces like all others.
@@ -231,17 +238,21 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: dict[str, float] | None
     chunks = pinned(_tokenised(src, tokenizer_path, chunk_tokens), "packing-ids")
     sizes = chunks.select("chunk", F.explode(F.arrays_zip("queues", "lens")).alias("x")).groupBy("chunk", F.col("x.queues").alias("queue")).agg(
         F.sum("x.lens").alias("n"))
-    n_queues = sizes.agg(F.approx_count_distinct("queue").alias("n")).first().n
-    if n_queues > MAX_QUEUES:
-        fold = lambda c: F.concat(F.lit("#"), F.pmod(F.xxhash64(c), F.lit(MAX_QUEUES)).cast("string"))
-        sizes = sizes.select("chunk", fold(F.col("queue")).alias("queue"), "n").groupBy("chunk", "queue").agg(F.sum("n").alias("n"))
-        chunks = chunks.withColumn("names", F.col("queues")).withColumn("queues", F.transform("queues", fold))
+    own = F.col("queue").isin(list(targets or ()))
+    chunks = chunks.withColumn("names", F.col("queues"))
+    if sizes.filter(~own).select("queue").distinct().count() > MAX_QUEUES:
+        fold = lambda c: F.when(c.isin(list(targets or ())), c).otherwise(
+            F.concat(F.lit("\0#"), F.pmod(F.xxhash64(c), F.lit(MAX_QUEUES)).cast("string")))
+        sizes = sizes.select("chunk", fold(F.col("queue")).alias("folded"), "queue", "n")
+        sources = {r.folded: r.k for r in sizes.groupBy("folded").agg(F.countDistinct("queue").alias("k")).collect()}
+        sizes = sizes.groupBy("chunk", F.col("folded").alias("queue")).agg(F.sum("n").alias("n"))
+        chunks = chunks.withColumn("queues", F.transform("queues", fold))
     else:
-        chunks = chunks.withColumn("names", F.col("queues"))
+        sources = None
     totals = {r.queue: int(r.n) for r in sizes.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     starts = prefix_sum(sizes, ["queue"], ["chunk"], {"at": F.col("n")}, bucket=F.floor(F.col("chunk") / (1 << 28)))
     starts = starts.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("queue", "at"))).alias("starts"))
-    bc = spark.sparkContext.broadcast((totals, targets))
+    bc = spark.sparkContext.broadcast((totals, targets, sources))
 
     def run(batches):
         sched = Schedule(*bc.value, grain=grain)

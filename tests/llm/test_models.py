@@ -144,6 +144,21 @@ def test_packing(spark, targets):
     assert packing.pack(spark.createDataFrame([], SCHEMA), tokenizer_path()).count() == 0
 
 
+def test_packing_keeps_targets_of_many_sources(spark, monkeypatch):
+    """More sources than queues: targets still hold, and no token is lost."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", 8)
+    rows = [(i, "word " * 60, f"named{i % 3}") for i in range(120)] + [(1000 + i, "tail " * 20, f"web{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    targets = {"named0": 6.0, "named1": 2.0}
+    res = packing.pack(df, tokenizer_path(), targets, window=256, grain=32, chunk_tokens=1500).toPandas()
+    assert res.groupby("doc_id").length.sum().to_dict() == res.groupby("doc_id").doc_tokens.first().to_dict() and res.doc_id.nunique() == 160
+    assert dict(zip(res.doc_id, res.source)) == {d: s for d, _, s in rows}
+    total = res.groupby("source").length.sum()
+    head = res[res.sequence_id < 8].groupby("source").length.sum()
+    assert abs(head["named0"] / head.sum() - 0.75) < 0.05 and abs(head["named1"] / head.sum() - 0.25) < 0.05 and total["named2"] > 2000
+    assert packing.weights_of({"a": 5, "f": 9}, {"a": 1.0}, {"f": 7}) == {"a": packing.WEIGHT_STEPS, "f": 7}
+
+
 def test_schedule_is_round_robin():
     """The closed form serves grains as a simulated deficit round-robin by virtual time does."""
     rnd = random.Random(3)
