@@ -111,12 +111,17 @@ def scan_licenses(docs: DataFrame, base=None, notices=None, k: int = 3, max_shif
     w = Window.partitionBy("rid", "tpl").orderBy("diag")
     step = (F.col("diag") - F.lag("diag").over(w) > max_shift) | F.lag("diag").over(w).isNull() | F.col("is_base")
     runs = diags.withColumn("new", step.cast("int")).withColumn("run", F.sum("new").over(w))
-    spans = runs.groupBy("rid", "doc_id", "n_words", "tpl", "label", "is_base", "t_grams", "run").agg(
+    # copies in a row chain up: a run that is too long for one is cut, by the template's length around its best-voted diagonal
+    most, length = 2 * F.col("t_grams") + k, F.col("t_grams") + (k - 1)
+    w = Window.partitionBy("rid", "tpl", "run")
+    best = -F.max(F.struct("votes", (-F.col("diag")).alias("d"))).over(w)["d"]
+    runs = runs.withColumn("piece", F.when(F.max("hi").over(w) - F.min("lo").over(w) + 1 > most, F.floor((F.col("diag") - best) / length + 0.5)).otherwise(F.lit(0)))
+    spans = runs.groupBy("rid", "doc_id", "n_words", "tpl", "label", "is_base", "t_grams", "run", "piece").agg(
         F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     cover = F.least(F.lit(1.0), F.col("votes") / F.col("t_grams"))
     # an exact phrase needs every k-gram; a notice enough of them, within twice the template's length
     whole = F.col("is_base") & (F.col("votes") == F.col("t_grams"))
-    near = ~F.col("is_base") & (cover >= min_cover) & (F.col("hi") - F.col("lo") + 1 <= 2 * F.col("t_grams") + k)
+    near = ~F.col("is_base") & (cover >= min_cover) & (F.col("hi") - F.col("lo") + 1 <= most)
     ok = (F.col("tpl") >= 0) & (whole | near)
     spans = spans.withColumn("cover", cover).withColumn("ok", ok).withColumn("bb", F.col("ok") & F.col("is_base"))
     labels = lambda c: F.concat_ws(",", F.array_sort(F.collect_set(F.when(c, F.col("label")))))

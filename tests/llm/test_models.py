@@ -46,6 +46,13 @@ def test_license_edited_notice(spark):
     assert r[0].spans[0].first == 1 and r[0].spans[0].last == len(edited.split())
 
 
+def test_license_copies_in_a_row(spark):
+    t = "all rights reserved"
+    r = license_scan.scan_licenses(frame(spark, [(n, "x " + " ".join([t] * n)) for n in (1, 2, 3, 7)])).orderBy("doc_id").collect()
+    assert [x.labels for x in r] == ["proprietary"] * 4
+    assert [[(s.first, s.last) for s in x.spans] for x in r][2:] == [[(1 + 3 * i, 3 + 3 * i) for i in range(n)] for n in (3, 7)]
+
+
 def auc(y, s):
     r = np.argsort(np.argsort(s))
     return (r[y == 1].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (len(y) - y.sum()))
