@@ -36,11 +36,26 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every class of linked documents the one of smallest doc_id (documents without an id stay)."""
-    classes = jaccard_join.similarity_classes(docs)
-    first = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*COLUMNS)
+    """Of every class of linked texts the one of smallest doc_id.
+
+    Every (doc_id, text) is decided by itself: of several texts under one doc_id the one of smallest hash
+    has the doc_id's rank, the others and texts of null doc_id come behind all doc_ids, by hash. Rows
+    of the same doc_id and text are one, the smallest by the other columns. Empty texts link with
+    nothing, so one of each doc_id stays.
+    """
+    keyed = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    several = keyed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("th").alias("lead"), F.max("th").alias("last")).filter("lead <> last").drop("last")
+    several = pinned(several, "stage-several")
+    behind = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "th"), 2)
+    if several.isEmpty():                    # the usual case moves no text
+        named = keyed.withColumn("uid", F.coalesce(F.col("doc_id").cast("long"), behind))
+    else:
+        named = keyed.join(several, "doc_id", "left").withColumn(
+            "uid", F.when(F.col("doc_id").isNull() | (F.col("th") != F.col("lead")), behind).otherwise(F.col("doc_id").cast("long")))
+    classes = jaccard_join.similarity_classes(named.select(F.col("uid").alias("doc_id"), "text"))
+    first = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("uid")).distinct()
+    kept = named.join(first, "uid", "left_semi").groupBy("uid").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return kept.select("row.*").select(*COLUMNS)
 
 
 def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,14 @@ def test_pipeline_stages(spark):
     packed = stages[4](spark, clean, SF).toPandas()
     assert set(packed.doc_id) == {d for d, _ in rows(clean)}
     assert (packed.groupby("doc_id").length.sum() == packed.groupby("doc_id").doc_tokens.first()).all()
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Different texts under one doc_id, and texts without an id, are decided each by itself."""
+    one, two, three = ("alpha beta gamma delta epsilon zeta", "quite another text that stands for itself", "a third one of some more plain words here")
+    rows = [(1, one), (5, one), (5, two), (5, two), (7, two), (7, three), (None, three), (None, "only here and without any id at all"), (None, "only here and without any id at all"), (9, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 3):
+        out = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(parts), SF)
+        texts = sorted(r.text for r in out.collect())
+        assert out.columns == docs.columns and texts == sorted({t for _, t in rows})
