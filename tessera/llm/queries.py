@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprint, jaccard_join, license_scan, line_dedup, lm_trie, packing, pii, quality, toxicity
+from tessera.llm import (decontaminate, fingerprint, jaccard_join, license_scan, line_dedup, lm_trie, packing, pii, quality, token_align,
+                         token_counts, toxicity, whitening)
 from tessera.llm.common import crc_bucket, table
 
 
@@ -90,3 +91,18 @@ def op9(spark, sf):
 @_query("op10_jaccard_join", jaccard_join.ORACLE_SQL)
 def op10(spark, sf):
     return jaccard_join.similarity_classes(table(spark, sf, "documents"))
+
+
+@_query("op11_embedding_whitening")
+def op11(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@_query("op12_token_align")
+def op12(spark, sf):
+    return token_align.alignment_counts(table(spark, sf, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+@_query("op13_token_counts")
+def op13(spark, sf):
+    return token_counts.token_counts(table(spark, sf, "documents"), tokenizer_path())
