@@ -88,6 +88,14 @@ def dedup_brute(rows, width=3):
     return sorted(out, key=str)
 
 
+def test_edge_digest_of_many_edges(spark):
+    """20 million edges: the digest neither overflows nor depends on their order."""
+    from pyspark.sql import functions as F
+    edges = spark.range(20_000_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    n, h = graph._digest(edges)
+    assert n == 20_000_000 and (n, h) == graph._digest(edges.repartition(3)) and graph._digest(edges.limit(10)) != (n, h)
+
+
 def test_line_dedup(spark):
     rnd, words = random.Random(5), vocabulary(30)
     lines = [text(rnd, words, 4, 99) for _ in range(12)]
