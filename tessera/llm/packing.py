@@ -18,10 +18,9 @@ source, turn them into queue positions by bucketed prefix sums, then place every
 
 from __future__ import annotations
 
-import os
-import re
+import sys
 import zlib
-from struct import pack as pack_ids
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pinned
+from tessera.llm.bpe import ByteBpe
+from tessera.llm.common import pinned, trim
 from tessera.operators.ordinal import prefix_sum
 
 WINDOW, GRAIN = 1024, 64
@@ -37,72 +37,22 @@ END_ID = 0
 CHUNK_TOKENS = 400_000
 MAX_QUEUES = 4096          # more sources without a target than this share queues by hash; no token is left out
 WEIGHT_STEPS = 1 << 20
-_CACHE_MAX = 400_000
-
-# White space besides single spaces and line ends, which sends a text down the general path.
-_OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-_WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECE = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_MARKS = frozenset([".", ",", ";", ":", "!", "?", "!!", "..."])
-# byte-level BPE writes a byte as a sign: printable ones as themselves, the others as signs from 256 on
-_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_OTHERS = [b for b in range(256) if b not in _PRINTED]
-_BYTE_SIGNS = [chr(b) if b in _PRINTED else chr(256 + _OTHERS.index(b)) for b in range(256)]
-_MARKED = re.compile(r"( ?[^\W\d_]+)([.,;:!?]+)")
 
 
 class Encoder:
-    """Token ids of whole texts; ids of pieces seen before come from a bounded cache.
-
-    A byte-level BPE of this kind gives a word at most one leading space and never joins a letter
-    with a sign, so a single space or line end between two other signs starts a new piece, and the
-    marks after a word are a piece; pieces can be encoded by themselves.
-    """
+    """Little-endian unsigned 16-bit ids of whole texts, special strings inside texts as the library has them by default."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True     # their strings in a text are ordinary text
-        self.model = self.tok.model
-        self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        plain = not any(c in text for c in _OTHER_SPACE) and (text.isascii() or not any(c in text for c in _WIDE_SPACE))
-        if not plain or len(text.split()) != text.count(" ") + text.count("\n") + 1:
-            return _PIECE.split(text)
-        # every space or line end stands alone between two words; all words but the first get their space back
-        return text.replace("\n", " \n").replace(" ", "\0 ").replace("\0 \n", "\0\n").split("\0") if "\0" not in text else _PIECE.split(text)
-
-    def _ids(self, part: str) -> bytes:
-        """Ids of a part: of one word straight from the BPE model, else through the whole tokenizer."""
-        word = part[1:] if part[0] == " " else part
-        if word.isalpha() and (word.isascii() or max(word) < "\u0530") or word in _MARKS:      # one piece of the pre-tokeniser
-            signs = "".join([_BYTE_SIGNS[b] for b in word.encode()]) if not word.isascii() else word
-            ids = [t.id for t in self.model.tokenize(_BYTE_SIGNS[32] + signs if word is not part else signs)]
-        else:
-            ids = self.tok.encode(part, add_special_tokens=False).ids
-        return pack_ids(f"<{len(ids)}H", *ids)
+        self.bpe = ByteBpe(path)
+        if max(self.bpe.token_bytes) >= 1 << 16 or max(self.bpe.marks.values(), default=0) >= 1 << 16:
+            raise ValueError("a vocabulary of fewer than 65,536 ids is needed")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 16-bit ids of each text (the vocabulary has fewer than 65,536)."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        if len(self.cache) > _CACHE_MAX:
-            self.cache.clear()
-        if len(self.words) > _CACHE_MAX:
-            self.words.clear()
-        cache, words = self.cache, self.words
-        for p in set().union(*cut).difference(cache):
-            line, rest = ("\n", p[1:]) if p[0] == "\n" and len(p) > 1 and not p[1].isspace() else ("", p)
-            m = _MARKED.fullmatch(rest)
-            xs = [x for x in (line, *(m.groups() if m else (rest,))) if x]
-            for x in xs:
-                if x not in words:
-                    words[x] = self._ids(x)
-            cache[p] = b"".join([words[x] for x in xs]) if len(xs) > 1 else words[xs[0]]
-        get = cache.__getitem__
-        return [b"".join(map(get, ps)) for ps in cut]
+        ids = [array("H", self.bpe.ids(t)) for t in texts]
+        if sys.byteorder == "big":
+            for x in ids:
+                x.byteswap()
+        return [x.tobytes() for x in ids]
 
 
 def _tokenised(docs: DataFrame, path: str, chunk_tokens: int) -> DataFrame:
@@ -135,6 +85,7 @@ def _tokenised(docs: DataFrame, path: str, chunk_tokens: int) -> DataFrame:
                         yield row()
         if docs_:
             yield row()
+        trim()
 
     return docs.mapInArrow(run, "chunk long, doc_ids array<long>, queues array<string>, lens array<long>, ids binary")
 

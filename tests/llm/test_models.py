@@ -127,8 +127,7 @@ def test_packing(spark, targets):
     rows = corpus(60) + [(5, "again"), (5, "again"), (None, "no number"), (400, "  two  spaces \n\n and\ttabs <|endoftext|> "), (401, "don't 12 ab12\n x")]
     df = frame(spark, rows, ["queue", "chunk", "lens", "at"]).repartition(3)
     res = packing.pack(df, tokenizer_path(), targets, window=256, grain=32, chunk_tokens=1500).toPandas()
-    tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_file(tokenizer_path())          # the library's default for special strings inside texts
     want = Counter()
     for d, t in rows:
         want[(d, tuple(tok.encode(t or "", add_special_tokens=False).ids + [0]))] += 1
@@ -151,6 +150,21 @@ def test_packing(spark, targets):
     assert packing.pack(spark.createDataFrame([], SCHEMA), tokenizer_path()).count() == 0
 
 
+def test_quality_ties(spark):
+    """Two labels of one doc_id: the larger counts, in any order of rows."""
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "bad stuff there") for i in range(40)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(40)] + [(0, 1), (2, 1), (None, 1), (3, None)]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int").coalesce(1)
+    a, b = (quality.train_quality(docs, make(x)) for x in (labels, labels[::-1]))
+    assert (a == b).all() and np.abs(a).max() > 0
+
+
+def test_packing_special_strings():
+    enc = packing.Encoder(tokenizer_path())
+    ids = [np.frombuffer(x, "<u2").tolist() for x in enc.encode(["a <|endoftext|> b", "", "<|endoftext|>"])]
+    assert ids == [[64, 220, 50256, 275], [], [50256]]
+
+
 def test_packing_keeps_targets_of_many_sources(spark, monkeypatch):
     """More sources than queues: targets still hold, and no token is lost."""
     monkeypatch.setattr(packing, "MAX_QUEUES", 8)
