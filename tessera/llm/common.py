@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,21 @@ def release(spark: SparkSession) -> None:
         time.sleep(1)
 
 
+def trim() -> None:
+    """Give a Python worker's free memory back to the machine; workers live on through later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):            # another C library: nothing to do
+        pass
+
+
+def ranges_for(docs: DataFrame, text: str = "text", text_bytes: int = 8_000_000, least: int = 8) -> int:
+    """Number of hash ranges of which each takes the words of about ``text_bytes`` of text, however large the table is."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    return max(least, -(-int(total) // text_bytes))
+
+
 def crc_bucket(doc_id, n: int):
     """crc32 of doc_id as text, modulo n (null doc_id: the empty string)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import ByteBpe
-from tessera.llm.common import narrow, pinned
+from tessera.llm.common import narrow, pinned, trim
 from tessera.llm.token_counts import _pack_rows, pack_ints, unpack_ints, unpack_rows
 
 LANE_BYTES = 1024
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_500_000
 _SHIFT = 20                    # id pair: A id << 20 | B id
 _CHUNK = ("chunk long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, "
           "sizes array<long>, keys array<long>, docs array<int>, at binary, freq binary")
@@ -57,12 +57,13 @@ class Pair:
     def encode(self, texts: list[str | None]):
         """A and B ids of every text; both empty where it is null or empty, or its tokens' bytes are not space + text."""
         full = [i for i, t in enumerate(texts) if t]
-        out = [((), ())] * len(texts)
+        none = np.zeros(0, np.int32)
+        out = [(none, none)] * len(texts)
         for i, b in zip(full, self.b.encode([texts[i] for i in full], num_threads=1) if full else []):
             whole = " " + texts[i]
             a, raw = self.a.ids(whole), whole.encode()
             if b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw:
-                out[i] = (a, b)
+                out[i] = (np.array(a, np.int32), np.array(b, np.int32))
         return out
 
 
@@ -72,8 +73,8 @@ class Alignment:
     def __init__(self, pair: Pair, ids, lane_bytes: int = LANE_BYTES):
         self.n_a = np.array([len(a) for a, _ in ids], np.int64)
         self.n_b = np.array([len(b) for _, b in ids], np.int64)
-        self.a = np.fromiter((x for a, _ in ids for x in a), np.int64, self.n_a.sum())
-        self.b = np.fromiter((x for _, b in ids for x in b), np.int64, self.n_b.sum())
+        self.a = np.concatenate([a for a, _ in ids]).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+        self.b = np.concatenate([b for _, b in ids]).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
         self.a_end, self.b_end = np.cumsum(pair.a_len[self.a]), np.cumsum(pair.b_len[self.b])
         self.doc = np.repeat(np.arange(len(ids)), self.n_a)               # of every A token
         self._merge(lane_bytes)
@@ -158,8 +159,8 @@ def _chunks(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int) -> Data
                 names=["chunk", "doc_ids", "n_a", "n_b", "n_groups", "n_links", "sha", "sizes", "keys", "docs", "at", "freq"])
 
         for b in batches:
-            for start in range(0, b.num_rows, 256):
-                s = b.slice(start, 256)
+            for start in range(0, b.num_rows, 64):
+                s = b.slice(start, 64)
                 texts = s.column("text").to_pylist()
                 for d, t, x in zip(s.column("doc_id").to_pylist(), texts, pair.encode(texts)):
                     doc_ids.append(d)
@@ -171,6 +172,7 @@ def _chunks(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int) -> Data
                         doc_ids, ids, held = [], [], 0
         if ids:
             yield row()
+        trim()
 
     return narrow(docs).mapInArrow(run, _CHUNK)
 
