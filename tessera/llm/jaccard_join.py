@@ -33,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, pinned, raw_texts, release, space_words
+from tessera.llm.common import mix64, pinned, ranges_for, raw_texts, release, space_words, trim
 from tessera.llm.graph import components
 
 WORDS = 5
 NUM, DEN = 3, 4                 # the least Jaccard index, as a fraction
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 500_000
 GROUP = 2000                    # sets compared with one centre in one group
 _P = np.uint64(0x9E3779B97F4A7C15)
 _EPS = 1e-9
@@ -57,7 +57,7 @@ def unplanes(raw: bytes, dtype) -> np.ndarray:
 class Hasher:
     """64-bit hashes of words from a bounded cache, and of word n-grams."""
 
-    def __init__(self, n: int = WORDS, limit: int = 250_000):
+    def __init__(self, n: int = WORDS, limit: int = 100_000):
         self.n, self.limit, self.cache = n, limit, {}
 
     def words(self, words: list[bytes]) -> np.ndarray:
@@ -126,6 +126,7 @@ def _chunk_rows(docs: DataFrame, n: int, shards: int, chunk_words: int) -> DataF
                     yield from flush()
         if ids:
             yield from flush()
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "shard int, chunk long, keys binary, places binary, doc_ids array<long>, lens array<long>, sig binary")
@@ -203,7 +204,7 @@ def _chunk_sets(t: pa.Table) -> pa.Table:
 
 def document_sets(docs: DataFrame, n: int = WORDS, shards: int | None = None, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """One row per document: set size, signature, and, where it can link at all, its repeated and its rarest n-grams."""
-    shards = shards or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or ranges_for(docs)          # a shard is one group in Python, so their number grows with the text
     rows = _chunk_rows(docs, n, shards, chunk_words)
     rep = rows.groupBy("shard").applyInArrow(_repeated, _REPEATED)
     return rep.groupBy("chunk").applyInArrow(_chunk_sets, _SETS)
