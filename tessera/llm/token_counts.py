@@ -3,31 +3,36 @@
 A byte-level BPE merges within pre-tokens only, so a text's count is the sum over its distinct
 pre-tokens of frequency times pieces. Steps:
 
-1. Documents are cut into pre-tokens, chunk by chunk. A chunk of about ``chunk_words`` pre-tokens keeps its
-   distinct ones once, and every document's frequencies as numbers into that list (written once to
-   the shared folder).
-2. The distinct pre-tokens of all chunks are counted, each once, by the BPE.
-3. (chunk, place, pre-token) is joined to these counts. A pre-token has one row per chunk however
-   often it occurs, so frequent ones are pre-aggregated before the shuffle.
-4. Every chunk gets its counts back and adds up frequency times count by document.
-
-No ids are made and no text is shuffled. A chunk's row is bounded by ``chunk_words``, or by one document.
+1. Documents are cut into pre-tokens, chunk by chunk. A chunk of about ``chunk_words`` pre-tokens lists its
+   distinct ones once, by hash range, and has a row of its own with every document's frequencies as
+   numbers into these lists. Numbers depend on the chunk's documents alone, so a lost task gives them again.
+2. The lists are shuffled by hash range, so all copies of a pre-token meet in one range, which counts
+   each distinct one once by the BPE. A pre-token comes once per chunk however often it occurs, so
+   frequent ones are pre-aggregated before the shuffle.
+3. The counts go back to their chunk's own row, which adds up frequency times count by document.
+
+No ids are made and no text is shuffled. A chunk's row is bounded by ``chunk_words``, or by one document;
+a range's table of counts by the number of ranges, which grows with the text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm.bpe import ByteBpe
-from tessera.llm.common import narrow, pinned
+from tessera.llm.common import narrow, ranges_for, trim
 
 LIMIT = 512
 CHUNK_WORDS = 2_000_000
-_CHUNK = "chunk long, doc_ids array<long>, n_bytes array<long>, marks array<long>, sizes array<long>, words array<string>, at binary, freq binary"
+RANGE_BYTES = 32_000_000       # text whose pre-tokens one hash range takes
+_OWN = {"doc_ids": pa.list_(pa.int64()), "n_bytes": pa.list_(pa.int64()), "marks": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()),
+        "at": pa.binary(), "freq": pa.binary()}
+_OWN_SQL = "doc_ids array<long>, n_bytes array<long>, marks array<long>, sizes array<long>, at binary, freq binary"
 
 
 def pack_ints(x: np.ndarray) -> bytes:
@@ -55,26 +60,29 @@ def unpack_rows(raw: bytes, sizes: np.ndarray) -> np.ndarray:
     return run - np.repeat(before, sizes)
 
 
-def _cut(path: str, chunk_words: int):
+def _cut(path: str, chunk_words: int, ranges: int):
     def run(batches):
         bpe, part, seq = ByteBpe(path), TaskContext.get().partitionId(), 0
 
         numbers, ids, sizes_b, marks, docs, held = {}, [], [], [], [], 0
 
-        def row():
-            # numbers by falling frequency within the chunk, so that steps are small
-            flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-            total = np.bincount(flat, minlength=len(numbers))
-            order = np.argsort(-total, kind="stable")
+        def rows():
+            # numbered by hash range, in it by falling frequency, so that steps are small
+            names = sorted(numbers)
+            old = np.fromiter(map(numbers.__getitem__, names), np.int64, len(names))
+            total = np.bincount(np.concatenate(docs), minlength=len(numbers))[old]
+            of = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) % ranges for w in names), np.int64, len(names))
+            order = np.lexsort((-total, of))
             place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            words = np.array(list(numbers), dtype=object)[order] if len(order) else np.zeros(0, object)
+            place[old[order]] = np.arange(len(order))
+            ends = np.cumsum(np.bincount(of, minlength=ranges)).tolist()
+            chunk = (part << 24) + seq
             at, freq = zip(*[np.unique(place[d], return_counts=True) for d in docs])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 24) + seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes_b], pa.list_(pa.int64())),
-                 pa.array([marks], pa.list_(pa.int64())), pa.array([[len(x) for x in at]], pa.list_(pa.int64())),
-                 pa.array([words], pa.list_(pa.string())), pa.array([_pack_rows(list(at))], pa.binary()), pa.array([pack_ints(np.concatenate(freq))], pa.binary())],
-                names=["chunk", "doc_ids", "n_bytes", "marks", "sizes", "words", "at", "freq"])
+            own = [ids, sizes_b, marks, [len(x) for x in at], _pack_rows(list(at)), pack_ints(np.concatenate(freq))]
+            yield _batch([chunk % ranges], [chunk], [None], [[x] for x in own])
+            for lo in range(0, ranges, 64):
+                lists = [(r, a, z) for r, a, z in zip(range(lo, ranges), [0, *ends][lo:lo + 64], ends[lo:lo + 64]) if z > a]
+                yield _batch([r for r, _, _ in lists], [chunk] * len(lists), [[names[i] for i in order[a:z]] for _, a, z in lists], [[None] * len(lists)] * len(_OWN))
 
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -89,26 +97,46 @@ def _cut(path: str, chunk_words: int):
                     marks.append(n_marks)
                     held += len(words) + 1
                     if held >= chunk_words:
-                        yield row()
+                        yield from rows()
                         seq += 1
                         numbers, ids, sizes_b, marks, docs, held = {}, [], [], [], [], 0
         if ids:
-            yield row()
+            yield from rows()
+        trim()
     return run
 
 
-def piece_counts(words: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``word, n``: the number of tokens of every row of ``word`` (distinct pre-tokens)."""
-    def run(batches):
-        bpe = ByteBpe(tokenizer_path, marks=False)
-        for b in batches:
-            w = b.column("word")
-            yield pa.RecordBatch.from_arrays([w, pa.array([bpe.pieces(x) for x in w.to_pylist()], pa.int32())], names=["word", "n"])
+def _batch(ranges: list, chunks: list, words: list, own: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(chunks, pa.int64()), pa.array(words, pa.list_(pa.string())),
+                                       *[pa.array(v, t) for v, t in zip(own, _OWN.values())]], names=["range", "chunk", "words", *_OWN])
 
-    return words.select("word").mapInArrow(run, "word string, n int")
 
+def piece_counts(rows: DataFrame, tokenizer_path: str) -> DataFrame:
+    """The rows with ``n``, the number of tokens of every pre-token in the list ``words``, in its place (null lists: null).
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    All lists of a range are in one partition, one after another, so each distinct pre-token is counted once.
+    """
+    def run(batches):
+        bpe, at, counts = ByteBpe(tokenizer_path, marks=False), None, {}
+        for b in batches:
+            out = []
+            for r, ws in zip(b.column("range").to_pylist(), b.column("words")):
+                if r != at:
+                    at, counts = r, {}
+                ws = ws.as_py()
+                for w in ws or ():
+                    if w not in counts:
+                        counts[w] = bpe.pieces(w)
+                out.append(None if ws is None else [counts[w] for w in ws])
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("range"), pa.array(out, pa.list_(pa.int32())), *[b.column(c) for c in _OWN]],
+                                             names=["chunk", "range", "n", *_OWN])
+        trim()
+
+    return rows.repartition("range").sortWithinPartitions("range").mapInArrow(run, f"chunk long, range int, n array<int>, {_OWN_SQL}")
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, chunk_words: int = CHUNK_WORDS,
+                 ranges: int | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs`` (columns doc_id, text).
 
     Counts are those of the tokenizers library for the whole text: no begin, end or added special
@@ -116,24 +144,18 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, chunk
     Null and empty texts have 0 bytes and 0 tokens; null and repeated doc_ids keep a row each; an
     empty table gives no rows; further columns are ignored. ``over_limit``: more than ``limit`` tokens.
     """
-    chunks = pinned(narrow(docs).mapInArrow(_cut(tokenizer_path, chunk_words), _CHUNK), "token-count-chunks")
-    words = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
-    counts = piece_counts(words.select("word").distinct(), tokenizer_path)
-    back = words.join(counts, "word").groupBy("chunk").agg(F.collect_list("place").alias("place"), F.collect_list("n").alias("n"))
-
-    def add_up(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                r = {c: b.column(c)[i] for c in b.schema.names}
-                sizes = np.array(r["sizes"].as_py(), np.int64)
-                n = np.zeros(0 if not r["place"].is_valid else len(r["place"]), np.int64)
-                if len(n):
-                    n[r["place"].values.to_numpy()] = r["n"].values.to_numpy()
-                at, freq = unpack_rows(r["at"].as_py(), sizes), unpack_ints(r["freq"].as_py())
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                total = np.bincount(doc, weights=freq * n[at], minlength=len(sizes)).astype(np.int64) + np.array(r["marks"].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"].as_py(), pa.int64()), pa.array(r["n_bytes"].as_py(), pa.int64()), pa.array(total), pa.array(total > limit)],
-                    names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    return chunks.drop("words").join(back, "chunk", "left").mapInArrow(add_up, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    ranges = ranges or ranges_for(docs, text_bytes=RANGE_BYTES)
+    rows = narrow(docs).mapInArrow(_cut(tokenizer_path, chunk_words, ranges), f"range int, chunk long, words array<string>, {_OWN_SQL}")
+
+    def add_up(t: pa.Table) -> pa.Table:
+        t = t.sort_by("range")
+        own = t.filter(pc.is_valid(t.column("doc_ids"))).to_pylist()[0]
+        lists = t.column("n").combine_chunks()
+        n = lists.filter(lists.is_valid()).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = np.array(own["sizes"], np.int64)
+        at, freq = unpack_rows(own["at"], sizes), unpack_ints(own["freq"])
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        total = np.bincount(of, weights=freq * n[at], minlength=len(sizes)).astype(np.int64) + np.array(own["marks"], np.int64)
+        return pa.table({"doc_id": pa.array(own["doc_ids"], pa.int64()), "n_bytes": pa.array(own["n_bytes"], pa.int64()), "n_tokens": total, "over_limit": total > limit})
+
+    return piece_counts(rows, tokenizer_path).groupBy("chunk").applyInArrow(add_up, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -45,10 +45,10 @@ def test_packed_rows():
     assert len(token_counts.unpack_rows(token_counts._pack_rows([]), np.zeros(0, int))) == 0
 
 
-@pytest.mark.parametrize("chunk_words", [50, 2_000_000])
-def test_token_counts(spark, chunk_words):
+@pytest.mark.parametrize("chunk_words, ranges", [(50, 3), (700, None), (2_000_000, 40)])
+def test_token_counts(spark, chunk_words, ranges):
     rows, lib = corpus() + ODD, library()
-    res = token_counts.token_counts(frame(spark, rows, ["chunk", "words", "n", "place"]).repartition(3), A, 100, chunk_words)
+    res = token_counts.token_counts(frame(spark, rows, ["chunk", "words", "n", "range"]).repartition(3), A, 100, chunk_words, ranges)
     want = []
     for d, t in rows:
         n = len(lib.encode(t or "", add_special_tokens=False).ids)
