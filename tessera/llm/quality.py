@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, narrow, raw_texts
+from tessera.llm.common import mix64, narrow, raw_texts, trim
 
 BITS = 18
 SHARDS = 8
@@ -81,6 +81,8 @@ def _vectors(docs: DataFrame, keep: str, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(keep), pa.array([i.tobytes() for i, _ in vs], pa.binary()),
                  pa.array([v.tobytes() for _, v in vs], pa.binary())], names=[keep, "idx", "val"])
+        _CACHE.clear()
+        trim()
 
     return docs.mapInArrow(run, schema)
 
@@ -115,12 +117,13 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ma
     """Weight vector from labelled documents (inner join on doc_id).
 
     The sample is the ``max_rows`` labelled rows with the smallest hash of doc_id (all rows where
-    there are fewer); ties in the hash are the same document. Null labels and ids are left out.
+    there are fewer); ties in the hash are the same document. Of several labels of one doc_id the
+    largest counts, whatever the order of rows. Null labels and ids are left out.
     The driver receives only the averaged weights, ``2 ** bits + 1`` numbers at most. Without any
     labelled row all weights are zero.
     """
     spark = docs.sparkSession
-    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().dropDuplicates(["doc_id"])
+    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     lab = lab.withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(max_rows)
     rows = lab.orderBy("h").collect()        # ids and labels of the bounded sample only
     size = (1 << bits) + 1
@@ -136,6 +139,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ma
         idx, val, y = t.column("idx").to_pylist(), t.column("val").to_pylist(), t.column("y").to_pylist()
         w = ftrl([(np.frombuffer(idx[i], np.int64), np.frombuffer(val[i], np.float32), y[i]) for i in order], bits)
         at = np.flatnonzero(w)
+        del idx, val
+        trim()
         return pa.table({"at": at, "w": w[at], "rows": np.full(len(at), len(y))})
 
     parts = vec.groupBy("shard").applyInArrow(fit, "at long, w double, rows long")
@@ -167,6 +172,8 @@ def score_quality(docs: DataFrame, weights: np.ndarray, keep: list[str] | None =
                 sc.append(1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, float(w[i] @ v) + float(w[-1]))))))
             yield pa.RecordBatch.from_arrays([*[b.column(f"k{j}") for j in range(len(keep))], pa.array(sc, pa.float64())],
                                              names=[*[f"k{j}" for j in range(len(keep))], "score"])
+        _CACHE.clear()               # the worker is used again by other stages
+        trim()
 
     out = src.mapInArrow(run, f"{fields}, score double")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score")
