@@ -15,10 +15,50 @@ from tessera.plans.sql_standins import with_ctes
 from tessera.session import scratch_path
 from tessera.sources import blocks as B
 
-GRAPH_CTES = with_ctes("graph_pairs", extra="""
+def _mappings(k: int, pairs: str) -> str:
+    """SQL of the pairs that have a node mapping with all but ``k`` of the smaller edge number in common.
+
+    A state maps the first i nodes of the smaller graph: images of the nodes with open edges (else -1), used
+    nodes, common edges c, edges e2 of the larger graph among used nodes. A state that has lost more than
+    ``k`` edges on either side goes.
+    """
+    return f"""
+r{k}(g1, g2, i, used, img, c, e2) AS (
+  SELECT g1, g2, 0, 0::BIGINT, []::INT[], 0, 0 FROM {pairs}
+  UNION
+  SELECT g1, g2, i + 1, used | (1::BIGINT << v), list_transform(range(i + 1), lambda j: CASE WHEN last[j + 1] <= i THEN -1 WHEN j = i THEN v ELSE img[j + 1] END)::INT[],
+         c2, e22 FROM (
+    SELECT t.*, v, last, m1, m2, e1, n, t.c + coalesce(list_sum(list_transform(list_filter(near[t.i + 1], lambda j: j < t.i),
+             lambda j: (adj[v + 1] >> t.img[j + 1]) & 1)), 0)::INT AS c2, t.e2 + bit_count(adj[v + 1] & t.used)::INT AS e22
+    FROM r{k} t JOIN pt USING (g1, g2), (SELECT unnest(range(40))::INT AS v) vs
+    WHERE t.i < n AND v < n2 AND (t.used >> v) & 1 = 0) z
+  WHERE c2 + m1 - e1[i + 2] >= least(m1, m2) - {k} AND c2 + m2 - e22 >= least(m1, m2) - {k}),
+d{k} AS MATERIALIZED (SELECT DISTINCT g1, g2, CAST(m1 + m2 + n2 - n - 2 * (least(m1, m2) - {k}) AS BIGINT) AS distance FROM r{k} JOIN pt USING (g1, g2) WHERE i = n),
+open{k} AS MATERIALIZED (SELECT * FROM {pairs} ANTI JOIN d{k} USING (g1, g2))"""
+
+
+# exact distances: pairs of graphs of at most 10 edges (no loops in these), by growing numbers of lost edges
+EXACT_CTES = f"""
+ends AS (SELECT n.graph_id, x.i AS i, y.i AS j FROM norm n JOIN num x ON x.graph_id = n.graph_id AND x.node = n.a
+         JOIN num y ON y.graph_id = n.graph_id AND y.node = n.b),
+nb AS (SELECT graph_id, i, sum(1::BIGINT << j::INT)::BIGINT AS m, list(j::INT) AS js FROM (SELECT * FROM ends UNION ALL SELECT graph_id, j, i FROM ends) e GROUP BY 1, 2),
+gr AS (SELECT graph_id, count(*)::INT AS n, list(m ORDER BY i) AS adj, list(js ORDER BY i) AS near,
+              list_sum(list(len(js)))::INT // 2 AS m FROM nb GROUP BY 1 HAVING list_sum(list(len(js))) <= 20),
+pr AS (SELECT p.g1, p.g2, if(x.n <= y.n, x, y) AS s, if(x.n <= y.n, y, x) AS l FROM graph_pairs p JOIN gr x ON x.graph_id = p.g1 JOIN gr y ON y.graph_id = p.g2),
+pt AS MATERIALIZED (SELECT g1, g2, s.n AS n, s.m AS m1, l.m AS m2, l.n AS n2, s.near AS near, l.adj AS adj,
+              list_transform(range(s.n + 1), lambda i: list_sum(list_transform(s.adj[:i], lambda x: bit_count(x & ((1::BIGINT << i::INT) - 1))))::INT // 2) AS e1,
+              list_transform(s.near, lambda js: list_max(js)) AS last FROM pr),
+{",".join(_mappings(k, f"open{k - 1}" if k else "pt") for k in range(6))},
+exact AS MATERIALIZED ({" UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(6))})"""
+
+_BOUNDS = """
 norm AS (SELECT DISTINCT graph_id, least(u, v) AS a, greatest(u, v) AS b FROM order_graphs),
 deg AS (SELECT graph_id, node, count(*) AS degree
         FROM (SELECT graph_id, a AS node FROM norm UNION ALL SELECT graph_id, b FROM norm) e GROUP BY graph_id, node),
+-- nodes numbered by the first edge that has them, so that neighbours follow each other
+num AS (SELECT graph_id, node, row_number() OVER (PARTITION BY graph_id ORDER BY k) - 1 AS i FROM (
+        SELECT graph_id, node, min(k) AS k FROM (SELECT graph_id, a AS node, 2 * row_number() OVER (PARTITION BY graph_id ORDER BY a, b) AS k FROM norm
+        UNION ALL SELECT graph_id, b, 2 * row_number() OVER (PARTITION BY graph_id ORDER BY a, b) + 1 FROM norm) x GROUP BY 1, 2) y),
 rk AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY degree DESC, node) AS rank FROM deg),
 nsz AS (SELECT graph_id, count(*) AS n FROM deg GROUP BY graph_id),
 msz AS (SELECT graph_id, count(*) AS m FROM norm GROUP BY graph_id),
@@ -34,7 +74,7 @@ l1 AS (SELECT g1, g2, sum(abs(coalesce(d1, 0) - coalesce(d2, 0))) AS l1 FROM
        (SELECT p.g1, p.g2, x.rank, x.degree AS d1 FROM graph_pairs p JOIN rk x ON x.graph_id = p.g1) s1
        FULL OUTER JOIN (SELECT p.g1, p.g2, y.rank, y.degree AS d2 FROM graph_pairs p JOIN rk y ON y.graph_id = p.g2) s2
        USING (g1, g2, rank) GROUP BY g1, g2),
-ged AS (
+bounds AS (
   SELECT p.g1, p.g2, CAST(a.n AS BIGINT) AS n_nodes1, CAST(b.n AS BIGINT) AS n_nodes2,
          CAST(ma.m AS BIGINT) AS n_edges1, CAST(mb.m AS BIGINT) AS n_edges2,
          CAST(abs(a.n - b.n) + ceil(coalesce(l1.l1, 0) / 2.0) AS BIGINT) AS ged_lower,
@@ -43,7 +83,10 @@ ged AS (
   FROM graph_pairs p JOIN nsz a ON a.graph_id = p.g1 JOIN nsz b ON b.graph_id = p.g2
   JOIN msz ma ON ma.graph_id = p.g1 JOIN msz mb ON mb.graph_id = p.g2
   LEFT JOIN cv ON cv.g1 = p.g1 AND cv.g2 = p.g2 LEFT JOIN ce ON ce.g1 = p.g1 AND ce.g2 = p.g2
-  LEFT JOIN cr ON cr.g1 = p.g1 AND cr.g2 = p.g2 LEFT JOIN l1 ON l1.g1 = p.g1 AND l1.g2 = p.g2)""")
+  LEFT JOIN cr ON cr.g1 = p.g1 AND cr.g2 = p.g2 LEFT JOIN l1 ON l1.g1 = p.g1 AND l1.g2 = p.g2)"""
+GRAPH_CTES = with_ctes("graph_pairs", extra=_BOUNDS + "," + EXACT_CTES + """,
+ged AS (SELECT b.* EXCLUDE (ged_lower, ged_upper), coalesce(x.distance, b.ged_lower) AS ged_lower, coalesce(x.distance, b.ged_upper) AS ged_upper,
+               x.distance IS NOT NULL OR b.ged_lower = b.ged_upper AS exact FROM bounds b LEFT JOIN exact x USING (g1, g2))""").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def _norm(spark, d):
@@ -81,16 +124,16 @@ def q_edge_band_filter(spark, d):
 
 
 @register("graph_edit_distance", GRAPH_CTES + """
-SELECT g1, g2, n_nodes1, n_nodes2, n_edges1, n_edges2, ged_lower, ged_upper, ged_lower = ged_upper AS exact FROM ged""")
+SELECT g1, g2, n_nodes1, n_nodes2, n_edges1, n_edges2, ged_lower, ged_upper, exact FROM ged""")
 def q_graph_edit_distance(spark, d):
-    return G.ged_bounds(_norm(spark, d), T.graph_pairs(spark, d))
+    return G.graph_edit_distance(_norm(spark, d), T.graph_pairs(spark, d))
 
 
 @register("graph_pair_report", GRAPH_CTES + """
 SELECT g.g1 AS id1, g.g2 AS id2, o1.o_orderpriority AS text1, o2.o_orderpriority AS text2, g.ged_upper AS distance
 FROM ged g JOIN orders o1 ON o1.o_orderkey = g.g1 JOIN orders o2 ON o2.o_orderkey = g.g2""")
 def q_graph_pair_report(spark, d):
-    ged = G.ged_bounds(_norm(spark, d), T.graph_pairs(spark, d))
+    ged = G.graph_edit_distance(_norm(spark, d), T.graph_pairs(spark, d))
     o = T.table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     return (ged.join(o.select(F.col("o_orderkey").alias("g1"), F.col("o_orderpriority").alias("text1")), "g1")
             .join(o.select(F.col("o_orderkey").alias("g2"), F.col("o_orderpriority").alias("text2")), "g2")
@@ -105,7 +148,7 @@ def q_resume_pairs(spark, d):
     out = scratch_path(spark, f"resume-{uuid.uuid4().hex}")
 
     def compute(todo):
-        return G.ged_bounds(norm, todo).select("g1", "g2", "ged_lower", "ged_upper")
+        return G.graph_edit_distance(norm, todo).select("g1", "g2", "ged_lower", "ged_upper")
 
     half = work.count() // 2
     # first run "crashes" after half of the pairs
@@ -139,7 +182,7 @@ JOIN seen y ON y.graph_id = g2 JOIN cnt a ON a.graph_id = g1 JOIN cnt b ON b.gra
 def q_write_pair_records(spark, d):
     from tessera.sources.sinks import write_pair_records
     edges = T.order_graphs(spark, d)
-    ged = G.ged_bounds(G.graph_normalise(edges), T.graph_pairs(spark, d))
+    ged = G.graph_edit_distance(G.graph_normalise(edges), T.graph_pairs(spark, d))
     path = scratch_path(spark, f"pairs-{uuid.uuid4().hex}")
     write_pair_records(ged, edges, path)
     back = spark.read.json(path)

@@ -114,3 +114,42 @@ def test_first_n_and_sample_beyond_one_task(spark, monkeypatch):
     a = {r.k for r in O.sample_n(df, "k", 20).collect()}
     monkeypatch.setattr(O, "TASK_ROWS", 1000)
     assert a == {r.k for r in O.sample_n(df, "k", 20).collect()} and len(a) == 20
+
+
+def graph_table(spark, graphs):
+    return G.graph_normalise(spark.createDataFrame([(g, u, v) for g, es in graphs.items() for u, v in es], "graph_id long, u int, v int"))
+
+
+def test_exact_distance_is_brute_force(spark):
+    """Random graphs of up to 10 edges, self loops and repeated edges among them."""
+    rnd, graphs = random.Random(3), {}
+    for g in range(70):
+        n = rnd.randint(2, 6)
+        es = {tuple(sorted((rnd.randrange(n + 1), rnd.randrange(n + 1)))) for _ in range(rnd.randint(1, 10))}
+        graphs[g] = sorted(es if g % 4 == 0 else {e for e in es if e[0] != e[1]} or {(0, 1)})
+    pairs = spark.createDataFrame([(g, g + 1) for g in range(69)] + [(3, 3), (9, 2), (9, 2), (5, 999)], "g1 long, g2 long")
+    res = G.graph_edit_distance(graph_table(spark, graphs), pairs).collect()
+    assert len(res) == 71
+    for r in res:
+        e = brute_ged(graphs[r.g1], graphs[r.g2])
+        assert r.exact and r.ged_lower == e == r.ged_upper, (r, e)
+
+
+def test_exact_distance_of_ten_edges(spark):
+    """Graphs too large for brute force, whose most common edges are known."""
+    path, star = [(i, i + 1) for i in range(10)], [(0, i + 1) for i in range(10)]
+    ring, match = [(i, (i + 1) % 10) for i in range(10)], [(2 * i, 2 * i + 1) for i in range(10)]
+    two = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (5, 6), (6, 7), (7, 8), (8, 9), (9, 5)]
+    big = path + [(20, 21)]
+    graphs = dict(enumerate([path, star, ring, match, two, big]))
+    known = {(0, 1): 2, (0, 2): 9, (0, 3): 5, (1, 2): 2, (1, 3): 1, (2, 3): 5, (0, 4): 8, (2, 4): 8, (3, 4): 4}      # edges in common
+    df = graph_table(spark, graphs)
+    nodes = {g: len({x for e in es for x in e}) for g, es in graphs.items()}
+    res = {(r.g1, r.g2): r for r in G.graph_edit_distance(df, spark.createDataFrame([*known, (5, 0), (5, 5)], "g1 long, g2 long")).collect()}
+    for (a, b), k in known.items():
+        assert res[a, b].exact and res[a, b].ged_upper == abs(nodes[a] - nodes[b]) + 20 - 2 * k, (a, b, res[a, b])
+    bounds = {(r.g1, r.g2): r for r in G.ged_bounds(df, spark.createDataFrame([(5, 0), (5, 5)], "g1 long, g2 long")).collect()}
+    assert res[5, 0] == bounds[5, 0] and res[5, 5] == bounds[5, 5]                # 11 edges: bounds only
+    more = G.edit_distance(df, spark.createDataFrame([(5, 0), (5, 5)], "g1 long, g2 long"), max_edges=11).collect()
+    assert {(r.g1, r.g2): r.distance for r in more} == {(5, 0): 3, (5, 5): 0}
+    assert G.edit_distance(df.limit(0), spark.createDataFrame([(0, 1)], "g1 long, g2 long")).count() == 0
