@@ -33,9 +33,3 @@ INDEX_TAG = {v: k for k, v in TAG_INDEX.items()}
 def map_literal(mapping: dict) -> Column:
     """A literal ``map<k, v>`` column (small, constant-folded by Catalyst)."""
     return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-
-
-def vocab_frame(spark, mapping: dict, key: str = "tag", value: str = "idx"):
-    """Vocabulary as a dimension table (for broadcast joins / full label lists)."""
-    return spark.createDataFrame(sorted(mapping.items(), key=lambda kv: kv[1]),
-                                 f"{key} string, {value} int")

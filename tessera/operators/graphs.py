@@ -30,12 +30,13 @@ def graph_degrees(norm: DataFrame) -> DataFrame:
 
 
 def graph_profile(norm: DataFrame) -> DataFrame:
-    """Node and edge counts and the degree sequence (descending) per graph."""
-    deg = graph_degrees(norm)
-    nodes = deg.groupBy("graph_id").agg(F.count(F.lit(1)).cast("long").alias("n_nodes"),
-                                        F.sort_array(F.collect_list("degree"), asc=False).alias("degrees"))
-    edges = norm.groupBy("graph_id").agg(F.count(F.lit(1)).cast("long").alias("n_edges"))
-    return nodes.join(edges, "graph_id")
+    """Node and edge counts and the degree sequence (descending) per graph; a null graph id is a graph.
+
+    Every edge has two ends (a loop both at one node), so half the degrees are the edges.
+    """
+    return graph_degrees(norm).groupBy("graph_id").agg(
+        F.count(F.lit(1)).cast("long").alias("n_nodes"), F.sort_array(F.collect_list("degree"), asc=False).alias("degrees"),
+        F.floor(F.sum("degree") / 2).cast("long").alias("n_edges"))
 
 
 def graph_rows(norm: DataFrame) -> DataFrame:

@@ -58,8 +58,9 @@ def pair_counts(preds: DataFrame, by=(), gold: str = "gold", pred: str = "pred")
 
 
 def accuracy(preds: DataFrame, by=(), gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """Share of rows whose prediction is the gold label; a null is a label of its own, as in :func:`class_report`."""
     return preds.groupBy(*by).agg(
-        F.avg((F.col(gold) == F.col(pred)).cast("double")).alias("accuracy"),
+        F.avg(F.col(gold).eqNullSafe(F.col(pred)).cast("double")).alias("accuracy"),
         F.count(F.lit(1)).cast("long").alias("n"))
 
 
@@ -69,15 +70,17 @@ def confusion_matrix(preds: DataFrame, labels: list, by=(), gold: str = "gold",
 
     ``labels`` is the label list (a vocabulary literal); the grid is
     generated per group with ``explode`` (no join to build it) and the
-    counts come from the one ``pair_counts`` aggregation.
+    counts come from the one ``pair_counts`` aggregation. Pairs with a null
+    or a label outside the list follow with their counts, so all rows are
+    counted; a null group is a group.
     """
     by = list(by)
     lab = F.array(*[F.lit(x) for x in labels])
     base = preds.select(*by).distinct() if by else preds.sparkSession.range(1).select()
     grid = base.select(*by, F.explode(lab).alias("gold")).select(*by, "gold", F.explode(lab).alias("pred"))
     c = pair_counts(preds, by, gold, pred)
-    return grid.join(c, [*by, "gold", "pred"], "left").select(
-        *by, "gold", "pred", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
+    zero = grid.withColumn("n", F.lit(0).cast("long"))
+    return c.unionByName(zero).groupBy(*by, "gold", "pred").agg(F.sum("n").cast("long").alias("n"))
 
 
 def per_class(counts: DataFrame, by=()) -> DataFrame:
@@ -131,10 +134,11 @@ def weighted_f1(preds: DataFrame, by=(), gold: str = "gold", pred: str = "pred")
 
 
 def micro_scores(preds: DataFrame, by=(), gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """Micro precision/recall/F1 from global tp / fp / fn sums (single-label: all equal accuracy)."""
+    """Micro precision/recall/F1 from global tp / fp / fn sums (single-label: all equal accuracy, nulls as there)."""
     counts = pair_counts(preds, by, gold, pred)
-    s = counts.groupBy(*by).agg(F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"),
-                                F.sum(F.when(F.col("gold") != F.col("pred"), F.col("n")).otherwise(0)).alias("fp"))
+    hit = F.col("gold").eqNullSafe(F.col("pred"))
+    s = counts.groupBy(*by).agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("tp"),
+                                F.sum(F.when(~hit, F.col("n")).otherwise(0)).alias("fp"))
     p = _div(F.col("tp"), F.col("tp") + F.col("fp"))
     r = _div(F.col("tp"), F.col("tp") + F.col("fp"))  # every fp of one class is an fn of another
     return s.select(*by, p.alias("micro_precision"), r.alias("micro_recall"),

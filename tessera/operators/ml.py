@@ -11,12 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import FeatureHasher, HashingTF, NGram, Normalizer, StringIndexer, StringIndexerModel
+from pyspark.ml.feature import HashingTF, NGram, Normalizer, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as Ty
-
-from tessera.functions.vectors import cosine as cosine_expr
+from pyspark.sql import Column, DataFrame, functions as F, types as Ty
 
 
 # ---------------------------------------------------------------- encoders
@@ -103,16 +100,6 @@ def layer_features(df: DataFrame, key: str, text_col: str, layers=(1, 2, 3), num
     return Pipeline(stages=stages).fit(rows.limit(0)).transform(rows).select(key, *keep, "layer", "vec")
 
 
-def char_ngrams(df: DataFrame, key: str, text_col: str, n: int = 3) -> DataFrame:
-    """``(key, gram, cnt)``: character n-gram counts of each text (code points)."""
-    t = F.col(text_col)
-    grams = F.when(F.char_length(t) >= n, F.transform(F.sequence(F.lit(1), F.char_length(t) - (n - 1)),
-                                                      lambda i: F.substring(t, i, n))) \
-        .otherwise(F.array().cast("array<string>"))
-    e = df.select(key, F.explode(grams).alias("gram"))
-    return e.groupBy(key, "gram").agg(F.count(F.lit(1)).cast("long").alias("cnt"))
-
-
 def predict_similarity(pairs: DataFrame, key, left: str, right: str, n: int = 3) -> DataFrame:
     """Cosine of character n-gram count vectors for each aligned text pair (null where a text has no n-gram).
 
@@ -197,69 +184,7 @@ def decode_prediction(model, prediction: str = "prediction") -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in labels_of(model)]), F.col(prediction).cast("int") + 1)
 
 
-def token_features(tokens: DataFrame, sent: str = "sent_id", pos: str = "pos", word: str = "word") -> DataFrame:
-    """Context features per token: word, neighbours, affixes, shape (windows per sentence)."""
-    w = Window.partitionBy(sent).orderBy(pos)
-    lw = F.lower(F.col(word))
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(word), r"\p{Lu}", "A"), r"\p{Ll}", "a"),
-                             r"\p{N}", "9")
-    return tokens.withColumns({
-        "f_w": lw, "f_prev": F.coalesce(F.lower(F.lag(word).over(w)), F.lit("<s>")),
-        "f_next": F.coalesce(F.lower(F.lead(word).over(w)), F.lit("</s>")),
-        "f_pre3": F.substring(lw, 1, 3), "f_suf3": F.expr(f"right(lower({word}), 3)"),
-        "f_suf2": F.expr(f"right(lower({word}), 2)"), "f_shape": shape,
-    })
-
-
-TOKEN_FEATURES = ["f_w", "f_prev", "f_next", "f_pre3", "f_suf3", "f_suf2", "f_shape"]
-
-
-def train_token_tagger(tokens: DataFrame, tag: str = "tag", max_iter: int = 20, num_features: int = 1 << 14):
-    """Token classifier: hashed context features -> multinomial logistic regression.
-
-    The feature frame is persisted once (the optimiser makes one pass per
-    iteration).
-    """
-    feats = token_features(tokens).persist()
-    idx = StringIndexer(inputCol=tag, outputCol="_label", handleInvalid="error")
-    hasher = FeatureHasher(inputCols=TOKEN_FEATURES, outputCol="features", numFeatures=num_features)
-    lr = LogisticRegression(featuresCol="features", labelCol="_label", family="multinomial", maxIter=max_iter)
-    model = Pipeline(stages=[idx, hasher, lr]).fit(feats)
-    feats.unpersist()
-    return _for_scoring(model)
-
-
-def predict_tokens(model, tokens: DataFrame, tag: str = "tag") -> DataFrame:
-    """``(sent_id, pos, word, gold, pred)``: argmax class decoded back to its tag."""
-    out = model.transform(token_features(tokens))
-    return out.select("sent_id", "pos", "word", F.col(tag).alias("gold"), decode_prediction(model).alias("pred"))
-
-
-def pair_features(df: DataFrame, v1: str, v2: str, out: str = "features") -> DataFrame:
-    """|u - v|, u * v and cosine(u, v) assembled into one vector."""
-    d = F.zip_with(v1, v2, lambda a, b: F.abs(a.cast("double") - b.cast("double")))
-    p = F.zip_with(v1, v2, lambda a, b: a.cast("double") * b.cast("double"))
-    feats = F.concat(d, p, F.array(cosine_expr(F.col(v1), F.col(v2))))
-    return df.withColumn(out, array_to_vector(feats))
-
-
-def train_pair_scorer(pairs: DataFrame, v1: str = "v1", v2: str = "v2", score: str = "label", max_iter: int = 20):
-    """Regress the (scaled) similarity score on pair features."""
-    feats = pair_features(pairs, v1, v2)
-    return LinearRegression(featuresCol="features", labelCol=score, maxIter=max_iter, regParam=0.01).fit(feats)
-
-
 # ---------------------------------------------------------------- subword pieces
-def piece_vocabulary(tokens: DataFrame, word: str = "word", longest: int = 4, min_count: int = 20, prefix: str = "##") -> DataFrame:
-    """``piece, n``: the corpus's substrings of up to ``longest`` characters that occur ``min_count`` times, and all single characters.
-
-    A piece inside a word carries ``prefix``. The table has no size limit and never leaves the cluster.
-    """
-    words = tokens.groupBy(word).agg(F.count(F.lit(1)).alias("w"))
-    cand = _candidates(words, word, longest, prefix)
-    return cand.groupBy("piece").agg(F.sum("w").alias("n")).where((F.col("n") >= min_count) | (F.char_length(F.regexp_replace("piece", f"^{prefix}", "")) == 1))
-
-
 def _candidates(words: DataFrame, word: str, longest: int, prefix: str) -> DataFrame:
     """Every substring of up to ``longest`` characters of each word, with its start and length."""
     w = F.col(word)
@@ -269,14 +194,18 @@ def _candidates(words: DataFrame, word: str, longest: int, prefix: str) -> DataF
     return at.withColumn("piece", F.when(F.col("start") == 1, cut).otherwise(F.concat(F.lit(prefix), cut)))
 
 
-def longest_match_pieces(words: DataFrame, vocabulary: DataFrame, word: str = "word", longest: int = 4, prefix: str = "##",
+def longest_match_pieces(words: DataFrame, vocabulary: DataFrame, word: str = "word", prefix: str = "##",
                          unk: str = "[UNK]") -> DataFrame:
     """``word, pieces`` for distinct words: greedy longest match from the left against a vocabulary table.
 
+    Candidates are as long as the longest piece of the vocabulary.
+
     A word's candidate pieces are joined to the vocabulary; the longest match at each start is kept, and
     the greedy path through these is walked in the row. A word with a rest that nothing matches is ``unk``.
     """
-    cand = _candidates(words.select(word).distinct(), word, longest, prefix)
+    bare = F.when(F.col("piece").startswith(prefix), F.char_length("piece") - len(prefix)).otherwise(F.char_length("piece"))
+    longest = vocabulary.agg(F.coalesce(F.max(bare), F.lit(1))).first()[0]
+    cand = _candidates(words.select(word).distinct(), word, max(longest, 1), prefix)
     best = cand.join(vocabulary.select("piece").distinct(), "piece").groupBy(word, "start").agg(F.max("size").alias("size"))
     sizes = best.groupBy(word).agg(F.map_from_entries(F.collect_list(F.struct("start", "size"))).alias("m"))
     zero = F.array().cast("array<string>")
@@ -290,6 +219,7 @@ def longest_match_pieces(words: DataFrame, vocabulary: DataFrame, word: str = "w
     return res.select(word, F.when(F.col("_w.next") == F.char_length(word) + 1, F.col("_w.out")).otherwise(F.array(F.lit(unk))).alias("pieces"))
 
 
-def subword_pieces(tokens: DataFrame, pieces: DataFrame, word: str = "word") -> DataFrame:
-    """Tokens with the piece array of their word, joined from a table of distinct words."""
-    return tokens.join(pieces.withColumnRenamed("pieces", "_pieces"), word, "left")
+def subword_pieces(tokens: DataFrame, pieces: DataFrame, word: str = "word", unk: str = "[UNK]") -> DataFrame:
+    """Tokens with the piece array of their word, joined from a table of distinct words; a null or unlisted word is one unknown piece."""
+    t = tokens.join(pieces.select(F.col(word).alias("_word"), F.col("pieces").alias("_p")), F.col(word).eqNullSafe(F.col("_word")), "left")
+    return t.withColumn("_pieces", F.when(F.size("_p") > 0, F.col("_p")).otherwise(F.array(F.lit(unk)))).drop("_word", "_p")

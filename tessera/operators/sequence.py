@@ -106,15 +106,14 @@ def segment_by_blank(rows: DataFrame, keys, order, is_blank: Column, bucket: Col
     """A blank row closes a segment. One row per blank: ``(keys, seg_no, n_rows)``.
 
     Two blanks in a row give an empty segment (``n_rows`` 0); rows after the
-    last blank (dangling tail) are dropped.
+    last blank (dangling tail) are dropped. A null key is a key; a null ``is_blank`` is not blank.
     """
     keys = list(keys)
-    s = prefix_sum(rows.withColumn("_blank", is_blank), keys, order,
+    s = prefix_sum(rows.withColumn("_blank", F.coalesce(is_blank, F.lit(False))), keys, order,
                    {"seg_no": F.col("_blank").cast("long")}, bucket=bucket, inclusive=False)
-    counts = s.where(~F.col("_blank")).groupBy(*keys, "seg_no").agg(F.count(F.lit(1)).alias("n_rows"))
-    closers = s.where(F.col("_blank")).select(*keys, "seg_no")
-    return closers.join(counts, keys + ["seg_no"], "left").select(
-        *keys, "seg_no", F.coalesce(F.col("n_rows"), F.lit(0)).cast("long").alias("n_rows"))
+    closed = F.max(F.col("_blank").cast("int")).alias("_closed")
+    g = s.groupBy(*keys, "seg_no").agg(F.sum((~F.col("_blank")).cast("long")).alias("n_rows"), closed)
+    return g.where("_closed = 1").drop("_closed")
 
 
 def carry_header(rows: DataFrame, keys, order, header_value: Column, name: str = "header",

@@ -18,11 +18,15 @@ from tessera.functions import vectors as V
 from tessera.operators import metrics as M
 from tessera.operators import ml as ML
 from tessera.operators import recode as R
+from tessera.operators import subword as S
+from tessera.operators import tagger as TG
+from tessera.operators import training as TR
 from tessera.operators.order import split_random
+from tessera.operators.ordinal import global_ordinal
 from tessera.plans import standins as T
 from tessera.plans.registry import register
 from tessera.plans.sql_standins import with_ctes
-from tessera.session import scratch_path
+from tessera.session import pinned, scratch_path
 from tessera.sources.sinks import load_model, save_model
 
 PIECE = 3  # fixed-width piece splitter used by the default subword_align
@@ -33,7 +37,8 @@ def subword_align(tokens, word: str = "word", tag: str = "tag", width: int = PIE
 
     One row per piece: (..., piece_no, piece, piece_tag, is_head). The default
     splitter cuts ``width`` characters (pure SQL expressions); ``pieces`` is a table of distinct words
-    and their pieces from :func:`tessera.operators.ml.longest_match_pieces`.
+    and their pieces from :func:`tessera.operators.subword.merge_pieces` or
+    :func:`tessera.operators.ml.longest_match_pieces`. A null word is one piece: null, or unknown in a table.
     """
     if pieces is None:
         n = F.greatest(F.ceil(F.char_length(word) / width), F.lit(1)).cast("int")
@@ -48,27 +53,69 @@ def subword_align(tokens, word: str = "word", tag: str = "tag", width: int = PIE
 
 _PIECES_SQL = with_ctes("conv_tokens", extra=f"""
 pc AS (SELECT sent_id, pos, word, label, unnest(range(greatest(CAST(ceil(length(word) / {PIECE}) AS BIGINT), 1))) AS k
-       FROM conv_tokens)""")
+       FROM conv_tokens),
+px AS (SELECT sent_id, pos, k, label, substring(word, CAST(k * {PIECE} + 1 AS INTEGER), {PIECE}) AS piece FROM pc),
+pid AS (SELECT piece, row_number() OVER (ORDER BY piece) + 1 AS piece_id FROM (SELECT DISTINCT piece FROM px)),
+tid AS (SELECT label, row_number() OVER (ORDER BY label) AS tag_id FROM (SELECT DISTINCT label FROM conv_tokens)),
+len AS (SELECT sent_id, count(*) AS length FROM px GROUP BY sent_id)""")
 
 
-@register("subword_align", _PIECES_SQL + f"""
-SELECT sent_id, pos, CAST(k AS INTEGER) AS piece_no, substring(word, CAST(k * {PIECE} + 1 AS INTEGER), {PIECE}) AS piece,
-       CASE WHEN k = 0 THEN label ELSE '<pad>' END AS piece_tag, CAST(k = 0 AS INTEGER) AS is_head
-FROM pc""")
-def q_subword_align(spark, d):
-    s = subword_align(T.conv_tokens(spark, d), "word", "label")
-    return s.select("sent_id", "pos", F.col("piece_no").cast("int").alias("piece_no"), "piece", "piece_tag", "is_head")
+def _tag_ids(tokens, tag: str = "label"):
+    """``tag, tag_id``: 1, 2, ... in the order of the tags; 0 stays for padding. The tag vocabulary is a literal's size."""
+    tags = [r[0] for r in tokens.select(tag).where(F.col(tag).isNotNull()).distinct().orderBy(tag).collect()]
+    return tokens.sparkSession.createDataFrame([(t, i + 1) for i, t in enumerate(tags)], "tag string, tag_id long")
 
 
-@register("subword_align_vocab", with_ctes("conv_tokens") + """
-SELECT sent_id, pos, word AS rebuilt, CAST(1 AS BIGINT) AS n_heads FROM conv_tokens""")
+@register("subword_align", _PIECES_SQL + """
+SELECT sent_id, pos, CAST(k AS INTEGER) AS piece_no, piece, CASE WHEN k = 0 THEN label ELSE '<pad>' END AS piece_tag, CAST(k = 0 AS INTEGER) AS is_head,
+       piece_id, CASE WHEN k = 0 THEN tag_id ELSE 0 END AS tag_id, length
+FROM px JOIN pid USING (piece) JOIN tid USING (label) JOIN len USING (sent_id)""")
+def q_subword_align(spark, d):
+    toks = T.conv_tokens(spark, d)
+    s = subword_align(toks, "word", "label")
+    ids = global_ordinal(s.select("piece").distinct(), ["piece"]).select("piece", (F.col("ordinal") + 2).alias("piece_id"))
+    tags = _tag_ids(toks).select(F.col("tag").alias("piece_tag"), F.col("tag_id").alias("_tag"))
+    lengths = s.groupBy("sent_id").agg(F.count(F.lit(1)).alias("length"))
+    out = s.join(ids, "piece").join(F.broadcast(tags), "piece_tag", "left").join(lengths, "sent_id")
+    return out.select("sent_id", "pos", F.col("piece_no").cast("int").alias("piece_no"), "piece", "piece_tag", "is_head", "piece_id",
+                      F.coalesce("_tag", F.lit(0)).cast("long").alias("tag_id"), "length")
+
+
+MERGES = 48
+# the same merges by a plain learner: all pairs are counted again for every merge
+_MERGE_SQL = with_ctes("conv_tokens", extra=f"""
+wc AS (SELECT word, count(*) AS n, array_to_string(list_transform(range(length(word)), lambda i: chr(2) || CASE WHEN i = 0 THEN '' ELSE '##' END
+              || substring(word, CAST(i + 1 AS INTEGER), 1) || chr(3)), '') AS s FROM conv_tokens WHERE word <> '' GROUP BY word),
+m(step, word, n, s, a, b) AS (
+  SELECT 0, word, n, s, NULL::VARCHAR, NULL::VARCHAR FROM wc
+  UNION ALL
+  SELECT step + 1, word, n, replace(s, chr(2) || p.a || chr(3) || chr(2) || p.b || chr(3), chr(2) || p.a || p.b[3:] || chr(3)), p.a, p.b
+  FROM m, (SELECT x[i] AS a, x[i + 1] AS b FROM (SELECT n, x, unnest(range(1, len(x))) AS i FROM (
+             SELECT n, string_split(s[2:-2], chr(3) || chr(2)) AS x FROM m)) GROUP BY 1, 2 ORDER BY sum(n) DESC, 1, 2 LIMIT 1) p
+  WHERE step < {MERGES}),
+letters AS (SELECT piece, row_number() OVER (ORDER BY piece) + 1 AS id FROM (SELECT DISTINCT unnest(string_split(s[2:-2], chr(3) || chr(2))) AS piece FROM wc)),
+made AS (SELECT piece, (SELECT count(*) FROM letters) + 1 + row_number() OVER (ORDER BY step) AS id FROM (
+           SELECT a || b[3:] AS piece, min(step) AS step FROM m WHERE step > 0 GROUP BY 1)),
+ids AS (SELECT * FROM letters UNION ALL SELECT * FROM made),
+wp AS (SELECT word, k, id FROM (SELECT word, x[k] AS piece, k FROM (SELECT word, x, unnest(range(1, len(x) + 1)) AS k FROM (
+         SELECT word, string_split(s[2:-2], chr(3) || chr(2)) AS x FROM m WHERE step = (SELECT max(step) FROM m)))) JOIN ids USING (piece)),
+tid AS (SELECT label, row_number() OVER (ORDER BY label) AS tag_id FROM (SELECT DISTINCT label FROM conv_tokens)),
+row_ AS (SELECT sent_id, pos, k, id, CASE WHEN k = 1 THEN tag_id ELSE 0 END AS tag_id, CAST(k = 1 AS INTEGER) AS head
+         FROM conv_tokens JOIN wp USING (word) JOIN tid USING (label))""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("subword_align_vocab", _MERGE_SQL + """
+SELECT sent_id, string_agg(id, ',' ORDER BY pos, k) AS piece_ids, string_agg(tag_id, ',' ORDER BY pos, k) AS tag_ids,
+       string_agg(head, ',' ORDER BY pos, k) AS heads, CAST(count(*) AS BIGINT) AS length FROM row_ GROUP BY sent_id""")
 def q_subword_align_vocab(spark, d):
+    """Merges learnt from the corpus, then every sentence as piece ids, tag ids, heads and length."""
     toks = T.conv_tokens(spark, d).select("sent_id", "pos", "word", "label")
-    split = ML.longest_match_pieces(toks, ML.piece_vocabulary(toks))
-    s = subword_align(toks, "word", "label", pieces=split)
-    g = s.groupBy("sent_id", "pos").agg(F.array_sort(F.collect_list(F.struct("piece_no", "piece"))).alias("p"), F.sum("is_head").cast("long").alias("n_heads"))
-    rebuilt = F.array_join(F.transform("p", lambda x: F.when(x["piece_no"] > 0, F.substring(x["piece"], 3, 1 << 30)).otherwise(x["piece"])), "")
-    return g.select("sent_id", "pos", rebuilt.alias("rebuilt"), "n_heads")
+    words = pinned(toks.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "corpus-words")
+    merges = S.learn_merges(words, MERGES)
+    ids = S.word_ids(S.merge_pieces(words, merges), S.piece_table(words, merges))
+    out = S.encode_sentences(toks, ids, _tag_ids(toks), tag="label")
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("sent_id", joined("piece_ids"), joined("tag_ids"), joined("heads"), "length")
 
 
 @register("head_piece_filter", with_ctes("conv_tokens") + "SELECT sent_id, pos, word, label AS tag FROM conv_tokens")
@@ -210,23 +257,33 @@ def q_eval_flow(spark, d):
     data = _labelled_docs(spark, d).persist()
     corpora = sorted(r.lang for r in T.table(spark, d, "documents").select("lang").distinct().collect())    # the list of corpora
     preds = None
-    for lang in corpora:
+    for lang in corpora:  # one model per corpus
         model = ML.train_sequence_classifier(data.where((F.col("split") == "train") & (F.col("lang") == lang)), "text", "quality")
         one = model.transform(data.where(F.col("split") == "test")).select(
             F.lit(lang).alias("model"), F.col("lang").alias("test_set"), F.col("quality").alias("gold"), ML.decode_prediction(model).alias("pred"),
-            F.element_at(vector_to_array("probability"), -1).alias("soft"))
+            F.element_at(vector_to_array("probability"), ML.labels_of(model).index("1") + 1).alias("soft"))
         preds = one if preds is None else preds.unionByName(one)
     g = preds.groupBy("model", "test_set").agg(
         F.count(F.lit(1)).alias("support"), F.avg((F.col("gold") == F.col("pred")).cast("double")).alias("accuracy"),
         F.avg(F.abs(F.col("soft") - F.col("gold").cast("double"))).alias("mae"))
-    return g.select("model", "test_set", F.col("support").cast("long").alias("support"), (F.col("accuracy").between(0, 1) & F.col("mae").between(0, 1)).alias("scored"))
+    # the soft score is that of label 1: nearer to the gold labels than to their opposites
+    return g.select("model", "test_set", F.col("support").cast("long").alias("support"), (F.col("accuracy").between(0, 1) & (F.col("mae") < 0.5)).alias("scored"))
 
 
 def _tagger(spark, d):
     toks = R.normalise_tags(R.drop_placeholders(T.doc_tokens(spark, d)))
     sents = split_random(T.table(spark, d, "documents").select(F.col("doc_id").alias("sent_id")), "sent_id", Fraction(20, 100), 42)
     data = toks.join(sents, "sent_id")
-    return ML.train_token_tagger(data.where(F.col("split") == "train")), data.where(F.col("split") == "test")
+    return TG.train_tagger(data.where(F.col("split") == "train")), data.where(F.col("split") == "test")
+
+
+def _recalled(pred):
+    """``class, support, recalled``: whether 9 of 10 tokens of a class were found (a class of under 2 % of all tokens passes)."""
+    n = M.pair_counts(pred, []).groupBy(F.col("gold").alias("class")).agg(
+        F.sum("n").alias("support"), F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).alias("hits"))
+    every = F.sum("support").over(Window.partitionBy())            # one row per tag
+    return n.select("class", F.col("support").cast("long").alias("support"),
+                    ((10 * F.col("hits") >= 9 * F.col("support")) | (50 * F.col("support") < every)).alias("recalled"))
 
 
 _TAG_TEST = with_ctes("doc_tokens", extra=f"""
@@ -236,26 +293,61 @@ tt AS (SELECT sent_id, pos, word, CASE tag WHEN 'SYM' THEN 'X' WHEN 'UNK' THEN '
 
 
 @register("train_token_tagger", _TAG_TEST + """
-SELECT gold AS class, CAST(count(*) AS BIGINT) AS support, TRUE AS above_majority FROM tt GROUP BY gold""")
+SELECT gold AS class, CAST(count(*) AS BIGINT) AS support, TRUE AS recalled FROM tt GROUP BY gold""")
 def q_train_token_tagger(spark, d):
     model, test = _tagger(spark, d)
-    return _support(ML.predict_tokens(model, test).select("gold", "pred"))
+    return _recalled(TG.predict_tags(model, test).select("gold", "pred"))
 
 
-@register("predict_tokens", _TAG_TEST + "SELECT sent_id, pos, word, gold, TRUE AS known_tag FROM tt")
+@register("predict_tokens", _TAG_TEST + "SELECT sent_id, pos, word, gold, TRUE AS class_recalled FROM tt")
 def q_predict_tokens(spark, d):
+    """Held-out tokens as head pieces: every word's pieces are decoded, the others drop out."""
     model, test = _tagger(spark, d)
-    return ML.predict_tokens(model, test).select("sent_id", "pos", "word", "gold", F.col("pred").isin(ML.labels_of(model)).alias("known_tag"))
+    pred = pinned(TG.predict_tags(model, test.withColumn("is_head", F.lit(1)), head="is_head"), "tagged-tokens")
+    ok = _recalled(pred.select("gold", "pred")).select(F.col("class").alias("gold"), F.col("recalled").alias("class_recalled"))
+    return pred.join(F.broadcast(ok), "gold").select("sent_id", "pos", "word", "gold", "class_recalled")
+
+
+def _graded(spark, d):
+    pairs = T.graded_pairs(spark, d).withColumn("label", R.scale_score(F.col("score")))
+    return pairs.join(split_random(T.table(spark, d, "embeddings").select(F.col("vec_id").alias("pair_id")), "pair_id", Fraction(20, 100), 42), "pair_id")
+
+
+def _scorer(spark, d):
+    pairs = pinned(_graded(spark, d), "graded-pairs")
+    train, test = (pairs.where(F.col("split") == x) for x in ("train", "test"))
+    folder = scratch_path(spark, f"pair-scorer-{uuid.uuid4().hex}")
+    return TR.train_pair_scorer(train, test, n_batches=8, folder=folder), train, test, folder
+
+
+_GRADED_TEST = with_ctes("graded_pairs", extra=f"test AS (SELECT vec_id AS pair_id FROM {_test_sql('embeddings', 'vec_id')})")
 
 
-@register("train_pair_scorer", with_ctes("emb_pairs") + f"""
-SELECT pair_id, score / 5.0 AS label, TRUE AS scored FROM {_test_sql('emb_pairs', 'pair_id')}""")
+@register("train_pair_scorer", _GRADED_TEST + "SELECT pair_id, step, TRUE AS below_mean_error FROM graded_pairs JOIN test USING (pair_id)")
 def q_train_pair_scorer(spark, d):
-    pairs = T.emb_pairs(spark, d).withColumn("label", R.scale_score(F.col("score")))
-    pairs = pairs.join(split_random(pairs.select("pair_id"), "pair_id", Fraction(20, 100), 42), "pair_id")
-    model = ML.train_pair_scorer(pairs.where(F.col("split") == "train"), "v1", "v2", "label")
-    out = model.transform(ML.pair_features(pairs.where(F.col("split") == "test"), "v1", "v2"))
-    return out.select("pair_id", "label", F.col("prediction").isNotNull().alias("scored"))
+    """Held-out pairs, flagged by whether the model's squared error is below half of that of the mean label of the training pairs."""
+    model, train, test, _ = _scorer(spark, d)
+    mean = train.agg(F.avg("label")).first()[0]
+    out = pinned(TR.predict_pairs(model, test).select("pair_id", "step", "label", "prediction"), "scored-pairs")
+    err = out.agg(F.avg((F.col("prediction") - F.col("label")) ** 2).alias("model"), F.avg((F.col("label") - F.lit(mean)) ** 2).alias("mean")).first()
+    return out.select("pair_id", "step", (F.col("prediction").isNotNull() & F.lit(bool(err["model"] < 0.5 * err["mean"]))).alias("below_mean_error"))
+
+
+@register("train_history", _GRADED_TEST + """
+SELECT e.epoch, CAST((SELECT count(*) FROM graded_pairs) AS BIGINT) AS n, TRUE AS has_losses, e.epoch = 6 AS last, TRUE AS improved
+FROM (SELECT unnest([1, 2, 3, 4, 5, 6])::INTEGER AS epoch) e""")
+def q_train_history(spark, d):
+    """Epochs of one training run, stopped after the third and resumed, summed up by :func:`epoch_summary` from the trainer's own losses."""
+    pairs = pinned(_graded(spark, d), "graded-pairs")
+    train, test = (pairs.where(F.col("split") == x) for x in ("train", "test"))
+    folder = scratch_path(spark, f"pair-scorer-{uuid.uuid4().hex}")
+    TR.train_pair_scorer(train, test, n_batches=8, folder=folder, stop_after=3)
+    TR.train_pair_scorer(train, test, n_batches=8, folder=folder)
+    h = TR.history(spark, folder, 6)
+    s = M.epoch_summary(h.select("epoch", "split", "loss"), "epoch", "split", "loss").drop("n").join(h.groupBy("epoch").agg(F.sum("n").alias("n")), "epoch")
+    first = s.agg(F.max_by("train_loss", -F.col("epoch"))).first()[0]
+    return s.select("epoch", "n", (F.col("train_loss").isNotNull() & F.col("valid_loss").isNotNull()).alias("has_losses"), (F.col("epoch") == 6).alias("last"),
+                    (F.col("train_loss") <= F.lit(first)).alias("improved"))
 
 
 def _saved_classifier(spark, d):

@@ -29,7 +29,6 @@ ROUND_COLS = {
     'softmax_expected': ['score'],
     'sorted_pairs': ['score_sorted', 'cosine_sorted'],
     'spearman': ['spearman'],
-    'train_pair_scorer': ['label'],
     'weighted_f1': ['weighted_f1'],
     'write_metrics': ['accuracy'],
 }

@@ -84,6 +84,9 @@ emb_pairs AS (
   SELECT a.vec_id AS pair_id, a.embedding AS v1, b.embedding AS v2,
          CASE WHEN a.label = b.label THEN 5.0 ELSE CAST(abs(a.label - b.label) % 5 AS DOUBLE) END AS score
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)""",
+    "graded_pairs": """
+graded_pairs AS (
+  SELECT a.vec_id AS pair_id, CAST(b.vec_id - a.vec_id AS INTEGER) AS step FROM embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 8)""",
     "emb_logits": """
 emb_logits AS (
   SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS logits, label, CAST(label % 3 AS INTEGER) AS gold

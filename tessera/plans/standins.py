@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tessera.functions.vectors import cosine
 from tessera.functions.vocab import LANG_LABEL_INDEX, PAD_TAG, SENTIMENT_INDEX, TAG_INDEX, TAG_RENAMES
 from tessera.operators.ordinal import prefix_sum
 
@@ -184,6 +185,19 @@ def emb_pairs(spark, d) -> DataFrame:
     return a.join(b, "pair_id").select("pair_id", "v1", "v2", score.alias("score"))
 
 
+GRADED_STEPS = 8
+
+
+def graded_pairs(spark, d) -> DataFrame:
+    """``(pair_id, step, v1, v2, score)``: every vector with each of the next eight, scored -5 to 5 by the cosine of their first four entries."""
+    e = table(spark, d, "embeddings")
+    a = e.select(F.col("vec_id").alias("pair_id"), F.col("embedding").alias("v1"), F.explode(F.sequence(F.lit(1), F.lit(GRADED_STEPS))).alias("step"))
+    b = e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("v2"))
+    j = a.join(b, F.col("pair_id") + F.col("step") == F.col("other"))
+    head = lambda c: F.slice(c, 1, 4)
+    return j.select("pair_id", "step", "v1", "v2", (5 * cosine(head("v1"), head("v2"))).alias("score"))
+
+
 def emb_logits(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("id"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.operators.ordinal import global_ordinal
+from tessera.session import pinned
 
 GRAPH_SCHEMA = "graph_id long, text string, edges array<struct<u:bigint,v:bigint>>"
 
@@ -37,24 +38,23 @@ def number_rows(raw: DataFrame, name: str, per_file: bool) -> DataFrame:
     ``raw`` has ``file, _start, _mid`` (:func:`_with_file_order`). A scan already yields a split's rows in
     order, so only (file, split) counts are aggregated: one narrow row per split. Their running sums
     come back by a broadcast, as a split table of up to ``MAX_BROADCAST_SPLITS`` rows is small, or by
-    an ordinary join beyond. Both passes read the same splits, so the ids agree.
+    an ordinary join beyond. The counts are written once; a row of a split that was not counted (files
+    cut in another way by the second scan, as executors came or went) fails the query.
     """
     split = F.xxhash64("file", "_start")
     stats = raw.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    stats = stats.withColumn("_s", F.xxhash64("file", "_start"))
+    stats = pinned(stats.withColumn("_s", F.xxhash64("file", "_start")), "split-counts")
     if per_file:
         w = Window.partitionBy("file").orderBy("_start")
     else:
         stats = stats.withColumns(dict(zip(("_k1", "_k2", "_k3"), _file_key())))
         w = Window.orderBy("_k1", "_k2", "_k3", "_start")
     before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = stats.select("_s", (before - F.col("_first")).alias("_off")).persist()
-    try:
-        small = offsets.count() <= MAX_BROADCAST_SPLITS
-        return raw.withColumn("_s", split).join(F.broadcast(offsets) if small else offsets, "_s") \
-            .select(*[c for c in raw.columns if c not in ("_start", "_mid")], (F.col("_off") + F.col("_mid")).alias(name))
-    finally:
-        offsets.unpersist()
+    offsets = stats.select("_s", (before - F.col("_first")).alias("_off"))
+    small = stats.count() <= MAX_BROADCAST_SPLITS
+    found = F.coalesce("_off", F.raise_error(F.lit("the files were split differently when they were counted")).cast("long"))
+    return raw.withColumn("_s", split).join(F.broadcast(offsets) if small else offsets, "_s", "left") \
+        .select(*[c for c in raw.columns if c not in ("_start", "_mid")], (found + F.col("_mid")).alias(name))
 
 
 def blocks_of(raw: DataFrame, keep_empty: bool = False) -> DataFrame:

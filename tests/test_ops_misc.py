@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import align as A
 from tessera.operators import ml as ML
+from tessera.operators import tagger as TG
 from tessera.operators import recode as R
 from tessera.sources import blocks as B
 from tessera.sources import parse as P
@@ -96,8 +97,8 @@ def test_token_tagger_beats_majority_baseline(spark):
         seq = [("DET", words["DET"][s % 4]), ("NOUN", words["NOUN"][(s + 1) % 4]), ("VERB", words["VERB"][s % 4])]
         rows += [(s, p, w, t) for p, (t, w) in enumerate(seq)]
     toks = spark.createDataFrame(rows, "sent_id long, pos long, word string, tag string")
-    model = ML.train_token_tagger(toks, max_iter=20)
-    pred = ML.predict_tokens(model, toks)
+    model = TG.train_tagger(toks)
+    pred = TG.predict_tags(model, toks)
     acc = pred.select(F.avg((F.col("gold") == F.col("pred")).cast("double"))).first()[0]
     assert acc > 0.9  # majority baseline is 1/3
 
