@@ -10,11 +10,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, Normalizer, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as Ty
 
+from tessera.operators.svm import LinearSvm, train_linear_svm
+
 
 # ---------------------------------------------------------------- encoders
 def char_ngram_pipeline(text_col: str, out: str = "features", n: int = 3, num_features: int = 1 << 18) -> Pipeline:
@@ -122,13 +124,6 @@ def predict_similarity(pairs: DataFrame, key, left: str, right: str, n: int = 3)
 
 
 # ---------------------------------------------------------------- trainers
-def train_linear_svm(df: DataFrame, features: str = "features", label: str = "label", max_iter: int = 1000,
-                     parallelism: int = 4, tol: float = 0.1):
-    """Multi-class hinge-loss linear classifier (one-vs-rest LinearSVC); stops on ``tol`` or after ``max_iter``."""
-    svc = LinearSVC(maxIter=max_iter, tol=tol, regParam=0.01, featuresCol=features, labelCol=label)
-    return OneVsRest(classifier=svc, featuresCol=features, labelCol=label, parallelism=parallelism).fit(df)
-
-
 def random_fourier(df: DataFrame, features: str, out: str, dim: int, n_components: int = 256,
                    gamma: float = 1.0, seed: int = 42) -> DataFrame:
     """RBF-kernel approximation z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma), seeded.
@@ -152,10 +147,10 @@ def random_fourier(df: DataFrame, features: str, out: str, dim: int, n_component
 
 
 def train_kernel_svm(df: DataFrame, features: str, label: str, dim: int, n_components: int = 256,
-                     gamma: float = 1.0, seed: int = 42, max_iter: int = 1000):
-    """RBF-kernel SVM re-aimed as random Fourier features + linear SVM (one-vs-rest)."""
+                     gamma: float = 1.0, seed: int = 42, epochs: int = 5) -> LinearSvm:
+    """RBF-kernel SVM re-aimed as random Fourier features + linear SVM."""
     z = random_fourier(df, features, "_rff", dim, n_components, gamma, seed)
-    return train_linear_svm(z, "_rff", label, max_iter)
+    return train_linear_svm(z, "_rff", label, epochs)
 
 
 def train_sequence_classifier(df: DataFrame, text_col: str, label_col: str, max_iter: int = 20):
