@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import metrics as M
+from tessera.operators.callbacks import compute_metric
 from tessera.operators.recode import scale_score
 from tessera.plans import standins as T
 from tessera.plans.registry import register
@@ -66,12 +67,21 @@ def q_confusion_matrix(spark, d):
     return M.confusion_matrix(T.event_preds(spark, d), T.EVENT_TYPES)
 
 
-@register("class_report", with_ctes("event_preds", extra="src AS (SELECT gold, pred FROM event_preds)," +
-                                    _report_sql([])) + _report_select([]))
+_CLASS_SQL = with_ctes("event_preds", extra="src AS (SELECT gold, pred FROM event_preds)," +
+                                    _report_sql([])) + _report_select([])
+
+
+@register("class_report", _CLASS_SQL)
 def q_class_report(spark, d):
     return M.class_report(T.event_preds(spark, d))
 
 
+@register("compute_metric", _CLASS_SQL)
+def q_compute_metric(spark, d):
+    """The class report as a registered metric: a state per task, merged."""
+    return compute_metric(T.event_preds(spark, d).select("gold", "pred"), "class_report")
+
+
 _GRID_BY = ["model", "layer", "seed"]
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine
 from tessera.operators import align as A
+from tessera.operators.callbacks import map_batches
 from tessera.operators import order as O
 from tessera.operators import sequence as S
 from tessera.operators.ordinal import global_ordinal
@@ -247,7 +248,7 @@ def q_trim_sentinels(spark, d):
 _IDS_SQL = "list_transform(words, lambda x: CAST(length(x) AS INTEGER))"
 
 
-@register("pad_batch", with_ctes("conv_turns", extra=f"""
+_PAD_SQL = with_ctes("conv_turns", extra=f"""
 b AS (SELECT conv_id, turn, {_IDS_SQL} AS ids,
              (row_number() OVER (ORDER BY conv_id, turn) - 1) // 4 AS batch_id FROM conv_turns),
 m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS n FROM b)""") + """
@@ -255,7 +256,10 @@ SELECT conv_id, turn, CAST(batch_id AS BIGINT) AS batch_id, CAST(len(ids) AS INT
        array_to_string(list_concat(ids, list_transform(range(n - len(ids)), lambda x: 0)), ' ') AS ids_padded,
        array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(n - len(ids)), lambda x: 0)), ' ')
          AS mask
-FROM m""")
+FROM m"""
+
+
+@register("pad_batch", _PAD_SQL)
 def q_pad_batch(spark, d):
     t = T.conv_turn_words(spark, d).select("conv_id", "turn",
                                       F.transform("words", lambda x: F.char_length(x)).alias("ids"))
@@ -266,6 +270,27 @@ def q_pad_batch(spark, d):
                     F.array_join("ids_padded", " ").alias("ids_padded"), F.array_join("mask", " ").alias("mask"))
 
 
+def _pad_table():
+    """The padding of :func:`pad_batch` as a user's callback over one complete batch."""
+    import pyarrow as pa
+
+    def pad(t: pa.Table) -> pa.Table:
+        ids = t.column("ids").to_pylist()
+        n = max(len(x) for x in ids)
+        line = lambda rows: pa.array([" ".join(map(str, x)) for x in rows], pa.string())
+        return pa.table({"conv_id": t.column("conv_id"), "turn": t.column("turn"), "batch_id": t.column("batch_id"), "seq_len": pa.array([len(x) for x in ids], pa.int32()),
+                         "ids_padded": line([x + [0] * (n - len(x)) for x in ids]), "mask": line([[1] * len(x) + [0] * (n - len(x)) for x in ids])})
+
+    return pad
+
+
+@register("map_batches", _PAD_SQL)
+def q_map_batches(spark, d):
+    t = T.conv_turn_words(spark, d).select("conv_id", "turn", F.transform("words", lambda x: F.char_length(x)).alias("ids"))
+    schema = f"conv_id {dict(t.dtypes)['conv_id']}, turn {dict(t.dtypes)['turn']}, batch_id long, seq_len int, ids_padded string, mask string"
+    return map_batches(t, _pad_table(), schema, ["conv_id", "turn"], 4)
+
+
 @register("pad_truncate", with_ctes("conv_turns", extra=f"""
 c AS (SELECT conv_id, turn, {_IDS_SQL}[1:16] AS ids FROM conv_turns)""") + """
 SELECT conv_id, turn,

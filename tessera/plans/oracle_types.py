@@ -12,6 +12,7 @@ ROUND_COLS = {
     'binary_f1_grid': ['f1'],
     'carry_header': ['header_value'],
     'class_report': ['precision', 'recall', 'f1'],
+    'compute_metric': ['precision', 'recall', 'f1'],
     'cosine_mse': ['cosine_mse'],
     'cosine_paired': ['cosine'],
     'encode_text': ['norm'],
