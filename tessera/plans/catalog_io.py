@@ -16,7 +16,7 @@ from tessera.plans import standins as T
 from tessera.plans.catalog_order import LANGS, PARALLEL_SQL, parallel_frames
 from tessera.plans.registry import register
 from tessera.plans.sql_standins import lid_sql, tag_sql, with_ctes
-from tessera.session import scratch_path
+from tessera.session import pinned, scratch_path
 from tessera.sources import blocks as B
 from tessera.sources import parse as P
 from tessera.sources import sinks as K
@@ -173,3 +173,26 @@ def q_resume_stream(spark, d):
         resume_stream(spark, in_dir, out_dir, ckpt, parse)
     out = spark.read.parquet(out_dir)
     return out.groupBy("label").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("stream_state", with_ctes("conv_tokens", extra=f"""
+turns AS (SELECT conv_id, turn, string_agg(word || chr(9) || {lid_sql('word')}, chr(10) ORDER BY pos) AS block FROM (
+            SELECT sent_id AS conv_id, turn, pos, word FROM conv_tokens) x GROUP BY 1, 2)""") + """
+SELECT CAST(conv_id % 8 AS VARCHAR) AS grp, CAST(row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) - 1 AS BIGINT) AS sent_no, block FROM turns""")
+def q_stream_state(spark, d):
+    """Eight texts of conversation blocks, each cut into three drops in the middle of a sentence; the stream is started anew for each drop."""
+    from tessera.streaming.stateful import run_blocks
+    toks = T.conv_tokens(spark, d)
+    line = F.struct("pos", F.concat_ws("\t", "word", T.lid_rule(F.col("word"))).alias("x"))
+    turns = toks.groupBy(F.col("sent_id").alias("conv_id"), "turn").agg(F.array_join(F.array_sort(F.collect_list(line))["x"], "\n").alias("block"))
+    whole = turns.groupBy((F.col("conv_id") % 8).cast("string").alias("grp")).agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "block")))["block"], "\n\n").alias("text"))
+    whole = pinned(whole.withColumn("text", F.concat("text", F.lit("\n\n"))), "stream-texts")
+    in_dir, out_dir, ckpt = _tmp(spark, "state-in"), _tmp(spark, "state-out"), _tmp(spark, "state-ckpt")
+    n = F.char_length("text")
+    cuts = [F.lit(0), F.floor(n * 0.31).cast("int"), F.floor(n * 0.77).cast("int"), n]
+    for k in range(3):
+        piece = whole.select(F.substring(F.col("text"), cuts[k] + 1, cuts[k + 1] - cuts[k]).alias("value"), "grp")
+        piece.write.partitionBy("grp").option("lineSep", "\x01").text(f"{in_dir}/drop={k}")
+        run_blocks(spark, in_dir, out_dir, ckpt, mark="\x01")
+    return spark.read.schema("grp string, sent_no long, block string").parquet(out_dir)
