@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.session import pinned
+
 
 def graph_normalise(edges: DataFrame, gid: str = "graph_id", u: str = "u", v: str = "v") -> DataFrame:
     """Undirected simple graph: (u, v) = (v, u), duplicates merged -> ``(graph_id, a, b)`` with a <= b."""
@@ -125,7 +127,10 @@ def search_rows(norm: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     g = g.where(F.col("m") <= max_edges)          # the aggregation keeps its arrays, which a larger graph drops here
     g = g.withColumn("nodes", F.array_sort(F.array_distinct(F.flatten(F.transform("e", lambda e: F.array(e["a"], e["b"]))))))
     number = lambda arr: lambda e: F.struct(*[(F.array_position(arr, e[k]) - 1).cast("int").alias(k) for k in ("a", "b")])
-    g = g.select("graph_id", "m", F.size("nodes").alias("n"), F.transform("e", number(F.col("nodes"))).alias("e"))
+    g = g.select("graph_id", "m", F.size("nodes").alias("n"), F.array_sort(F.transform("e", number(F.col("nodes")))).alias("e"))
+    g = pinned(g, "graph-forms")
+    forms = g.select("graph_id", F.col("e").alias("form"))
+    g = g.drop("graph_id").withColumn("form", F.col("e")).dropDuplicates(["form"])      # many graphs have the same edges once their nodes are numbered
     g = g.withColumn("adj", _adjacency(F.col("n"), F.col("e")))
     start = F.struct(F.lit(0).cast(_LONG).alias("seen"), F.array().cast("array<int>").alias("order"))
 
@@ -140,7 +145,8 @@ def search_rows(norm: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     back = F.transform(_count_to(F.col("n")), lambda k: F.filter(_count_to(k), lambda j: _has(F.col("adj")[k], j)))
     inner = F.transform(_count_to(F.col("n") + 1), lambda k: F.size(F.filter("e", lambda e: (e["a"] >= k) & (e["b"] >= k) & (e["a"] != e["b"]))))
     loops = F.aggregate("e", F.lit(0).cast(_LONG), lambda m, e: F.when(e["a"] == e["b"], m.bitwiseOR(_bit(e["a"]))).otherwise(m))
-    return g.select("graph_id", "n", F.col("m").cast("int").alias("m"), "adj", back.alias("back"), inner.alias("inner"), loops.alias("loops"))
+    g = g.select("form", "n", F.col("m").cast("int").alias("m"), "adj", back.alias("back"), inner.alias("inner"), loops.alias("loops"))
+    return forms.join(g, "form").drop("form")
 
 
 def _gain(k, v, img):
@@ -226,48 +232,48 @@ def edit_distance(norm: DataFrame, pairs: DataFrame, max_edges: int = MAX_EDGES)
     cannot beat the pair's best mapping, and of states with the same images of nodes with open edges
     and the same used nodes keeps the best.
     No state is dropped for number, so a round grows with the pairs that are hard, not with the table.
+    Graphs that are the same in search order are one shape, and a pair of shapes is compared once.
 
     Pairs with an unknown or larger graph stay out; repeated pairs count once. Each round is written to
     the shared folder.
     """
-    from tessera.session import pinned
-    rows = pinned(search_rows(norm, max_edges), "graph-search")
-    side = lambda k, g: rows.select(F.col("graph_id").alias(g), *[F.col(c).alias(f"{c}{k}") for c in rows.columns[1:]])
-    p = pairs.select("g1", "g2").distinct()
-    sizes = rows.select(F.col("graph_id"), "n")
-    p = p.join(sizes.select(F.col("graph_id").alias("g1"), F.col("n").alias("x1")), "g1").join(sizes.select(F.col("graph_id").alias("g2"), F.col("n").alias("x2")), "g2")
-    turned = F.col("x1") > F.col("x2")
-    p = p.select("g1", "g2", F.when(turned, F.col("g2")).otherwise(F.col("g1")).alias("s"), F.when(turned, F.col("g1")).otherwise(F.col("g2")).alias("l"))
-    p = _greedy(p.join(side(1, "s"), "s").join(side(2, "l"), "l"))
+    rows = search_rows(norm, max_edges)
+    rows = pinned(rows.withColumn("shape", F.concat_ws("|", F.concat_ws(",", "adj"), "loops")), "graph-search")
+    of = lambda k: rows.select(F.col("graph_id").alias(f"g{k}"), F.struct("n", "shape").alias(f"x{k}"))
+    p = pairs.select("g1", "g2").distinct().join(of(1), "g1").join(of(2), "g2")
+    p = pinned(p.select("g1", "g2", F.least("x1", "x2")["shape"].alias("s"), F.greatest("x1", "x2")["shape"].alias("l")), "graph-pairs")
+    shapes = rows.drop("graph_id").dropDuplicates(["shape"])
+    side = lambda k, name: shapes.select(F.col("shape").alias(name), *[F.col(c).alias(f"{c}{k}") for c in shapes.columns if c != "shape"])
+    q = _greedy(p.select("s", "l").distinct().join(side(1, "s"), "s").join(side(2, "l"), "l"))
     degrees = lambda k: F.reverse(F.array_sort(F.transform(_count_to(F.col(f"n{k}")), lambda i: (
         _ones(F.col(f"adj{k}")[i]) + 2 * _has(F.col(f"loops{k}"), i).cast("int")))))
     l1 = _total(F.zip_with(degrees(1), degrees(2), lambda x, y: F.abs(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0)))))
     # an edge edit changes the degree sum by two, so at least l1 / 2 edges are not common
     most = F.least(_reach(F.lit(0), F.lit(0).cast(_LONG), F.array().cast("array<int>"), F.lit(0)),
                    F.floor((F.col("m1") + F.col("m2") - F.ceil(l1 / 2)) / 2).cast("int"))
-    p = pinned(p.withColumn("most", most), "graph-pairs")
-    best = p.select("g1", "g2", "best")
-    hard = pinned(_same_nodes(p.where("best < most")), "graph-hard")
-    state = hard.select("g1", "g2", F.lit(0).cast(_LONG).alias("used"), F.array().cast("array<int>").alias("img"), F.lit(0).alias("c"))
-    static = hard.drop("s", "l", "most")
-    for k in range(2 * max_edges):
+    q = pinned(q.withColumn("most", most), "graph-shape-pairs")
+    best = q.select("s", "l", "best")
+    hard = pinned(_same_nodes(q.where("best < most")), "graph-hard")
+    state = hard.select("s", "l", F.lit(0).cast(_LONG).alias("used"), F.array().cast("array<int>").alias("img"), F.lit(0).alias("c"))
+    static = hard.drop("most")
+    # the number of mapped nodes stands in the rows, so all rounds have the same expressions and share their compiled code
+    choice, gain = F.explode(_choices(F.col("used"), F.col("img"))), _gain(F.size("img"), F.col("v"), F.col("img"))
+    beats = _reach(F.size("img"), F.col("used"), F.col("img"), F.col("c")) > F.col("best")
+    whole, rest = F.col("n1") == F.size("img"), F.call_function("shiftleft", F.lit(-1).cast(_LONG), F.size("img"))
+    open_ = F.transform("img", lambda v, j: F.when(F.col("adj1")[j].bitwiseAND(rest) != 0, v).otherwise(-1))
+    key = [F.when(whole, F.lit(0).cast(_LONG)).otherwise(F.col("used")).alias("used"), F.when(whole, F.array().cast("array<int>")).otherwise(open_).alias("open")]
+    mapped = {"used": F.col("used").bitwiseOR(_bit(F.col("v"))), "img": F.concat("img", F.array("v"))}
+    for _ in range(2 * max_edges):
         if state.isEmpty():
             break
-        s = state.join(static, ["g1", "g2"])
-        s = s.withColumn("v", F.explode(_choices(F.col("used"), F.col("img"))))
-        s = s.withColumn("c", F.col("c") + _gain(F.lit(k), F.col("v"), F.col("img")))
-        s = s.withColumns({"used": F.col("used").bitwiseOR(_bit(F.col("v"))), "img": F.concat("img", F.array("v"))})
-        s = s.where(_reach(F.lit(k + 1), F.col("used"), F.col("img"), F.col("c")) > F.col("best"))
-        rest = F.shiftleft(F.lit(-1).cast(_LONG), k + 1)
-        open_ = F.transform("img", lambda v, j: F.when(F.col("adj1")[j].bitwiseAND(rest) != 0, v).otherwise(-1))
-        s = s.withColumn("open", F.when(F.col("n1") == k + 1, F.array().cast("array<int>")).otherwise(open_))
-        s = s.withColumn("used", F.when(F.col("n1") == k + 1, F.lit(0).cast(_LONG)).otherwise(F.col("used")))
-        s = s.groupBy("g1", "g2", "used", "open", (F.col("n1") == k + 1).alias("whole")).agg(F.max(F.struct("c", "img")).alias("x"))
-        s = pinned(s.select("g1", "g2", "used", "x.img", "x.c", "whole"), "graph-states")
-        best = best.unionByName(s.where("whole").select("g1", "g2", F.col("c").alias("best")))
-        state = s.where("NOT whole").drop("whole")
-    best = best.groupBy("g1", "g2").agg(F.max("best").alias("best"))
-    return p.drop("best").join(best, ["g1", "g2"]).select("g1", "g2", (F.col("n2") - F.col("n1") + F.col("m1") + F.col("m2") - 2 * F.col("best")).cast(_LONG).alias("distance"))
+        t = state.join(static, ["s", "l"]).withColumn("v", choice).withColumn("c", F.col("c") + gain).withColumns(mapped).where(beats)
+        t = t.groupBy("s", "l", whole.alias("whole"), *key).agg(F.max(F.struct("c", "img")).alias("x"))
+        t = pinned(t.select("s", "l", "used", "x.img", "x.c", "whole"), "graph-states")
+        best = best.unionByName(t.where("whole").select("s", "l", F.col("c").alias("best")))
+        state = t.where("NOT whole").drop("whole")
+    best = best.groupBy("s", "l").agg(F.max("best").alias("best"))
+    q = q.drop("best").join(best, ["s", "l"]).select("s", "l", (F.col("n2") - F.col("n1") + F.col("m1") + F.col("m2") - 2 * F.col("best")).cast(_LONG).alias("distance"))
+    return p.join(q, ["s", "l"]).select("g1", "g2", "distance")
 
 
 def graph_edit_distance(norm: DataFrame, pairs: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
