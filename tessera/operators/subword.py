@@ -6,9 +6,6 @@ prefix), so that a merge is one string replacement and neighbouring pairs are fo
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +38,21 @@ def _joined(a: str, b: str, prefix: str) -> str:
     return a + b[len(prefix):]
 
 
-def _merge(marked, a: str, b: str, prefix: str):
-    """A merge in one word, from the left."""
-    return F.replace(marked, F.lit(_both(a, b)), F.lit(f"{OPEN}{_joined(a, b, prefix)}{CLOSE}"))
+def _steps(merges: list[tuple[str, str]], prefix: str):
+    """Merges as an array of replacements. They are data, not code, so every pass runs the same compiled plan."""
+    if not merges:
+        return F.array().cast("array<struct<old:string,new:string>>")
+    return F.arrays_zip(F.lit([_both(a, b) for a, b in merges]).alias("old"), F.lit([f"{OPEN}{_joined(a, b, prefix)}{CLOSE}" for a, b in merges]).alias("new"))
+
+
+def _merged(marked, merges: list[tuple[str, str]], prefix: str):
+    """A word after merges, each from the left."""
+    return F.aggregate(_steps(merges, prefix), marked, lambda acc, m: F.replace(acc, m["old"], m["new"]))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """As many partitions as a shuffle has: the rows are small but cost time, so partitions must not be merged by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _pairs(marked):
@@ -73,8 +82,9 @@ def learn_merges(words: DataFrame, n_merges: int, word: str = "word", count: str
     Null words, empty words and null or non-positive counts are not learnt from.
     """
     base = words.where(F.col(count) > 0).select(_marked(F.col(word), prefix).alias("s"), F.col(count).cast("long").alias("n")).where("s IS NOT NULL")
-    base = pinned(base.groupBy("s").agg(F.sum("n").alias("n")), "merge-words")
+    base = pinned(_spread(base.groupBy("s").agg(F.sum("n").alias("n"))), "merge-words")
     merges: list[tuple[str, str]] = []
+    waiting: list[tuple[str, str]] = []            # merges that the written words do not have yet
     made: set[str] = set()
     counts: dict = {}
     floor = None                                   # pairs left out of ``counts`` occur at most this often
@@ -82,7 +92,7 @@ def learn_merges(words: DataFrame, n_merges: int, word: str = "word", count: str
         if floor is None or max(counts.values(), default=0) <= floor:
             if floor == 0:
                 break                              # no pair is left
-            every = base.select(F.explode(_pairs(F.col("s"))).alias("p"), "n").groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
+            every = base.select(F.explode(_pairs(_merged(F.col("s"), waiting, prefix))).alias("p"), "n").groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
             rows = every.orderBy(F.desc("n"), "a", "b").limit(keep + 1).collect()
             counts = {(r.a, r.b): r.n for r in rows[:keep]}
             floor = rows[keep].n if len(rows) > keep else 0
@@ -94,15 +104,23 @@ def learn_merges(words: DataFrame, n_merges: int, word: str = "word", count: str
             keep *= 2
             floor = None
             continue
-        states = [F.col("s")]
-        for a, b in plan:
-            states.append(_merge(states[-1], a, b, prefix))
-        held = base.where(reduce(or_, [x.contains(_both(a, b)) for x, (a, b) in zip(states, plan)])).withColumns({f"s{i}": x for i, x in enumerate(states)})
-        change = lambda i, j, sign: F.transform(_pairs(F.col(f"s{i}")), lambda p: F.struct(
-            F.lit(j).alias("step"), p["a"].alias("a"), p["b"].alias("b"), (F.col("n") * sign).alias("d")))
-        none = F.array().cast("array<struct<step:int,a:string,b:string,d:bigint>>")
-        moves = [F.when(F.col(f"s{j}") != F.col(f"s{j + 1}"), F.concat(change(j, j, -1), change(j + 1, j, 1))).otherwise(none) for j in range(len(plan))]
-        moved = held.select(F.explode(F.concat(*moves)).alias("x")).groupBy("x.step", "x.a", "x.b").agg(F.sum("x.d").alias("d")).where("d <> 0").collect()
+        now = base.select(_merged(F.col("s"), waiting, prefix).alias("s"), "n")
+        states = F.aggregate(_steps(plan, prefix), F.array("s"), lambda acc, m: F.concat(acc, F.array(F.replace(F.element_at(acc, -1), m["old"], m["new"]))))
+        held = now.select("n", states.alias("w")).where(F.element_at("w", 1) != F.element_at("w", -1))
+        signed = lambda pairs, j, sign: F.transform(pairs, lambda p: F.struct(
+            j.alias("step"), p["a"].alias("a"), p["b"].alias("b"), (F.col("n") * sign).alias("d")))
+
+        def move(j):
+            """Pairs that a merge takes away and brings; unchanged ones are left out where no pair stands twice in the word."""
+            old, new = F.col("p")[j], F.col("p")[j + 1]
+            once = (F.size(F.array_distinct(old)) == F.size(old)) & (F.size(F.array_distinct(new)) == F.size(new))
+            gone, come = F.when(once, F.array_except(old, new)).otherwise(old), F.when(once, F.array_except(new, old)).otherwise(new)
+            return F.concat(signed(gone, j, -1), signed(come, j, 1))
+
+        changed = F.filter(F.sequence(F.lit(0), F.size("w") - 2), lambda j: F.col("w")[j] != F.col("w")[j + 1])
+        held = held.withColumn("p", F.transform("w", _pairs))
+        moves = F.flatten(F.transform(changed, move))
+        moved = held.select(F.explode(moves).alias("x")).groupBy("x.step", "x.a", "x.b").agg(F.sum("x.d").alias("d")).where("d <> 0").collect()
         by_step: list[list] = [[] for _ in plan]
         for r in moved:
             by_step[r.step].append(r)
@@ -115,15 +133,15 @@ def learn_merges(words: DataFrame, n_merges: int, word: str = "word", count: str
                 key = (r.a, r.b)
                 if key in counts or r.d > floor:
                     counts[key] = counts.get(key, 0) + r.d
-            base = base.withColumn("s", _merge(F.col("s"), *p, prefix))
-            if len(merges) % STAGE == 0:
-                base = pinned(base, "merge-words")
+            waiting.append(p)
             symbol = _joined(*p, prefix)
             letter = symbol.startswith(prefix) and len(symbol) == len(prefix) + 1      # "##x" at a word's start is written as an inner x
             if symbol in made or letter:           # made in a second way: pairs that were left out may have gained
                 floor = None
                 break
             made.add(symbol)
+        if len(waiting) >= STAGE:
+            base, waiting = pinned(_spread(base.select(_merged(F.col("s"), waiting, prefix).alias("s"), "n")), "merge-words"), []
     return merges
 
 
@@ -133,11 +151,9 @@ def merge_pieces(words: DataFrame, merges: list[tuple[str, str]], word: str = "w
     Null words, empty ones and words that hold a mark are the one piece ``[UNK]``.
     """
     done = _marked(F.col(word), prefix)
-    if merges:
-        step = F.arrays_zip(F.lit([_both(a, b) for a, b in merges]).alias("old"), F.lit([f"{OPEN}{_joined(a, b, prefix)}{CLOSE}" for a, b in merges]).alias("new"))
-        done = F.aggregate(step, done, lambda acc, m: F.replace(acc, m["old"], m["new"]))
+    done = _merged(done, merges, prefix)
     pieces = F.when(F.col("_m").isNull(), F.array(F.lit(UNK))).otherwise(_symbols(F.col("_m")))
-    return words.select(word).distinct().withColumn("_m", done).select(word, pieces.alias("pieces"))
+    return _spread(words.select(word).distinct()).withColumn("_m", done).select(word, pieces.alias("pieces"))
 
 
 def piece_table(words: DataFrame, merges: list[tuple[str, str]], word: str = "word", prefix: str = PREFIX) -> DataFrame:

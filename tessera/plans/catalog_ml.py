@@ -81,7 +81,7 @@ def q_subword_align(spark, d):
                       F.coalesce("_tag", F.lit(0)).cast("long").alias("tag_id"), "length")
 
 
-MERGES = 48
+MERGES = 32
 # the same merges by a plain learner: all pairs are counted again for every merge
 _MERGE_SQL = with_ctes("conv_tokens", extra=f"""
 wc AS (SELECT word, count(*) AS n, array_to_string(list_transform(range(length(word)), lambda i: chr(2) || CASE WHEN i = 0 THEN '' ELSE '##' END
@@ -112,7 +112,7 @@ def q_subword_align_vocab(spark, d):
     toks = T.conv_tokens(spark, d).select("sent_id", "pos", "word", "label")
     words = pinned(toks.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "corpus-words")
     merges = S.learn_merges(words, MERGES)
-    ids = S.word_ids(S.merge_pieces(words, merges), S.piece_table(words, merges))
+    ids = pinned(S.word_ids(S.merge_pieces(words, merges), S.piece_table(words, merges)), "word-ids")
     out = S.encode_sentences(toks, ids, _tag_ids(toks), tag="label")
     joined = lambda c: F.array_join(c, ",").alias(c)
     return out.select("sent_id", joined("piece_ids"), joined("tag_ids"), joined("heads"), "length")
