@@ -147,7 +147,7 @@ def random_fourier(df: DataFrame, features: str, out: str, dim: int, n_component
 
 
 def train_kernel_svm(df: DataFrame, features: str, label: str, dim: int, n_components: int = 256,
-                     gamma: float = 1.0, seed: int = 42, epochs: int = 5) -> LinearSvm:
+                     gamma: float = 1.0, seed: int = 42, epochs: int = 6) -> LinearSvm:
     """RBF-kernel SVM re-aimed as random Fourier features + linear SVM."""
     z = random_fourier(df, features, "_rff", dim, n_components, gamma, seed)
     return train_linear_svm(z, "_rff", label, epochs)

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from tessera.session import pinned
 
 
+SHARD_ROWS = 256
+
+
 @dataclass
 class LinearSvm:
     """Weights (classes x dimension) and intercepts; ``transform`` adds ``prediction``, the class of the largest score (ties: the smallest)."""
@@ -76,22 +79,22 @@ def _shard(batches, weights: np.ndarray, bias: np.ndarray, rate: float, reg: flo
     return (wsum / steps, bsum / steps, n, steps) if steps else (w, b, 0, 0)
 
 
-def train_linear_svm(df: DataFrame, features: str = "features", label: str = "label", epochs: int = 5, batch: int = 64, shards: int = 8,
+def train_linear_svm(df: DataFrame, features: str = "features", label: str = "label", epochs: int = 6, batch: int = 16, shards: int = 8,
                      rate: float = 10.0, reg: float = 1e-4) -> LinearSvm:
     """Fit on vectors (or arrays) and class indices 0, 1, ...; rows with a null or non-finite entry, or of a rarer dimension, are left out.
 
-    Shards and the order within them follow from a hash of the rows, so partitions do not matter; more rows want
-    more shards. The driver receives (dimension + 1) x classes numbers per epoch. An empty table gives a model of no class.
+    Shards (fewer where they had under ``SHARD_ROWS`` rows) and the order within them follow from a hash of the
+    rows, so partitions do not matter; more rows want more shards. The driver receives (dimension + 1) x classes numbers per epoch. An empty table gives a model of no class.
     """
     x = df.select(_array(df, features).alias("x"), F.col(label).cast("int").alias("y")).where(
         "x IS NOT NULL AND y IS NOT NULL AND size(x) > 0").where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
-    h = F.xxhash64("x", "y")
-    data = pinned(x.withColumns({"h": h, "shard": F.pmod(F.xxhash64(h), F.lit(shards)).cast("int")}), "svm-rows")
+    data = pinned(x.withColumn("h", F.xxhash64("x", "y")), "svm-rows")
     sizes = data.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y")).orderBy(F.desc("n"), F.desc("dim")).first()
     if sizes is None:
         return LinearSvm(np.zeros((0, 0)), np.zeros(0), features)
     dim, classes = int(sizes["dim"]), int(sizes["y"]) + 1
-    data = data.where(F.size("x") == dim)
+    shards = max(1, min(shards, int(sizes["n"]) // SHARD_ROWS))
+    data = data.where(F.size("x") == dim).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
     w, b, step = np.zeros((classes, dim)), np.zeros(classes), 0
     for _ in range(epochs):
         shared = df.sparkSession.sparkContext.broadcast((w, b, step))
