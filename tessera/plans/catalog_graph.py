@@ -39,9 +39,9 @@ open{k} AS MATERIALIZED (SELECT * FROM {pairs} ANTI JOIN d{k} USING (g1, g2))"""
 
 # exact distances: pairs of graphs of at most 10 edges (no loops in these), by growing numbers of lost edges
 EXACT_CTES = f"""
-ends AS (SELECT n.graph_id, x.i AS i, y.i AS j FROM norm n JOIN num x ON x.graph_id = n.graph_id AND x.node = n.a
+numbered AS (SELECT n.graph_id, x.i AS i, y.i AS j FROM norm n JOIN num x ON x.graph_id = n.graph_id AND x.node = n.a
          JOIN num y ON y.graph_id = n.graph_id AND y.node = n.b),
-nb AS (SELECT graph_id, i, sum(1::BIGINT << j::INT)::BIGINT AS m, list(j::INT) AS js FROM (SELECT * FROM ends UNION ALL SELECT graph_id, j, i FROM ends) e GROUP BY 1, 2),
+nb AS (SELECT graph_id, i, sum(1::BIGINT << j::INT)::BIGINT AS m, list(j::INT) AS js FROM (SELECT * FROM numbered UNION ALL SELECT graph_id, j, i FROM numbered) e GROUP BY 1, 2),
 gr AS (SELECT graph_id, count(*)::INT AS n, list(m ORDER BY i) AS adj, list(js ORDER BY i) AS near,
               list_sum(list(len(js)))::INT // 2 AS m FROM nb GROUP BY 1 HAVING list_sum(list(len(js))) <= 20),
 pr AS (SELECT p.g1, p.g2, if(x.n <= y.n, x, y) AS s, if(x.n <= y.n, y, x) AS l FROM graph_pairs p JOIN gr x ON x.graph_id = p.g1 JOIN gr y ON y.graph_id = p.g2),
