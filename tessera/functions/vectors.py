@@ -22,6 +22,11 @@ def norm(a) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def vector_norm(vector) -> Column:
+    """Euclidean norm of a Spark ML vector from the entries it stores (a sparse one is not spread out)."""
+    return norm(F.unwrap_udt(vector)["values"])
+
+
 def cosine(a, b) -> Column:
     """Cosine similarity; null when either vector has zero norm."""
     return F.try_divide(dot(a, b), norm(a) * norm(b))

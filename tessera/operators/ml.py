@@ -9,26 +9,22 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, Normalizer, StringIndexer, StringIndexerModel
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as Ty
 
+from tessera.operators.ngrams import CharNgrams, ngram_vectors
 from tessera.operators.svm import LinearSvm, train_linear_svm
 
 
 # ---------------------------------------------------------------- encoders
 def char_ngram_pipeline(text_col: str, out: str = "features", n: int = 3, num_features: int = 1 << 18) -> Pipeline:
     """Stateless text encoder: characters -> n-grams -> hashed counts -> L2 normalised."""
-    chars = f"_{out}_chars"
-    grams = f"_{out}_grams"
-    raw = f"_{out}_raw"
-    from pyspark.ml.feature import SQLTransformer
-    split = SQLTransformer(statement=f"SELECT *, split({text_col}, '') AS {chars} FROM __THIS__")
-    return Pipeline(stages=[split, NGram(n=n, inputCol=chars, outputCol=grams),
-                            HashingTF(numFeatures=num_features, inputCol=grams, outputCol=raw),
-                            Normalizer(p=2.0, inputCol=raw, outputCol=out)])
+    return Pipeline(stages=[CharNgrams(inputCol=text_col, outputCol=out, n=n, numFeatures=num_features)])
 
 
 ENCODERS: dict = {}
@@ -90,16 +86,20 @@ def encode_text(df: DataFrame, text_col: str, out: str = "features", encoder=Non
 def layer_features(df: DataFrame, key: str, text_col: str, layers=(1, 2, 3), num_features: int = 1 << 12, keep=()) -> DataFrame:
     """Long form ``(key, layer, vec)``: one feature vector per "layer" (n-gram order), from one scan.
 
-    A text gives a row per layer with that layer's n-grams; hashing and normalising follow once.
+    A text gives a row per layer with that layer's n-grams, counted together in Arrow batches.
     """
-    chars = F.split(text_col, "")
-    df = df.select(key, *keep, F.when(F.char_length(text_col) > 0, F.slice(chars, 1, F.char_length(text_col))).otherwise(F.array().cast("array<string>")).alias("_c"))
-    grams = lambda n: F.struct(F.lit(n).alias("layer"), F.when(F.size("_c") >= n, F.transform(
-        F.slice("_c", 1, F.size("_c") - (n - 1)), lambda c, i: F.concat(c, *[F.col("_c")[i + j] for j in range(1, n)])))
-        .otherwise(F.array().cast("array<string>")).alias("grams"))
-    rows = df.select(key, *keep, F.explode(F.array(*[grams(n) for n in layers])).alias("_l")).select(key, *keep, "_l.layer", "_l.grams")
-    stages = [HashingTF(numFeatures=num_features, inputCol="grams", outputCol="_tf"), Normalizer(p=2.0, inputCol="_tf", outputCol="vec")]
-    return Pipeline(stages=stages).fit(rows.limit(0)).transform(rows).select(key, *keep, "layer", "vec")
+    df = df.select(key, *keep, F.col(text_col).alias("_text"))
+
+    def run(batches):
+        for batch in batches:
+            for n, at, vec in ngram_vectors(batch.column("_text"), set(layers), num_features):
+                rest = batch.slice(at, len(vec)).columns[:-1]
+                for _ in range(list(layers).count(n)):
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array([n] * len(vec), pa.int32()), vec], names=names)
+
+    schema = Ty.StructType([*df.schema.fields[:-1], Ty.StructField("layer", Ty.IntegerType()), Ty.StructField("vec", VectorUDT())])
+    names = schema.names
+    return df.mapInArrow(run, schema)
 
 
 def predict_similarity(pairs: DataFrame, key, left: str, right: str, n: int = 3) -> DataFrame:
