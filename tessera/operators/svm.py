@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from tessera.session import pinned
 
 
 SHARD_ROWS = 256
+FULL_SHARD = 100_000    # more rows make more shards, so that a shard's pass does not grow with the table
 
 
 @dataclass
@@ -83,8 +85,8 @@ def train_linear_svm(df: DataFrame, features: str = "features", label: str = "la
                      rate: float = 10.0, reg: float = 1e-4) -> LinearSvm:
     """Fit on vectors (or arrays) and class indices 0, 1, ...; rows with a null or non-finite entry, or of a rarer dimension, are left out.
 
-    Shards (fewer where they had under ``SHARD_ROWS`` rows) and the order within them follow from a hash of the
-    rows, so partitions do not matter; more rows want more shards. The driver receives (dimension + 1) x classes numbers per epoch. An empty table gives a model of no class.
+    Shards (fewer where they had under ``SHARD_ROWS`` rows, more where they had over ``FULL_SHARD``) and the order
+    within them follow from a hash of the rows, so partitions do not matter; each is a task of its own, dealt and sorted once. The driver receives (dimension + 1) x classes numbers per epoch. An empty table gives a model of no class.
     """
     x = df.select(_array(df, features).alias("x"), F.col(label).cast("int").alias("y")).where(
         "x IS NOT NULL AND y IS NOT NULL AND size(x) > 0").where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
@@ -93,8 +95,9 @@ def train_linear_svm(df: DataFrame, features: str = "features", label: str = "la
     if sizes is None:
         return LinearSvm(np.zeros((0, 0)), np.zeros(0), features)
     dim, classes = int(sizes["dim"]), int(sizes["y"]) + 1
-    shards = max(1, min(shards, int(sizes["n"]) // SHARD_ROWS))
+    shards = max(1, min(shards, int(sizes["n"]) // SHARD_ROWS), int(sizes["n"]) // FULL_SHARD)
     data = data.where(F.size("x") == dim).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
+    data = data.repartitionById(shards, "shard").sortWithinPartitions("h").select("x", "y").persist(StorageLevel.DISK_ONLY)
     w, b, step = np.zeros((classes, dim)), np.zeros(classes), 0
     for _ in range(epochs):
         shared = df.sparkSession.sparkContext.broadcast((w, b, step))
@@ -106,9 +109,10 @@ def train_linear_svm(df: DataFrame, features: str = "features", label: str = "la
                 flat = np.concatenate([ws.reshape(-1), bs])
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(flat)), [-1, -2])), pa.array(np.concatenate([flat * n, [n], [steps]]).astype(float))], names=["at", "v"])
 
-        rows = data.repartition(shards, "shard").sortWithinPartitions("shard", "h").select("x", "y").mapInArrow(run, "at long, v double")
+        rows = data.mapInArrow(run, "at long, v double")
         got = {r["at"]: r.v for r in rows.groupBy("at").agg(F.sum("v").alias("v")).collect()}
         shared.unpersist()
         flat = np.array([got[i] for i in range(classes * (dim + 1))]) / got[-1]
         w, b, step = flat[:classes * dim].reshape(classes, dim), flat[classes * dim:], step + int(-(-got[-2] // shards))
+    data.unpersist()
     return LinearSvm(w, b, features)

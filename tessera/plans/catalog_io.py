@@ -47,13 +47,11 @@ def q_write_conll2(spark, d):
     toks = T.doc_tokens(spark, d)
     path = _tmp(spark, "conll2")
     K.write_conll2(toks, path, ["sent_id"])
-    back = P.parse_conll2(B.scan_blocks(spark, path))
-    # blocks were written in sent_id order: block order = sentence order
-    sent_ids = global_ordinal(toks.select("sent_id").distinct(), ["sent_id"], name="_k")
-    keys = dict(zip(("_k1", "_k2", "_k3"), B._file_key()))
-    blocks = global_ordinal(back.select("file", "block_no").distinct().withColumns(keys), ["_k1", "_k2", "_k3", "block_no"], name="_k")
-    keyed = back.join(blocks.select("file", "block_no", "_k"), ["file", "block_no"]).join(sent_ids, "_k")
-    return keyed.select("sent_id", F.col("pos").cast("long").alias("pos"), "word", "tag")
+    # blocks were written in sent_id order: block order = sentence order; a block gets its sentence before it is cut into tokens
+    sent_ids = global_ordinal(toks.select("sent_id").distinct(), ["sent_id"], name="block_no")
+    blocks = B.scan_blocks(spark, path, per_file=False).join(sent_ids, "block_no")
+    back = P.parse_conll2(blocks.withColumn("block_no", F.col("sent_id")))
+    return back.select(F.col("block_no").alias("sent_id"), F.col("pos").cast("long").alias("pos"), "word", "tag")
 
 
 @register("scan_text_dir", """
@@ -62,9 +60,10 @@ SELECT CAST(row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS BIGINT)
 def q_scan_text_dir(spark, d):
     docs = T.table(spark, d, "documents").select("doc_id", "text")
     path = _tmp(spark, "textdir")
-    # one document per file (the writer appends one newline to each)
-    docs.write.partitionBy("doc_id").text(path)
-    back = B.scan_text_dir(spark, path + "/*", suffix=".txt")
+    # one document per file (the writer appends one newline to each); tasks put their files in place, not the driver one by one
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs.repartition(n, "doc_id").write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("doc_id").text(path)
+    back = B.scan_text_dir(spark, path, suffix=".txt", recursive=True)
     back = back.withColumn("doc_id", F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long"))
     text = F.regexp_replace("text", r"\n\z", "")
     return back.select("ordinal", "doc_id", F.char_length(text).cast("long").alias("n_chars"))

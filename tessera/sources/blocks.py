@@ -57,24 +57,24 @@ def number_rows(raw: DataFrame, name: str, per_file: bool) -> DataFrame:
         .select(*[c for c in raw.columns if c not in ("_start", "_mid")], (found + F.col("_mid")).alias(name))
 
 
-def blocks_of(raw: DataFrame, keep_empty: bool = False) -> DataFrame:
+def blocks_of(raw: DataFrame, keep_empty: bool = False, per_file: bool = True) -> DataFrame:
     """Numbered block rows from a scan with a blank-line separator."""
     block = F.regexp_replace(F.col("value"), "\r\n", "\n")
-    out = number_rows(raw, "block_no", per_file=True).select("file", "block_no", block.alias("block"), (~block.endswith("\n")).alias("closed"))
+    out = number_rows(raw, "block_no", per_file).select("file", "block_no", block.alias("block"), (~block.endswith("\n")).alias("closed"))
     return out if keep_empty else out.where(F.regexp_replace(F.col("block"), "\n", "") != "")
 
 
-def scan_blocks(spark: SparkSession, paths, newline: str = "lf", keep_empty: bool = False) -> DataFrame:
+def scan_blocks(spark: SparkSession, paths, newline: str = "lf", keep_empty: bool = False, per_file: bool = True) -> DataFrame:
     """CoNLL-family files -> one row per blank-line separated block, in file order.
 
     Output ``(file, block_no, block, closed)``: ``block_no`` is 0-based per
-    file; ``closed`` is false for an unfinished last block (it still ends in
+    file, or with ``per_file=False`` over all files in the order of :func:`scan_lines`, empty blocks counted; ``closed`` is false for an unfinished last block (it still ends in
     a newline because no blank line followed). ``newline='crlf'`` reads
     Windows files (blocks separated by CRLF CRLF). Two blank lines in a row
     make an empty sentence, which ``keep_empty`` keeps.
     """
     sep = "\r\n\r\n" if newline == "crlf" else "\n\n"
-    return blocks_of(_with_file_order(spark.read.option("lineSep", sep).text(paths)), keep_empty)
+    return blocks_of(_with_file_order(spark.read.option("lineSep", sep).text(paths)), keep_empty, per_file)
 
 
 def scan_lines(spark: SparkSession, paths, per_file: bool = False) -> DataFrame:
@@ -88,15 +88,18 @@ def scan_lines(spark: SparkSession, paths, per_file: bool = False) -> DataFrame:
 
 
 def scan_text_dir(spark: SparkSession, directory: str, suffix: str = ".txt",
-                  first_n: int | None = None) -> DataFrame:
+                  first_n: int | None = None, recursive: bool = False) -> DataFrame:
     """Directory of documents (one per file) -> ``(path, ordinal, text)``.
 
     Files are ordered by path (the source used unspecified directory order),
-    then optionally cut to the first ``first_n``. Only the paths are sorted; the texts stay where
-    they were read unless the path table is too large to broadcast.
+    then optionally cut to the first ``first_n``. With ``recursive`` the folders below are read too,
+    and listed by tasks. Every file is opened once, as many small files cost more to open than to
+    copy; only the paths are sorted, the copied texts stay where they are unless the path table is
+    too large to broadcast.
     """
-    raw = (spark.read.option("pathGlobFilter", f"*{suffix}").text(directory, wholetext=True)
+    raw = (spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", recursive).text(directory, wholetext=True)
            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    raw = pinned(raw, "text-dir")
     o = global_ordinal(raw.select("path"), ["path"], (), "ordinal")
     if first_n is not None:
         o = o.where(F.col("ordinal") < first_n)
