@@ -121,7 +121,10 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         if not len(i):
             return i
-        high = np.searchsorted(self.starts, i, side="right") - 1
+        if len(i) > self.n // 8:                      # for many places the high parts are read off in one go
+            high = np.repeat(np.arange(self.buckets), np.diff(self.starts))[i]
+        else:
+            high = np.searchsorted(self.starts, i, side="right") - 1
         return (high << self.low) | self._low(i)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -59,26 +59,27 @@ class Grams:
     """All n-grams of a chunk by order: word and parent of each, its suffix, its 64-bit key, and its index at each token."""
 
     def __init__(self, tokens: np.ndarray, begins: np.ndarray, hashes: np.ndarray, order: int):
-        n = len(tokens)
-        pos = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))       # place within the document
-        self.at, self.where = [tokens.astype(np.int64)], [np.arange(n)]
+        self.at, self.where = [tokens.astype(np.int64)], [np.arange(len(tokens))]
         self.word, self.parent, self.suffix = [np.arange(len(hashes))], [None], [None]
         self.key = [hashes]
-        prev = self.at[0]
-        for k in range(1, order):
-            i = np.flatnonzero(pos >= k)
-            size = len(self.word[0])
-            pair, first, inv = _distinct(prev[i - 1] * size + tokens[i])
-            here = np.full(n, -1, np.int64)
-            here[i] = inv
-            self.word.append(pair % size)
-            self.parent.append(pair // size)
-            self.suffix.append(prev[i[first]])
-            # 56 bits from the second order on: a collision there only blurs one smoothed probability
-            self.key.append(mix64(self.key[-1][pair // size] * _P + hashes[pair % size] + np.uint64(k)) >> np.uint64(8))
-            self.at.append(here)
-            self.where.append(i)
-            prev = here
+        for _ in range(1, order):
+            self.grow(tokens, begins)
+
+    def grow(self, tokens: np.ndarray, begins: np.ndarray) -> None:
+        """Adds the next order."""
+        n, k, size, hashes, prev = len(tokens), len(self.at), len(self.word[0]), self.key[0], self.at[-1]
+        pos = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))       # place within the document
+        i = np.flatnonzero(pos >= k)
+        pair, first, inv = _distinct(prev[i - 1] * size + tokens[i])
+        here = np.full(n, -1, np.int64)
+        here[i] = inv
+        self.word.append(pair % size)
+        self.parent.append(pair // size)
+        self.suffix.append(prev[i[first]])
+        # 56 bits from the second order on: a collision there only blurs one smoothed probability
+        self.key.append(mix64(self.key[-1][pair // size] * _P + hashes[pair % size] + np.uint64(k)) >> np.uint64(8))
+        self.at.append(here)
+        self.where.append(i)
 
 
 def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
@@ -205,8 +206,9 @@ def _asked_next(chunks: DataFrame, counts: DataFrame, k: int, shards: int) -> Da
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         r = left.to_pylist()[0]
-        _, lens, _, _, several = _totals(r, right, k, shards)
-        g = _grams_of(r, k + 1)[2]
+        tokens, lens, g, _, several = _totals(r, right, k, shards)
+        del _                                         # room for the next order
+        g.grow(tokens, np.cumsum(lens) - lens)
         need = _open(k, g, several)
         return _requests(r["chunk"], k, g.key[k][need], _own_counts(r, lens, g, k)[need], shards)
 
@@ -302,10 +304,11 @@ class Trie:
             at, found = lev["seq"].successor(parent[ask] * lev["width"] + rel[ask])
             hit = ask[found]
             out[i[hit]] = lev["p"][at[found]]
-            entry = np.full(n, -1, np.int64)
-            entry[i[hit]] = at[found]
-            ctx = np.zeros(n, np.int64)
-            ctx[i[hit]] = lev["ptr"].get(parent[hit])
+            if k + 1 < len(self.levels):                  # the next order looks below these entries
+                entry = np.full(n, -1, np.int64)
+                entry[i[hit]] = at[found]
+                ctx = np.zeros(n, np.int64)
+                ctx[i[hit]] = lev["ptr"].get(parent[hit])
         return out
 
     def to_bytes(self) -> bytes:
