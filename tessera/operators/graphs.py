@@ -14,6 +14,8 @@ and bounded for all, by joins and array expressions:
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.session import pinned
@@ -41,13 +43,22 @@ def graph_profile(norm: DataFrame) -> DataFrame:
         F.floor(F.sum("degree") / 2).cast("long").alias("n_edges"))
 
 
+def _edge_lists(norm: DataFrame) -> DataFrame:
+    """``graph_id, edges``: one row per graph with its edges in order."""
+    return norm.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("edges"))
+
+
 def graph_rows(norm: DataFrame) -> DataFrame:
     """One row per graph: nodes, edges, degrees (descending), and the edges relabelled by node rank.
 
     A node's rank is its place by (degree descending, node). One aggregation by graph; the rest are
     expressions on its arrays, so a graph has to fit in a row.
     """
-    g = norm.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("edges"))
+    return _ranked(_edge_lists(norm))
+
+
+def _ranked(g: DataFrame) -> DataFrame:
+    """:func:`graph_rows` of edge lists."""
     g = g.withColumn("_ends", F.flatten(F.transform("edges", lambda e: F.array(e["a"], e["b"]))))
     g = g.withColumn("nodes", F.array_sort(F.array_distinct("_ends")))
     g = g.withColumn("_ranked", F.array_sort(F.transform("nodes", lambda x: F.struct(
@@ -66,7 +77,11 @@ def ged_bounds(norm: DataFrame, pairs: DataFrame) -> DataFrame:
     array expressions. Output: g1, g2, n_nodes1, n_nodes2, n_edges1, n_edges2, ged_lower, ged_upper,
     exact. Pairs of which a graph is unknown stay out, as with an inner join.
     """
-    rows = graph_rows(norm)
+    return _bounds(graph_rows(norm), pairs)
+
+
+def _bounds(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """:func:`ged_bounds` of graph rows."""
     side = lambda k: rows.select(F.col("graph_id").alias(f"g{k}"), *[F.col(c).alias(f"{c}{k}") for c in rows.columns[1:]])
     j = pairs.select("g1", "g2").distinct().join(side(1), "g1").join(side(2), "g2")
     n1, n2, m1, m2 = F.size("nodes1"), F.size("nodes2"), F.size("edges1"), F.size("edges2")
@@ -115,22 +130,38 @@ def _adjacency(n, edges):
         F.when((e["a"] == i) & (e["b"] != i), _bit(e["b"])).when((e["b"] == i) & (e["a"] != i), _bit(e["a"])).otherwise(zero))))
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def search_rows(norm: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     """One row per graph of at most ``max_edges`` edges: its nodes as numbers in search order, and their neighbours as bits.
 
     The order takes next the node with most neighbours already taken (then of largest degree, then the
     first). ``back``: earlier neighbours of each node; ``inner``: edges between the nodes from each on.
     """
+    g = _graph_forms(norm, max_edges).where("form IS NOT NULL").select("graph_id", "form")
+    return g.join(_form_rows(g), "form").drop("form")
+
+
+def _graph_forms(norm: DataFrame, max_edges: int) -> DataFrame:
+    """One written row per graph: ``n`` nodes, ``m`` edges, ``edges``, and ``form``, the edges over numbered nodes, of a graph of at most ``max_edges``."""
     if not 1 <= max_edges <= 31:
         raise ValueError("max_edges from 1 to 31: nodes are bits of a long")
-    g = norm.groupBy("graph_id").agg(F.count(F.lit(1)).alias("m"), F.collect_list(F.struct("a", "b")).alias("e"))
-    g = g.where(F.col("m") <= max_edges)          # the aggregation keeps its arrays, which a larger graph drops here
-    g = g.withColumn("nodes", F.array_sort(F.array_distinct(F.flatten(F.transform("e", lambda e: F.array(e["a"], e["b"]))))))
+    g = _edge_lists(norm)
+    g = g.withColumn("nodes", F.array_distinct(F.flatten(F.transform("edges", lambda e: F.array(e["a"], e["b"])))))
+    g = g.withColumn("nodes", F.when(F.size("edges") <= max_edges, F.sort_array("nodes")).otherwise(F.col("nodes")))
+    number = lambda e: F.struct(*[(F.array_position(F.col("nodes"), e[k]) - 1).cast("int").alias(k) for k in ("a", "b")])
+    form = F.when(F.size("edges") <= max_edges, F.sort_array(F.transform("edges", number)))
+    return pinned(g.select("graph_id", F.size("nodes").alias("n"), F.size("edges").alias("m"), "edges", form.alias("form")), "graph-forms")
+
+
+def _form_rows(g: DataFrame) -> DataFrame:
+    """The search row of every distinct ``form``: many graphs have the same edges once their nodes are numbered."""
+    # few rows with much to compute: a shuffle's partitions must not be merged by size
+    g = g.select("form").distinct().repartition(_tasks(g))
+    g = g.select("form", F.col("form").alias("e"), F.size("form").alias("m"), (F.array_max(F.flatten(F.transform("form", lambda e: F.array(e["a"], e["b"])))) + 1).alias("n"))
     number = lambda arr: lambda e: F.struct(*[(F.array_position(arr, e[k]) - 1).cast("int").alias(k) for k in ("a", "b")])
-    g = g.select("graph_id", "m", F.size("nodes").alias("n"), F.array_sort(F.transform("e", number(F.col("nodes")))).alias("e"))
-    g = pinned(g, "graph-forms")
-    forms = g.select("graph_id", F.col("e").alias("form"))
-    g = g.drop("graph_id").withColumn("form", F.col("e")).dropDuplicates(["form"])      # many graphs have the same edges once their nodes are numbered
     g = g.withColumn("adj", _adjacency(F.col("n"), F.col("e")))
     start = F.struct(F.lit(0).cast(_LONG).alias("seen"), F.array().cast("array<int>").alias("order"))
 
@@ -145,8 +176,7 @@ def search_rows(norm: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     back = F.transform(_count_to(F.col("n")), lambda k: F.filter(_count_to(k), lambda j: _has(F.col("adj")[k], j)))
     inner = F.transform(_count_to(F.col("n") + 1), lambda k: F.size(F.filter("e", lambda e: (e["a"] >= k) & (e["b"] >= k) & (e["a"] != e["b"]))))
     loops = F.aggregate("e", F.lit(0).cast(_LONG), lambda m, e: F.when(e["a"] == e["b"], m.bitwiseOR(_bit(e["a"]))).otherwise(m))
-    g = g.select("form", "n", F.col("m").cast("int").alias("m"), "adj", back.alias("back"), inner.alias("inner"), loops.alias("loops"))
-    return forms.join(g, "form").drop("form")
+    return g.select("form", "n", F.col("m").cast("int").alias("m"), "adj", back.alias("back"), inner.alias("inner"), loops.alias("loops"))
 
 
 def _gain(k, v, img):
@@ -237,14 +267,43 @@ def edit_distance(norm: DataFrame, pairs: DataFrame, max_edges: int = MAX_EDGES)
     Pairs with an unknown or larger graph stay out; repeated pairs count once. Each round is written to
     the shared folder.
     """
-    rows = search_rows(norm, max_edges)
+    return _exact(_shaped_pairs(graph_index(norm, max_edges), pairs), max_edges).select("g1", "g2", "distance")
+
+
+class GraphIndex(NamedTuple):
+    """The graphs of a table, written once: ``graphs`` (graph_id, n, m, edges, shape) and the search rows of the distinct ``shapes``."""
+
+    graphs: DataFrame
+    shapes: DataFrame
+    max_edges: int
+
+
+def graph_index(norm: DataFrame, max_edges: int = MAX_EDGES) -> GraphIndex:
+    """What the distances of any pairs need of their graphs; a graph of more than ``max_edges`` edges has no shape."""
+    forms = _graph_forms(norm, max_edges)
+    rows = _form_rows(forms.where("form IS NOT NULL"))
     rows = pinned(rows.withColumn("shape", F.concat_ws("|", F.concat_ws(",", "adj"), "loops")), "graph-search")
-    of = lambda k: rows.select(F.col("graph_id").alias(f"g{k}"), F.struct("n", "shape").alias(f"x{k}"))
+    graphs = forms.join(rows.select("form", "shape"), "form", "left").drop("form")
+    return GraphIndex(graphs, pinned(rows.drop("form").dropDuplicates(["shape"]), "graph-shapes"), max_edges)
+
+
+def _shaped_pairs(index: GraphIndex, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs of known graphs with both sizes and the shapes, that of fewer nodes as ``s`` (null where a graph has none); and the shapes."""
+    of = lambda k: index.graphs.select(F.col("graph_id").alias(f"g{k}"), F.col("n").alias(f"n_nodes{k}"), F.col("m").alias(f"n_edges{k}"),
+                                       F.when(F.col("shape").isNotNull(), F.struct("n", "shape")).alias(f"x{k}"))
     p = pairs.select("g1", "g2").distinct().join(of(1), "g1").join(of(2), "g2")
-    p = pinned(p.select("g1", "g2", F.least("x1", "x2")["shape"].alias("s"), F.greatest("x1", "x2")["shape"].alias("l")), "graph-pairs")
-    shapes = rows.drop("graph_id").dropDuplicates(["shape"])
+    both = F.col("x1").isNotNull() & F.col("x2").isNotNull()
+    ends = [F.when(both, f("x1", "x2")["shape"]).alias(c) for f, c in ((F.least, "s"), (F.greatest, "l"))]
+    return pinned(p.select("g1", "g2", "n_nodes1", "n_nodes2", "n_edges1", "n_edges2", *ends), "graph-pairs"), index.shapes
+
+
+def _exact(shaped: tuple[DataFrame, DataFrame], max_edges: int) -> DataFrame:
+    """The pairs of :func:`_shaped_pairs` that have shapes, with their ``distance``."""
+    p, shapes = shaped
+    p = p.where("s IS NOT NULL")
+    n = _tasks(p)
     side = lambda k, name: shapes.select(F.col("shape").alias(name), *[F.col(c).alias(f"{c}{k}") for c in shapes.columns if c != "shape"])
-    q = _greedy(p.select("s", "l").distinct().join(side(1, "s"), "s").join(side(2, "l"), "l"))
+    q = _greedy(p.select("s", "l").distinct().repartition(n).join(side(1, "s"), "s").join(side(2, "l"), "l"))
     degrees = lambda k: F.reverse(F.array_sort(F.transform(_count_to(F.col(f"n{k}")), lambda i: (
         _ones(F.col(f"adj{k}")[i]) + 2 * _has(F.col(f"loops{k}"), i).cast("int")))))
     l1 = _total(F.zip_with(degrees(1), degrees(2), lambda x, y: F.abs(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0)))))
@@ -253,7 +312,7 @@ def edit_distance(norm: DataFrame, pairs: DataFrame, max_edges: int = MAX_EDGES)
                    F.floor((F.col("m1") + F.col("m2") - F.ceil(l1 / 2)) / 2).cast("int"))
     q = pinned(q.withColumn("most", most), "graph-shape-pairs")
     best = q.select("s", "l", "best")
-    hard = pinned(_same_nodes(q.where("best < most")), "graph-hard")
+    hard = pinned(_same_nodes(q.where("best < most").repartition(n)), "graph-hard")
     state = hard.select("s", "l", F.lit(0).cast(_LONG).alias("used"), F.array().cast("array<int>").alias("img"), F.lit(0).alias("c"))
     static = hard.drop("most")
     # the number of mapped nodes stands in the rows, so all rounds have the same expressions and share their compiled code
@@ -268,20 +327,30 @@ def edit_distance(norm: DataFrame, pairs: DataFrame, max_edges: int = MAX_EDGES)
             break
         t = state.join(static, ["s", "l"]).withColumn("v", choice).withColumn("c", F.col("c") + gain).withColumns(mapped).where(beats)
         t = t.groupBy("s", "l", whole.alias("whole"), *key).agg(F.max(F.struct("c", "img")).alias("x"))
-        t = pinned(t.select("s", "l", "used", "x.img", "x.c", "whole"), "graph-states")
+        t = pinned(t.select("s", "l", "used", "x.img", "x.c", "whole").repartition(n), "graph-states")
         best = best.unionByName(t.where("whole").select("s", "l", F.col("c").alias("best")))
         state = t.where("NOT whole").drop("whole")
     best = best.groupBy("s", "l").agg(F.max("best").alias("best"))
     q = q.drop("best").join(best, ["s", "l"]).select("s", "l", (F.col("n2") - F.col("n1") + F.col("m1") + F.col("m2") - 2 * F.col("best")).cast(_LONG).alias("distance"))
-    return p.join(q, ["s", "l"]).select("g1", "g2", "distance")
+    return p.join(q, ["s", "l"]).drop("s", "l")
 
 
-def graph_edit_distance(norm: DataFrame, pairs: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
-    """The columns of :func:`ged_bounds`; both bounds are the distance, and ``exact``, where no graph has more than ``max_edges`` edges."""
-    found = ged_bounds(norm, pairs).join(edit_distance(norm, pairs, max_edges), ["g1", "g2"], "left")
-    tight = lambda c: F.coalesce("distance", c).alias(c)
-    return found.select("g1", "g2", "n_nodes1", "n_nodes2", "n_edges1", "n_edges2", tight("ged_lower"), tight("ged_upper"),
-                        (F.col("distance").isNotNull() | F.col("exact")).alias("exact"))
+def graph_edit_distance(norm: DataFrame, pairs: DataFrame, max_edges: int = MAX_EDGES, index: GraphIndex | None = None) -> DataFrame:
+    """The columns of :func:`ged_bounds`; both bounds are the distance, and ``exact``, where no graph has more than ``max_edges`` edges.
+
+    The distance replaces both bounds, so only the other pairs get them. ``index``: the :func:`graph_index`
+    of ``norm``, where several calls share it.
+    """
+    index = graph_index(norm, max_edges) if index is None else index
+    if index.max_edges != max_edges:
+        raise ValueError("index of other max_edges")
+    shaped = _shaped_pairs(index, pairs)
+    sizes = [F.col(c).cast(_LONG).alias(c) for c in ("n_nodes1", "n_nodes2", "n_edges1", "n_edges2")]
+    known = _exact(shaped, max_edges).select("g1", "g2", *sizes, F.col("distance").alias("ged_lower"), F.col("distance").alias("ged_upper"), F.lit(True).alias("exact"))
+    other = shaped[0].where("s IS NULL").select("g1", "g2")
+    ids = other.select(F.explode(F.array("g1", "g2")).alias("graph_id")).distinct()
+    large = index.graphs.select("graph_id", "edges").join(ids, "graph_id", "left_semi")
+    return known.unionByName(_bounds(_ranked(large), other))
 
 
 def _has_parts(spark, path: str) -> bool:

@@ -153,3 +153,18 @@ def test_exact_distance_of_ten_edges(spark):
     more = G.edit_distance(df, spark.createDataFrame([(5, 0), (5, 5)], "g1 long, g2 long"), max_edges=11).collect()
     assert {(r.g1, r.g2): r.distance for r in more} == {(5, 0): 3, (5, 5): 0}
     assert G.edit_distance(df.limit(0), spark.createDataFrame([(0, 1)], "g1 long, g2 long")).count() == 0
+
+
+def test_distance_of_mixed_sizes_from_a_shared_index(spark):
+    """Small pairs get the distance, pairs with a larger graph its bounds, unknown graphs no row; an index serves several calls."""
+    graphs = {1: [(0, 1), (1, 2)], 2: [(0, 1), (1, 2), (2, 3)], 3: [(0, i) for i in range(1, 6)], 4: [(5, 6)]}
+    norm = graph_table(spark, graphs)
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 4), (4, 9), (1, None)], "g1 long, g2 long")
+    index = G.graph_index(norm, 3)
+    bounds = {(r.g1, r.g2): r for r in G.ged_bounds(norm, pairs).collect()}
+    got = {(r.g1, r.g2): r for r in G.graph_edit_distance(norm, pairs, 3, index).collect()}
+    assert set(got) == set(bounds) == {(1, 2), (2, 3), (3, 4)}
+    assert got[1, 2].ged_lower == got[1, 2].ged_upper == brute_ged(graphs[1], graphs[2]) and got[1, 2].exact
+    assert got[1, 2][2:6] == bounds[1, 2][2:6] and all(got[k] == bounds[k] for k in ((2, 3), (3, 4)))
+    with pytest.raises(ValueError):
+        G.graph_edit_distance(norm, pairs, 4, index)
