@@ -12,7 +12,7 @@ from tessera.operators.recode import edge_band
 from tessera.plans import standins as T
 from tessera.plans.registry import register
 from tessera.plans.sql_standins import with_ctes
-from tessera.session import scratch_path
+from tessera.session import pinned, scratch_path
 from tessera.sources import blocks as B
 
 def _mappings(k: int, pairs: str) -> str:
@@ -144,11 +144,12 @@ def q_graph_pair_report(spark, d):
 @register("resume_pairs", GRAPH_CTES + "SELECT g1, g2, ged_lower, ged_upper FROM ged")
 def q_resume_pairs(spark, d):
     norm = _norm(spark, d)
-    work = T.graph_pairs(spark, d)
+    index = G.graph_index(norm)          # both runs compare graphs of the same table
+    work = pinned(T.graph_pairs(spark, d), "resume-work")
     out = scratch_path(spark, f"resume-{uuid.uuid4().hex}")
 
     def compute(todo):
-        return G.graph_edit_distance(norm, todo).select("g1", "g2", "ged_lower", "ged_upper")
+        return G.graph_edit_distance(norm, todo, index=index).select("g1", "g2", "ged_lower", "ged_upper")
 
     half = work.count() // 2
     # first run "crashes" after half of the pairs
