@@ -186,7 +186,8 @@ def q_write_pair_records(spark, d):
     ged = G.graph_edit_distance(G.graph_normalise(edges), T.graph_pairs(spark, d))
     path = scratch_path(spark, f"pairs-{uuid.uuid4().hex}")
     write_pair_records(ged, edges, path)
-    back = spark.read.json(path)
+    ends, key = "array<struct<u:bigint,v:bigint>>", dict(ged.dtypes)["g1"]
+    back = spark.read.schema(f"g1 {key}, g2 {key}, edges1 {ends}, edges2 {ends}, nodes1 array<bigint>, nodes2 array<bigint>, ged_upper bigint").json(path)
     return back.select("g1", "g2", F.size("edges1").cast("long").alias("n_edges1"),
                        F.size("edges2").cast("long").alias("n_edges2"), F.array_join("nodes1", " ").alias("nodes1"),
                        F.array_join("nodes2", " ").alias("nodes2"), F.col("ged_upper").cast("long").alias("ged_upper"))

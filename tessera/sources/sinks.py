@@ -62,7 +62,7 @@ def write_partitioned_split(df: DataFrame, root: str, cols=("lang", "split"), mo
 
 def write_pair_records(ged: DataFrame, edges: DataFrame, path: str, order: str = "pos", mode: str = "overwrite") -> None:
     """One JSON record per graph pair: both edge lists in ``order``, both node lists as first seen there, the distance."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, "u", "v"))), lambda e: F.struct(e["u"].alias("u"), e["v"].alias("v")))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(order, "u", "v"))), lambda e: F.struct(e["u"].alias("u"), e["v"].alias("v")))
     per_graph = edges.groupBy("graph_id").agg(listed.alias("edges")).withColumn(
         "nodes", F.array_distinct(F.flatten(F.transform("edges", lambda e: F.array(e["u"], e["v"])))))
     g1 = per_graph.select(F.col("graph_id").alias("g1"), F.col("edges").alias("edges1"), F.col("nodes").alias("nodes1"))
