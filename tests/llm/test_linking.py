@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import decontaminate, fingerprint, graph, jaccard_join, line_dedup
@@ -249,3 +250,35 @@ def test_fingerprint_pairs_of_one_band(spark, monkeypatch, block):
             if like >= 0.75:
                 want.append((rows[i][0], rows[j][0], round(like, 9)))
     assert got_ == sorted(want) and len(want) > 100
+
+
+def test_counting_shard_holds_no_copies_of_its_keys():
+    """Counts of a shard are those of a plain count, in a few times the keys' own memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    parts = [np.unique(rng.integers(0, 1 << 21, 60_000).astype(np.uint64) << np.uint64(40)) for _ in range(30)]
+    places = [np.arange(len(k)).astype(np.uint16) for k in parts]
+    own = [None] * len(parts)
+    t = pa.table({"shard": pa.array([0] * len(parts), pa.int32()), "chunk": pa.array(range(len(parts)), pa.int64()),
+                  "keys": pa.array([jaccard_join.planes(np.diff(k, prepend=np.uint64(0))) for k in parts], pa.binary()),
+                  "places": pa.array([jaccard_join.planes(p) for p in places], pa.binary()), "doc_ids": pa.array(own, pa.list_(pa.int64())),
+                  "lens": pa.array(own, pa.list_(pa.int64())), "sig": pa.array(own, pa.binary())})
+    n = sum(map(len, parts))
+    tracemalloc.start()
+    out = jaccard_join._repeated(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * n
+    key, count = np.unique(np.concatenate(parts), return_counts=True)
+    for r in out.to_pylist():
+        k, p = parts[r["chunk"]], places[r["chunk"]]
+        f = count[np.searchsorted(key, k)]
+        assert (np.cumsum(jaccard_join.unplanes(r["keys"], np.uint64), dtype=np.uint64) == k[f > 1]).all()
+        assert (jaccard_join.unplanes(r["places"], np.uint16) == p[f > 1]).all()
+        assert (jaccard_join.unplanes(r["freq"], np.uint32) == f[f > 1]).all()
+    for size in (1, 1000, 10**9):
+        cut = np.cumsum([0, *map(len, parts[:2])]) if size > 1 else np.array([0, 3, 5])
+        flat = np.concatenate(parts[:2]) if size > 1 else np.array([1, 2, 9, 2, 2**64 - 1], np.uint64)
+        k, c = np.unique(flat, return_counts=True)
+        assert (jaccard_join._document_counts(flat, cut, size) == c[np.searchsorted(k, flat)]).all()
