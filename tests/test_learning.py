@@ -215,3 +215,40 @@ def test_scan_fails_rather_than_losing_rows(spark, monkeypatch):
     monkeypatch.setattr(B, "pinned", lambda df, name: df.where("_start = 0"))
     with pytest.raises(Exception, match="split differently"):
         B.number_rows(raw, "no", True).collect()
+
+
+def test_pair_moves_of_merges(spark):
+    """Counts of neighbouring pairs, and what each of several merges in a row changes, against a plain count."""
+    from collections import Counter
+
+    from tessera.operators import subword as S
+
+    words = {"aaaa": 3, "abab": 2, "b": 5, "caab": 1, "éaé": 4}
+    waiting, plan = [("c", "##a")], [("a", "##a"), ("##a", "##b"), ("aa", "##aa")]
+
+    def pairs(state):
+        out = Counter()
+        for w, n in state.items():
+            x = w[1:-1].split(S.CLOSE + S.OPEN)
+            for p in zip(x, x[1:]):
+                out[p] += n
+        return out
+
+    def merged(state, a, b):
+        out = Counter()
+        for w, n in state.items():
+            out[w.replace(S._both(a, b), S.OPEN + a + b[2:] + S.CLOSE)] += n
+        return out
+
+    marked = {"".join(S.OPEN + ("##" if i else "") + c + S.CLOSE for i, c in enumerate(w)): n for w, n in words.items()}
+    frame = spark.createDataFrame(list(marked.items()), "s string, n long")
+    state = merged(marked, *waiting[0])
+    assert {(r.a, r.b): r.n for r in S._pair_moves(frame, waiting, [], "##").collect()} == pairs(state)
+    got = {(r.step, r.a, r.b): r.n for r in S._pair_moves(frame, waiting, plan, "##").collect() if r.n}
+    want = {}
+    for step, p in enumerate(plan):
+        after = merged(state, *p)
+        old, new = pairs(state), pairs(after)
+        want |= {(step, *k): new[k] - old[k] for k in {**old, **new} if new[k] != old[k]}
+        state = after
+    assert got == want
