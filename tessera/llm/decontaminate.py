@@ -28,6 +28,7 @@ WINDOW = 10
 SAMPLE = 16
 SHARD_SYMBOLS = 1 << 19
 BLOCK_CHARS = 16_000_000
+TEXTS = 256               # texts copied out of a batch at a time
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -272,11 +273,13 @@ def remove_spans(found: DataFrame) -> DataFrame:
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema if f.name != "spans")
 
     def run(batches):
-        for b in batches:
-            out = [t if not s else cut_spans(t.encode(), [(x["first"], x["words"]) for x in s]).decode()
-                   for t, s in zip(b.column(text).to_pylist(), b.column("spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else b.column(c) for c in b.schema.names if c != "spans"],
-                                             names=[c for c in b.schema.names if c != "spans"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                b = batch.slice(at, TEXTS)
+                out = [t if not s else cut_spans(t.encode(), [(x["first"], x["words"]) for x in s]).decode()
+                       for t, s in zip(b.column(text).to_pylist(), b.column("spans").to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else b.column(c) for c in b.schema.names if c != "spans"],
+                                                 names=[c for c in b.schema.names if c != "spans"])
 
     return src.mapInArrow(run, fields).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(cols)])
 

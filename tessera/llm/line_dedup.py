@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import narrow, pinned
 
 BLANKS = " \t\r"
+TEXTS = 256                # texts copied out of a batch at a time
 CUT = 8                    # one word in so many ends a unit of its own accord
 _WORD = re.compile(r"[^ \t\r]+")
 
@@ -144,12 +145,14 @@ def dedup_lines(docs: DataFrame, width: int = 3, passages: bool = False) -> Data
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema if f.name in others)
 
     def run(batches):
-        for b in batches:
-            res = [cut(t, s, width) for t, s in zip(b.column("text").to_pylist(), b.column("starts").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in others], pa.array([r[0] for r in res], pa.string()),
-                 pa.array([r[1] for r in res], pa.int64()), pa.array([r[2] for r in res], pa.int64())],
-                names=[*others, "text", "n_lines", "n_removed"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                b = batch.slice(at, TEXTS)
+                res = [cut(t, s, width) for t, s in zip(b.column("text").to_pylist(), b.column("starts").to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(c) for c in others], pa.array([r[0] for r in res], pa.string()),
+                     pa.array([r[1] for r in res], pa.int64()), pa.array([r[2] for r in res], pa.int64())],
+                    names=[*others, "text", "n_lines", "n_removed"])
 
     out = both.mapInArrow(run, f"{fields}, text string, n_lines long, n_removed long")
     return out.select(*[F.col("text" if c == "text" else f"k{i}").alias(c) for i, c in enumerate(keep)], "n_lines", "n_removed")

@@ -30,7 +30,8 @@ for _b in range(256):
     _SHAPE[_b] = ord("a") if 97 <= _b <= 122 or _b >= 128 else ord("A") if 65 <= _b <= 90 else ord("0") if 48 <= _b <= 57 else _b
 _SHAPE = bytes(_SHAPE)
 _CACHE: dict[bytes, tuple[int, int]] = {}
-_CACHE_MAX = 300_000
+_CACHE_MAX = 50_000
+TEXTS = 256               # texts copied out of a batch at a time
 
 
 def _squeeze(s: bytes) -> bytes:
@@ -72,21 +73,28 @@ def sparse_vector(raw: bytes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
 
 
 def _vectors(docs: DataFrame, keep: str, bits: int) -> DataFrame:
-    """Rows of (keep, idx, val), both arrays as binary."""
+    """Rows of (keep, idx, val): indices as 32-bit and values as 32-bit float numbers, both as binary, ``TEXTS`` rows a batch."""
     schema = f"{keep} {dict(docs.dtypes)[keep]}, idx binary, val binary"
 
     def run(batches):
         for b in batches:
-            vs = [sparse_vector(t, bits) for t in raw_texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(keep), pa.array([i.tobytes() for i, _ in vs], pa.binary()),
-                 pa.array([v.tobytes() for _, v in vs], pa.binary())], names=[keep, "idx", "val"])
+            for at in range(0, b.num_rows, TEXTS):
+                some = b.slice(at, TEXTS)
+                vs = [sparse_vector(t, bits) for t in raw_texts(some.column("text"))]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(keep), pa.array([i.astype(np.int32).tobytes() for i, _ in vs], pa.binary()),
+                     pa.array([v.tobytes() for _, v in vs], pa.binary())], names=[keep, "idx", "val"])
         _CACHE.clear()
         trim()
 
     return docs.mapInArrow(run, schema)
 
 
+def _arrays(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    """The arrays of a binary column, as views of its buffers."""
+    return [np.frombuffer(v.as_buffer(), kind) for v in column]
+
+
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: int = EPOCHS,
          alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> np.ndarray:
     """FTRL-proximal weights; the last entry is the bias (never regularised)."""
@@ -136,8 +144,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ma
 
     def fit(t: pa.Table) -> pa.Table:
         order = np.lexsort((t.column("doc_id").to_numpy(), t.column("h").to_numpy()))
-        idx, val, y = t.column("idx").to_pylist(), t.column("val").to_pylist(), t.column("y").to_pylist()
-        w = ftrl([(np.frombuffer(idx[i], np.int64), np.frombuffer(val[i], np.float32), y[i]) for i in order], bits)
+        idx, val, y = _arrays(t.column("idx"), np.int32), _arrays(t.column("val"), np.float32), t.column("y").to_pylist()
+        w = ftrl([(idx[i], val[i], y[i]) for i in order], bits)
         at = np.flatnonzero(w)
         del idx, val
         trim()
@@ -159,19 +167,24 @@ def score_quality(docs: DataFrame, weights: np.ndarray, keep: list[str] | None =
     """
     keep = keep or ["doc_id"]
     kept = docs.select(*keep).schema
-    src = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
+    cols = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    if "text" in keep and kept["text"].dataType.simpleString() == "string":     # one copy of a text on its way, not two
+        src, text = docs.select(*cols), f"k{keep.index('text')}"
+    else:
+        src, text = docs.select(*cols, F.col("text").cast("string").alias("text")), "text"
     fields = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(kept))
     bc = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches):
         w = bc.value
         for b in batches:
-            sc = []
-            for t in raw_texts(b.column("text")):
-                i, v = sparse_vector(t, bits)
-                sc.append(1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, float(w[i] @ v) + float(w[-1]))))))
-            yield pa.RecordBatch.from_arrays([*[b.column(f"k{j}") for j in range(len(keep))], pa.array(sc, pa.float64())],
-                                             names=[*[f"k{j}" for j in range(len(keep))], "score"])
+            for at in range(0, b.num_rows, TEXTS):
+                some, sc = b.slice(at, TEXTS), []
+                for t in raw_texts(some.column(text)):
+                    i, v = sparse_vector(t, bits)
+                    sc.append(1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, float(w[i] @ v) + float(w[-1]))))))
+                yield pa.RecordBatch.from_arrays([*[some.column(f"k{j}") for j in range(len(keep))], pa.array(sc, pa.float64())],
+                                                 names=[*[f"k{j}" for j in range(len(keep))], "score"])
         _CACHE.clear()               # the worker is used again by other stages
         trim()
 
