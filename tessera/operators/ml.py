@@ -128,19 +128,19 @@ def random_fourier(df: DataFrame, features: str, out: str, dim: int, n_component
                    gamma: float = 1.0, seed: int = 42) -> DataFrame:
     """RBF-kernel approximation z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma), seeded.
 
-    The projection (D x dim doubles, fixed by the parameters) is applied in
-    an Arrow-batched pandas UDF with one matrix product per batch.
+    The projection (D x dim doubles, fixed by the parameters) is applied to
+    Arrow batches, one matrix product each.
     """
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(n_components, dim))
     b = rng.uniform(0.0, 2 * np.pi, size=n_components)
     scale = np.sqrt(2.0 / n_components)
 
-    @F.pandas_udf(Ty.ArrayType(Ty.DoubleType()))
-    def project(col):
-        x = np.vstack(col.to_numpy()).astype(np.float64) if len(col) else np.zeros((0, dim))
+    @F.arrow_udf(Ty.ArrayType(Ty.DoubleType()))
+    def project(col: pa.Array) -> pa.Array:
+        x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(col), dim)
         z = scale * np.cos(x @ w.T + b)
-        return pd.Series(list(z))
+        return pa.ListArray.from_arrays(np.arange(len(col) + 1, dtype=np.int32) * n_components, z.reshape(-1))
 
     arr = vector_to_array(F.col(features)) if dict(df.dtypes)[features] == "vector" else F.col(features)
     return df.withColumn(out, array_to_vector(project(arr)))

@@ -88,15 +88,17 @@ def train_linear_svm(df: DataFrame, features: str = "features", label: str = "la
     Shards (fewer where they had under ``SHARD_ROWS`` rows, more where they had over ``FULL_SHARD``) and the order
     within them follow from a hash of the rows, so partitions do not matter; each is a task of its own, dealt and sorted once. The driver receives (dimension + 1) x classes numbers per epoch. An empty table gives a model of no class.
     """
-    x = df.select(_array(df, features).alias("x"), F.col(label).cast("int").alias("y")).where(
-        "x IS NOT NULL AND y IS NOT NULL AND size(x) > 0").where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
-    data = pinned(x.withColumn("h", F.xxhash64("x", "y")), "svm-rows")
-    sizes = data.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y")).orderBy(F.desc("n"), F.desc("dim")).first()
+    x = df.select(_array(df, features).alias("x"), F.col(label).cast("int").alias("y"))
+    # a column, not a filter, which would make the vector once more for every condition; NaN is above all
+    # numbers, and of an array with a null it is not known (null) that it does not contain something
+    whole = F.col("y").isNotNull() & ~F.array_contains("x", float("inf")) & (F.array_max("x") < float("inf")) & (F.array_min("x") > float("-inf"))
+    data = pinned(x.withColumns({"h": F.xxhash64("x", "y"), "dim": F.size("x"), "whole": whole}), "svm-rows").where("whole")
+    sizes = data.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y")).orderBy(F.desc("n"), F.desc("dim")).first()
     if sizes is None:
         return LinearSvm(np.zeros((0, 0)), np.zeros(0), features)
     dim, classes = int(sizes["dim"]), int(sizes["y"]) + 1
     shards = max(1, min(shards, int(sizes["n"]) // SHARD_ROWS), int(sizes["n"]) // FULL_SHARD)
-    data = data.where(F.size("x") == dim).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
+    data = data.where(F.col("dim") == dim).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
     data = data.repartitionById(shards, "shard").sortWithinPartitions("h").select("x", "y").persist(StorageLevel.DISK_ONLY)
     w, b, step = np.zeros((classes, dim)), np.zeros(classes), 0
     for _ in range(epochs):
