@@ -30,6 +30,13 @@ def test_index_reads_no_features(spark, tables, monkeypatch):
     assert len(seen) == 1 and "MapInArrow" not in seen[0]
 
 
+def test_labelled_texts_are_joined_once(spark, tables, monkeypatch):
+    seen, real = [], ML.train_sequence_classifier
+    monkeypatch.setattr(ML, "train_sequence_classifier", lambda df, *a: (seen.append(_plan(df)), real(df, *a))[1])
+    C.q_load_model(spark, tables)
+    assert len(seen) == 1 and "Join" not in seen[0]
+
+
 def test_projection_runs_once(spark, monkeypatch):
     plans, real = [], svm.pinned
     monkeypatch.setattr(svm, "pinned", lambda df, name: (plans.append(_plan(df)), real(df, name))[1])
