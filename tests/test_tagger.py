@@ -1,14 +1,24 @@
-"""Words are coded once, and only open words are decoded along a path."""
+"""The tagger query trains for all epochs; words are coded once, and only open words are decoded along a path."""
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.operators import tagger as TG
+from tessera.plans import catalog_ml
 from tessera.plans import standins as T
 from tests.test_shards import write_tables
 
 
+def test_tagger_query_trains_for_ten_epochs(spark, tmp_path, monkeypatch):
+    write_tables(spark, tmp_path)
+    seen = []
+    train = TG.train_tagger
+    monkeypatch.setattr(TG, "train_tagger", lambda *a, epochs=TG.EPOCHS, **k: seen.append(epochs) or train(*a, epochs=epochs, **k))
+    assert sum(r.support for r in catalog_ml.q_train_token_tagger(spark, str(tmp_path)).collect()) > 0
+    assert seen == [10]
+
+
 def test_coded_sentences_train_the_same_weights():
     rng = np.random.default_rng(4)
     words = [[f"W{int(x)}é" if x % 3 else None for x in rng.integers(0, 40, n)] for n in (0, 3, 90, 1, 0, 7)]
