@@ -60,9 +60,7 @@ SELECT CAST(row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS BIGINT)
 def q_scan_text_dir(spark, d):
     docs = T.table(spark, d, "documents").select("doc_id", "text")
     path = _tmp(spark, "textdir")
-    # one document per file (the writer appends one newline to each); tasks put their files in place, not the driver one by one
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs.repartition(n, "doc_id").write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("doc_id").text(path)
+    K.write_text_dir(docs, path, "doc_id")       # one document per file, a newline after each
     back = B.scan_text_dir(spark, path, suffix=".txt", recursive=True)
     back = back.withColumn("doc_id", F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long"))
     text = F.regexp_replace("text", r"\n\z", "")

@@ -87,6 +87,16 @@ def scan_lines(spark: SparkSession, paths, per_file: bool = False) -> DataFrame:
     return number_rows(raw, "line_no", per_file).select("file", "line_no", "text")
 
 
+COPY_BYTES, COPY_PARTS = 32 << 20, 64  # of a task that copies small files, about
+
+
+def _few_tasks(files: DataFrame, raw: DataFrame) -> DataFrame:
+    """``raw`` in fewer partitions where the files are small: Spark plans a task for every few of them, and each would write a file of its own."""
+    parts, size = files.rdd.getNumPartitions(), files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    n = max(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // COPY_BYTES), -(-parts // COPY_PARTS))
+    return raw.coalesce(n) if n < parts else raw
+
+
 def scan_text_dir(spark: SparkSession, directory: str, suffix: str = ".txt",
                   first_n: int | None = None, recursive: bool = False) -> DataFrame:
     """Directory of documents (one per file) -> ``(path, ordinal, text)``.
@@ -94,11 +104,11 @@ def scan_text_dir(spark: SparkSession, directory: str, suffix: str = ".txt",
     Files are ordered by path (the source used unspecified directory order),
     then optionally cut to the first ``first_n``. With ``recursive`` the folders below are read too,
     and listed by tasks. Every file is opened once, as many small files cost more to open than to
-    copy; only the paths are sorted, the copied texts stay where they are unless the path table is
+    copy, and a task copies many of them; only the paths are sorted, the copied texts stay where they are unless the path table is
     too large to broadcast.
     """
-    raw = (spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", recursive).text(directory, wholetext=True)
-           .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    files = spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", recursive).text(directory, wholetext=True)
+    raw = _few_tasks(files, files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
     raw = pinned(raw, "text-dir")
     o = global_ordinal(raw.select("path"), ["path"], (), "ordinal")
     if first_n is not None:

@@ -7,7 +7,12 @@ without funnelling the data through one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import os
+import uuid
+from urllib.parse import quote, unquote, urlsplit
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.sources.blocks import escape_lines
 
@@ -27,6 +32,53 @@ def write_conll2(tokens: DataFrame, path: str, keys=("sent_id",), pos: str = "po
     _ordered(blocks, keys).select("block").write.mode(mode).option("lineSep", "\n\n").text(path)
 
 
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """A path as the machines' file system has it; None if it is in a store that only Spark reaches."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+    scheme = urlsplit(path).scheme or urlsplit(default or "file:///").scheme
+    return (unquote(urlsplit(path).path) if urlsplit(path).scheme else path) if scheme == "file" else None
+
+
+def write_text_dir(df: DataFrame, path: str, key: str, text: str = "text", suffix: str = ".txt") -> None:
+    """One text file per key: its texts, a line end after each (a null text is empty). The path ends in ``<key>=<value>``.
+
+    In a folder that all machines share as files, tasks write ``<key>=<value>.txt`` side by side, each under a passing name
+    first, so that a task may run twice. Spark's writer takes some 20 ms of a core per file there (a folder, a
+    checksum file, a process to set the rights, a move); it writes where only Spark reaches, a folder per key.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(key, text).repartition(n, key)
+    folder = _mounted(df.sparkSession, path)
+    if folder is None:
+        # tasks put their files in place, not the driver one by one
+        rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy(key).text(path)
+        return
+    os.makedirs(folder)
+
+    def run(batches):
+        name, out, passing, n_files = None, None, f"{folder}/.{uuid.uuid4().hex}", 0
+
+        def close():
+            out.close()
+            os.replace(passing, f"{folder}/{name}{suffix}")
+
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if out is None or k != name:
+                    if out is not None:
+                        close()
+                    name, out, n_files = k, open(passing, "wb"), n_files + 1
+                out.write((t or b"") + b"\n")
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([n_files], pa.int64())], names=["n"])
+
+    value = F.coalesce(F.col(key).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    escaped = value if dict(df.dtypes)[key] != "string" else F.url_encode(value)
+    rows = rows.select(F.concat(F.lit(f"{quote(key)}="), escaped).alias("k"), F.col(text).cast("binary").alias("t"))
+    rows.sortWithinPartitions("k").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", order=(), mode: str = "overwrite") -> None:
     """CSV/TSV with header, one record per line: separators and quotes inside fields are quoted, line
     ends written as two signs (read back with ``scan_delimited(..., escaped=True)``)."""
