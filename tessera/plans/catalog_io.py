@@ -41,16 +41,32 @@ def q_scan_blocks(spark, d):
     return global_ordinal(back, ["_k1", "_k2", "_k3", "block_no"], name="ordinal").select("ordinal", "block")
 
 
+BROADCAST_IDS = 8_000_000  # sentence ids of 8 bytes
+IDS_OF_ROW = 1 << 12
+
+
+def _with_ids(blocks, ids):
+    """Blocks with the ``sent_id`` of their ``block_no``. Ids of some thousand blocks stand in one row, so up to ``BROADCAST_IDS`` go to the
+    blocks; beyond, both are joined."""
+    if ids.count() > BROADCAST_IDS:
+        return blocks.join(ids, "block_no")
+    part = lambda: F.floor(F.col("block_no") / IDS_OF_ROW).alias("_part")
+    listed = ids.groupBy(part()).agg(F.sort_array(F.collect_list(F.struct("block_no", "sent_id")))["sent_id"].alias("_ids"))
+    at = (F.col("block_no") % IDS_OF_ROW).cast("int")
+    return blocks.withColumn("_part", part()).join(F.broadcast(listed), "_part").where(at < F.size("_ids")) \
+        .withColumn("sent_id", F.col("_ids")[at]).drop("_part", "_ids")
+
+
 @register("write_conll2", with_ctes("doc_tokens") + """
 SELECT sent_id, pos, word, tag FROM doc_tokens""")
 def q_write_conll2(spark, d):
-    toks = T.doc_tokens(spark, d)
+    # whole texts are dealt in ranges of the id, which is less than their tokens: neither tokens nor blocks are moved
+    toks = T.doc_tokens(spark, d, T.table(spark, d, "documents").repartitionByRange("doc_id"))
     path = _tmp(spark, "conll2")
     K.write_conll2(toks, path, ["sent_id"])
     # blocks were written in sent_id order: block order = sentence order; a block gets its sentence before it is cut into tokens
-    sent_ids = global_ordinal(toks.select("sent_id").distinct(), ["sent_id"], name="block_no")
-    blocks = B.scan_blocks(spark, path, per_file=False).join(sent_ids, "block_no")
-    back = P.parse_conll2(blocks.withColumn("block_no", F.col("sent_id")))
+    sent_ids = global_ordinal(T.doc_tokens(spark, d).select("sent_id").distinct(), ["sent_id"], name="block_no")
+    back = P.parse_conll2(_with_ids(B.scan_blocks(spark, path, per_file=False), sent_ids).withColumn("block_no", F.col("sent_id")))
     return back.select(F.col("block_no").alias("sent_id"), F.col("pos").cast("long").alias("pos"), "word", "tag")
 
 

@@ -25,11 +25,18 @@ def _ordered(df: DataFrame, keys) -> DataFrame:
 
 def write_conll2(tokens: DataFrame, path: str, keys=("sent_id",), pos: str = "pos", word: str = "word",
                  tag: str = "tag", mode: str = "overwrite") -> None:
-    """Token rows -> ``word<TAB>tag`` lines, a blank line after each sentence."""
+    """Token rows -> ``word<TAB>tag`` lines, a blank line after each sentence.
+
+    Tokens that are in ranges of the keys already (dealt by ``repartitionByRange`` before they were cut) are not moved.
+    """
+    conll2_blocks(tokens, keys, pos, word, tag).write.mode(mode).option("lineSep", "\n\n").text(path)
+
+
+def conll2_blocks(tokens: DataFrame, keys=("sent_id",), pos: str = "pos", word: str = "word", tag: str = "tag") -> DataFrame:
+    """``block``: a sentence's lines, in the order of the keys."""
     keys = list(keys)
-    lines = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.concat_ws("\t", word, tag).alias("l"))))
-    blocks = tokens.groupBy(*keys).agg(F.array_join(lines["l"], "\n").alias("block"))
-    _ordered(blocks, keys).select("block").write.mode(mode).option("lineSep", "\n\n").text(path)
+    lines = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.concat_ws("\t", word, tag).alias("l"))))
+    return tokens.groupBy(*keys).agg(F.array_join(lines["l"], "\n").alias("block")).orderBy(*keys).select("block")
 
 
 def _mounted(spark: SparkSession, path: str) -> str | None:
